@@ -1,10 +1,14 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from loomgrid.llm.langid import op6_langid
+from loomgrid.llm.minhash import op7_minhash
 from loomgrid.llm.packing import op5_packing
+from loomgrid.llm.suffixes import op1_repeats
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
+    "op7_minhash": op7_minhash,
 }
 ORACLE_SQL: dict[str, str] = {}
