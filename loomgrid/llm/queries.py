@@ -1,18 +1,22 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
 from loomgrid.llm.archives import op4_warc
+from loomgrid.llm.chat import op9_chat
 from loomgrid.llm.langid import op6_langid
 from loomgrid.llm.minhash import op7_minhash
 from loomgrid.llm.packing import op5_packing
+from loomgrid.llm.quality import op3_quality
 from loomgrid.llm.sitetree import op10_html
 from loomgrid.llm.suffixes import op1_repeats
 
 QUERIES = {
     "op1_repeats": op1_repeats,
+    "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op7_minhash": op7_minhash,
+    "op9_chat": op9_chat,
     "op10_html": op10_html,
 }
 ORACLE_SQL: dict[str, str] = {}
