@@ -77,7 +77,7 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(n >= 30, n < 12),
         "word_length": _vote((c("word_chars") >= 2.5 * n) & (c("word_chars") <= 12 * n), (c("word_chars") < 2 * n) | (c("word_chars") > 20 * n)),
-        "symbols": _vote(c("n_symbols") * 50 <= some, c("n_symbols") * 5 > some),
+        "symbols": _vote(c("n_symbols") * 50 <= some, c("n_symbols") * 10 > some),
         "dup_lines": _vote(c("n_dup_lines") * 10 <= c("n_lines"), c("n_dup_lines") * 3 > c("n_lines")),
         "repeats": _vote(c("n_repeat_words") * 20 <= some, c("n_repeat_words") * 4 > some),
         "capitals": _vote(c("n_upper") * 10 <= c("word_chars"), c("n_upper") * 3 > c("word_chars")),

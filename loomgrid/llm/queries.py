@@ -5,6 +5,7 @@ from loomgrid.llm.chat import op9_chat
 from loomgrid.llm.langid import op6_langid
 from loomgrid.llm.minhash import op7_minhash
 from loomgrid.llm.packing import op5_packing
+from loomgrid.llm.pii import op8_pii
 from loomgrid.llm.quality import op3_quality
 from loomgrid.llm.sitetree import op10_html
 from loomgrid.llm.suffixes import op1_repeats
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_langid": op6_langid,
     "op7_minhash": op7_minhash,
+    "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_html": op10_html,
 }
