@@ -89,9 +89,12 @@ def slices(at: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
         lo = min(hi, n)
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words in `data`, and for each row the number of its first word; rows start at `at`."""
-    solid = ~SPACES[data]
+def word_spans(data: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words in `data`, and for each row the number of its first word; rows start at `at`.
+
+    `apart` says for each byte whether it separates words.
+    """
+    solid = ~apart[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     before = np.concatenate(([False], solid[:-1])) if len(data) else solid
@@ -101,9 +104,9 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word, and for each row the number of its first word."""
-    starts, ends, first = word_spans(data, at)
+    starts, ends, first = word_spans(data, at, apart)
     if not len(starts):
         return np.zeros(0, U64), first
     length = ends - starts

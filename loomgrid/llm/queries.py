@@ -2,6 +2,7 @@
 
 from loomgrid.llm.archives import op4_warc
 from loomgrid.llm.chat import op9_chat
+from loomgrid.llm.decontaminate import op2_decontaminate
 from loomgrid.llm.langid import op6_langid
 from loomgrid.llm.minhash import op7_minhash
 from loomgrid.llm.packing import op5_packing
@@ -12,6 +13,7 @@ from loomgrid.llm.suffixes import op1_repeats
 
 QUERIES = {
     "op1_repeats": op1_repeats,
+    "op2_decontaminate": op2_decontaminate,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
     "op5_packing": op5_packing,
