@@ -10,6 +10,7 @@ sort every suffix by that many bytes would move the corpus many times over. A di
 2. Only suffixes with such a name within reach are tied for long, and only they are sorted by their full `length`
    bytes: again dealt into buckets, one bucket sorted at a time, in memory that the bucket size bounds. The order inside
    a bucket is that of the fingerprints, as only equality counts; a fingerprint has 64 bits beside the bucket's number.
+   Texts that occur whole more than once are found first, by digest: one copy speaks for all.
 3. The marks go back to the chunk of documents they came from, and covered bytes are removed.
 
 Documents are dealt into chunks of about `chunk_bytes` once, and all three steps read that one exchange. Keys travel in
@@ -78,7 +79,7 @@ class _Chunk:
     def __init__(self, table, length: int, n_buckets: int, n_large: int):
         data, at = flat(table.column("text"))
         ids = [(-1 if x is None else x) for x in table.column("doc_id").to_pylist()]
-        digests = [hashlib.blake2b(data[at[i] : at[i + 1]], digest_size=8).digest() for i in range(len(ids))]
+        digests = [hashlib.md5(data[at[i] : at[i + 1]]).digest() for i in range(len(ids))]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], digests[i]))
         self.doc_ids = table.column("doc_id").to_pylist()
         pieces = [data[at[i] : at[i + 1]] for i in self.order]
@@ -96,18 +97,29 @@ class _Chunk:
         self.sample = np.flatnonzero(chosen[phase % self.v] & (left >= short) & np.repeat(size >= length, size))
         self.fits = left >= length
         self.begin = np.arange(len(self.data)) - phase
+        self.digests, self.size = [digests[i] for i in self.order], size
         self.names, self.name_of, self.name_counts = np.unique(window_hashes(self.data, self.sample, short), return_inverse=True, return_counts=True)
 
     def sample_blocks(self):
         bucket = (self.names % U64(self.n_buckets)).astype(np.int64)
         return bucket, (self.names >> U64(32)).astype("<u4"), self.name_counts > 1
 
-    def candidates(self, repeated: np.ndarray) -> None:
-        """Suffixes that reach a repeated sample name, and their distinct fingerprints."""
+    def candidates(self, repeated: np.ndarray, copies: dict[bytes, bool]) -> None:
+        """Suffixes that reach a repeated sample name, and their distinct fingerprints.
+
+        `copies` has the digests of texts that occur twice or more, and whether this chunk speaks for the copies. They are
+        removed whole; the suffixes of one copy are enough for all other texts.
+        """
+        copied = [bool(n >= self.length and d in copies) for d, n in zip(self.digests, self.size, strict=True)]
+        silent, spoken = [], set()
+        for c, d in zip(copied, self.digests, strict=True):
+            silent.append(c and (not copies[d] or d in spoken))
+            spoken.add(d)
+        self.copied, self.whole = np.repeat(np.asarray(copied, bool), self.size), np.repeat(np.asarray(silent, bool), self.size)
         hit = self.sample[repeated[self.name_of]]
-        step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, np.maximum(self.begin[hit], hit - self.v + 1) if len(hit) else hit, 1)
-        np.add.at(step, hit + 1, -1)
+        hit = hit[~self.whole[hit]]
+        step = np.bincount(np.maximum(self.begin[hit], hit - self.v + 1), minlength=len(self.data) + 1).astype(np.int32)
+        step[hit + 1] -= 1
         self.starts = np.flatnonzero((np.cumsum(step[:-1]) > 0) & self.fits)
         prints = window_hashes(self.data, self.starts, self.length)
         self.prints, first, self.print_of, self.print_counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
@@ -117,9 +129,9 @@ class _Chunk:
     def results(self, repeated: np.ndarray) -> list[list]:
         hit = self.starts[repeated[self.print_of]]
         step = np.zeros(len(self.data) + self.length + 1, np.int32)
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + self.length, -1)
-        gone = np.cumsum(step[: len(self.data)]) > 0
+        step[hit] += 1
+        step[hit + self.length] -= 1
+        gone = (np.cumsum(step[: len(self.data)]) > 0) | self.copied
         out: list[list] = [[] for _ in range(6)]
         for k, i in enumerate(self.order):
             lo, hi = self.at[k], self.at[k + 1]
@@ -156,6 +168,10 @@ def _marks(marks, kind: int, bucket: np.ndarray) -> np.ndarray:
     return out
 
 
+def _copies(marks) -> dict[bytes, bool]:
+    return {m[:16]: m[16:] == b"1" for k, m in zip(marks.column("kind").to_pylist(), marks.column("marks").to_pylist(), strict=True) if k == 0}
+
+
 def _sorted_bucket(kind: int, width: str):
     """Sort one bucket: which of its keys does more than one suffix have?"""
 
@@ -196,12 +212,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 1 << 2
 
     def suffixes(key, table, marks):
         chunk = _Chunk(table, length, n_buckets, n_large)
-        chunk.candidates(_marks(marks, 1, chunk.sample_blocks()[0]))
+        chunk.candidates(_marks(marks, 1, chunk.sample_blocks()[0]), _copies(marks))
         return _blocks(key[0].as_py(), chunk.print_bucket, chunk.prints.astype("<u8"), chunk.print_counts > 1)
 
     def remove(key, table, marks):
         chunk = _Chunk(table, length, n_buckets, n_large)
-        chunk.candidates(_marks(marks, 1, chunk.sample_blocks()[0]))
+        chunk.candidates(_marks(marks, 1, chunk.sample_blocks()[0]), _copies(marks))
         out = chunk.results(_marks(marks, 2, chunk.print_bucket))
         names = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
         return pa.table({n: pa.array(x, t) for x, (n, t) in zip(out, names, strict=True)})
@@ -209,6 +225,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, chunk_bytes: int = 1 << 2
     blocks, marked = "bucket long, chunk long, keys binary, twice binary", "chunk long, kind int, bucket long, marks binary"
     by_chunk = parts.groupBy("chunk")
     names = by_chunk.applyInArrow(sample, blocks).groupBy("bucket").applyInArrow(_sorted_bucket(1, "<u4"), marked)
+    # texts that occur twice or more, once for each chunk they are in, and whether that chunk is the first
+    texts = parts.where(F.length("text") >= length).select("chunk", F.md5("text").alias("digest")).distinct()
+    twice = parts.where(F.length("text") >= length).groupBy(F.md5("text").alias("digest")).agg(F.min("chunk").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    copies = texts.join(twice, "digest").select("chunk", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), F.concat(F.unhex("digest"), F.when(F.col("lead") == F.col("chunk"), F.lit("1")).otherwise(F.lit("0")).cast("binary")).alias("marks"))
+    names = names.unionByName(copies)
     large = by_chunk.cogroup(names.groupBy("chunk")).applyInArrow(suffixes, blocks).groupBy("bucket").applyInArrow(_sorted_bucket(2, "<u8"), marked)
     return by_chunk.cogroup(names.unionByName(large).groupBy("chunk")).applyInArrow(remove, _RESULT)
 
