@@ -13,7 +13,7 @@ repeated group is one character behind a lookahead.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import cut
@@ -79,108 +79,138 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.concat(*per_kind))
 
 
+N_FEATURES = 11
+
+
+def _pattern(hit: Column, before: Column, after: Column) -> Column:
+    """The features of a candidate, a bit each."""
+    d = _digits(hit)
+    n = F.length(d)
+    flags = [
+        hit.contains("@"), hit.rlike(r"(?i)[a-z0-9]\.[a-z]{2,24}$"), hit.startswith("+"), hit.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), n.between(8, 15), n.between(13, 19),
+        n.between(12, 24) & luhn(F.when(n <= 24, d).otherwise("1")), hit.rlike(r"[()]"), hit.rlike(r"[0-9][ -][0-9]"),
+        before.rlike(r"(?:tel|phone|call|fax|mobil|card|kart|tarjeta|carte|mail|correo|ip|contact)\W{0,4}\w{0,8}\W{0,3}$"),
+        before.rlike(r"[\p{L}0-9=_/]$") | after.rlike(r"[\p{L}0-9=_/]"),
+    ]
+    return sum((F.coalesce(v.cast("int"), F.lit(0)) * (1 << k) for k, v in enumerate(flags)), F.lit(0))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """row, source, start, stop, covered and the features, one row per proposed span of documents (row, text, base)."""
+    """Add candidates to documents with text and base: array of (source, start, stop, covered, pattern), one for each proposed span."""
     text = F.col("text")
 
     def proposed(kind: str) -> Column:
-        return F.transform(_found(text, WIDE[kind], _WIDE_GUARD[kind]), lambda s: F.struct(F.lit(kind).alias("source"), s["start"].alias("start"), s["stop"].alias("stop"), s["hit"].alias("hit")))
-
-    arrays = [proposed(k) for k in WIDE]
-    around = F.concat(*arrays)
-    shaped = F.transform(
-        around,
-        lambda c: F.struct(
-            c["source"].alias("source"), c["start"].alias("start"), c["stop"].alias("stop"), c["hit"].alias("hit"),
-            F.lower(F.substring(text, F.greatest(F.lit(1), c["start"] + 1 - CONTEXT), F.least(c["start"], F.lit(CONTEXT)))).alias("before"),
-            F.substring(text, c["stop"] + 1, F.lit(1)).alias("after"),
-            F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])).alias("covered"),
-        ),
-    )
-    rows = docs.select("row", F.explode(shaped).alias("c")).select("row", "c.*")
-    d = _digits(F.col("hit"))
-    n, hit = F.length(d), F.col("hit")
-    flags = {
-        "f_at": hit.contains("@"), "f_tld": hit.rlike(r"(?i)[a-z0-9]\.[a-z]{2,24}$"), "f_plus": hit.startswith("+"),
-        "f_octets": hit.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "f_phone_size": n.between(8, 15), "f_card_size": n.between(13, 19),
-        "f_luhn": (n >= 12) & (n <= 24) & luhn(F.when(n <= 24, d).otherwise("1")), "f_brackets": hit.rlike(r"[()]"), "f_groups": hit.rlike(r"[0-9][ -][0-9]"),
-        "f_word_before": F.col("before").rlike(r"(?:tel|phone|call|fax|mobil|card|kart|tarjeta|carte|mail|correo|ip|contact)\W{0,4}\w{0,8}\W{0,3}$"),
-        "f_glued": F.col("before").rlike(r"[\p{L}0-9=_/]$") | F.col("after").rlike(r"[\p{L}0-9=_/]"),
-    }
-    bits = sum((F.coalesce(v.cast("int"), F.lit(0)) * (1 << k) for k, v in enumerate(flags.values())), F.lit(0))
-    return rows.select("row", "source", "start", "stop", "covered", bits.alias("pattern"))
+        return F.transform(
+            _found(text, WIDE[kind], _WIDE_GUARD[kind]),
+            lambda s: F.struct(
+                F.lit(kind).alias("source"), s["start"].alias("start"), s["stop"].alias("stop"),
+                F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])).alias("covered"),
+                _pattern(s["hit"], F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(s["start"], F.lit(CONTEXT)))), F.substring(text, s["stop"] + 1, F.lit(1))).alias("pattern"),
+            ),
+        )
 
+    return docs.withColumn("candidates", F.concat(*[proposed(k) for k in WIDE]))
+
+
+def _bit(pattern: Column, k: int) -> Column:
+    return pattern.bitwiseAND(1 << k) > 0
 
-N_FEATURES = 11
 
+Tree = tuple[int, int, dict[int, float]]
 
-def _bit(k: int) -> Column:
-    return F.col("pattern").bitwiseAND(1 << k) > 0
 
+def score(trees: list[Tree], pattern: Column) -> Column:
+    """The raw score of a pattern: the sum of the leaves it falls in."""
+    total = F.lit(0.0)
+    for i, j, leaves in trees:
+        leaf = _bit(pattern, i).cast("int") * 2 + _bit(pattern, j).cast("int")
+        for k, step in leaves.items():
+            total = total + F.when(leaf == k, step).otherwise(0.0)
+    return F.round(total, 6)
 
-def boost(patterns: DataFrame, rounds: int = 6, rate: float = 0.5) -> Column:
-    """Boosted trees of depth two on logistic loss over (pattern, y, n): the raw score of a pattern.
 
-    A round tries every pair of features as one aggregate whose result is one row of gains; Newton steps give the leaves.
+def boost(patterns: DataFrame, rounds: int = 6, rate: float = 0.5) -> list[Tree]:
+    """Boosted trees of depth two on logistic loss over (pattern, y, n): two features each, and the value of every leaf.
+
+    A round tries every pair of features as one aggregate; Newton steps give the leaves, and one row comes back.
     """
-    score = F.lit(0.0)
+    trees: list[Tree] = []
     pairs = [(i, j) for i in range(N_FEATURES) for j in range(i + 1, N_FEATURES)]
     for _ in range(rounds):
-        p = 1 / (1 + F.exp(-score))
+        p = 1 / (1 + F.exp(-score(trees, F.col("pattern"))))
         graded = patterns.select("pattern", ((F.col("y") - p) * F.col("n")).alias("g"), (p * (1 - p) * F.col("n")).alias("h"))
-        leaves = F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), (_bit(i).cast("int") * 2 + _bit(j).cast("int")).alias("leaf")) for k, (i, j) in enumerate(pairs)])).alias("l")
-        sums = graded.select("g", "h", leaves).groupBy("l.pair", "l.leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+        leaf = [F.struct(F.lit(k).alias("pair"), (_bit(F.col("pattern"), i).cast("int") * 2 + _bit(F.col("pattern"), j).cast("int")).alias("leaf")) for k, (i, j) in enumerate(pairs)]
+        sums = graded.select("g", "h", F.explode(F.array(*leaf)).alias("l")).groupBy("l.pair", "l.leaf").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
         gains = sums.groupBy("pair").agg(F.sum(F.col("g") * F.col("g") / (F.col("h") + 1)).alias("gain"), F.collect_list(F.struct("leaf", (F.col("g") / (F.col("h") + 1)).alias("step"))).alias("steps"))
-        best = gains.orderBy(F.desc("gain"), "pair").first()
+        best = gains.orderBy(F.desc(F.round("gain", 6)), "pair").first()
         if best is None or best.gain < 1e-6:
             break
-        i, j = pairs[best.pair]
-        leaf = _bit(i).cast("int") * 2 + _bit(j).cast("int")
-        step = F.lit(0.0)
-        for s in best.steps:
-            step = step + F.when(leaf == s.leaf, rate * s.step).otherwise(0.0)
-        score = score + step
-    return score
-
+        trees.append((*pairs[best.pair], {s.leaf: rate * s.step for s in best.steps}))
+    return trees
 
-def thresholds(held: DataFrame, score: Column, precision: float) -> DataFrame:
-    """For each source the lowest score from which upwards the held-out candidates reach the precision: source, least."""
-    from pyspark.sql import Window
 
-    ranked = held.withColumn("score", F.round(score, 6)).groupBy("source", "score").agg(F.sum(F.col("y") * F.col("n")).alias("hits"), F.sum("n").alias("all"))
+def thresholds(held: DataFrame, trees: list[Tree], precision: float) -> dict[str, float]:
+    """For each source the lowest score from which upwards the held-out candidates reach the precision."""
+    ranked = held.withColumn("score", score(trees, F.col("pattern"))).groupBy("source", "score").agg(F.sum(F.col("y") * F.col("n")).alias("hits"), F.sum("n").alias("all"))
     above = Window.partitionBy("source").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # at most 2**features rows a source
     reached = ranked.withColumn("p", F.sum("hits").over(above) / F.sum("all").over(above)).where(F.col("p") >= precision)
-    return reached.groupBy("source").agg(F.min("score").alias("least"))
+    return {r.source: r.least for r in reached.groupBy("source").agg(F.min("score").alias("least")).collect()}
 
 
 def find(docs: DataFrame, precision: float = 0.95) -> DataFrame:
-    """One row per row of docs: doc_id, text, base and added spans.
+    """Add base and added to every row: arrays of spans in code points.
 
-    A null text is empty. Repeated rows are each searched. Texts are searched whole. An empty table gives no rows. Columns other
-    than doc_id and text are ignored.
+    A null text has no spans. Repeated rows are each searched. Texts are searched whole. An empty table gives no rows. Other
+    columns pass through, except those named base, candidates and added, which are replaced.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    based = base_spans(rows)
-    # candidates are few beside the texts: they are found once and kept
-    found = cut(candidates(based))
-    fold = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(4)) == 0
-    counts = cut(found.groupBy("source", "pattern", F.col("covered").cast("double").alias("y"), fold.alias("held")).agg(F.count("*").cast("double").alias("n")))
-    score = boost(counts.where("NOT held"))
-    least = thresholds(counts.where("held"), score, precision)
-    added = found.where("NOT covered").join(F.broadcast(least), "source").where(F.round(score, 6) >= F.col("least"))
-    # overlapping proposals of one document: the first, and of those the longest
-    chosen = added.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("start", (-F.col("stop")).alias("back"), "source"))).alias("c"))
+    proposed = candidates(base_spans(docs.drop("base", "candidates", "added").withColumn("text", F.coalesce("text", F.lit("")))))
+    fold = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    each = proposed.select(fold.alias("held"), F.explode("candidates").alias("c"))
+    counts = cut(each.groupBy("held", "c.source", "c.pattern", F.col("c.covered").cast("double").alias("y")).agg(F.count("*").cast("double").alias("n")))
+    trees = boost(counts.where("NOT held"))
+    least = thresholds(counts.where("held"), trees, precision)
+
+    def chosen(c: Column) -> Column:
+        good = F.lit(False)
+        for source, from_score in least.items():
+            good = good | ((c["source"] == source) & (score(trees, c["pattern"]) >= from_score))
+        return ~c["covered"] & good
+
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
-    apart = F.aggregate(
-        "c", F.struct(F.lit(-1).alias("end"), none.alias("out")),
-        lambda acc, x: F.when(x["start"] >= acc["end"], F.struct((-x["back"]).alias("end"), F.concat(acc["out"], F.array(F.struct(x["source"].alias("kind"), x["start"].alias("start"), (-x["back"]).alias("stop")))).alias("out"))).otherwise(acc),
-        lambda acc: acc["out"],
-    )
-    return based.join(chosen.select("row", apart.alias("added")), "row", "left").select("doc_id", "text", "base", F.coalesce("added", none).alias("added"))
+
+    def apart(found: Column) -> Column:  # of overlapping proposals the first, and of those the longest
+        ordered = F.sort_array(F.transform(found, lambda c: F.struct(c["start"].alias("start"), (-c["stop"]).alias("back"), c["source"].alias("source"))))
+
+        def add(acc: Column, x: Column) -> Column:
+            more = F.concat(acc["out"], F.array(F.struct(x["source"].alias("kind"), x["start"].alias("start"), (-x["back"]).alias("stop"))))
+            return F.when(x["start"] >= acc["end"], F.struct((-x["back"]).alias("end"), more.alias("out"))).otherwise(acc)
+
+        return F.aggregate(ordered, F.struct(F.lit(-1).alias("end"), none.alias("out")), add, lambda acc: acc["out"])
+
+    return proposed.withColumn("added", apart(F.filter("candidates", chosen))).drop("candidates")
+
+
+def redact(docs: DataFrame, precision: float = 0.95) -> DataFrame:
+    """docs with every span of text replaced by its kind in brackets, overlapping spans by the first of them; n_chars follows."""
+    found = find(docs, precision)
+    names = F.array(*[F.lit(k) for k in KINDS])
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.get(names, s["kind"]).alias("kind")))
+    more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+
+    def cover(acc: Column, s: Column) -> Column:
+        put = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        return F.when(s["start"] >= acc["at"], F.struct(s["stop"].alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), acc["out"].alias("out")))
+
+    spans_ = F.sort_array(F.concat(base, more))
+    text = F.aggregate(spans_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    out = found.withColumn("text", F.when(F.size("base") + F.size("added") > 0, text).otherwise(F.col("text"))).drop("base", "added")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     names = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform("base", lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string")))
     more = F.transform(F.sort_array("added"), lambda s: F.concat(F.lit("likely_"), s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string")))
