@@ -28,13 +28,13 @@ def offset_from_clean(bearing_deg: Column, rotation) -> Column:
 
 
 def snapped(bearing_deg: Column, rotation) -> Column:
-    """The nearest multiple of 45 after rotation; halves go to the even one."""
-    return F.pmod(F.rint(rotated(bearing_deg, rotation) / 45.0) * 45.0, F.lit(360.0))
+    """The bearing nearest to this one that the rotated camera sees as a multiple of 45; halves go to the even multiple."""
+    return F.pmod(F.rint(rotated(bearing_deg, rotation) / 45.0) * 45.0 + rotation, F.lit(360.0))
 
 
 def snap_direction(dx: Column, dy: Column, rotation) -> tuple[Column, Column]:
     """Unit vector, in the map's frame, of the clean direction nearest to (dx, dy)."""
-    angle = F.radians(snapped(bearing(dx, dy), rotation) + rotation)
+    angle = F.radians(snapped(bearing(dx, dy), rotation))
     return F.sin(angle), F.cos(angle)
 
 
