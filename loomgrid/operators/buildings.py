@@ -205,8 +205,8 @@ def facade_layout(rings: DataFrame, buildings: DataFrame, camera: G.Camera, key:
     detailed = (F.col("width_px") >= MIN_WALL_W_PX) & (F.col("levels") * camera.storey_px >= MIN_WALL_H_PX)
     windows = F.when(F.col("shop"), columns * (floors - 1)).otherwise(columns * floors - 1)
     return wall.select(
-        key, "seq", "visible", "sunlit", detailed.alias("detailed"), F.when(detailed, columns).alias("n_columns"), F.when(detailed, floors).alias("floors"), F.when(detailed, windows).alias("windows"),
-        F.when(detailed, (~F.col("shop")).cast("int")).alias("doors"), (detailed & F.col("shop")).alias("shop_band"),
+        key, "seq", "visible", "sunlit", detailed.alias("detailed"), F.when(detailed, columns).otherwise(0).alias("n_columns"), F.when(detailed, floors).otherwise(0).alias("floors"), F.when(detailed, windows).otherwise(0).alias("windows"),
+        F.when(detailed, (~F.col("shop")).cast("int")).otherwise(0).alias("doors"), (detailed & F.col("shop")).alias("shop_band"),
     )
 
 

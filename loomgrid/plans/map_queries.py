@@ -225,8 +225,8 @@ _FACADE = f"""WITH {_E}, g AS (SELECT b_id, seq, sqrt(pow(x2 - x1, 2) + pow(y2 -
   m AS (SELECT *, avg(gx) OVER (PARTITION BY b_id) AS mx, avg(gy) OVER (PARTITION BY b_id) AS my FROM g), n AS (SELECT *, sqrt(pow(hx - gx, 2) + pow(hy - gy, 2)) AS wpx, CASE WHEN ((gx + hx) / 2 - mx) * (hy - gy) - ((gy + hy) / 2 - my) * (hx - gx) < 0 THEN -1 ELSE 1 END AS s FROM m),
   f AS (SELECT n.*, b.kind = 'retail' AS shop, {_LEVELS} AS levels FROM n JOIN fx_buildings b USING (b_id) WHERE wpx >= 0.6),
   c AS (SELECT *, wpx >= 11 AND levels * 6.4 >= 9 AS detailed, CAST(least(greatest(1, least(12, round_even(len / 2.9, 0))), greatest(1, floor(wpx / 4))) AS INTEGER) AS cols, CAST(greatest(1, round_even(levels, 0)) AS INTEGER) AS floors FROM f)
-  SELECT b_id, seq, -(hx - gx) * s > 0 AS visible, (hy - gy) * s < 0 AS sunlit, detailed, CASE WHEN detailed THEN cols END AS n_columns, CASE WHEN detailed THEN floors END AS floors, CASE WHEN detailed THEN CASE WHEN shop THEN cols * (floors - 1) ELSE cols * floors - 1 END END AS windows,
-  CASE WHEN detailed THEN CAST(NOT shop AS INTEGER) END AS doors, detailed AND shop AS shop_band FROM c"""
+  SELECT b_id, seq, -(hx - gx) * s > 0 AS visible, (hy - gy) * s < 0 AS sunlit, detailed, CASE WHEN detailed THEN cols ELSE 0 END AS n_columns, CASE WHEN detailed THEN floors ELSE 0 END AS floors, CASE WHEN detailed THEN CASE WHEN shop THEN cols * (floors - 1) ELSE cols * floors - 1 END ELSE 0 END AS windows,
+  CASE WHEN detailed THEN CAST(NOT shop AS INTEGER) ELSE 0 END AS doors, detailed AND shop AS shop_band FROM c"""
 
 
 def _facades(spark, d):
@@ -249,13 +249,13 @@ def stable_pick(spark, d):
     return fixture(spark, d, "fx_buildings").select("b_id", T.stable_pick(F.lit(7), F.col("b_id"), 6).alias("facade"), T.stable_pick(F.lit("roof:7"), F.col("b_id"), 5).alias("roof"))
 
 
-@register("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN floor(170 * 0.82 + 23.04) WHEN 1 THEN floor(176 * 0.82 + 23.04) WHEN 2 THEN floor(18 * 0.82 + 23.04) END::INTEGER AS r FROM part")
+@register("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN floor(170 * 0.82 + 23.04) WHEN 1 THEN floor(176 * 0.82 + 23.04) WHEN 2 THEN floor(18 * 0.82 + 23.04) ELSE -1 END::INTEGER AS r FROM part")
 def colour_parse(spark, d):
     p = fixture(spark, d, "part")
     value = F.when(F.col("p_partkey") % 5 == 0, " Terracotta ").when(F.col("p_partkey") % 5 == 1, "#B0C").when(F.col("p_partkey") % 5 == 2, "#12ab00").when(F.col("p_partkey") % 5 == 3, "#12345").otherwise("puce")
     # the short form doubles its digits: B becomes BB
     value = F.when(F.col("p_partkey") % 5 == 1, F.lit("#B0B0C0")).otherwise(value)
-    return p.select("p_partkey", T.parse_colour(value)["r"].alias("r"))
+    return p.select("p_partkey", F.coalesce(T.parse_colour(value)["r"], F.lit(-1)).alias("r"))
 
 
 @register("SELECT id, CASE WHEN building IS NOT NULL AND amenity IS NOT NULL THEN amenity ELSE coalesce(amenity, building, 'building') END AS label FROM fx_elements")

@@ -81,10 +81,10 @@ def _wrapped(spark, d):
     return c.select(F.col("pos").alias("suggestion_id"), T.json_response(text).alias("response"))
 
 
-@register("SELECT pos AS suggestion_id, pos % 5 <> 4 AS parsed, CASE WHEN pos % 5 <> 4 THEN s1 END AS s1 FROM fx_critiqued")
+@register("SELECT pos AS suggestion_id, pos % 5 <> 4 AS parsed, CASE WHEN pos % 5 <> 4 THEN s1 ELSE CAST(-1 AS BIGINT) END AS s1 FROM fx_critiqued")
 def json_response(spark, d):
     r = _wrapped(spark, d)
-    return r.select("suggestion_id", F.col("response").isNotNull().alias("parsed"), F.try_variant_get("response", "$.surprise_score", "long").alias("s1"))
+    return r.select("suggestion_id", F.col("response").isNotNull().alias("parsed"), F.coalesce(F.try_variant_get("response", "$.surprise_score", "long"), F.lit(-1).cast("long")).alias("s1"))
 
 
 @register("""SELECT pos AS suggestion_id, CASE WHEN pos % 5 = 4 THEN 3 ELSE s1 END AS s1, CASE WHEN pos % 5 = 4 THEN 3 ELSE s2 END AS s2, CASE WHEN pos % 5 = 4 THEN 3 ELSE s3 END AS s3, CAST(3 AS BIGINT) AS s4, true AS passes,
@@ -151,18 +151,18 @@ def snk_manifest(spark, d):
     return S.manifest_totals(c.select("script_id", "line_index").distinct(), best, best)
 
 
-@register("SELECT q_id, (SELECT max(tpl_pos) FROM fx_templates WHERE lower(name) = lower(q)) AS tpl_pos FROM fx_names")
+@register("SELECT q_id, coalesce((SELECT max(tpl_pos) FROM fx_templates WHERE lower(name) = lower(q)), CAST(-1 AS BIGINT)) AS tpl_pos FROM fx_names")
 def tpl_by_name(spark, d):
-    return M.tpl_by_name(fixture(spark, d, "fx_names"), _templates(spark, d))
+    return M.tpl_by_name(fixture(spark, d, "fx_names"), _templates(spark, d)).withColumn("tpl_pos", F.coalesce("tpl_pos", F.lit(-1).cast("long")))
 
 
 @register("""WITH a AS (SELECT DISTINCT lower(q) AS low FROM fx_names), t AS (SELECT tpl_pos, lower(name) AS t FROM fx_templates),
   e AS (SELECT low, max(tpl_pos) AS tpl_pos, 1 AS tier FROM a JOIN t ON low = t GROUP BY low), h AS (SELECT low, min(tpl_pos) AS tpl_pos, 2 AS tier FROM a JOIN t ON contains(low, t) OR contains(t, low) WHERE low NOT IN (SELECT low FROM e) GROUP BY low),
   w AS (SELECT low, tpl_pos, len(list_intersect(list_distinct(string_split(low, ' ')), list_distinct(string_split(t, ' ')))) AS n FROM a, t WHERE low NOT IN (SELECT low FROM e) AND low NOT IN (SELECT low FROM h)),
   b AS (SELECT low, tpl_pos, 3 AS tier FROM (SELECT *, row_number() OVER (PARTITION BY low ORDER BY n DESC, tpl_pos) AS r FROM w WHERE n > 0) WHERE r = 1), f AS (SELECT * FROM e UNION ALL SELECT * FROM h UNION ALL SELECT * FROM b)
-  SELECT q_id, tpl_pos, tier FROM fx_names LEFT JOIN f ON lower(q) = low""")
+  SELECT q_id, coalesce(tpl_pos, CAST(-1 AS BIGINT)) AS tpl_pos, coalesce(tier, 0) AS tier FROM fx_names LEFT JOIN f ON lower(q) = low""")
 def tpl_fuzzy(spark, d):
-    return M.tpl_fuzzy(fixture(spark, d, "fx_names"), _templates(spark, d))
+    return M.tpl_fuzzy(fixture(spark, d, "fx_names"), _templates(spark, d)).select("q_id", F.coalesce("tpl_pos", F.lit(-1).cast("long")).alias("tpl_pos"), F.coalesce("tier", F.lit(0)).alias("tier"))
 
 
 @register("""WITH b AS (SELECT DISTINCT lower(split_part(p_type, ' ', 1)) AS beat FROM part UNION SELECT 'nothing like it'), h AS (SELECT beat, tpl_pos FROM b JOIN fx_templates ON contains(emotion_a, beat) OR contains(emotion_b, beat)),
