@@ -126,13 +126,15 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     pairs = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     seen = None
     for _ in range(most):
-        both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(least, "b").select("m", "a", "b")
-        small = small.select(F.col("m").alias("a"), F.col("a").alias("b")).union(small.select(F.col("m").alias("a"), "b"))
-        pairs = cut(small.where("a < b").distinct())
+        for _ in range(2):  # two steps of each kind before a look at what they changed
+            both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+            least = large.groupBy("b").agg(F.min("a").alias("m"))
+            small = large.join(least.hint("merge"), "b").select("m", "a", "b")
+            small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")).select("e.*")
+            pairs = small.where("a < b").distinct()
+        pairs = cut(pairs)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == seen:
             break

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.llm.common import LOWER, U64, components, cut, flat, mix, slices, stored, word_hashes
@@ -119,7 +119,19 @@ def similar(a: Column, b: Column, percent: int) -> Column:
     return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, most_rounds: int = 400) -> DataFrame:
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after further links (a, b): only the components that the links touch are worked on."""
+    if labels is None:
+        return components(links)
+    at = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"c{name}")).hint("merge")
+    tops = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    moved = components(tops)
+    old = labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("top")).hint("merge"), "component", "left")
+    new = moved.join(labels.hint("merge"), "node", "left_anti").select("node", "component")
+    return cut(old.select("node", F.coalesce("top", "component").alias("component")).unionByName(new))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, most_rounds: int = 40) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Words are lower-cased (A-Z) runs of non-space bytes. A text with no word (null, empty, blank) has the empty set and is
@@ -141,30 +153,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     def confirmed(pairs: DataFrame) -> DataFrame:
         # the largest possible share is that of the smaller set in the larger
         a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(b, "b").join(a, "a").where(similar(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
+        return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(similar(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
 
     fits = 100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre")
-    rank = F.struct(F.xxhash64("node", F.lit(0)).alias("order"), F.col("node"), F.col("n"), F.col("component"))
-    labels = links = None
+    labels = None
     state = members.withColumns({"component": F.col("node"), "tried": F.lit(False)})
     for turn in range(most_rounds):
-        # the next centre of each bucket: the first in a hashed order that has not been one
-        centres = state.where("NOT tried").groupBy("key").agg(F.min(rank).alias("c"))
+        # the next centres of each bucket, in a hashed order: one at first, then four times as many each round
+        order = F.struct(F.xxhash64("node", F.lit(0)).alias("order"), F.col("node"), F.col("n"), F.col("component"))
+        if turn < 2:
+            centres = state.where("NOT tried").groupBy("key").agg(F.min(order).alias("c"))
+        else:
+            place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(0)), "node"))
+            centres = state.where("NOT tried").withColumn("place", place).where(F.col("place") <= 4 ** (turn - 1)).select("key", order.alias("c"))
         centres = cut(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("n_centre"), F.col("c.component").alias("centre_component")))
-        stars = state.join(centres, "key").where((F.col("component") != F.col("centre_component")) & fits).select("node", "centre")
+        stars = state.join(centres.hint("merge"), "key").where((F.col("component") != F.col("centre_component")) & fits).select("node", "centre")
         if turn == 0:  # of all its centres, a node first tries the one that it meets most often
             stars = stars.groupBy("node", "centre").count().groupBy("node").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
         else:
-            state = state.join(centres.select("key", F.col("centre").alias("node"), F.lit(True).alias("now")), ["key", "node"], "left").withColumn("tried", F.col("tried") | F.coalesce("now", F.lit(False))).drop("now")
+            state = state.join(centres.select("key", F.col("centre").alias("node"), F.lit(True).alias("now")).hint("merge"), ["key", "node"], "left").withColumn("tried", F.col("tried") | F.coalesce("now", F.lit(False))).drop("now")
         found = cut(confirmed(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()))
         if not found.isEmpty():
-            links = found if links is None else cut(links.union(found))
-            labels = components(links)
-            state = state.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            labels = merged(labels, found)
+            state = state.drop("component").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         # what is left: buckets of several components, with two nodes at least that have not been centres
-        state = cut(state.select("key", "node", "n", "component", "tried"))
+        state = state.select("key", "node", "n", "component", "tried")
         mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("tried")).alias("left")).where("low < high AND left > 1").select("key")
-        state = cut(state.join(mixed, "key", "left_semi"))
+        state = cut(state.join(mixed.hint("merge"), "key", "left_semi"))
         if state.isEmpty():
             break
     labelled = firsts.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("root")) if labels is not None else firsts.withColumnRenamed("node", "root")
