@@ -225,4 +225,12 @@ def convert(pages: DataFrame, least: int = 0) -> DataFrame:
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
-    return convert(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "intact")
+    return convert(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The same rows from the pages themselves; base 32 takes twenty bits of the hexadecimal digest at a time.
+OP4_SQL = """WITH d AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+  b AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), lambda k: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(x, CAST(5 * k + 1 AS INTEGER), 5) AS INTEGER) >> s) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest FROM d),
+  r AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM b)
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM r"""

@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and DuckDB SQL for those that SQL can express."""
 
-from loomgrid.llm.archives import op4_warc
+from loomgrid.llm.archives import OP4_SQL, op4_warc
 from loomgrid.llm.chat import op9_chat
 from loomgrid.llm.decontaminate import op2_decontaminate
 from loomgrid.llm.langid import op6_langid
@@ -23,4 +23,4 @@ QUERIES = {
     "op9_chat": op9_chat,
     "op10_html": op10_html,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL}
