@@ -5,7 +5,8 @@
 2. A randomised SVD of the TF-IDF passages gives the latent space: the product of the passages' Gram matrix with a random
    block is summed over the corpus term by term, and Nystroem's formula turns it into singular directions. The items are
    passages of the same matrix; the directions they span are kept before those of the corpus, as they are what is sought.
-3. All overlapping passages are projected and compared with all items by cosine; those above `cosine` are candidates.
+3. All overlapping passages with three of the terms are projected and compared with all items by cosine; those above
+   `cosine` are candidates.
 4. A candidate is confirmed on the words themselves: the longest common subsequence of the item and some stretch of the
    document half as long again must have `lcs` of the item, and that of its answer, the last quarter, `answer` of it. So
    insertions, omissions and changed words are found, not only copies.
@@ -181,6 +182,7 @@ def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, idf, basis, wanted = sent.value
+        listed = [w.tolist() for w in items.words]
         tails = [w[-max(1, len(w) // 4) :].tolist() for w in items.words]
         whole = [(_masks(w.tolist()), len(w)) for w in items.words]
         ends = [(_masks(t), len(t)) for t in tails]
@@ -189,7 +191,7 @@ def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank:
             leaks: list[list] = [[] for _ in range(len(at) - 1)]
             for lo, hi in slices(at):
                 hashes, first, row, place, passage, term, count = _passages(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], items, width, width // 2)
-                few = np.bincount(passage, minlength=len(row))[passage] >= 2 if len(passage) else np.zeros(0, bool)
+                few = np.bincount(passage, minlength=len(row))[passage] >= 3 if len(passage) else np.zeros(0, bool)
                 passage, term, count = passage[few], term[few], count[few]
                 if not len(passage):
                     continue
@@ -210,6 +212,9 @@ def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank:
                     tried = set()
                     for p in seen[r, i]:
                         b0, b1 = max(first[r], first[r] + p - size), min(first[r + 1], first[r] + p + width + size)
+                        there = set(hashes[b0:b1].tolist())
+                        if sum(w in there for w in listed[i]) < lcs * size:
+                            continue  # no common subsequence can be long enough
                         for b in range(int(b0), int(max(b0 + 1, b1 - size + 1)), step):
                             if b in tried:
                                 continue
@@ -229,7 +234,7 @@ def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank:
     return frame.mapInArrow(search, f"{sizes + ', ' if kept else ''}leaks {LEAKS}")
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, width: int = 48, rank: int = 48, item_rank: int = 256, max_df: float = 0.02, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, block_items: int = 5000) -> DataFrame:
+def flag(docs: DataFrame, benchmark: DataFrame, width: int = 48, rank: int = 48, item_rank: int = 256, max_df: float = 0.002, cosine: float = 0.6, lcs: float = 0.7, answer: float = 0.5, block_items: int = 5000) -> DataFrame:
     """docs with `leaks`: an array of (item_id, cosine, lcs), empty where the text holds no item.
 
     Null and empty texts hold none. Items with null text or fewer than `3` words are no passages and are left out; equal
