@@ -42,27 +42,41 @@ class Items:
     terms: np.ndarray
 
 
+def small_letters(data: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with capitals of ASCII and of Latin-1 made small."""
+    out = LOWER[data]
+    if len(out) > 1:
+        after = out[1:]
+        after[(out[:-1] == 0xC3) & (after >= 0x80) & (after <= 0x9E) & (after != 0x97)] += 32
+    return out
+
+
 def _read(texts: list[str]) -> list[np.ndarray]:
     data, at = flat(pa.array([(t or "").encode() for t in texts], pa.binary()))
-    hashes, first = word_hashes(LOWER[data], at, APART)
+    hashes, first = word_hashes(small_letters(data), at, APART)
     return [hashes[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
 def _passages(data: np.ndarray, at: np.ndarray, items: Items, width: int, stride: int):
     """Words of some rows, each row's first word, and the (passage, term) pairs with counts of its windows, with each passage's row and place."""
-    hashes, first = word_hashes(LOWER[data], at, APART)
+    hashes, first = word_hashes(small_letters(data), at, APART)
     n_words = np.diff(first)
     per_row = np.where(n_words > 0, np.maximum(1, -(-np.maximum(n_words - width, 0) // stride) + 1), 0)
     row = np.repeat(np.arange(len(n_words)), per_row)
     place = (np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)) * stride
-    term = np.searchsorted(items.terms, hashes)
+    # most words are no terms: a table of the hashes' low bits leaves few for the search
+    likely = np.zeros(1 << 16, bool)
+    likely[(items.terms & U64(0xFFFF)).astype(np.int64)] = True
+    known = np.flatnonzero(likely[(hashes & U64(0xFFFF)).astype(np.uint16)])
+    term = np.searchsorted(items.terms, hashes[known])
     term[term == len(items.terms)] = 0
-    known = np.flatnonzero(items.terms[term] == hashes) if len(items.terms) else np.zeros(0, np.int64)
+    right = items.terms[term] == hashes[known] if len(items.terms) else np.zeros(0, bool)
+    known, term = known[right], term[right]
     begin = first[row] + place
     lo, hi = np.searchsorted(known, begin), np.searchsorted(known, np.minimum(begin + width, first[row + 1] if len(row) else begin))
     held = hi - lo
     inside = np.arange(int(held.sum())) - np.repeat(np.cumsum(held) - held, held) + np.repeat(lo, held)
-    pair, count = np.unique(np.repeat(np.arange(len(row)), held) * np.int64(max(1, len(items.terms))) + term[known[inside]], return_counts=True)
+    pair, count = np.unique(np.repeat(np.arange(len(row)), held) * np.int64(max(1, len(items.terms))) + term[inside], return_counts=True)
     return hashes, first, row, place, pair // max(1, len(items.terms)), pair % max(1, len(items.terms)), count
 
 
