@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -117,27 +118,40 @@ def word_hashes(data: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACES) ->
         return mix(total + length.astype(U64) * _GOLD), first
 
 
+@contextmanager
+def interpreted(spark: SparkSession) -> Iterator[None]:
+    """Many small plans in a row: compiling each of them costs more time and driver memory than it saves."""
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """Connected components of edges (a, b): columns node, component (the smallest node reached).
 
     Large-star and small-star steps alternate until nothing changes; every step is an aggregate and a join, and only a
     count and a checksum reach the driver.
     """
-    pairs = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    seen = None
-    for _ in range(most):
-        for _ in range(2):  # two steps of each kind before a look at what they changed
-            both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-            large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-            least = large.groupBy("b").agg(F.min("a").alias("m"))
-            small = large.join(least.hint("merge"), "b").select("m", "a", "b")
-            small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")).select("e.*")
-            pairs = small.where("a < b").distinct()
-        pairs = cut(pairs)
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+    with interpreted(edges.sparkSession):
+        pairs = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        seen = None
+        for _ in range(most):
+            for _ in range(2):  # two steps of each kind before a look at what they changed
+                both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+                large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+                least = large.groupBy("b").agg(F.min("a").alias("m"))
+                small = large.join(least.hint("merge"), "b").select("m", "a", "b")
+                small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")).select("e.*")
+                pairs = small.where("a < b").distinct()
+            pairs = cut(pairs)
+            now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+            if now == seen:
+                break
+            seen = now
     roots = pairs.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return roots.union(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

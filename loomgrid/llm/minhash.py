@@ -145,8 +145,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     firsts = linked.groupBy(*same).agg(F.min("doc_id").alias("node"))
     leaders = linked.join(firsts.withColumnRenamed("node", "doc_id"), [*same, "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands")
     banded = leaders.select("node", "n", F.explode("bands").alias("key")).distinct()
-    shared = banded.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
-    members = stored(banded.join(shared, "key"), "members")
+    shared = banded.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    met = banded.join(shared, "key")
+    # the nodes that meet most others are the likeliest to be similar to them
+    members = stored(met.join(met.groupBy("node").agg(F.sum("held").alias("degree")), "node").drop("held"), "members")
     involved = members.select(F.col("node").alias("doc_id")).distinct()
     sets = stored(full_sets(docs.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct(), words), "sets")
 
@@ -159,15 +161,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     labels = None
     state = members.withColumns({"component": F.col("node"), "tried": F.lit(False)})
     for turn in range(most_rounds):
-        # the next centres of each bucket, in a hashed order: one at first, then four times as many each round
-        order = F.struct(F.xxhash64("node", F.lit(0)).alias("order"), F.col("node"), F.col("n"), F.col("component"))
+        # the next centres of each bucket, by degree: one at first, then four times as many each round
+        order = F.struct((-F.col("degree")).alias("order"), F.col("node"), F.col("n"), F.col("component"))
         if turn < 2:
             centres = state.where("NOT tried").groupBy("key").agg(F.min(order).alias("c"))
         else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(0)), "node"))
+            place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
             centres = state.where("NOT tried").withColumn("place", place).where(F.col("place") <= 4 ** (turn - 1)).select("key", order.alias("c"))
         centres = cut(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("n_centre"), F.col("c.component").alias("centre_component")))
-        stars = state.join(centres.hint("merge"), "key").where((F.col("component") != F.col("centre_component")) & fits).select("node", "centre")
+        apart = (F.col("component") != F.col("centre_component")) & fits
+        if turn < 2:
+            stars = state.join(centres.hint("merge"), "key").where(apart).select("node", "centre")
+        else:  # two nodes that share several buckets meet in the first of them only
+            listed = leaders.select("node", "bands")
+            mine = state.join(listed.hint("merge"), "node")
+            theirs = centres.join(listed.select(F.col("node").alias("centre"), F.col("bands").alias("centre_bands")).hint("merge"), "centre")
+            first = F.get(F.array_intersect("bands", "centre_bands"), F.lit(0)) == F.col("key")
+            stars = mine.join(theirs.hint("merge"), "key").where(apart & first).select("node", "centre")
         if turn == 0:  # of all its centres, a node first tries the one that it meets most often
             stars = stars.groupBy("node", "centre").count().groupBy("node").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
         else:
@@ -177,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
             labels = merged(labels, found)
             state = state.drop("component").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         # what is left: buckets of several components, with two nodes at least that have not been centres
-        state = state.select("key", "node", "n", "component", "tried")
+        state = state.select("key", "node", "n", "degree", "component", "tried")
         mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("tried")).alias("left")).where("low < high AND left > 1").select("key")
         state = cut(state.join(mixed.hint("merge"), "key", "left_semi"))
         if state.isEmpty():
