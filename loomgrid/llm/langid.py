@@ -80,21 +80,24 @@ def mixture(words: np.ndarray, weight: np.ndarray, rounds: int = 8, penalty: flo
     """Proportions of the languages for words (log-likelihoods, one row each).
 
     EM, then backward elimination: languages go, the smallest proportion first, while that costs at most `penalty` of
-    log-likelihood.
+    log-likelihood. Those below a fiftieth go at once if that costs no more than one may.
     """
     like = np.exp(words - words.max(1, keepdims=True))
 
     def em(use: np.ndarray) -> tuple[np.ndarray, float]:
         p = use / use.sum()
-        for _ in range(rounds):
-            r = like * p
-            s = np.maximum(r.sum(1, keepdims=True), 1e-300)
-            p = (r / s * weight[:, None]).sum(0)
+        for _ in range(rounds if use.sum() > 1 else 0):
+            p = p * ((weight / np.maximum(like @ p, 1e-300)) @ like)
             p /= p.sum()
         return p, float((np.log(np.maximum(like @ p, 1e-300)) * weight).sum())
 
     use = np.ones(words.shape[1])
     p, best = em(use)
+    fewer = (p >= 0.02).astype(float)
+    if 0 < fewer.sum() < use.sum():
+        q, fit = em(fewer)
+        if best - fit <= penalty:
+            use, p, best = fewer, q, fit
     while use.sum() > 1:
         low = int(np.argmin(np.where(use > 0, p, 2)))
         fewer = use.copy()
