@@ -29,7 +29,9 @@ BASE = {
 }
 #: A cheap necessary condition of each pattern; texts without it are not searched.
 _GUARD = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
-_OCTETS = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])){3}$"
+#: A part may be zero or led by zeros: the digits after them may be none, as long as there is one at all.
+_OCTET = r"(?=[0-9])0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"
+_OCTETS = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 WIDE = {
     "email": r"(?:\G|(?<![^\s<>()\[\],;]))[^\s<>()\[\],;@]++@[^\s<>()\[\],;@]++",
     "spelled": r"(?i)\b[a-z0-9._%+-]{2,64}+\s?+[\[(]?(?:at|arroba)[\])]?\s?+[a-z0-9-]{2,63}+\s?+[\[(]?(?:dot|punto|punkt|point)[\])]?\s?+[a-z]{2,24}+\b",

@@ -304,6 +304,14 @@ def test_personal_data(spark):
     assert pii.find(docs(spark, []).limit(0)).count() == 0
 
 
+def test_addresses_with_zero_parts(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "000.1.1.1", "192.168.0.1", "1.2.3.0", "0.1.2.3", "0255.000.00.1", "0256.0.0.1", "0.0.0.300", "1000.0.0.0", "0.0.0"]
+    out = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.base] for r in pii.find(docs(spark, [(i, f"at {t} now") for i, t in enumerate(texts)])).collect()}
+    assert out == {i: brute_spans(f"at {t} now") for i, t in enumerate(texts)}
+    assert [len(out[i]) for i in range(len(texts))] == [1] * 7 + [0] * 4
+    assert pii.redact(docs(spark, [(1, "host 10.0.0.1 up")])).first().text == "host [IP] up"
+
+
 def test_redaction(spark):
     out = {r.doc_id: r.text for r in pii.redact(docs(spark, [(1, "mail a@b.co or +1 (988) 555-2485 now"), (2, "nothing"), (3, None)])).collect()}
     assert out == {1: "mail [EMAIL] or [PHONE] now", 2: "nothing", 3: ""}
