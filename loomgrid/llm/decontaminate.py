@@ -4,15 +4,15 @@
    (windows of `width` words); words in more than `max_df` of the passages say little and go.
 2. A randomised SVD of the TF-IDF passages gives the latent space: the product of the passages' Gram matrix with a random
    block is summed over the corpus term by term, and Nystroem's formula turns it into singular directions. The items are
-   passages of the same matrix; the directions they span are kept before those of the corpus, as they are what is sought.
-3. All overlapping passages with three of the terms are projected and compared with all items by cosine; those above
+   passages of the same matrix; all directions they span are kept before those of the corpus, as they are what is sought.
+3. All overlapping passages with two of the terms are projected and compared with all items by cosine; those above
    `cosine` are candidates.
 4. A candidate is confirmed on the words themselves: the longest common subsequence of the item and some stretch of the
    document half as long again must have `lcs` of the item, and that of its answer, the last quarter, `answer` of it. So
    insertions, omissions and changed words are found, not only copies.
 
-The corpus is read three times and never shuffled. The items are a stated query set, taken in blocks of at most
-`block_items`; what is broadcast is one block's terms, bounded by the block.
+The corpus is read three times a block and never shuffled. The items are a stated query set, taken in blocks of about
+`block_items`; what is broadcast is one block's terms and as many directions as it has items, bounded by the block.
 """
 
 from __future__ import annotations
@@ -121,8 +121,8 @@ def _spread(passage: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, matrix: np.ndarray, width: int, rank: int, item_rank: int) -> np.ndarray:
-    """Orthonormal directions in term space (terms x rank): those of the items first, then the corpus' leading ones."""
+def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, matrix: np.ndarray, width: int, rank: int) -> np.ndarray:
+    """Orthonormal directions in term space (terms x rank): all those of the items first, then the corpus' leading ones."""
     n_terms = len(items.terms)
     block = min(rank + 8, n_terms)
     omega = np.random.default_rng(5).standard_normal((n_terms, block)).astype(np.float32)
@@ -145,7 +145,8 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, matrix: np.ndar
     z = np.zeros((n_terms, block))
     for r in docs.select(F.col("text").cast("binary")).mapInArrow(product, "term long, y binary").groupBy("term").applyInArrow(add, "term long, y binary").toLocalIterator():
         z[r.term] = np.frombuffer(r.y, np.float32)
-    own = np.linalg.svd(matrix, full_matrices=False)[2][:item_rank].T
+    _, size, own = np.linalg.svd(matrix, full_matrices=False)
+    own = own[size > size.max(initial=0) * 1e-6].T
     core = omega.T.astype(np.float64) @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     good = values > max(1e-9, values.max(initial=0) * 1e-7)
@@ -172,9 +173,9 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
-def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank: int, max_df: float, cosine: float, lcs: float, answer: float) -> DataFrame:
-    """Add `leaks` for one block of items."""
-    df, n = frequencies(docs, items, width)
+def flag_block(docs: DataFrame, corpus: DataFrame, items: Items, width: int, rank: int, max_df: float, cosine: float, lcs: float, answer: float) -> DataFrame:
+    """Add `leaks` for one block of items to docs, which has the texts of corpus; the latent space is learned from corpus."""
+    df, n = frequencies(corpus, items, width)
     place = [np.searchsorted(items.terms, np.unique(w)) for w in items.words]
     telling = df <= max(2, max_df * n)
     for p in place:  # an item whose words are nearly all frequent keeps them
@@ -189,7 +190,7 @@ def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank:
         k, c = np.unique(w[np.isin(w, items.terms)], return_counts=True)
         matrix[i, np.searchsorted(items.terms, k)] = (1 + np.log(c)) * idf[np.searchsorted(items.terms, k)]
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    basis = latent_space(docs, items, idf, matrix, width, rank, item_rank)
+    basis = latent_space(corpus, items, idf, matrix, width, rank)
     wanted = matrix @ basis
     wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-12)
     sent = docs.sparkSession.sparkContext.broadcast((items, idf, basis, wanted))
@@ -205,17 +206,19 @@ def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank:
             leaks: list[list] = [[] for _ in range(len(at) - 1)]
             for lo, hi in slices(at):
                 hashes, first, row, place, passage, term, count = _passages(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], items, width, width // 2)
-                few = np.bincount(passage, minlength=len(row))[passage] >= 3 if len(passage) else np.zeros(0, bool)
+                few = np.bincount(passage, minlength=len(row))[passage] >= 2 if len(passage) else np.zeros(0, bool)
                 passage, term, count = passage[few], term[few], count[few]
                 if not len(passage):
                     continue
                 some, passage = np.unique(passage, return_inverse=True)
-                z = _spread(passage, basis[term] * _weights(passage, term, count, idf, len(some))[:, None], len(some))
-                z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                weights = _weights(passage, term, count, idf, len(some))
                 found: dict[tuple[int, int], float] = {}
                 seen: dict[tuple[int, int], list[int]] = {}
-                for a in range(0, len(some), 4096):
-                    close = z[a : a + 4096] @ wanted.T
+                for a in range(0, len(some), 512):  # so few passages at once that their terms' directions fit
+                    at0, at1 = np.searchsorted(passage, (a, a + 512))
+                    z = _spread(passage[at0:at1] - a, basis[term[at0:at1]] * weights[at0:at1, None], min(512, len(some) - a))
+                    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+                    close = z @ wanted.T
                     for p, i in zip(*np.nonzero(close >= cosine), strict=True):
                         k = (int(row[some[a + p]]), int(i))
                         found[k] = max(found.get(k, 0.0), float(close[p, i]))
@@ -226,7 +229,7 @@ def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank:
                     tried = set()
                     for p in seen[r, i]:
                         b0, b1 = max(first[r], first[r] + p - size), min(first[r + 1], first[r] + p + width + size)
-                        there = set(hashes[b0:b1].tolist())
+                        there = set(hashes[b0 : min(b1 + stretch - size, first[r + 1])].tolist())  # all that the stretches below hold
                         if sum(w in there for w in listed[i]) < lcs * size:
                             continue  # no common subsequence can be long enough
                         for b in range(int(b0), int(max(b0 + 1, b1 - size + 1)), step):
@@ -248,7 +251,7 @@ def flag_block(docs: DataFrame, items: Items, width: int, rank: int, item_rank:
     return frame.mapInArrow(search, f"{sizes + ', ' if kept else ''}leaks {LEAKS}")
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, width: int = 48, rank: int = 48, item_rank: int = 256, max_df: float = 0.002, cosine: float = 0.6, lcs: float = 0.7, answer: float = 0.5, block_items: int = 5000) -> DataFrame:
+def flag(docs: DataFrame, benchmark: DataFrame, width: int = 48, rank: int = 48, max_df: float = 0.02, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, block_items: int = 1000) -> DataFrame:
     """docs with `leaks`: an array of (item_id, cosine, lcs), empty where the text holds no item.
 
     Null and empty texts hold none. Items with null text or fewer than `3` words are no passages and are left out; equal
@@ -266,10 +269,10 @@ def flag(docs: DataFrame, benchmark: DataFrame, width: int = 48, rank: int = 48,
         if not use:
             part = (docs if out is None else out).withColumn("leaks", F.array().cast(LEAKS)) if out is None else out
         elif out is None:
-            part = flag_block(docs, items, width, rank, item_rank, max_df, cosine, lcs, answer)
+            part = flag_block(docs, docs, items, width, rank, max_df, cosine, lcs, answer)
         else:
             before = out.withColumnRenamed("leaks", "_before")
-            part = flag_block(before, items, width, rank, item_rank, max_df, cosine, lcs, answer)
+            part = flag_block(before, docs, items, width, rank, max_df, cosine, lcs, answer)
             part = part.withColumn("leaks", F.concat("_before", "leaks")).drop("_before")
         out = part
     return out

@@ -84,6 +84,25 @@ def test_leaks_and_clean_documents(spark):
         assert out.count() == len(texts) and "source" in out.columns
 
 
+def test_leaks_of_thousands_of_items(spark):
+    rnd, words = random.Random(12), vocabulary(12, 4000)
+    items = [(k, prose(rnd, words, rnd.randint(15, 40))) for k in range(2500)]
+    texts, want = [], set()
+    for i in range(240):  # short items in windows full of other items' words, a third of them with changed, lost and added words
+        k = i * 10
+        said = items[k][1].split()
+        if i % 3 == 0:
+            said[2], said[len(said) // 2] = "other", "word"
+            del said[5]
+            said.insert(8, "more")
+        texts.append((i, prose(rnd, words, rnd.randint(30, 120)) + " " + " ".join(said) + " " + prose(rnd, words, rnd.randint(30, 120))))
+        want.add((i, k))
+    texts += [(1000 + i, prose(rnd, words, 150)) for i in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.flag(docs(spark, texts), bench)
+    assert {(r.doc_id, x.item_id) for r in out.collect() for x in r.leaks} == want
+
+
 def test_common_subsequences():
     rnd = random.Random(1)
     for _ in range(50):
