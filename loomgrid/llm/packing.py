@@ -182,10 +182,11 @@ def _pack_groups(frame: DataFrame, size: int, level: int) -> DataFrame:
 def pack(cut: DataFrame, size: int = SEQUENCE, group_rows: int = 40_000, full_at: float = 0.995) -> DataFrame:
     """Add sequence_id and offset to stored pieces.
 
-    `cut` must be a stored frame, for its rows are numbered. `group_rows` bounds what one task packs. Bins filled below
-    `full_at` of a group are opened again for the next round, until one group holds all that is left.
+    `cut` must be a stored frame with a number `row` of each row, which goes: every use of the frame is a read of its own,
+    that may part the files in another way, so numbers made here would not be the same in all. `group_rows` bounds what one
+    task packs. Bins filled below `full_at` of a group are opened again for the next round, until one group holds all that
+    is left.
     """
-    cut = cut.withColumn("row", F.monotonically_increasing_id())
     whole = cut.where(F.col("length") >= size)
     rest = cut.where(F.col("length") < size).select("row", "length")
     n, done, level = rest.count(), None, 0
@@ -211,7 +212,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, size: int = SE
     Null texts are documents of one token. Equal or null doc_ids are separate documents. An empty table gives no rows.
     Columns other than doc_id and text are ignored.
     """
-    return pack(stored(pieces(docs, tokenizer, size), "pieces"), size)
+    return pack(stored(pieces(docs, tokenizer, size).withColumn("row", F.monotonically_increasing_id()), "pieces"), size)
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

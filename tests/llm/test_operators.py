@@ -209,6 +209,27 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []).limit(0)).count() == 0
 
 
+def test_packing_when_the_last_read_is_parted_anew(spark):
+    rnd, words = random.Random(15), vocabulary(15)
+    texts = [(i, prose(rnd, words, rnd.randint(0, 400))) for i in range(300)]
+    out = packing.pack_documents(docs(spark, texts).repartition(4))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2k")  # as when the number of cores has changed since the first round
+    try:
+        rows = out.collect()
+    finally:
+        spark.conf.set(key, before)
+    assert collections.Counter(r.doc_id for r in rows if r.piece == 0) == collections.Counter(range(300))
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for held in bins.values():
+        ends = [0, *(offset + n for offset, n in sorted(held))]
+        assert [offset for offset, _ in sorted(held)] == ends[:-1] and ends[-1] <= 1024
+
+
 def test_local_search_empties_bins():
     lengths = np.asarray([6, 6, 4, 4, 5, 5])
     bins = packing.local_search([[0, 2], [1, 3], [4], [5]], lengths, 10)
