@@ -50,7 +50,7 @@ STAGES = [
     ("personal_data", personal_data),
     ("packing", packed),
 ]
-#: Tokenising and the learned stages have no SQL form; tests compare the stages with brute force.
+#: Tokenising and the learned stages have no SQL form; a test compares run() on a planted table with the stages in plain Python.
 ORACLE_SQL = None
 
 
