@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrid.llm import decontaminate, langid, minhash, packing, pii
-from loomgrid.llm.common import stored
+from loomgrid.llm.common import picked, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and one row of each document; rows without a doc_id are alone and stay."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept.hint("merge"), "doc_id", "left_semi").withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    found = stored(minhash.near_duplicates(docs).where("doc_id IS NOT NULL"), "groups")
+    several = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    single = picked(docs.where("doc_id IS NOT NULL"), several.where("NOT kept OR n > 1").select("doc_id"), "left_anti")
+    # texts move only where a doc_id has several rows
+    repeated = picked(docs, several.where("kept AND n > 1").select("doc_id")).withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).drop("_h")
+    return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -130,28 +130,40 @@ def interpreted(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): columns node, component (the smallest node reached).
 
     Large-star and small-star steps alternate until nothing changes; every step is an aggregate and a join, and only a
-    count and a checksum reach the driver.
+    count and a checksum reach the driver. The steps end by themselves: each lowers a sum of node numbers or is the last.
     """
     with interpreted(edges.sparkSession):
-        pairs = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        pairs = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
         seen = None
-        for _ in range(most):
-            for _ in range(2):  # two steps of each kind before a look at what they changed
-                both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-                large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-                least = large.groupBy("b").agg(F.min("a").alias("m"))
-                small = large.join(least.hint("merge"), "b").select("m", "a", "b")
-                small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")).select("e.*")
-                pairs = small.where("a < b").distinct()
-            pairs = cut(pairs)
+        while True:
+            both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+            least = large.groupBy("b").agg(F.min("a").alias("m"))
+            small = large.join(least.hint("merge"), "b").select("m", "a", "b")
+            small = small.select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), "b"))).alias("e")).select("e.*")
+            pairs = stored(small.where("a < b").distinct(), "edges")
             now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
             if now == seen:
                 break
             seen = now
     roots = pairs.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return roots.union(pairs.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+#: Keys that are sent to every task at most: 16 MB of numbers.
+BROADCAST_KEYS = 2_000_000
+
+
+def picked(rows: DataFrame, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose key is among `keys` (one column), or with how="left_anti" those whose is not.
+
+    So the rows, which carry texts, are not shuffled as long as the keys are counted to be few; else both sides are.
+    """
+    keys = stored(keys, "keys")
+    few = keys.count() <= BROADCAST_KEYS
+    return rows.join(F.broadcast(keys) if few else keys.hint("merge"), keys.columns[0], how)

@@ -1,10 +1,17 @@
 """Near-duplicate groups: one-permutation hashing with optimal densification, banded buckets, star-shaped candidate edges.
 
-Equal shingle sets are collapsed first, so a group of copies is one node. A node's sketch is one permutation split into bins;
-an empty bin borrows from the first filled bin of its own fixed random order (optimal densification). Bands of bins are bucket
-keys. In a bucket each node is compared only with the bucket's centre: one edge a node, never all pairs. Every edge is
-confirmed on the full sets. A bucket whose nodes are then not in one component gets further centres, round by round, until
-every node that is outside its component has been compared; so the stars lose no link that a bucket holds.
+1. A set's sketch is one permutation split into bins; an empty bin borrows from the first filled bin of its own fixed random
+   order (optimal densification). Bands of bins are bucket keys. Equal sets are collapsed first, so a group of copies is one
+   node.
+2. Every bucket has a centre, the node that meets most others, and its nodes are candidates of that centre: one edge a node and
+   bucket, and few nodes have more than two or three distinct centres. Those edges carry the sets, once each, to stars: all
+   buckets with one centre. A star above `block` is dealt into blocks that each hold its centre.
+3. In a block each node is confirmed against the centre on the full sets. Only the nodes that are not similar to it, the
+   outliers, are compared with the others of their block, as one product of sparse rows. What leaves a block is a forest: fewer
+   edges than nodes.
+4. Outliers of a star of several blocks that are still outside its centre's component meet the blocks they have not seen, as a
+   query set against all rows in blocks. Any two nodes that share a bucket are in one star, so no link that a bucket holds is
+   lost, and nothing is capped; what grows with the square of anything is the work on one star's outliers alone.
 """
 
 from __future__ import annotations
@@ -13,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import LOWER, U64, components, cut, flat, mix, slices, stored, word_hashes
+from loomgrid.llm.common import LOWER, U64, components, flat, mix, picked, slices, stored, word_hashes
 
-BANDS, ROWS = 40, 6
+BANDS, ROWS = 48, 6
 _K1, _K2 = U64(0x9FB21C651E98DF25), U64(0xD1B54A32D192ED03)
 
 
@@ -100,105 +107,161 @@ def sketched(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node, shingles (sorted hashes) from node and the text's bytes."""
+    """node, digest and shingles (sorted 64-bit hashes, little-endian) from node and the text's bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = flat(batch.column(1))
             for lo, hi in slices(at, 1 << 20):
                 sets = shingle_sets(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], words)
-                ends = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).astype(np.int64)))], ["node", "shingles"])
+                with np.errstate(over="ignore"):
+                    digest = np.asarray([mix(s ^ _K1).sum(dtype=U64) for s in sets], U64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest.astype(np.int64)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "digest", "shingles"])
+
+    return docs.mapInArrow(run, "node long, digest long, shingles binary")
+
+
+def _shared(sets: list[np.ndarray], rows: np.ndarray, columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of the sets `rows` with all sets, by products of their rows over the shingles that two have."""
+    every = np.concatenate(sets)
+    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, which = every[order], which[order]
+    lead = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+    held = np.diff(np.append(lead, len(every)))
+    place = np.repeat(np.cumsum(held > 1) - 1, held)
+    often = np.repeat(held > 1, held)
+    which, place = which[often], place[often]
+    out = np.zeros((len(rows), len(sets)), np.float32)
+    for c in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        lo, hi = np.searchsorted(place, (c, c + columns))
+        part = np.zeros((len(sets), columns), np.float32)
+        part[which[lo:hi], place[lo:hi] - c] = 1
+        out += part[rows] @ part.T
+    return out.astype(np.int64)
 
-    return docs.mapInArrow(run, "node long, shingles array<long>")
 
+def star_links(nodes: np.ndarray, sets: list[np.ndarray], centre: int | None, percent: int, probes: np.ndarray | None = None, rows: int = 512) -> list[tuple[int, int]]:
+    """A forest of the links among some nodes: those of the centre (an index) first, then those of what it does not reach.
+
+    With `probes` (a mask) and no centre, links of the probes with all others.
+    """
+    size = np.asarray([len(s) for s in sets])
+    edges: list[tuple[int, int]] = []
+    label = np.arange(len(sets))
+
+    def like(both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (both > 0) & (100 * both >= percent * (a + b - both))
 
-def similar(a: Column, b: Column, percent: int) -> Column:
-    """100 * intersection >= percent * union, in whole numbers."""
-    both = F.size(F.array_intersect(a, b)).cast("long")
-    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
+    if centre is not None:
+        hub = sets[centre]
+        every = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(hub, every), len(hub) - 1)
+        both = np.add.reduceat((hub[at] == every).astype(np.int64), np.cumsum(size) - size)
+        near = like(both, size, size[centre])
+        near[centre] = True
+        label[near] = centre
+        edges += [(int(nodes[centre]), int(n)) for n in nodes[near] if n != nodes[centre]]
+        probes = ~near
+    out = np.flatnonzero(probes)
+    for k in range(0, len(out), rows):
+        mine = out[k : k + rows]
+        found = like(_shared(sets, mine), size[mine][:, None], size[None, :])
+        for i, row in zip(mine, found, strict=True):
+            there = np.flatnonzero(row)
+            for other in np.unique(label[there]):
+                if other != label[i]:
+                    j = there[label[there] == other][0]
+                    edges.append((int(nodes[i]), int(nodes[j])))
+                    label[label == other] = label[i]
+    return edges
 
 
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Labels (node, component) after further links (a, b): only the components that the links touch are worked on."""
-    if labels is None:
-        return components(links)
-    at = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"c{name}")).hint("merge")
-    tops = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    moved = components(tops)
-    old = labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("top")).hint("merge"), "component", "left")
-    new = moved.join(labels.hint("merge"), "node", "left_anti").select("node", "component")
-    return cut(old.select("node", F.coalesce("top", "component").alias("component")).unionByName(new))
+def _linked(blocks: DataFrame, percent: int, probing: bool) -> DataFrame:
+    """Links (a, b) in every block of (grp, centre, part, node, shingles, probe); a group holds some whole blocks."""
 
+    def run(table: pa.Table) -> pa.Table:
+        nodes, probe = table.column("node").to_numpy(), table.column("probe").to_numpy(zero_copy_only=False)
+        key = np.stack([table.column("centre").to_numpy(), table.column("part").to_numpy()])
+        order = np.lexsort((nodes, key[1], key[0]))
+        key = key[:, order]
+        turns = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(0)))) if len(order) else np.zeros(0, np.int64)
+        data, at = flat(table.column("shingles"))
+        data = np.ascontiguousarray(data[at[0] : at[-1]]).view("<u8") if len(order) else data
+        at = (at - at[0]) // 8
+        edges: list[tuple[int, int]] = []
+        for lo, hi in zip(turns, [*turns[1:], len(order)], strict=True):
+            rows = order[lo:hi]
+            here = nodes[rows]
+            hub = None if probing else int(np.flatnonzero(here == key[0, lo])[0])
+            edges += star_links(here, [data[at[r] : at[r + 1]] for r in rows], hub, percent, probe[rows] if probing else None)
+        pairs = np.asarray(edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs.min(1, initial=2**62), "b": pairs.max(1, initial=-(2**62))})
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, most_rounds: int = 40) -> DataFrame:
+    return blocks.groupBy("grp").applyInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 1 << 21) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Words are lower-cased (A-Z) runs of non-space bytes. A text with no word (null, empty, blank) has the empty set and is
-    alone. Rows with equal sets are one node; component_id is the smallest doc_id of the component, so repeated rows and equal
-    texts fall together. A row with a null doc_id is alone: component null, kept. Other columns are ignored.
+    alone. Rows with equal sets are one node, and so are rows of one doc_id, whatever their texts; component_id is the smallest
+    doc_id of the component. A row with a null doc_id is alone: component null, kept. Other columns are ignored.
+
+    `block` bounds what one task compares: shingles, and five hundred more for each set.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     every = stored(sketched(docs, words, bands, rows), "sketches")
     linked = every.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["set_a", "set_b", "n_shingles"]
-    firsts = linked.groupBy(*same).agg(F.min("doc_id").alias("node"))
-    leaders = linked.join(firsts.withColumnRenamed("node", "doc_id"), [*same, "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands")
-    banded = leaders.select("node", "n", F.explode("bands").alias("key")).distinct()
+    leaders = linked.groupBy(*same).agg(F.min("doc_id").alias("node"), F.min_by("bands", "doc_id").alias("bands"))
+    banded = leaders.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    met = banded.join(shared, "key")
+    members = stored(banded.join(shared, "key"), "members")
     # the nodes that meet most others are the likeliest to be similar to them
-    members = stored(met.join(met.groupBy("node").agg(F.sum("held").alias("degree")), "node").drop("held"), "members")
-    involved = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(full_sets(docs.join(involved, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").distinct(), words), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        # the largest possible share is that of the smaller set in the larger
-        a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        return pairs.join(b.hint("merge"), "b").join(a.hint("merge"), "a").where(similar(F.col("sa"), F.col("sb"), percent)).select("a", "b").distinct()
-
-    fits = 100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre")
-    labels = None
-    state = members.withColumns({"component": F.col("node"), "tried": F.lit(False)})
-    for turn in range(most_rounds):
-        # the next centres of each bucket, by degree: one at first, then four times as many each round
-        order = F.struct((-F.col("degree")).alias("order"), F.col("node"), F.col("n"), F.col("component"))
-        if turn < 2:
-            centres = state.where("NOT tried").groupBy("key").agg(F.min(order).alias("c"))
-        else:
-            place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))
-            centres = state.where("NOT tried").withColumn("place", place).where(F.col("place") <= 4 ** (turn - 1)).select("key", order.alias("c"))
-        centres = cut(centres.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("n_centre"), F.col("c.component").alias("centre_component")))
-        apart = (F.col("component") != F.col("centre_component")) & fits
-        if turn < 2:
-            stars = state.join(centres.hint("merge"), "key").where(apart).select("node", "centre")
-        else:  # two nodes that share several buckets meet in the first of them only
-            listed = leaders.select("node", "bands")
-            mine = state.join(listed.hint("merge"), "node")
-            theirs = centres.join(listed.select(F.col("node").alias("centre"), F.col("bands").alias("centre_bands")).hint("merge"), "centre")
-            first = F.get(F.array_intersect("bands", "centre_bands"), F.lit(0)) == F.col("key")
-            stars = mine.join(theirs.hint("merge"), "key").where(apart & first).select("node", "centre")
-        if turn == 0:  # of all its centres, a node first tries the one that it meets most often
-            stars = stars.groupBy("node", "centre").count().groupBy("node").agg(F.max_by("centre", F.struct("count", "centre")).alias("centre"))
-        else:
-            state = state.join(centres.select("key", F.col("centre").alias("node"), F.lit(True).alias("now")).hint("merge"), ["key", "node"], "left").withColumn("tried", F.col("tried") | F.coalesce("now", F.lit(False))).drop("now")
-        found = cut(confirmed(stars.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()))
-        if not found.isEmpty():
-            labels = merged(labels, found)
-            state = state.drop("component").join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # what is left: buckets of several components, with two nodes at least that have not been centres
-        state = state.select("key", "node", "n", "degree", "component", "tried")
-        mixed = state.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count_if(~F.col("tried")).alias("left")).where("low < high AND left > 1").select("key")
-        state = cut(state.join(mixed.hint("merge"), "key", "left_semi"))
-        if state.isEmpty():
-            break
-    labelled = firsts.join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("root")) if labels is not None else firsts.withColumnRenamed("node", "root")
+    degrees = members.groupBy("node").agg(F.sum("held").alias("degree"))
+    ranked = members.join(degrees, "node")
+    hubs = ranked.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("centre"))
+    edges = stored(ranked.join(hubs, "key").groupBy("node", "centre").agg(F.max("n").alias("n")), "stars")
+    weight = F.col("n") + 500
+    stars = edges.groupBy("centre").agg(F.sum(weight).alias("weight")).withColumn("parts", F.ceil(F.col("weight") / block).cast("int"))
+    total = stars.agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("w"), F.max("parts").alias("parts")).first()
+    n_groups = max(1, -(-total.w // block))
+    several = stored(stars.where("parts > 1").select("centre", "parts"), "several")
+    sets = full_sets(picked(docs, edges.select(F.col("node").alias("doc_id")).distinct()).select(F.col("doc_id").alias("node"), "text"), words)
+    sets = stored(sets.repartition("node").dropDuplicates(["node", "digest"]).drop("digest"), "sets")
+
+    hub_parts = F.when(F.col("node") == F.col("centre"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    dealt = edges.join(several, "centre", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    group = F.pmod(F.xxhash64("centre", "part"), F.lit(n_groups))
+    placed = dealt.select("node", "centre", F.explode(hub_parts).alias("part"), F.lit(False).alias("probe"))
+    links = stored(_linked(placed.join(sets, "node").withColumn("grp", group), percent, False), "links")
+    # rows of one doc_id that have several sets
+    named = linked.select("doc_id", *same).distinct().join(leaders.select(*same, "node"), same).select("doc_id", "node")
+    twins = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count("*").alias("c")).where("a < z")
+    twins = named.join(twins.select("doc_id", "a"), "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    links = links.unionByName(twins).unionByName(linked.where(F.lit(False)).select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+    labels = components(links)
+    if (total.parts or 0) > 1:  # stars of several blocks: their outliers against the blocks that they have not met
+        mine = labels.select("node", "component")
+        hub = labels.select(F.col("node").alias("centre"), F.col("component").alias("hub"))
+        wide = edges.join(several, "centre").where("node <> centre").join(mine, "node", "left").join(hub, "centre", "left")
+        lost = wide.where(F.coalesce("component", "node") != F.coalesce("hub", "centre")).select("node", "centre", "n", "parts")
+        lost = stored(lost, "outliers")
+        shares = lost.groupBy("centre").agg(F.ceil(F.sum(weight) / block).cast("int").alias("shares"))
+        queries = lost.join(shares, "centre").withColumn("share", F.pmod(F.xxhash64("node", F.lit(1)), F.col("shares")).cast("int"))
+        queries = queries.select("node", "centre", "share", F.explode(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.pmod(F.xxhash64("node"), F.col("parts")))).alias("p"), F.lit(True).alias("probe"))
+        hosts = edges.join(several, "centre").join(shares, "centre").select("node", "centre", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("p"), F.lit(False).alias("probe"))
+        blocks = queries.unionByName(hosts).select("node", "centre", (F.col("share").cast("long") * (1 << 24) + F.col("p")).alias("part"), "probe")
+        more = stored(_linked(blocks.join(sets, "node").withColumn("grp", F.xxhash64("centre", "part")), percent, True), "more_links")
+        labels = components(links.unionByName(more))
+    labelled = leaders.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("root"))
     return (
-        every.join(labelled, same, "left")
+        every.drop("bands").join(labelled, same, "left")
         .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("root")).otherwise(F.col("doc_id")))
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    )
+    )
 
 
 def op7_minhash(spark, sf_dir: str) -> DataFrame:

@@ -301,6 +301,29 @@ def test_near_duplicates(spark, words):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_near_duplicates_in_blocks(spark):
+    rnd, vocab = random.Random(17), vocabulary(17, 2000)
+    base = prose(rnd, vocab, 60).split()
+    texts = []
+    for k in range(150):  # one star, most of it too far from its centre
+        copy = list(base)
+        for _ in range(rnd.randint(2, 7)):
+            copy[rnd.randrange(60)] = rnd.choice(vocab)
+        texts.append((k, " ".join(copy)))
+    texts += [(1000, prose(rnd, vocab, 9000)), (1001, None)]
+    texts.append((1002, texts[150][1] + " tail"))
+    out = minhash.near_duplicates(docs(spark, texts), words=2, block=12_000).collect()
+    want = brute_components(texts, 2, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want and len({c for _, c in want.values()}) > 5
+
+
+def test_rows_of_one_document_are_one_node(spark):
+    rnd, vocab = random.Random(18), vocabulary(18)
+    a, b, c = (prose(rnd, vocab, 30) for _ in range(3))
+    out = minhash.near_duplicates(docs(spark, [(5, a), (5, b), (3, a), (9, b), (7, c), (7, ""), (8, c + " more")]), words=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == [(3, 29, 3), (5, 29, 3), (5, 29, 3), (7, 0, 7), (7, 29, 7), (8, 30, 7), (9, 29, 3)]
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert minhash.near_duplicates(docs(spark, []).limit(0)).count() == 0
     out = minhash.near_duplicates(docs(spark, [(1, "x y z"), (1, "x y z"), (None, "x y z"), (2, None)]), words=2).collect()
