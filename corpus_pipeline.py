@@ -14,10 +14,14 @@ from loomgrid.llm.common import picked, stored
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter go, and those where no language has a third of the words."""
+    """Documents with a language: those without a letter go, and those where no language has a third of the words.
+
+    A null lang becomes the language that was found.
+    """
     langs, table = langid.train(docs.where(~langid.held_out()))
     found = langid.predict(docs, langs, table)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 1 / 3)).select(*docs.columns)
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 1 / 3))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

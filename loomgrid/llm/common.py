@@ -81,7 +81,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
-def slices(at: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def slices(at: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of whole rows that hold about `most` bytes each, one row at least."""
     lo, n = 0, len(at) - 1
     while lo < n:
