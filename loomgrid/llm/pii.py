@@ -1,11 +1,16 @@
 """Personal data by gradient-boosted candidates, in DataFrame functions only.
 
 Base patterns find e-mail addresses, IPv4 addresses, card and phone numbers; what passes their checks always stays. High-recall
-generators propose further, overlapping spans: anything around an at sign, any run of digits and separators, and addresses
-spelled out with "at" and "dot". Each candidate gets yes-or-no features of its format and of the text around it. Boosted trees of
-depth two are fitted on the counts by feature pattern (at most 2**features rows, whatever the corpus): a candidate is
-positive if a base match covers it. Held-out patterns calibrate, for each kind, the lowest score whose precision reaches
-`precision`; candidates at or above it that overlap no base span become spans of their own kind.
+generators propose further, overlapping spans: anything around an at sign, addresses spelled out with "at" and "dot", any run
+of digits and separators, long mixed runs of letters and digits (keys and tokens), international account numbers and IPv6
+addresses. Each candidate gets yes-or-no features of its format and of the text around it.
+
+Labels are weak and don't come from the base patterns: a candidate is positive if its format check holds (a checksum, a mix of
+letters and digits, the shape of an address) and the text before it names such data or assigns it; it is negative if its
+format check fails; all others are unlabelled. Boosted trees of depth two are fitted on the counts by feature pattern (at
+most 2**features rows, whatever the corpus). Held-out labelled candidates calibrate the lowest score whose precision reaches
+`precision`, for each generator, and for all together where a generator has too few; candidates at or above it that
+overlap no base span become spans of their own kind, so the trees decide on the unlabelled ones.
 
 The patterns are written so that Java's matcher neither backtracks over long runs nor recurses: runs are possessive, and a
 repeated group is one character behind a lookahead.
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import cut
+from loomgrid.llm.common import cut, stored
 from loomgrid.llm.native import indices, let, spans
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -35,9 +40,13 @@ _OCTETS = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 WIDE = {
     "email": r"(?:\G|(?<![^\s<>()\[\],;]))[^\s<>()\[\],;@]++@[^\s<>()\[\],;@]++",
     "spelled": r"(?i)\b[a-z0-9._%+-]{2,64}+\s?+[\[(]?(?:at|arroba)[\])]?\s?+[a-z0-9-]{2,63}+\s?+[\[(]?(?:dot|punto|punkt|point)[\])]?\s?+[a-z]{2,24}+\b",
-    "number": r"(?<![0-9])\+?[0-9](?:(?![ ().-]{3})(?![ ().-]+(?![0-9 ().-]))[0-9 ().-]){5,}+",
+    "number": r"(?<![0-9A-Za-z])\+?[0-9](?:(?![ ().-]{3})(?![ ().-]+(?![0-9 ().-]))[0-9 ().-]){5,}+(?![A-Za-z])",
+    "token": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,64}[0-9])(?=[0-9_]{0,64}[A-Za-z])[A-Za-z0-9_]{16,}+",
+    "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?! (?![A-Z0-9]{2}))[A-Z0-9 ]){11,}+",
+    "ipv6": r"(?i)(?<![0-9a-z:])[0-9a-f]{1,4}:(?=[0-9a-f:]{0,34}:)[0-9a-f:]{3,}+(?![0-9a-z])",
 }
-_WIDE_GUARD = {"email": r"@", "spelled": r"(?i)(?:dot|punto|punkt|point)", "number": r"[0-9][0-9 ().-]{4}"}
+#: Cheap necessary conditions of the generators.
+_WIDE_GUARD = {"email": r"@", "spelled": r"(?i)(?:dot|punto|punkt|point)", "number": r"[0-9][0-9 ().-]{4}", "token": r"[0-9][A-Za-z_]|[A-Za-z_][0-9]", "account": r"[A-Z]{2}[0-9]{2}", "ipv6": r":[0-9a-fA-F]{0,4}:"}
 CONTEXT = 24
 
 
@@ -81,39 +90,70 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumn("base", F.concat(*per_kind))
 
 
-N_FEATURES = 11
+def mod97(account: Column) -> Column:
+    """True where an account number (its letters and digits) leaves 1 modulo 97 with its first four characters put last."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+
+    def step(acc: Column, i: Column) -> Column:
+        c = F.ascii(F.substring(turned, i + 1, F.lit(1)))
+        return F.when(c >= 65, (acc * 100 + c - 55) % 97).otherwise((acc * 10 + c - 48) % 97)
+
+    return F.aggregate(indices(F.length(turned)), F.lit(0), step) == 1
+
+
+#: Words that announce personal data or secrets, at the end of the text before a candidate.
+_NAMES = r"(?:tel|phone|call|fax|mobil|card|kart|tarjeta|carte|mail|correo|ip|contact|address|ssn|social|tax|passport|iban|account|konto|cuenta|compte|token|key|secret|passw|pwd|auth|bearer|credential|hash|session|cookie)"
+N_FEATURES = 14
 
 
-def _pattern(hit: Column, before: Column, after: Column) -> Column:
-    """The features of a candidate, a bit each."""
+def _features(hit: Column, before: Column, after: Column) -> list[Column]:
     d = _digits(hit)
     n = F.length(d)
-    flags = [
-        hit.contains("@"), hit.rlike(r"(?i)[a-z0-9]\.[a-z]{2,24}$"), hit.startswith("+"), hit.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), n.between(8, 15), n.between(13, 19),
+    plain = F.regexp_replace(hit, "[^A-Z0-9]", "")
+    return [
+        hit.contains("@"), hit.rlike(r"(?i)[a-z0-9]\.[a-z]{2,24}$"), hit.startswith("+"), hit.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), n.between(8, 15), n.between(13, 19),
         n.between(12, 24) & luhn(F.when(n <= 24, d).otherwise("1")), hit.rlike(r"[()]"), hit.rlike(r"[0-9][ -][0-9]"),
-        before.rlike(r"(?:tel|phone|call|fax|mobil|card|kart|tarjeta|carte|mail|correo|ip|contact)\W{0,4}\w{0,8}\W{0,3}$"),
-        before.rlike(r"[\p{L}0-9=_/]$") | after.rlike(r"[\p{L}0-9=_/]"),
+        before.rlike(_NAMES + r"\W{0,4}\w{0,8}\W{0,4}$"), before.rlike(r"[=:]\s?[\"']?$"),
+        hit.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), hit.rlike(r"[0-9][^0-9]{0,8}[0-9][^0-9]{0,8}[0-9]"),
+        F.length(plain).between(15, 34) & mod97(F.when(F.length(plain) <= 34, plain).otherwise("1")),
     ]
-    return sum((F.coalesce(v.cast("int"), F.lit(0)) * (1 << k) for k, v in enumerate(flags)), F.lit(0))
+
+
+def _sound(source: str, hit: Column) -> Column:
+    """The format check of a generator, on whatever text: the half of a label that the span itself gives."""
+    d = _digits(hit)
+    n = F.length(d)
+    plain = F.regexp_replace(hit, "[^A-Z0-9]", "")
+    return {
+        "email": hit.rlike(r"(?i)^[^@]+@[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}$"),
+        "spelled": hit.rlike(r"(?i)(?:com|org|net|edu|gov|info|io|eu|de|fr|es|uk|at|ch)$"),
+        "number": hit.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | (n.between(13, 19) & luhn(F.when(n <= 24, d).otherwise("1"))) | (n.between(9, 13) & hit.rlike(r"^\+|^0|^\(")),
+        "token": F.length(F.regexp_replace(hit, "[^0-9]", "")).between(4, 1000) & (F.length(hit) >= 20),
+        "account": F.length(plain).between(15, 34) & mod97(F.when(F.length(plain) <= 34, plain).otherwise("1")),
+        "ipv6": hit.rlike(r"(?i)^(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$|^(?=(?:[0-9a-f]{0,4}:){2,7}[0-9a-f]{0,4}$)[0-9a-f:]*::[0-9a-f:]*$"),
+    }[source]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """Add candidates to documents with text and base: array of (source, start, stop, covered, pattern), one for each proposed span."""
+    """Add candidates to documents with text and base: array of (source, start, stop, covered, sound, pattern), one for each proposed span."""
     text = F.col("text")
 
     def proposed(kind: str) -> Column:
-        return F.transform(
-            _found(text, WIDE[kind], _WIDE_GUARD[kind]),
-            lambda s: F.struct(
-                F.lit(kind).alias("source"), s["start"].alias("start"), s["stop"].alias("stop"),
-                F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])).alias("covered"),
-                _pattern(s["hit"], F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(s["start"], F.lit(CONTEXT)))), F.substring(text, s["stop"] + 1, F.lit(1))).alias("pattern"),
-            ),
-        )
+        def one(s: Column) -> Column:
+            before = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] + 1 - CONTEXT), F.least(s["start"], F.lit(CONTEXT))))
+            flags = _features(s["hit"], before, F.substring(text, s["stop"] + 1, F.lit(1)))
+            pattern = sum((F.coalesce(v.cast("int"), F.lit(0)) * (1 << k) for k, v in enumerate(flags)), F.lit(0))
+            covered = F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
+            return F.struct(F.lit(kind).alias("source"), s["start"].alias("start"), s["stop"].alias("stop"), covered.alias("covered"), _sound(kind, s["hit"]).alias("sound"), pattern.alias("pattern"))
+
+        return F.transform(_found(text, WIDE[kind], _WIDE_GUARD[kind]), one)
 
     return docs.withColumn("candidates", F.concat(*[proposed(k) for k in WIDE]))
 
 
+_NAMED, _ASSIGNED = 9, 10  # the features that say what the text before calls a candidate
+
+
 def _bit(pattern: Column, k: int) -> Column:
     return pattern.bitwiseAND(1 << k) > 0
 
@@ -151,12 +191,19 @@ def boost(patterns: DataFrame, rounds: int = 6, rate: float = 0.5) -> list[Tree]
     return trees
 
 
-def thresholds(held: DataFrame, trees: list[Tree], precision: float) -> dict[str, float]:
-    """For each source the lowest score from which upwards the held-out candidates reach the precision."""
-    ranked = held.withColumn("score", score(trees, F.col("pattern"))).groupBy("source", "score").agg(F.sum(F.col("y") * F.col("n")).alias("hits"), F.sum("n").alias("all"))
+def thresholds(held: DataFrame, trees: list[Tree], precision: float, enough: int = 20) -> dict[str, float]:
+    """For each source the lowest score from which upwards the held-out candidates reach the precision.
+
+    A source with fewer than `enough` labelled ones takes the threshold of all sources together.
+    """
+    ranked = held.withColumn("score", score(trees, F.col("pattern")))
+    ranked = ranked.unionByName(ranked.withColumn("source", F.lit(""))).groupBy("source", "score").agg(F.sum(F.col("y") * F.col("n")).alias("hits"), F.sum("n").alias("all"))
     above = Window.partitionBy("source").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)  # at most 2**features rows a source
-    reached = ranked.withColumn("p", F.sum("hits").over(above) / F.sum("all").over(above)).where(F.col("p") >= precision)
-    return {r.source: r.least for r in reached.groupBy("source").agg(F.min("score").alias("least")).collect()}
+    reached = ranked.withColumn("p", F.sum("hits").over(above) / F.sum("all").over(above)).withColumn("ok", F.col("p") >= precision)
+    rows = reached.groupBy("source").agg(F.min(F.when(F.col("ok"), F.col("score"))).alias("least"), F.sum("all").alias("n")).collect()  # a row for each source
+    own = {r.source: r.least for r in rows if r.n >= enough or not r.source}
+    shared = own.pop("", None)
+    return {k: v for k, v in {kind: own.get(kind, shared) for kind in WIDE}.items() if v is not None}
 
 
 def find(docs: DataFrame, precision: float = 0.95) -> DataFrame:
@@ -165,10 +212,25 @@ def find(docs: DataFrame, precision: float = 0.95) -> DataFrame:
     A null text has no spans. Repeated rows are each searched. Texts are searched whole. An empty table gives no rows. Other
     columns pass through, except those named base, candidates and added, which are replaced.
     """
+    return _decided(candidates(base_spans(docs.drop("base", "candidates", "added").withColumn("text", F.coalesce("text", F.lit(""))))), precision)
+
+
+def find_spans(docs: DataFrame, precision: float = 0.95) -> DataFrame:
+    """find() without the texts: they are searched once, and what was found is stored for the trees and for the result."""
     proposed = candidates(base_spans(docs.drop("base", "candidates", "added").withColumn("text", F.coalesce("text", F.lit("")))))
-    fold = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    return _decided(stored(proposed.withColumn("held", _fold()).drop("text"), "candidates"), precision).drop("held")
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+
+
+def _decided(proposed: DataFrame, precision: float) -> DataFrame:
+    fold = F.col("held") if "held" in proposed.columns else _fold()
     each = proposed.select(fold.alias("held"), F.explode("candidates").alias("c"))
-    counts = cut(each.groupBy("held", "c.source", "c.pattern", F.col("c.covered").cast("double").alias("y")).agg(F.count("*").cast("double").alias("n")))
+    told = _bit(F.col("c.pattern"), _NAMED) | _bit(F.col("c.pattern"), _ASSIGNED)
+    label = F.when(~F.col("c.sound"), 0.0).when(told, 1.0)
+    counts = cut(each.select("held", "c.source", "c.pattern", label.alias("y")).where("y IS NOT NULL").groupBy("held", "source", "pattern", "y").agg(F.count("*").cast("double").alias("n")))
     trees = boost(counts.where("NOT held"))
     least = thresholds(counts.where("held"), trees, precision)
 
@@ -176,7 +238,7 @@ def find(docs: DataFrame, precision: float = 0.95) -> DataFrame:
         good = F.lit(False)
         for source, from_score in least.items():
             good = good | ((c["source"] == source) & (score(trees, c["pattern"]) >= from_score))
-        return ~c["covered"] & good
+        return ~c["covered"] & c["sound"] & good
 
     none = F.array().cast("array<struct<kind:string,start:int,stop:int>>")
 
@@ -212,7 +274,7 @@ def redact(docs: DataFrame, precision: float = 0.95) -> DataFrame:
 
 
 def op8_pii(spark, sf_dir: str) -> DataFrame:
-    found = find(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     names = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform("base", lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string")))
     more = F.transform(F.sort_array("added"), lambda s: F.concat(F.lit("likely_"), s["kind"], F.lit(":"), s["start"].cast("string"), F.lit(":"), s["stop"].cast("string")))
@@ -221,4 +283,5 @@ def op8_pii(spark, sf_dir: str) -> DataFrame:
         return F.size(F.filter("base", lambda s: s["kind"] == n)).cast("long").alias(f"n_{KINDS[n]}")
 
     counts = [count(n) for n in range(len(KINDS))]
-    return found.select("doc_id", *counts, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
+    total = (F.size("base") + F.size("added")).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.size("added").cast("long").alias("n_added"), total, F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(F.concat(base, more), ",").alias("spans"))
