@@ -103,59 +103,99 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, window: int = 48, patience: int = 40) -> list[list[int]]:
-    """Empty bins by exchanges that raise the sum of squared fills.
+def fewest(lengths: np.ndarray, size: int) -> int:
+    """A lower bound of the bins that items need: items that fill more than half a bin each need one, and so does all volume.
 
-    Only underfull bins take part. The emptiest is the donor; against the fullest `window` others it tries to move an
-    item, to swap one item for a shorter one, and to swap one item for two that are shorter together. Each accepted exchange
-    makes the fuller bin fuller, so the sum of squares grows and the search ends; so it does after `patience` donors in a
-    row that could give nothing.
+    For every limit up to half a bin: items above size - limit are alone, those above half a bin have a bin each, and what
+    items of limit and more don't find room for beside them needs bins of its own.
     """
-    failures = 0
-    fill = [int(lengths[b].sum()) for b in bins]
-    under = sorted((k for k in range(len(bins)) if fill[k] < size), key=lambda k: fill[k])
-    while len(under) > 1 and failures < patience:
-        if sum(size - fill[k] for k in under) < size:
-            break  # even perfect exchanges can't empty a bin
-        donor, progress = under[0], False
-        for k in reversed(under[max(1, len(under) - window) :]):
-            gap = size - fill[k]
-            if not gap or not bins[donor]:
-                continue
-            give = sorted(bins[donor], key=lambda i: -lengths[i])
-            mine = sorted(bins[k], key=lambda i: -lengths[i])
-            best = max(((int(lengths[i]), [i], []) for i in give if lengths[i] <= gap), default=(0, [], []))
-            for i in give:
-                for j in mine:
-                    gain = int(lengths[i] - lengths[j])
-                    if best[0] < gain <= gap:
-                        best = (gain, [i], [j])
-            sums = sorted((int(lengths[a] + lengths[b]), a, b) for n, a in enumerate(mine) for b in mine[n + 1 :])
-            for i in give:  # one for two, and two for one below
-                for total, a, b in sums:
-                    gain = int(lengths[i]) - total
-                    if best[0] < gain <= gap:
-                        best = (gain, [i], [a, b])
-            for n, a in enumerate(give):
-                for b in give[n + 1 :]:
-                    for j in mine:
-                        gain = int(lengths[a] + lengths[b] - lengths[j])
-                        if best[0] < gain <= gap:
-                            best = (gain, [a, b], [j])
-            gain, out, back = best
-            if gain and (not back or fill[k] + gain > fill[donor]):
-                bins[donor] = [x for x in bins[donor] if x not in out] + back
-                bins[k] = [x for x in bins[k] if x not in back] + out
-                fill[donor] -= gain
-                fill[k] += gain
-                progress = True
+    count = np.bincount(lengths, minlength=size + 1).astype(np.int64)
+    volume = count * np.arange(size + 1)
+    n, v = np.concatenate(([0], np.cumsum(count))), np.concatenate(([0], np.cumsum(volume)))
+    half = size // 2
+    large = n[size + 1] - n[half + 1]
+    best = -(-int(v[size + 1]) // size)
+    for limit in range(1, half + 1):
+        beside = n[size - limit + 1] - n[half + 1]
+        room = beside * size - (v[size - limit + 1] - v[half + 1])
+        rest = v[half + 1] - v[limit]
+        best = max(best, int(large + max(0, -(-(rest - room) // size))))
+    return best
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, block: int = 256) -> list[list[int]]:
+    """Empty bins by exchanges, in blocks of `block` underfull bins of all fills, so that the work grows with the bins."""
+    if len(bins) <= fewest(lengths, size):
+        return bins
+    fill = np.asarray([lengths[b].sum() for b in bins])
+    under = [k for k in np.argsort(fill, kind="stable").tolist() if fill[k] < size]
+    n = max(1, -(-len(under) // block))
+    out = [b for k, b in enumerate(bins) if fill[k] >= size]
+    for i in range(n):
+        out += _search([bins[k] for k in under[i::n]], lengths, size)
+    return out
+
+
+def _search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
+    """Exchange items until as few bins are left as there can be or no exchange raises the sum of squared fills.
+
+    Only underfull bins take part. The emptiest is the donor; against all others at once it tries to move an item, to swap one
+    for a shorter one, one for two that are shorter together, and two for one; the exchange that fills a bin furthest is
+    made. Each makes the fuller of two bins fuller, so the sum of squares grows and the search ends.
+    """
+    spare = len(bins) - fewest(lengths[np.concatenate([np.asarray(b) for b in bins])], size) if bins else 0
+    if spare <= 0:
+        return bins
+    bins = [list(b) for b in bins]
+    width = max(map(len, bins)) + 2
+    held = np.zeros((len(bins), width), np.int64)  # lengths in a bin, zeros behind them
+    for k, b in enumerate(bins):
+        held[k, : len(b)] = lengths[b]
+    fill = held.sum(1)
+    left, right = np.triu_indices(width, 1)
+    waiting = [k for k in np.argsort(fill, kind="stable").tolist() if fill[k] < size]
+    while spare and waiting:
+        donor = waiting[0]
+        under = np.flatnonzero((fill < size) & (fill > 0))
+        under = under[under != donor]
+        gap, there = (size - fill[under])[:, None], held[under]
+        pairs = there[:, left] + there[:, right]
+        pairs[(there[:, left] == 0) | (there[:, right] == 0)] = 0
+        mine = [i for i in range(len(bins[donor]))]
+        offers = [((i,), int(held[donor, i])) for i in mine] + [((i, j), int(held[donor, i] + held[donor, j])) for i in mine for j in mine if i < j]
+        best = (0, 0, (), ())
+        for give, total in offers:
+            back = [(there, lambda c: (c,) if c >= 0 else ())]
+            if len(give) == 1:
+                back.append((pairs, lambda c: (int(left[c]), int(right[c]))))
+            for values, items in back:
+                gain = total - values
+                gain[(gain <= 0) | (gain > gap)] = 0
+                if len(give) == 1 and values is pairs:
+                    gain[pairs == 0] = 0
+                gain[fill[under][:, None] + gain <= fill[donor]] = 0  # the receiver must get fuller than the donor was
+                if gain.size and gain.max() > best[0]:
+                    r, c = np.unravel_index(int(gain.argmax()), gain.shape)
+                    best = (int(gain[r, c]), int(under[r]), give, items(c) if values[r, c] else ())
+        gain, k, give, take = best
+        if not gain:
+            waiting.pop(0)
+            continue
+        out, into = [bins[donor][i] for i in give], [bins[k][i] for i in take]
+        bins[donor] = [x for i, x in enumerate(bins[donor]) if i not in give] + into
+        bins[k] = [x for i, x in enumerate(bins[k]) if i not in take] + out
+        need = max(len(bins[donor]), len(bins[k]))
+        if need > width - 2:
+            held = np.pad(held, ((0, 0), (0, 4)))
+            width += 4
+            left, right = np.triu_indices(width, 1)
+        for x in (donor, k):
+            held[x] = 0
+            held[x, : len(bins[x])] = lengths[bins[x]]
+            fill[x] = held[x].sum()
         if not bins[donor]:
-            under, failures = [k for k in under[1:] if fill[k] < size], 0
-        elif not progress:
-            under, failures = under[1:], failures + 1
-        else:
-            under = [k for k in under if fill[k] < size]
-        under.sort(key=lambda k: fill[k])
+            spare -= 1
+        waiting = [x for x in np.argsort(fill, kind="stable").tolist() if 0 < fill[x] < size]
     return [b for b in bins if b]
 
 
