@@ -85,7 +85,8 @@ def rules() -> dict[str, Column]:
         "capitals": _vote(c("n_upper") * 10 <= c("word_chars"), c("n_upper") * 3 > c("word_chars")),
         "shouts": _vote(c("n_shouts") * 20 <= some, c("n_shouts") * 5 > some),
         "digits": _vote(c("n_digits") * 10 <= c("word_chars"), c("n_digits") * 3 > c("word_chars")),
-        "variety": _vote(c("n_distinct") * 5 >= some, (c("n_distinct") * 12 < some) & (n < 5000)),
+        # different words grow about as the root of all words, at any length
+        "variety": _vote(c("n_distinct") * c("n_distinct") >= 9 * n, c("n_distinct") * c("n_distinct") < 2 * n),
         "function_words": _vote(c("n_function") * 50 >= some, (c("n_function") == 0) & (n >= 40)),
     }
 
