@@ -241,6 +241,28 @@ def test_local_search_empties_bins():
     assert len(bins) <= -(-lengths.sum() // 1024) * 1.01 + 1
 
 
+def test_local_search_beats_best_fit():
+    rnd = np.random.default_rng(2)
+    for low, high, n in ((330, 350, 600), (200, 360, 900)):
+        lengths = rnd.integers(low, high, n)
+        before = packing.best_fit(lengths, 1024)
+        after = packing.local_search(before, lengths, 1024)
+        assert packing.fewest(lengths, 1024) <= len(after) < len(before)
+        assert sorted(sum(after, [])) == list(range(n)) and max(lengths[b].sum() for b in after) <= 1024
+
+
+def test_fewest_is_a_bound():
+    rnd = random.Random(3)
+    for _ in range(200):
+        size = rnd.randint(6, 20)
+        bins = [[size]] if rnd.random() < 0.2 else []
+        for _ in range(rnd.randint(1, 6)):  # a packing that is known
+            cuts = sorted(rnd.sample(range(1, size), rnd.randint(0, 3)))
+            bins.append([b - a for a, b in zip([0, *cuts], [*cuts, size])][: rnd.randint(1, 4)])
+        assert packing.fewest(np.asarray(sum(bins, [])), size) <= len(bins)
+    assert packing.fewest(np.full(50, 600), 1024) == 50
+
+
 # 6: languages
 
 
@@ -375,6 +397,32 @@ def test_addresses_with_zero_parts(spark):
     assert pii.redact(docs(spark, [(1, "host 10.0.0.1 up")])).first().text == "host [IP] up"
 
 
+def test_added_spans(spark):
+    rnd, words = random.Random(21), vocabulary(21)
+    key = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    texts, want = [], {}
+    for i in range(240):
+        said, found = prose(rnd, words, 30), None
+        if i % 3 == 0:
+            found = [("token", key(40)), ("spelled", f"{words[i % 300]}x at site{i} dot org"), ("account", "DE89 3704 0044 0532 0130 00"), ("ipv6", f"2001:db8:0:0:{i + 1:x}:ff00:42:8329"), ("number", f"{rnd.randint(100, 799)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}")][i // 3 % 5]
+            name = {"token": 'token = "', "spelled": "contact: ", "account": "iban: ", "ipv6": "ip: ", "number": "ssn: "}[found[0]]
+            said += f" {name}{found[1]}" + ('"' if found[0] == "token" else "") + " " + prose(rnd, words, 5)
+        elif i % 3 == 1:  # what only looks like it
+            said += " " + rnd.choice(["bigverylongwordwithoutanydigit", "version 1234567", "look at that dot here", "DE00 1234 5678 9012 3456 78", "12:30:45", "1-2-3-4-5-6-7", "step12ofaverylongname"])
+        texts.append((i, said))
+        want[i] = [] if found is None else [(found[0], said.index(found[1]), said.index(found[1]) + len(found[1]))]
+    out = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.added] for r in pii.find(docs(spark, texts)).collect()}
+    stored = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.added] for r in pii.find_spans(docs(spark, texts)).collect()}
+    assert out == want == stored
+    secret = texts[0][1][want[0][0][1] : want[0][0][2]]
+    assert secret not in pii.redact(docs(spark, texts)).where("doc_id = 0").first().text
+
+
+def test_account_checksum(spark):
+    table = spark.createDataFrame([("DE89370400440532013000",), ("GB82WEST12345698765432",), ("DE88370400440532013000",)], "a string")
+    assert [r.ok for r in table.select(pii.mod97(F.col("a")).alias("ok")).collect()] == [True, True, False]
+
+
 def test_redaction(spark):
     out = {r.doc_id: r.text for r in pii.redact(docs(spark, [(1, "mail a@b.co or +1 (988) 555-2485 now"), (2, "nothing"), (3, None)])).collect()}
     assert out == {1: "mail [EMAIL] or [PHONE] now", 2: "nothing", 3: ""}
@@ -404,6 +452,9 @@ def test_chats(spark):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         assert (out[c].n_turns, out[c].turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
         assert (out[c].loss_chars, out[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    # segments of a few turns give the same turns and the same targets
+    short = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_sha256) for r in chat.digests(chat.windows(table, budget=120, history=40, segment=7)).collect()}
+    assert short == {c: (r.n_turns, r.turns_sha256, r.loss_sha256) for c, r in out.items()}
     split = formatted.groupBy("conv_id").count().agg(F.max("count")).first()[0]
     assert split > 3
     # the system turn leads every window of its conversation
@@ -411,6 +462,14 @@ def test_chats(spark):
     assert chat.digests(chat.windows(table.limit(0))).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    rows = [(1, k, ["user", "assistant"][k % 2], f"w{k} two") for k in range(6000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    out = chat.digests(chat.windows(table, budget=200, history=40)).first()
+    assert out.n_turns == 6000 and out.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
+    assert out.loss_sha256 == hashlib.sha256("".join(t for _, _, r, t in rows if r == "assistant").encode()).hexdigest()
+
+
 # 10: pages
 
 
