@@ -490,3 +490,58 @@ def test_style_trees_cut_what_a_host_repeats(spark):
     rows = [(k, f"http://h/{k}", f"<div class=box><div>The same words on every page</div></div><div class=story><p>Story number {k} {hashlib.md5(str(k).encode()).hexdigest()}</p></div>") for k in range(30)]
     out = sitetree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all("same words" not in r.text and r.text.startswith("Story number") for r in out)
+
+
+def site(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string, host string, cut string")
+
+
+def test_pages_that_names_alone_would_get_wrong(spark):
+    rnd, words = random.Random(30), vocabulary(30)
+    rows, want = [], {}
+    for k in range(12):
+        story = [prose(rnd, words, 25) for _ in range(rnd.randint(2, 6))]
+        body = "".join(f"<p>{x}</p>" for x in story)
+        work = [prose(rnd, words, 30) for _ in range(rnd.randint(2, 5))]
+        # a layout that is named after its sidebar; no article; boxes without telling names that all pages share
+        rows.append((k, f"http://a/{k}", f"<div class='content with-sidebar'><h1>T {k}</h1>{body}</div><div class=x1><p>Call us today</p></div>", "h", "c"))
+        want[k] = [f"T {k}", *story]
+        # the text stands beside a teaser that is an article of its own, and every teaser is the same
+        rows.append((100 + k, f"http://b/{k}", f"<article class=t><p>Read our book</p></article><div class=main-text>{body}</div><div class=menu><a href=/>{words[k]}</a></div>", "h", "c"))
+        want[100 + k] = story
+        # inside the article: a part that is only named like noise, and a part that is noise
+        rows.append((200 + k, f"http://c/{k}", f"<article><h1>U {k}</h1>{body}<div class=related-work>{''.join(f'<p>{x}</p>' for x in work)}</div><div class=share><a>Send</a> <a>Print</a></div></article>", "h", "c"))
+        want[200 + k] = [f"U {k}", *story, *work]
+    rows.append((300, "http://alone/", "<nav><a>Home</a></nav><article><p>only page here</p></article><footer>f</footer>", "h", "c"))
+    want[300] = ["only page here"]
+    out = {r.page_id: r.text for r in sitetree.extract(site(spark, rows)).collect()}
+    assert out == {k: "\n\n".join(x) for k, x in want.items()}
+    assert sitetree.extract(site(spark, []).limit(0)).count() == 0
+
+
+def test_importances_by_hand(spark):
+    rnd = random.Random(31)
+    rows = [(k, f"http://h{k % 3}/", "".join(f"<div class={c}>{''.join(rnd.choice(['<p>', '<ul><li>']) + rnd.choice('ab') for _ in range(rnd.randint(1, 3)))}</div>" for c in ("one", "ad", "nav-x")) + "<article>z</article>" * (k % 2)) for k in range(17)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.regexp_extract("url", "//([^/]*)", 1))
+    have = {(r.host, r.node): r for r in sitetree.importances(pages).collect()}
+    seen, m = collections.defaultdict(list), collections.Counter()
+    for _, url, html in rows:
+        host, nodes = url[7:-1], []
+        m[host] += 1
+        sitetree.walk(html, nodes=nodes)
+        whole = len(nodes.pop()[2])
+        has = any(x[4] for x in nodes)
+        per = collections.defaultdict(float)
+        for path, kids, text, weight, main in nodes:
+            per[path, kids, text, weight, has and not main] += len(text) / whole
+        for (path, kids, text, weight, beside), mass in per.items():
+            seen[host, sitetree._digest(path)].append((text, kids, mass, beside, weight))
+    assert set(have) == set(seen)
+    w = sitetree.WEIGHTS
+    for (host, node), cells in seen.items():
+        n, t = collections.Counter(c[0] for c in cells), len(cells)
+        content = sum(max(0, 1 - np.log(n[c[0]]) / np.log(m[host] + sitetree.FEW)) for c in cells) / t
+        entropy = -sum(x / t * np.log(x / t) for x in collections.Counter(c[1] for c in cells).values())
+        shape = (entropy + 0.5) / (np.log(t) + 1)
+        z = w["content"] * (content - 0.5) + w["presentation"] * (shape - 0.5) + w["mass"] * (min(1, sum(c[2] for c in cells) / t) - 0.25) + w["beside"] * sum(c[3] for c in cells) / t + cells[0][4]
+        assert abs(have[host, node].importance - 1 / (1 + np.exp(-z))) < 1e-9
