@@ -71,6 +71,15 @@ class Camera:
         u, v = (a + b) / 2 * self.cell_m, (a - b) / 2 * self.cell_m
         return self.ox + u * self.cos + v * self.sin, self.oy - u * self.sin + v * self.cos
 
+    def corners(self) -> list[tuple[float, float]]:
+        """The points under the canvas' corners."""
+        out = []
+        for sx, sy in ((0, 0), (self.width_px, 0), (self.width_px, self.height_px), (0, self.height_px)):
+            a, b = (sx - self.width_px / 2 - self.shift[0]) / CELL_W, (sy - self.height_px / 2 - self.shift[1]) / CELL_H
+            u, v = (a + b) / 2 * self.cell_m, (a - b) / 2 * self.cell_m
+            out.append((self.ox + u * self.cos + v * self.sin, self.oy - u * self.sin + v * self.cos))
+        return out
+
     def depth(self, x: Column, y: Column) -> Column:
         """Larger is nearer to the viewer."""
         u, v = self._uv(x, y)
@@ -80,12 +89,27 @@ class Camera:
         return sy - levels * self.storey_px
 
 
-def transverse_mercator(lat: Column, lon: Column, lat0: float, lon0: float, k0: float, false_e: float, false_n: float, a: float = 6378137.0, f: float = 1 / 298.257222101) -> tuple[Column, Column]:
-    """WGS84 degrees to easting and northing: Krueger's series to the third order."""
+#: The ellipsoid of WGS84's datum as the projection has it.
+_A, _F = 6378137.0, 1 / 298.257222101
+
+
+def _series(a: float, f: float) -> tuple[float, float, float, tuple, tuple]:
+    """Rectifying radius, e, third flattening, and the forward and backward coefficients of Krueger's series to the third order."""
     n = f / (2 - f)
-    big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
-    e = 2 * math.sqrt(n) / (1 + n)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    return a / (1 + n) * (1 + n**2 / 4 + n**4 / 64), 2 * math.sqrt(n) / (1 + n), n, alpha, beta
+
+
+def _meridian(deg: float, e: float, alpha: tuple) -> float:
+    p = math.radians(deg)
+    x = math.atan(math.sinh(math.atanh(math.sin(p)) - e * math.atanh(e * math.sin(p))))
+    return x + sum(c * math.sin(2 * j * x) for j, c in enumerate(alpha, start=1))
+
+
+def transverse_mercator(lat: Column, lon: Column, lat0: float, lon0: float, k0: float, false_e: float, false_n: float, a: float = _A, f: float = _F) -> tuple[Column, Column]:
+    """WGS84 degrees to easting and northing: Krueger's series to the third order."""
+    big_a, e, _, alpha, _ = _series(a, f)
     phi, lam = F.radians(lat), F.radians(lon - lon0)
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
@@ -93,11 +117,20 @@ def transverse_mercator(lat: Column, lon: Column, lat0: float, lon0: float, k0:
     for j, c in enumerate(alpha, start=1):
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-
-    def meridian(deg: float) -> float:
-        p = math.radians(deg)
-        s = math.sinh(math.atanh(math.sin(p)) - e * math.atanh(e * math.sin(p)))
-        x = math.atan(s)
-        return x + sum(c * math.sin(2 * j * x) for j, c in enumerate(alpha, start=1))
-
-    return false_e + k0 * big_a * east, false_n + k0 * big_a * (north - meridian(lat0))
+    return false_e + k0 * big_a * east, false_n + k0 * big_a * (north - _meridian(lat0, e, alpha))
+
+
+def inverse_transverse_mercator(x: Column, y: Column, lat0: float, lon0: float, k0: float, false_e: float, false_n: float, a: float = _A, f: float = _F) -> tuple[Column, Column]:
+    """Easting and northing to (latitude, longitude) in degrees; five fixed-point steps take the latitude below a nanometre."""
+    big_a, e, _, alpha, beta = _series(a, f)
+    xi, eta = (y - false_n) / (k0 * big_a) + _meridian(lat0, e, alpha), (x - false_e) / (k0 * big_a)
+    xi1, eta1 = xi, eta
+    for j, c in enumerate(beta, start=1):
+        xi1 = xi1 - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        eta1 = eta1 - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    psi = F.atanh(F.sin(chi))
+    phi = chi
+    for _ in range(5):
+        phi = F.asin(F.tanh(psi + e * F.atanh(e * F.sin(phi))))
+    return F.degrees(phi), lon0 + F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1)))

@@ -42,6 +42,11 @@ def display_secs(captions: Column) -> Column:
     return F.least(F.lit(5.0), F.greatest(F.lit(2.0), chars / F.lit(15.0)))
 
 
+#: Fenced blocks in a response, and how far colours are muted.
+FENCES = (r"(?s)```json\s*\n?(.*?)\n?\s*```", r"(?s)```\s*\n?(.*?)\n?\s*```")
+MUTE, GREY = 0.82, 128
+
+
 def json_response(text: Column) -> Column:
     """The JSON value in a response as VARIANT: all of it, a fenced block, or what the outermost brackets hold; else null."""
     t = strip(text)
@@ -50,7 +55,7 @@ def json_response(text: Column) -> Column:
         start, end = F.instr(t, a), F.length(t) - F.instr(F.reverse(t), b) + 1
         return F.when((start > 0) & (F.instr(t, b) > 0) & (end > start), F.substring(t, start, end - start + 1))
 
-    fenced = [F.when(t.rlike(p), strip(F.regexp_extract(t, p, 1))) for p in (r"(?s)```json\s*\n?(.*?)\n?\s*```", r"(?s)```\s*\n?(.*?)\n?\s*```")]
+    fenced = [F.when(t.rlike(p), strip(F.regexp_extract(t, p, 1))) for p in FENCES]
     tries = [F.when(t != "", t), *fenced, between("[", "]"), between("{", "}")]
     return F.coalesce(*[F.try_parse_json(x) for x in tries])
 
@@ -70,7 +75,7 @@ def truthy(value: Column) -> Column:
 
 def muted(channel: Column) -> Column:
     """A colour channel pulled a little toward mid grey."""
-    return F.floor(channel * 0.82 + 128 * 0.18).cast("int")
+    return F.floor(channel * MUTE + GREY * 0.18).cast("int")
 
 
 #: Colour names that buildings are tagged with.

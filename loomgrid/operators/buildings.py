@@ -216,6 +216,17 @@ def frontage_label(tags: str = "tags") -> Column:
     return F.coalesce(t("name"), F.concat(t("addr:housenumber"), F.lit(" "), t("addr:street")), t("addr:street"), t("shop"), t("amenity"), t("building"), F.lit("building"))
 
 
+def lookup_url(lat: Column, lon: Column) -> Column:
+    """Where a frontage can be looked up by eye; the address is a fixed value."""
+    return F.format_string("https://www.google.com/maps/@?api=1&map_action=pano&viewpoint=%.6f,%.6f", lat, lon)
+
+
+def named_share(frontages: DataFrame) -> DataFrame:
+    """Share of frontages (tags) that carry a name or a street; 0 without any."""
+    told = F.coalesce(tag("name") != "", F.lit(False)) | F.coalesce(tag("addr:street") != "", F.lit(False))
+    return frontages.agg(F.coalesce(F.avg(told.cast("int")), F.lit(0.0)).alias("share"))
+
+
 def frontage_tags(frontages: DataFrame, elements: DataFrame) -> DataFrame:
     """Each frontage with its element's tags, none where there is no such element."""
     return frontages.join(elements.select("osm_id", "tags"), "osm_id", "left").withColumn("tags", F.coalesce("tags", F.create_map().cast("map<string,string>")))
@@ -270,6 +281,30 @@ def tagged_share(buildings: DataFrame) -> DataFrame:
     return buildings.agg(F.coalesce(F.avg(F.col("tagged").cast("int")), F.lit(0.0)).alias("share"))
 
 
+def paint_stats(facades: DataFrame, buildings: DataFrame, roads: DataFrame, shores: DataFrame, masses: DataFrame) -> DataFrame:
+    """One row of what a picture holds: buildings drawn (b_id, roof_tagged), detailed and shop facades that show, quay walls
+    (shores, a row each), bridges among roads, landmarks (distinct osm of masses), their masses, and their names in order."""
+    one = lambda df, *cols: df.agg(*cols)
+    drawn = one(buildings, F.count("*").alias("buildings"), F.count_if("roof_tagged").alias("roofs_tagged"))
+    walls = one(facades, F.count_if(F.col("visible") & F.col("detailed")).alias("facades_detailed"), F.count_if(F.col("visible") & F.col("shop_band")).alias("shopfronts"))
+    marks = one(masses, F.count_distinct("osm").alias("landmarks"), F.count("*").alias("landmark_masses"), F.sort_array(F.collect_set("osm")).alias("landmarks_drawn"))
+    out = drawn
+    for other in (walls, one(shores, F.count("*").alias("quay_walls")), one(roads, F.count_if(F.col("bridge") & ~F.col("tunnel")).alias("bridges")), marks):
+        out = out.crossJoin(F.broadcast(other))  # one row each
+    return out
+
+
+def coverage_check(corners: DataFrame, held: DataFrame, grid: tuple[float, ...]) -> DataFrame:
+    """corners (x, y) of the ground that a picture shows, held (lat, lon) -> south, west, north, east of the ground in degrees, and
+    exceeds: whether it reaches beyond the box of what is held. Without anything held it does."""
+    lat, lon = G.inverse_transverse_mercator(F.col("x"), F.col("y"), *grid)
+    at = corners.select(lat.alias("lat"), lon.alias("lon"))
+    seen = at.agg(F.min("lat").alias("south"), F.min("lon").alias("west"), F.max("lat").alias("north"), F.max("lon").alias("east"))
+    box = held.agg(F.min("lat").alias("a"), F.min("lon").alias("b"), F.max("lat").alias("c"), F.max("lon").alias("d"))
+    beyond = (F.col("south") < F.col("a")) | (F.col("west") < F.col("b")) | (F.col("north") > F.col("c")) | (F.col("east") > F.col("d"))
+    return seen.crossJoin(F.broadcast(box)).select("south", "west", "north", "east", F.coalesce(beyond, F.lit(True)).alias("exceeds"))  # one row each
+
+
 def painter_order(placed: DataFrame) -> DataFrame:
     """Add place: back to front by the lowest point on the canvas (sy), then as they came, within each frame."""
     return placed.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy("sy", "pos")).cast("long"))
@@ -294,11 +329,19 @@ def frame_fit(points: DataFrame, rotation_deg: float, width_px: int, height_px:
 
 
 def iso_metrics(frames: DataFrame) -> DataFrame:
-    """frames (across_m, deep_m, cell_m, dpi, upscale, exaggeration) -> canvas size, ground covered, storey and metre in pixels, millimetres a pixel."""
+    """frames (across_m, deep_m, cell_m, dpi, upscale, exaggeration) -> canvas size, ground covered, storey and metre in pixels, millimetres a pixel.
+
+    Frames with a point on the river as it lies in the rotated ground's axes (river_u, river_v, in metres from the anchor) and
+    the share of the height where it belongs (river_depth) also get shift_y, which moves the picture so that it is there.
+    """
     root2 = F.sqrt(F.lit(2.0))
     even = lambda x: x.cast("int") + x.cast("int") % 2
     w = even(F.col("across_m") * 2 * G.CELL_W / (root2 * F.col("cell_m")))
     h = even(F.col("deep_m") * 2 * G.CELL_H / (root2 * F.col("cell_m")))
     storey = 2.0 * G.STOREY_M / F.col("cell_m") * F.col("exaggeration")
     out = frames.withColumns({"width_px": w, "height_px": h, "storey_px": storey, "metre_px": storey / G.STOREY_M, "mm_per_px": 25.4 * F.col("upscale") / F.col("dpi")})
-    return out.withColumns({"ground_across_m": F.col("width_px") * root2 * F.col("cell_m") / (2 * G.CELL_W), "ground_deep_m": F.col("height_px") * root2 * F.col("cell_m") / (2 * G.CELL_H)})
+    out = out.withColumns({"ground_across_m": F.col("width_px") * root2 * F.col("cell_m") / (2 * G.CELL_W), "ground_deep_m": F.col("height_px") * root2 * F.col("cell_m") / (2 * G.CELL_H)})
+    if {"river_u", "river_v", "river_depth"} <= set(frames.columns):
+        now = (F.col("river_u") - F.col("river_v")) / F.col("cell_m") * G.CELL_H + F.col("height_px") / 2
+        out = out.withColumn("shift_y", F.col("river_depth") * F.col("height_px") - now)
+    return out

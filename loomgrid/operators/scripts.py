@@ -164,6 +164,23 @@ def manifest_totals(moments: DataFrame, suggestions: DataFrame, outputs: DataFra
     return count(moments, "total_moments_detected").crossJoin(count(suggestions, "total_suggestions_generated")).crossJoin(count(outputs, "total_memes_composited"))
 
 
+def manifests(config: dict[str, str], moments: DataFrame, suggestions: DataFrame, outputs: DataFrame) -> DataFrame:
+    """One manifest a script: script_id, config, the three totals, and memes, its outputs in the order of first_pos.
+
+    Scripts without outputs have an empty list; those without anything have no row.
+    """
+    count = lambda df, name: df.groupBy("script_id").agg(F.count("*").alias(name))
+    columns = ["first_pos", *[c for c in outputs.columns if c not in ("script_id", "first_pos")]]
+    memes = outputs.groupBy("script_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("memes"))
+    joined = count(moments, "total_moments_detected").join(count(suggestions, "total_suggestions_generated"), "script_id", "full").join(memes, "script_id", "full")
+    settings = F.create_map(*[F.lit(x) for kv in config.items() for x in kv]) if config else F.create_map().cast("map<string,string>")
+    none = F.array().cast(memes.schema["memes"].dataType)
+    return joined.select(
+        "script_id", settings.alias("config"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total_moments_detected", "total_suggestions_generated")],
+        F.coalesce(F.size("memes"), F.lit(0)).cast("long").alias("total_memes_output"), F.coalesce("memes", none).alias("memes"),
+    )
+
+
 #: Prompt texts of the stages; the fields are columns.
 PROMPTS = {
     "analyze": "Find the comic moments of this script ({density}):\n{script}",

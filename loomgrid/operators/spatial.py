@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import geometry as G
+from loomgrid.operators import buildings as B
+from loomgrid.operators import streets as R
+from loomgrid.sources.tables import checkpointed
 
 
 def _cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> Column:
@@ -14,18 +17,30 @@ def _cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> Colum
     return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
 
 
-def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float = 500.0) -> DataFrame:
-    """points (p_id, x, y), edges (r_id, ax, ay, bx, by) of closed rings -> p_id, r_id: even-odd, so holes count as outside.
+def crossings(pairs: DataFrame, edges: DataFrame, cell: float = 500.0) -> DataFrame:
+    """pairs (p_id, x, y, r_id), edges (r_id, ax, ay, bx, by) of closed rings -> the pairs whose point is inside: p_id, r_id.
 
-    A point's ray runs to the right; an edge meets a point's row of cells, so both are joined on the row and only crossings
-    are counted.
+    Even-odd, so holes count as outside. A point's ray runs to the right; a pair meets only the edges of its own region that
+    reach into the point's row of cells, and only crossings are counted.
     """
     rows = edges.where("ay <> by").withColumn("row", F.explode(F.sequence(F.floor(F.least("ay", "by") / cell).cast("long"), F.floor(F.greatest("ay", "by") / cell).cast("long"))))
-    held = points.select("p_id", "x", "y", F.floor(F.col("y") / cell).cast("long").alias("row")).join(rows, "row")
+    held = pairs.select("p_id", "x", "y", "r_id", F.floor(F.col("y") / cell).cast("long").alias("row")).join(rows, ["r_id", "row"])
     crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
     return held.where(crosses).groupBy("p_id", "r_id").count().where("count % 2 = 1").select("p_id", "r_id")
 
 
+def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float = 500.0) -> DataFrame:
+    """points (p_id, x, y), edges (r_id, ax, ay, bx, by) of closed rings -> p_id, r_id: even-odd, so holes count as outside.
+
+    Points and the boxes of regions meet on cells; only then does a point meet the edges of the regions around it.
+    """
+    boxes = edges.groupBy("r_id").agg(F.least(F.min("ax"), F.min("bx")).alias("x0"), F.least(F.min("ay"), F.min("by")).alias("y0"), F.greatest(F.max("ax"), F.max("bx")).alias("x1"), F.greatest(F.max("ay"), F.max("by")).alias("y1"))
+    placed = boxes.select("*", F.explode(_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
+    at = points.select("p_id", "x", "y", F.floor(F.col("x") / cell).cast("long").alias("cx"), F.floor(F.col("y") / cell).cast("long").alias("cy"))
+    near = at.join(placed, ["cx", "cy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("p_id", "x", "y", "r_id")
+    return crossings(near, edges, cell)
+
+
 def nearest_street(points: DataFrame, segments: DataFrame, reach: float = 30.0) -> DataFrame:
     """points (p_id, x, y) -> p_id, fx, fy, distance: the foot on the nearest segment within `reach`; those closer than a micrometre go.
 
@@ -60,8 +75,10 @@ def shore_probes(segments: DataFrame, step: float = 20.0, out: float = 4.0) -> D
     lines = run.groupBy("s_id").agg(F.max("end").alias("total")).where("total > 0").withColumn("n", F.greatest(F.lit(2), F.floor(F.col("total") / step).cast("int")))
     samples = lines.select("s_id", "total", F.explode(F.sequence(F.lit(0), "n")).alias("i"), "n").withColumn("at", F.col("total") * F.col("i") / F.col("n"))
     marks = samples.select("s_id", "i", F.explode(F.array(F.struct(F.lit("a").alias("m"), F.greatest(F.lit(0.0), F.col("at") - 1).alias("d")), F.struct(F.lit("b").alias("m"), F.least("total", F.col("at") + 1).alias("d")))).alias("e")).select("s_id", "i", "e.*")
-    # the first segment that reaches a mark holds it
-    held = marks.join(run, "s_id").where((F.col("d") >= F.col("begin") - 1e-9) & (F.col("d") <= F.col("end") + 1e-9))
+    # the first segment that reaches a mark holds it; both meet on stretches of the running length
+    stretch = lambda c: F.floor(c / step).cast("long")
+    laid = run.withColumn("b", F.explode(F.sequence(stretch(F.col("begin") - 1e-9), stretch(F.col("end") + 1e-9))))
+    held = marks.withColumn("b", stretch(F.col("d"))).join(laid, ["s_id", "b"]).where((F.col("d") >= F.col("begin") - 1e-9) & (F.col("d") <= F.col("end") + 1e-9))
     t = F.when(F.col("len") > 0, (F.col("d") - F.col("begin")) / F.col("len")).otherwise(0.0)
     spot = held.groupBy("s_id", "i", "m").agg(F.min_by(F.struct((F.col("ax") + (F.col("bx") - F.col("ax")) * t).alias("x"), (F.col("ay") + (F.col("by") - F.col("ay")) * t).alias("y")), "seq").alias("p"))
     both = spot.groupBy("s_id", "i").agg(F.max(F.when(F.col("m") == "a", F.col("p"))).alias("a"), F.max(F.when(F.col("m") == "b", F.col("p"))).alias("b"))
@@ -83,9 +100,10 @@ def region_reject(wet: DataFrame, region_edges: DataFrame, homes: DataFrame, mos
 
 def hole_assign(inner: DataFrame, outer_edges: DataFrame) -> DataFrame:
     """inner (relation_id, hole_id, x, y of the first point), outer_edges (relation_id, ring_id, ...) -> the ring of its relation that holds each hole."""
-    p = inner.select(F.struct("relation_id", "hole_id").alias("p_id"), "x", "y")
     e = outer_edges.select(F.struct("relation_id", "ring_id").alias("r_id"), "ax", "ay", "bx", "by")
-    hits = point_in_polygon(p, e).where("p_id.relation_id = r_id.relation_id")
+    rings = outer_edges.select("relation_id", "ring_id").distinct()
+    pairs = inner.join(rings, "relation_id").select(F.struct("relation_id", "hole_id").alias("p_id"), "x", "y", F.struct("relation_id", "ring_id").alias("r_id"))
+    hits = crossings(pairs, e)
     return hits.groupBy("p_id").agg(F.min("r_id.ring_id").alias("ring_id")).select("p_id.relation_id", "p_id.hole_id", "ring_id")
 
 
@@ -101,7 +119,7 @@ def grid_sample(boxes: DataFrame, edges: DataFrame, seed: int = 0, spacing: floa
     key = F.concat(F.lit(f"{seed}:"), F.col("r_id").cast("string"), F.lit(":"), F.floor("x").cast("string"), F.lit(":"), F.floor("y").cast("string"))
     coin = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / 2**32
     kept = at.where(coin < share).select("r_id", F.struct("r_id", "x", "y").alias("p_id"), "x", "y")
-    return point_in_polygon(kept.select("p_id", "x", "y"), edges).where("p_id.r_id = r_id").select("r_id", "p_id.x", "p_id.y")
+    return crossings(kept, edges).select("r_id", "p_id.x", "p_id.y")
 
 
 def superseded_anti(buildings: DataFrame, superseded: DataFrame, min_area: float = 10.0) -> DataFrame:
@@ -109,6 +127,45 @@ def superseded_anti(buildings: DataFrame, superseded: DataFrame, min_area: float
     return buildings.where(F.col("area") >= min_area).join(superseded, "osm_id", "left_anti")
 
 
+#: Tolerances in metres at which each layer is simplified before it is moved, and the area above which water takes the larger.
+LINE_M = {"roads": 6.0, "rail": 6.0, "waterways": 12.0}
+WATER_M, POND_M, AREA_M, LARGE_M2 = 30.0, 8.0, 15.0, 20_000.0
+
+
+def schematize(lines: dict[str, DataFrame], buildings: DataFrame, areas: dict[str, DataFrame], rotation: float, widen_m: float = 0.0, iterations: int = 60) -> DataFrame:
+    """All layers pushed onto the clean directions: layer, id, seq, x, y.
+
+    lines: roads, rail, waterways (road_id, seq, x, y), each a network of its own; buildings (b_id, seq, x, y) are turned whole
+    and moved away from the relaxed roads; areas: water, green, urban (ring, idx, x, y; closed) come back as open outlines.
+    """
+    out, roads = [], None
+    for name, v in lines.items():
+        thin = R.line_simplify(v, LINE_M[name])
+        done = R.relaxed_roads(thin, R.network_relax(thin, rotation, iterations))
+        if name == "roads":
+            roads = done = checkpointed(done)  # used again by the buildings
+        out.append(done.select(F.lit(name).alias("layer"), F.col("road_id").alias("id"), "seq", "x", "y"))
+    turned = B.rigid_snap(buildings, rotation)
+    if roads is not None and widen_m > 0:
+        homes = B.polygon_measures(B.edges(turned)).select(F.col("b_id").alias("p_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+        moved = street_widen(homes, R.segments(roads), rotation, widen_m).withColumnRenamed("p_id", "b_id")
+        turned = turned.join(moved, "b_id").select("b_id", "seq", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
+    out.append(turned.select(F.lit("buildings").alias("layer"), F.col("b_id").alias("id"), "seq", "x", "y"))
+    for name, rings in areas.items():
+        tolerance = F.when(F.col("area") > LARGE_M2, WATER_M).otherwise(POND_M) if name == "water" else AREA_M
+        done = R.snap_rings(rings, rotation, tolerance, iterations=iterations)
+        out.append(done.select(F.lit(name).alias("layer"), F.col("ring").alias("id"), F.col("idx").cast("long").alias("seq"), "x", "y"))
+    whole = out[0]
+    for df in out[1:]:
+        whole = whole.unionByName(df)
+    return whole
+
+
+def models_missing(models: DataFrame, drawn: DataFrame) -> DataFrame:
+    """osm, name: the models (osm, name) that no drawn shape (osm_id) stands for."""
+    return models.select("osm", "name").join(drawn.select(F.col("osm_id").alias("osm")).distinct(), "osm", "left_anti")
+
+
 def landmark_placement(landmarks: DataFrame, camera: G.Camera, max_tier: int, exclude: tuple[str, ...] = ()) -> DataFrame:
     """Landmarks up to a tier with their place and whether it is on the canvas (its left and top edges count)."""
     sx, sy = camera.ground(F.col("x"), F.col("y"))
@@ -218,7 +275,7 @@ def landmark_masses(models: DataFrame, bulges: DataFrame | None = None) -> DataF
 
 def landmark_gather(buildings: DataFrame, pois: DataFrame, models: DataFrame) -> DataFrame:
     """osm_id, recipe, outlines: all polygons (ring arrays) of every modelled building, and a square around each modelled point."""
-    m = F.broadcast(models.select(F.col("osm").alias("osm_id"), "recipe", "params"))  # configuration, a few rows
+    m = models.select(F.col("osm").alias("osm_id"), "recipe", "params")
     shapes = buildings.select("osm_id", "ring").join(m, "osm_id").where("recipe <> 'monument'").select("osm_id", "recipe", "ring")
     half = F.coalesce(F.try_element_at("params", F.lit("side_m")).try_cast("double"), F.lit(3.0)) / 2
     corner = lambda sx, sy: F.struct((F.col("x") + sx * half).alias("x"), (F.col("y") + sy * half).alias("y"))

@@ -13,7 +13,9 @@ from loomgrid.sources.tables import checkpointed
 ROAD_WIDTH_M = {"motorway": 15.0, "trunk": 13.0, "primary": 12.0, "secondary": 10.0, "tertiary": 8.5, "unclassified": 7.0, "residential": 7.0, "living_street": 5.5, "pedestrian": 6.0, "service": 4.0}
 LINKED = ["motorway", "trunk", "primary", "secondary", "tertiary"]
 ROAD_RANK = {"motorway": 0, "trunk": 1, "primary": 2, "secondary": 3, "tertiary": 4, "unclassified": 5, "residential": 5, "living_street": 6, "pedestrian": 6, "service": 7}
+#: Fixed value: vertices closer than this are one node.
 NODE_M = 1.5
+RAIL_WIDTH_M = 5.0
 
 
 def _lookup(table: dict, key: Column, default) -> Column:
@@ -30,6 +32,21 @@ def road_importance(highway: Column) -> Column:
     return _lookup(ROAD_RANK, highway, 7)
 
 
+def roads_typed(elements: DataFrame, rail: bool = False) -> DataFrame:
+    """elements (type, id, tags, n_pts) with a highway (or, with rail, a railway) of two points or more -> id, highway, name,
+    width_m, bridge, tunnel, layer.
+
+    Bridges and tunnels are tagged with anything but an empty text; a layer that is no number is 0. Rails are 5 m wide on layer 0.
+    """
+    t = lambda k: F.try_element_at("tags", F.lit(k))
+    ways = elements.where((F.col("type") == "way") & (F.col("n_pts") >= 2) & t("railway" if rail else "highway").isNotNull())
+    told = lambda k: F.coalesce(t(k) != "", F.lit(False)).alias(k)
+    highway = F.lit("rail") if rail else t("highway")
+    width = F.lit(RAIL_WIDTH_M) if rail else road_width(t("highway"))
+    layer = F.lit(0) if rail else F.coalesce(t("layer").try_cast("double").cast("int"), F.lit(0))
+    return ways.select("id", highway.alias("highway"), t("name").alias("name"), width.alias("width_m"), told("bridge"), told("tunnel"), layer.alias("layer"))
+
+
 def segments(vertices: DataFrame, key: str = "road_id", extra: tuple[str, ...] = ()) -> DataFrame:
     """Consecutive vertices as segments: key, seq, ax, ay, bx, by, and the columns in `extra`."""
     w = Window.partitionBy(key).orderBy("seq")
@@ -83,9 +100,12 @@ def rotation_sweep(bearings: DataFrame, rotations: list[float], extra: tuple[str
 
 
 def alignment_profile(bearings: DataFrame, step: float = 0.5, tolerance: float = 5.0) -> DataFrame:
-    """rotation, share: length within the tolerance of a clean direction, for rotations from 0 below 45."""
+    """rotation, share: length within the tolerance of a clean direction, for rotations from 0 below 45.
+
+    An offset counts as within if it is so to nine decimals.
+    """
     sweep = rotation_sweep(bearings, [k * step for k in range(int(45 / step))])
-    share = F.sum(F.when(F.col("offset") <= tolerance, F.col("length")).otherwise(0.0)) / F.sum("length")
+    share = F.sum(F.when(F.col("offset") <= tolerance + 1e-9, F.col("length")).otherwise(0.0)) / F.sum("length")
     return sweep.groupBy("rotation").agg(F.coalesce(share, F.lit(0.0)).alias("share"))
 
 
@@ -142,27 +162,50 @@ def dedupe_consecutive(vertices: DataFrame) -> DataFrame:
     return marked.where("px IS NULL OR px <> kx OR py <> ky").drop("px", "py")
 
 
-def relax(nodes: DataFrame, links: DataFrame, key: list[str], rotation: float, iterations: int, anchor: float, every: int = 5) -> DataFrame:
+def relax(nodes: DataFrame, links: DataFrame, key: list[str], rotation: float, iterations: int, anchor: float, every: int = 12) -> DataFrame:
     """Move nodes (key, x, y) so that links (key of a as a_*, of b as b_*, length) run along clean directions.
 
     Each link proposes its ends on the nearest clean direction through its midpoint; a node moves to the mean proposal, pulled
-    back by `anchor` to where it was at first. Nodes without links stay. The lineage is cut every few rounds.
+    back by `anchor` to where it was at first. Nodes without links stay.
+
+    A link is two rows, one at each end. A row holds its own node's place and its other node's place before and after a round,
+    so a round is one exchange: the row's end works out its own place after that round and the next from what it holds, and
+    sends them to the other end. The lineage is cut every few rounds.
     """
     home = nodes.select(*key, F.col("x").alias("hx"), F.col("y").alias("hy"))
-    now = nodes.select(*key, "x", "y")
-    for k in range(iterations):
-        a = now.select(*[F.col(c).alias(f"a_{c}") for c in key], F.col("x").alias("ax"), F.col("y").alias("ay"))
-        b = now.select(*[F.col(c).alias(f"b_{c}") for c in key], F.col("x").alias("bx"), F.col("y").alias("by"))
-        held = links.join(a, [f"a_{c}" for c in key]).join(b, [f"b_{c}" for c in key])
-        ux, uy = G.snap_direction(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.lit(rotation))
-        held = held.withColumns({"ux": ux, "uy": uy, "mx": (F.col("ax") + F.col("bx")) / 2, "my": (F.col("ay") + F.col("by")) / 2, "half": F.col("length") / 2})
-        end = lambda side, sign: F.struct(*[F.col(f"{side}_{c}").alias(c) for c in key], (F.col("mx") + sign * F.col("ux") * F.col("half")).alias("tx"), (F.col("my") + sign * F.col("uy") * F.col("half")).alias("ty"))
-        wanted = held.select(F.explode(F.array(end("a", -1), end("b", 1))).alias("e")).select("e.*").groupBy(*key).agg(F.avg("tx").alias("tx"), F.avg("ty").alias("ty"))
-        moved = home.join(wanted, key, "left")
-        now = moved.select(*key, F.coalesce(F.col("tx") * (1 - anchor) + F.col("hx") * anchor, "hx").alias("x"), F.coalesce(F.col("ty") * (1 - anchor) + F.col("hy") * anchor, "hy").alias("y"))
-        if k % every == every - 1 and k + 1 < iterations:
-            now = checkpointed(now)
-    return now
+    if iterations < 1:
+        return nodes.select(*key, "x", "y")
+    end = lambda side: home.select(*[F.col(c).alias(f"{side}_{c}") for c in key], F.col("hx").alias(f"{side}x"), F.col("hy").alias(f"{side}y"))
+    both = links.join(end("a"), [f"a_{c}" for c in key]).join(end("b"), [f"b_{c}" for c in key])
+
+    def seen(own: str, other: str, sign: float) -> Column:
+        return F.struct(
+            *[F.col(f"{own}_{c}").alias(c) for c in key], *[F.col(f"{other}_{c}").alias(f"o_{c}") for c in key], F.lit(sign).alias("sign"), (F.col("length") / 2).alias("half"),
+            *[F.col(f"{e}{c}").alias(n + c) for e, n in ((own, "h"), (other, "g"), (own, "p"), (other, "q")) for c in "xy"],
+        )
+
+    rows = both.select(F.explode(F.array(seen("a", "b", -1.0), seen("b", "a", 1.0))).alias("r")).select("r.*")
+    at_node = Window.partitionBy(*key)
+
+    def moved(frame: DataFrame, own: str, other: str, out: str) -> DataFrame:
+        """Add the own node's place after a round in which it was at `own` and the other at `other`."""
+        px, py, qx, qy = (F.col(n + c) for n in (own, other) for c in "xy")
+        ux, uy = G.snap_direction(-F.col("sign") * (qx - px), -F.col("sign") * (qy - py), F.lit(rotation))
+        wanted = {"x": (px + qx) / 2 + F.col("sign") * ux * F.col("half"), "y": (py + qy) / 2 + F.col("sign") * uy * F.col("half")}
+        frame = frame.withColumns({f"_t{c}": w for c, w in wanted.items()})
+        return frame.withColumns({out + c: F.avg(f"_t{c}").over(at_node) * (1 - anchor) + F.col(f"h{c}") * anchor for c in "xy"}).drop("_tx", "_ty")
+
+    rows = moved(rows, "p", "q", "r")  # r: the own place after the first round
+    turn = [*[F.col(f"o_{c}").alias(c) for c in key], *[F.col(c).alias(f"o_{c}") for c in key], (-F.col("sign")).alias("sign"), "half", *[F.col(a + c).alias(b + c) for a, b in (("g", "h"), ("h", "g"), ("q", "p"), ("p", "q"), ("r", "s")) for c in "xy"]]
+    for k in range(1, iterations):
+        # at the other end: its own place p and mine q before the round, and mine after it, s
+        sent = rows.select(*turn)
+        there = moved(moved(sent, "p", "q", "n"), "n", "s", "r")
+        rows = there.select(*key, *[f"o_{c}" for c in key], "sign", "half", *[n + c for n in "hg" for c in "xy"], *[F.col(a + c).alias(b + c) for a, b in (("n", "p"), ("s", "q"), ("r", "r")) for c in "xy"])
+        if k % every == 0 and k + 1 < iterations:
+            rows = checkpointed(rows)
+    ended = rows.groupBy(*key).agg(F.first("rx").alias("rx"), F.first("ry").alias("ry"))
+    return home.join(ended, key, "left").select(*key, F.coalesce("rx", "hx").alias("x"), F.coalesce("ry", "hy").alias("y"))
 
 
 def network_links(vertices: DataFrame, min_length: float = 4.0) -> DataFrame:
@@ -189,21 +232,64 @@ def relaxed_roads(vertices: DataFrame, nodes: DataFrame) -> DataFrame:
     return moved.select("road_id", "seq", "x", "y").withColumn("n", F.count("*").over(Window.partitionBy("road_id"))).where("n >= 2").drop("n")
 
 
-def ring_links(rings: DataFrame) -> DataFrame:
-    """Links around open rings (ring, idx, x, y), the last vertex to the first."""
-    w = Window.partitionBy("ring").orderBy("idx")
-    whole = Window.partitionBy("ring").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    nxt = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(whole))
-    e = rings.select(F.col("ring").alias("a_ring"), F.col("idx").alias("a_idx"), F.col("ring").alias("b_ring"), nxt("idx").alias("b_idx"), F.hypot(nxt("x") - F.col("x"), nxt("y") - F.col("y")).alias("length"))
-    return e.where("length >= 1e-9")
+def _settled(points: list, rotation: float, iterations: int, anchor: float) -> list:
+    """A ring's vertices after relaxation; fewer than four stay."""
+    if len(points) < 4:
+        return points
+    home = np.asarray([(q["x"], q["y"]) for q in points])
+    at, after = home.copy(), np.roll(np.arange(len(home)), -1)
+    length = np.hypot(*(home[after] - home).T)
+    pulls = length >= 1e-9
+    n = pulls.astype(float) + np.roll(pulls, 1)
+    for _ in range(iterations):
+        d = at[after] - at
+        bearing = np.degrees(np.arctan2(d[:, 0], d[:, 1])) % 360.0
+        clean = np.radians((np.rint(((bearing - rotation) % 360.0) / 45.0) * 45.0 + rotation) % 360.0)
+        step = np.stack([np.sin(clean), np.cos(clean)], 1) * (length / 2)[:, None]
+        mid = (at + at[after]) / 2
+        total = np.where(pulls[:, None], mid - step, 0) + np.roll(np.where(pulls[:, None], mid + step, 0), 1, axis=0)
+        at = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None] * (1 - anchor) + home * anchor, at)
+    return [{**q, "x": float(x), "y": float(y)} for q, (x, y) in zip(points, at, strict=True)]
 
 
 def ring_relax(rings: DataFrame, rotation: float, iterations: int = 60, anchor: float = 0.12) -> DataFrame:
-    """Outlines of four vertices or more after the same relaxation, each by itself; others are unchanged."""
-    sized = rings.withColumn("n", F.count("*").over(Window.partitionBy("ring"))).where("n >= 4").drop("n")
-    moved = relax(sized, ring_links(sized), ["ring", "idx"], rotation, iterations, anchor)
-    few = rings.withColumn("n", F.count("*").over(Window.partitionBy("ring"))).where("n < 4").select("ring", "idx", "x", "y")
-    return moved.unionByName(few)
+    """Open outlines (ring, idx, x, y) of four vertices or more after the same relaxation, each by itself; others are unchanged.
+
+    An outline is one row of its vertices, so no round needs an exchange.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            pdf["p"] = [_settled([q if isinstance(q, dict) else q.asDict() for q in points], rotation, iterations, anchor) for points in pdf["p"]]
+            yield pdf
+
+    packed = _packed(rings.select("ring", "idx", "x", "y"), "ring", "idx")
+    return packed.mapInPandas(run, packed.schema).select("ring", F.explode("p").alias("p")).select("ring", "p.*")
+
+
+def snap_rings(rings: DataFrame, rotation: float, tolerance: float | Column, most: float = 120.0, iterations: int = 60) -> DataFrame:
+    """Closed outlines (ring, idx, x, y) simplified, parted into edges of at most `most`, and relaxed: ring, idx, x, y, open.
+
+    `tolerance` may be a column of the ring's area.
+    """
+    sized = rings.withColumnRenamed("idx", "seq")
+    if isinstance(tolerance, Column):
+        e = segments(sized, "ring")
+        area = e.groupBy("ring").agg((F.abs(F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay"))) / 2).alias("area"))
+        sized = sized.join(area, "ring").withColumn("tolerance", tolerance)
+    else:
+        sized = sized.withColumn("tolerance", F.lit(float(tolerance)))
+
+    def run(batches):
+        for pdf in batches:
+            pdf["p"] = [_thinned(list(points), t) for points, t in zip(pdf["p"], pdf["tolerance"], strict=True)]
+            yield pdf
+
+    packed = sized.groupBy("ring", "tolerance").agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    thin = packed.mapInPandas(run, packed.schema).select("ring", F.explode("p").alias("p")).select("ring", "p.*")
+    parted = densify(segments(thin, "ring"), most)
+    numbered = parted.withColumn("idx", F.row_number().over(Window.partitionBy("ring").orderBy("seq", "step")) - 1)
+    return ring_relax(numbered.select("ring", "idx", "x", "y"), rotation, iterations)
 
 
 def densify(edges: DataFrame, most: float) -> DataFrame:

@@ -20,17 +20,36 @@ def tpl_by_name(names: DataFrame, templates: DataFrame) -> DataFrame:
     return names.withColumn("low", F.lower("q")).join(small(last), "low", "left").select("q_id", "tpl_pos")
 
 
+def _grams(text: Column, size: int = 3) -> Column:
+    """All distinct pieces of one to `size` characters."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(1, size + 1)])))
+
+
+def held_in(short: DataFrame, long: DataFrame, a: str, b: str, size: int = 3) -> DataFrame:
+    """All rows of `short` (column a) with all rows of `long` (column b) that contain them, found by a's first characters.
+
+    A text of fewer than `size` characters is its own key; the empty text is in every text and is left to the caller.
+    """
+    keys = short.where(F.length(a) > 0).withColumn("_g", F.substring(a, 1, size))
+    return keys.join(long.withColumn("_g", F.explode(_grams(F.col(b), size))), "_g").where(F.contains(b, a)).drop("_g")
+
+
 def tpl_fuzzy(names: DataFrame, templates: DataFrame) -> DataFrame:
     """q_id, tpl_pos, tier: exact, else the first template of which one name holds the other, else the largest overlap of words.
 
-    Each distinct name is matched once: exact names by an equality join, the rest by comparing with the catalogue, which is a
-    stated table of bounded size; words meet by an equality join on the word.
+    Each distinct name is matched once: exact names and words by equality, containment by equality of a few characters that
+    is then verified. The empty name is in the first template, and a template of the empty name in all names.
     """
     asked = names.select(F.lower("q").alias("low")).distinct()
     listed = templates.select("tpl_pos", F.lower("name").alias("t"))
     exact = asked.join(small(listed.groupBy("t").agg(F.max("tpl_pos").alias("tpl_pos"))), F.col("low") == F.col("t")).select("low", "tpl_pos", F.lit(1).alias("tier"))
     rest = asked.join(exact, "low", "left_anti")
-    held = rest.join(small(listed), F.contains("low", "t") | F.contains("t", "low")).groupBy("low").agg(F.min("tpl_pos").alias("tpl_pos")).withColumn("tier", F.lit(2))
+    first = listed.groupBy("t").agg(F.min("tpl_pos").alias("tpl_pos"))
+    found = held_in(first, rest, "t", "low").select("low", "tpl_pos").unionByName(held_in(rest, first, "low", "t").select("low", "tpl_pos"))
+    ends = listed.agg(F.min("tpl_pos").alias("any"), F.min(F.when(F.col("t") == "", F.col("tpl_pos"))).alias("blank"))
+    found = found.unionByName(rest.crossJoin(F.broadcast(ends)).select("low", F.when(F.col("low") == "", F.col("any")).otherwise(F.col("blank")).alias("tpl_pos")).where("tpl_pos IS NOT NULL"))  # one row
+    held = found.groupBy("low").agg(F.min("tpl_pos").alias("tpl_pos")).withColumn("tier", F.lit(2))
     left = rest.join(held, "low", "left_anti")
     words = lambda c: F.array_distinct(F.split(c, r"\s+"))
     meet = left.select("low", F.explode(words("low")).alias("w")).join(small(listed.select("tpl_pos", F.explode(words("t")).alias("w"))), "w").groupBy("low", "tpl_pos").count()
@@ -40,11 +59,17 @@ def tpl_fuzzy(names: DataFrame, templates: DataFrame) -> DataFrame:
 
 
 def tpl_by_emotion(beats: DataFrame, templates: DataFrame, least: int = 3) -> DataFrame:
-    """beat, tpl_pos: templates with an emotion that contains the beat; all of them where fewer than `least` do."""
+    """beat, tpl_pos: templates with an emotion that contains the beat; all of them where fewer than `least` do, as asked for.
+
+    The empty beat is in every emotion.
+    """
     asked = beats.select(F.lower("beat").alias("beat")).distinct()
-    hits = asked.join(small(templates.select("tpl_pos", "emotions")), F.exists("emotions", lambda e: F.contains(F.lower(e), F.col("beat")))).select("beat", "tpl_pos")
+    felt = templates.select("tpl_pos", F.explode("emotions").alias("e")).select("tpl_pos", F.lower("e").alias("e"))
+    kinds = felt.select("e").distinct()
+    hits = held_in(asked, kinds, "beat", "e").join(felt, "e").select("beat", "tpl_pos").distinct()
     enough = hits.groupBy("beat").count().where(F.col("count") >= least).select("beat")
     some = hits.join(enough, "beat", "left_semi")
+    # the result has every template for each of these beats, so it is as large as this join
     return some.unionByName(asked.join(enough, "beat", "left_anti").crossJoin(small(templates.select("tpl_pos"))))
 
 

@@ -16,7 +16,7 @@ VIEWS: dict[str, str] = {
         WHEN 2 THEN split_part(text, chr(10), 1)
         ELSE '1:02:' || lpad(CAST(turn * 7 % 60 AS VARCHAR(2)), 2, '0') || ' ' || split_part(text, chr(10), 1) END AS raw_line
       FROM conversations""",
-    "fx_templates": """SELECT CAST(row_number() OVER (ORDER BY min(p_partkey)) - 1 AS BIGINT) AS tpl_pos, p_name AS name,
+    "fx_templates": """SELECT CAST(min(p_partkey) AS BIGINT) AS tpl_pos, p_name AS name,
         lower(min(p_type)) AS emotion_a, lower(max(p_type)) AS emotion_b, lower(min(p_brand)) AS tag_a, lower(max(p_brand)) AS tag_b
       FROM part GROUP BY p_name""",
     "fx_names": """SELECT p_partkey AS q_id, CASE p_partkey % 5 WHEN 0 THEN upper(p_name) WHEN 1 THEN split_part(p_name, ' ', 1)
@@ -89,7 +89,7 @@ def with_views(sql: str) -> str:
                 need.append(name)
 
     visit(sql)
-    head = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in need)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({VIEWS[n]})" for n in need)
     body = sql.strip()
     if not need:
         return body

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -29,8 +28,7 @@ def register(sql: str | None = None):
 
 
 def _path(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-loomgrid-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{S.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @register("SELECT s_suppkey AS script_id, '0:' || lpad(CAST(s_suppkey % 60 AS VARCHAR), 2, '0') || ' - ' || s_name || chr(10) || 'nation ' || s_nationkey AS raw FROM supplier")
@@ -60,11 +58,11 @@ def src_templates(spark, d):
     return S.read_templates(spark, path).select("name", F.col("emotions")[0].alias("emotion"), "width", F.col("text_regions")[0]["font_size"].alias("font_size"))
 
 
-@register("SELECT name, CAST(tpl_pos AS BIGINT) AS tpl_pos FROM fx_templates")
+@register("SELECT name, name || '.png' AS filename, emotion_a || '+' || emotion_b AS emotions, tag_a AS tag, CAST(CASE WHEN tpl_pos % 2 = 0 THEN 640 ELSE 800 END AS INTEGER) AS width FROM fx_templates WHERE tpl_pos % 10 < 8")
 def snk_templates(spark, d):
     path = _path(spark, "templates")
-    S.write_templates(_catalogue(spark, d), path)
-    return spark.read.schema("name string, tpl_pos long").json(path)
+    S.write_templates(_catalogue(spark, d).drop("tpl_pos"), path, per_file=500)
+    return S.read_templates(spark, path).select("name", "filename", F.array_join("emotions", "+").alias("emotions"), F.col("tags")[0].alias("tag"), "width")
 
 
 @register("SELECT type, id, lat, lon, amenity FROM fx_elements")
@@ -76,12 +74,12 @@ def src_osm_elements(spark, d):
     return S.read_elements(spark, path).select("type", "id", "lat", "lon", F.try_element_at("tags", F.lit("amenity")).alias("amenity"))
 
 
-@register("SELECT 'way/' || (n_nationkey % 10) AS osm, 'N' || max(n_nationkey) AS name FROM nation GROUP BY n_nationkey % 10")
+@register("SELECT 'way/' || (s_suppkey % 1000) AS osm, 'N' || max(s_suppkey) AS name FROM supplier GROUP BY s_suppkey % 1000")
 def src_landmark_models(spark, d):
     recipes = F.array(*map(F.lit, S.RECIPES))
-    m = fixture(spark, d, "nation").select(
-        F.col("n_nationkey").alias("pos"), F.concat(F.lit("way/"), F.col("n_nationkey") % 10).alias("osm"), F.concat(F.lit("N"), "n_nationkey").alias("name"), F.get(recipes, F.col("n_nationkey") % 7).alias("recipe"),
-        F.array(F.concat(F.lit("way/"), F.col("n_nationkey") + 100)).alias("supersedes"), F.create_map(F.lit("eaves_m"), F.lit("9")).alias("params"),
+    m = fixture(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("pos"), F.concat(F.lit("way/"), F.col("s_suppkey") % 1000).alias("osm"), F.concat(F.lit("N"), "s_suppkey").alias("name"), F.get(recipes, (F.col("s_suppkey") % 7).cast("int")).alias("recipe"),
+        F.array(F.concat(F.lit("way/"), F.col("s_suppkey") + 100)).alias("supersedes"), F.create_map(F.lit("eaves_m"), F.lit("9")).alias("params"),
     )
     return S.load_models(m)[0].select("osm", "name")
 

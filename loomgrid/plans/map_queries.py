@@ -94,10 +94,10 @@ def buildings_typed(spark, d):
     return e.select("id", F.coalesce(B.tag("building"), F.lit("yes")).alias("kind"), F.coalesce(B.tag("shop"), B.tag("amenity")).alias("shop"), B.layer_number(B.tag("layer")).alias("layer"))
 
 
-@register("""SELECT b_id, CAST(CASE levels_tag WHEN '2' THEN 2 WHEN '1.5' THEN 1.5 WHEN '2;3' THEN 2 WHEN '3,5' THEN 3.5 ELSE CASE WHEN b_id % 3 = 0 THEN greatest(1.0, (b_id % 40) / 3.2) ELSE 2 END END AS DOUBLE) AS levels,
-  coalesce(levels_tag IN ('2', '1.5', '2;3', '3,5'), false) OR (b_id % 3 = 0 AND b_id % 40 > 0) AS tagged FROM (SELECT b_id, levels_tag FROM fx_buildings WHERE NOT (b_id % 3 = 0 AND b_id % 40 = 0))""")
+@register("""SELECT b_id, CAST(CASE levels_tag WHEN '2' THEN 2 WHEN '1.5' THEN 1.5 WHEN '2;3' THEN 2 WHEN '3,5' THEN 3.5 ELSE CASE WHEN b_id % 3 = 0 AND b_id % 40 > 0 THEN greatest(1.0, (b_id % 40) / 3.2) ELSE 2 END END AS DOUBLE) AS levels,
+  coalesce(levels_tag IN ('2', '1.5', '2;3', '3,5'), false) OR (b_id % 3 = 0 AND b_id % 40 > 0) AS tagged FROM fx_buildings""")
 def storeys(spark, d):
-    b = fixture(spark, d, "fx_buildings").where("NOT (b_id % 3 = 0 AND b_id % 40 = 0)")
+    b = fixture(spark, d, "fx_buildings")
     height = F.when(F.col("b_id") % 3 == 0, F.concat((F.col("b_id") % 40).cast("string"), F.lit(" m")))
     return b.select("b_id", B.storeys(F.col("levels_tag"), height).alias("s")).select("b_id", "s.levels", "s.tagged")
 
@@ -126,7 +126,7 @@ def poi_anchor(spark, d):
     return B.poi_anchor(e.withColumn("center", F.when(F.col("n_pts") > 1, F.col("center"))))
 
 
-@register("SELECT b_id, CAST(CASE WHEN b_id % 3 = 0 THEN 5 WHEN b_id % 3 = 1 THEN 5 END AS INTEGER) AS n FROM fx_buildings WHERE b_id % 3 < 2")
+@register("SELECT v.b_id, CAST(v.seq AS INTEGER) AS i, round(v.x, 3) AS x, round(v.y, 3) AS y FROM fx_ring_vertices v WHERE v.b_id % 3 < 2")
 def ring_accept(spark, d):
     v = fixture(spark, d, "fx_ring_vertices")
     first = v.where("seq = 0").select("b_id", F.col("x").alias("x0"), F.col("y").alias("y0"))
@@ -134,7 +134,7 @@ def ring_accept(spark, d):
     # whole rings, rings left open, and lines of two points
     cutoff = F.when(F.col("b_id") % 3 == 0, 5).when(F.col("b_id") % 3 == 1, 4).otherwise(2)
     p = exact.where(F.col("seq") < cutoff).groupBy("b_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("p"))
-    return p.select("b_id", B.ring_accept(F.col("p")).alias("r")).where("r IS NOT NULL").select("b_id", F.size("r").alias("n"))
+    return _rounded(p.select("b_id", F.posexplode(B.ring_accept(F.col("p"))).alias("i", "q")).select("b_id", "i", "q.x", "q.y"), "x", "y")
 
 
 def _edges(spark, d):
@@ -186,6 +186,21 @@ def viewport_cull(spark, d):
     return _rounded(B.viewport_cull(b, CAMERA, 0, 0, 200, 0).select("b_id", "sx", "sy"), "sx", "sy")
 
 
+_REACH, _HEAD = 60.0 * 2 * 2.0 / (math.sqrt(2) * CAMERA.cell_m), 30.0 * CAMERA.storey_px
+
+
+@register(f"SELECT b_id, round({_sx('cx', 'cy')}, 3) AS sx, round({_sy('cx', 'cy')}, 3) AS sy FROM fx_buildings WHERE {_sx('cx', 'cy')} BETWEEN {-_REACH} AND {8000 + _REACH} AND {_sy('cx', 'cy')} BETWEEN {-_REACH - _HEAD} AND {4000 + _REACH}")
+def viewport_painted(spark, d):
+    b = fixture(spark, d, "fx_buildings").select("b_id", "cx", "cy")
+    return _rounded(B.viewport_cull(b, CAMERA, **B.painted_margins(CAMERA)).select("b_id", "sx", "sy"), "sx", "sy")
+
+
+@register(f"SELECT p_id, round({_sx('x', 'y')}, 3) AS sx FROM fx_points WHERE {_sx('x', 'y')} BETWEEN 0 AND 8000 AND {_sy('x', 'y')} BETWEEN 0 AND 4000")
+def viewport_points(spark, d):
+    p = fixture(spark, d, "fx_points").select("p_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    return _rounded(B.viewport_cull(p, CAMERA, 0, 0, 0, 0).select("p_id", "sx"), "sx")
+
+
 _RANKED = f"WITH {_WALL}, r AS (SELECT b_id, round(px, 3) AS px FROM vw)"
 
 
@@ -239,9 +254,15 @@ def facade_layout(spark, d):
     return _facades(spark, d)
 
 
-@register(f"SELECT count(DISTINCT b_id) AS buildings, count(*) FILTER (visible AND detailed) AS facades_detailed, count(*) FILTER (visible AND shop_band) AS shopfronts FROM ({_FACADE})")
+@register(f"""SELECT (SELECT count(*) FROM fx_buildings) AS buildings, (SELECT count(*) FROM fx_buildings WHERE kind = 'house') AS roofs_tagged, (SELECT count(*) FILTER (visible AND detailed) FROM ({_FACADE})) AS facades_detailed, (SELECT count(*) FILTER (visible AND shop_band) FROM ({_FACADE})) AS shopfronts,
+  (SELECT count(*) FROM (SELECT DISTINCT s_id FROM fx_shore)) AS quay_walls, (SELECT count(*) FROM (SELECT DISTINCT road_id FROM fx_road_vertices) WHERE road_id % 7 = 0 AND road_id % 11 <> 0) AS bridges, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 <> 1) AS landmarks,
+  (SELECT sum(CASE s_suppkey % 7 WHEN 0 THEN 3 WHEN 3 THEN 2 WHEN 6 THEN 3 WHEN 1 THEN 0 ELSE 1 END)::BIGINT FROM supplier) AS landmark_masses, (SELECT string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) FROM supplier WHERE s_suppkey % 7 <> 1) AS landmarks_drawn""")
 def paint_stats(spark, d):
-    return _facades(spark, d).agg(F.count_distinct("b_id").alias("buildings"), F.count_if(F.col("visible") & F.col("detailed")).alias("facades_detailed"), F.count_if(F.col("visible") & F.col("shop_band")).alias("shopfronts"))
+    buildings = fixture(spark, d, "fx_buildings").select("b_id", (F.col("kind") == "house").alias("roof_tagged"))
+    roads = fixture(spark, d, "fx_road_vertices").select("road_id").distinct().select((F.col("road_id") % 7 == 0).alias("bridge"), (F.col("road_id") % 11 == 0).alias("tunnel"))
+    masses = _masses(spark, d).where("recipe_no <> 1").select("osm", "part")
+    stats = B.paint_stats(_facades(spark, d), buildings, roads, fixture(spark, d, "fx_shore").select("s_id").distinct(), masses)
+    return stats.withColumn("landmarks_drawn", F.array_join(F.transform("landmarks_drawn", lambda x: x.cast("string")), ","))
 
 
 @register("SELECT b_id, ('0x' || substr(sha256('7:' || b_id), 1, 8))::BIGINT % 6 AS facade, ('0x' || substr(sha256('roof:7:' || b_id), 1, 8))::BIGINT % 5 AS roof FROM fx_buildings")
@@ -249,18 +270,16 @@ def stable_pick(spark, d):
     return fixture(spark, d, "fx_buildings").select("b_id", T.stable_pick(F.lit(7), F.col("b_id"), 6).alias("facade"), T.stable_pick(F.lit("roof:7"), F.col("b_id"), 5).alias("roof"))
 
 
-@register("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN floor(170 * 0.82 + 23.04) WHEN 1 THEN floor(176 * 0.82 + 23.04) WHEN 2 THEN floor(18 * 0.82 + 23.04) ELSE -1 END::INTEGER AS r FROM part")
+@register("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN floor(170 * 0.82 + 23.04) WHEN 1 THEN floor(187 * 0.82 + 23.04) WHEN 2 THEN floor(18 * 0.82 + 23.04) ELSE -1 END::INTEGER AS r FROM part")
 def colour_parse(spark, d):
     p = fixture(spark, d, "part")
     value = F.when(F.col("p_partkey") % 5 == 0, " Terracotta ").when(F.col("p_partkey") % 5 == 1, "#B0C").when(F.col("p_partkey") % 5 == 2, "#12ab00").when(F.col("p_partkey") % 5 == 3, "#12345").otherwise("puce")
-    # the short form doubles its digits: B becomes BB
-    value = F.when(F.col("p_partkey") % 5 == 1, F.lit("#B0B0C0")).otherwise(value)
     return p.select("p_partkey", F.coalesce(T.parse_colour(value)["r"], F.lit(-1)).alias("r"))
 
 
-@register("SELECT id, CASE WHEN building IS NOT NULL AND amenity IS NOT NULL THEN amenity ELSE coalesce(amenity, building, 'building') END AS label FROM fx_elements")
+@register("SELECT id, CASE WHEN building IS NOT NULL AND amenity IS NOT NULL THEN amenity ELSE coalesce(amenity, building, 'building') END AS label, printf('https://www.google.com/maps/@?api=1&map_action=pano&viewpoint=%.6f,%.6f', lat, lon) AS url FROM fx_elements")
 def frontage_label(spark, d):
-    return _elements(spark, d).select("id", B.frontage_label().alias("label"))
+    return _elements(spark, d).select("id", B.frontage_label().alias("label"), B.lookup_url(F.col("lat"), F.col("lon")).alias("url"))
 
 
 @register("SELECT b_id, amenity FROM fx_buildings LEFT JOIN (SELECT id, amenity FROM fx_elements WHERE type = 'way') ON id = b_id")
@@ -270,9 +289,10 @@ def frontage_tags(spark, d):
     return B.frontage_tags(b, e).select("b_id", B.tag("amenity").alias("amenity"))
 
 
-@register("SELECT avg(CASE WHEN amenity IS NOT NULL THEN 1.0 ELSE 0.0 END) AS share FROM fx_elements")
+@register("SELECT avg(CASE WHEN id % 6 = 0 OR id % 10 = 0 THEN 1.0 ELSE 0.0 END) AS share FROM fx_elements")
 def named_share(spark, d):
-    return _elements(spark, d).agg((F.count_if(B.tag("amenity").isNotNull()) / F.count("*")).alias("share"))
+    named = F.when(F.col("id") % 6 == 0, F.create_map(F.lit("name"), F.lit("n"))).when(F.col("id") % 10 == 0, F.create_map(F.lit("addr:street"), F.lit("s"))).otherwise(F.create_map(F.lit("name"), F.lit("")))
+    return B.named_share(_elements(spark, d).select("id", F.map_zip_with("tags", named, lambda k, a, b: F.coalesce(b, a)).alias("tags")))
 
 
 @register(f"SELECT p_id, round({_sx('x', 'y')}, 3) AS sx, round({_sy('x', 'y')}, 3) AS sy FROM fx_points")
@@ -310,11 +330,11 @@ def frame_fit(spark, d):
     return _rounded(_rounded(f, "cell_m", digits=4), "origin_x", "origin_y")
 
 
-@register("""WITH f AS (SELECT p_partkey, 1000.0 + p_size * 10 AS a, 800.0 + p_size * 7 AS dp, 0.3 + p_partkey % 5 * 0.2 AS c FROM part), w AS (SELECT *, CAST(trunc(a * 4 / (sqrt(2) * c)) AS INTEGER) AS wi, CAST(trunc(dp * 2 / (sqrt(2) * c)) AS INTEGER) AS hi FROM f)
-  SELECT p_partkey, wi + wi % 2 AS width_px, hi + hi % 2 AS height_px, round(6.4 / c * 1.1, 4) AS storey_px, round((wi + wi % 2) * sqrt(2) * c / 4, 3) AS ground_across_m FROM w""")
+@register("""WITH f AS (SELECT p_partkey, p_size, 1000.0 + p_size * 10 AS a, 800.0 + p_size * 7 AS dp, 0.3 + p_partkey % 5 * 0.2 AS c FROM part), w AS (SELECT *, p_size * 3.0 AS ru, p_size * 2.0 - 40 AS rv, CAST(trunc(a * 4 / (sqrt(2) * c)) AS INTEGER) AS wi, CAST(trunc(dp * 2 / (sqrt(2) * c)) AS INTEGER) AS hi FROM f)
+  SELECT p_partkey, wi + wi % 2 AS width_px, hi + hi % 2 AS height_px, round(6.4 / c * 1.1, 4) AS storey_px, round((wi + wi % 2) * sqrt(2) * c / 4, 3) AS ground_across_m, round(0.62 * (hi + hi % 2) - ((ru - rv) / c + (hi + hi % 2) / 2), 3) AS shift_y FROM w""")
 def iso_metrics(spark, d):
-    p = fixture(spark, d, "part").select("p_partkey", (1000.0 + F.col("p_size") * 10).alias("across_m"), (800.0 + F.col("p_size") * 7).alias("deep_m"), (0.3 + F.col("p_partkey") % 5 * 0.2).alias("cell_m"), F.lit(300).alias("dpi"), F.lit(1).alias("upscale"), F.lit(1.1).alias("exaggeration"))
-    return _rounded(_rounded(B.iso_metrics(p).select("p_partkey", "width_px", "height_px", "storey_px", "ground_across_m"), "storey_px", digits=4), "ground_across_m")
+    p = fixture(spark, d, "part").select("p_partkey", (1000.0 + F.col("p_size") * 10).alias("across_m"), (800.0 + F.col("p_size") * 7).alias("deep_m"), (0.3 + F.col("p_partkey") % 5 * 0.2).alias("cell_m"), F.lit(300).alias("dpi"), F.lit(1).alias("upscale"), F.lit(1.1).alias("exaggeration"), (F.col("p_size") * 3.0).alias("river_u"), (F.col("p_size") * 2.0 - 40).alias("river_v"), F.lit(0.62).alias("river_depth"))
+    return _rounded(_rounded(B.iso_metrics(p).select("p_partkey", "width_px", "height_px", "storey_px", "ground_across_m", "shift_y"), "storey_px", digits=4), "ground_across_m", "shift_y")
 
 
 @register(f"SELECT b_id, row_number() OVER (PARTITION BY b_id % 50 ORDER BY round({_sy('cx', 'cy')}, 3), b_id) AS place FROM fx_buildings")
@@ -336,10 +356,11 @@ def layers_union(spark, d):
     return one("fx_points", "p_id", "point").unionByName(one("fx_buildings", "b_id", "building")).unionByName(one("fx_regions", "r_id", "region"))
 
 
-@register("SELECT b_id FROM fx_buildings WHERE b_id NOT IN (SELECT b_id FROM fx_buildings WHERE w * h > 60)")
+@register(f"SELECT s_suppkey AS osm, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT b_id FROM fx_buildings WHERE w * h > 60)")
 def models_missing(spark, d):
-    b = fixture(spark, d, "fx_buildings")
-    return b.select("b_id").exceptAll(b.where(F.col("w") * F.col("h") > 60).select("b_id"))
+    models = fixture(spark, d, "supplier").select(F.col("s_suppkey").alias("osm"), F.col("s_name").alias("name"))
+    drawn = fixture(spark, d, "fx_buildings").where(F.col("w") * F.col("h") > 60).select(F.col("b_id").alias("osm_id"))
+    return X.models_missing(models, drawn)
 
 
 @register("SELECT b_id FROM fx_buildings WHERE w * h >= 40 AND b_id NOT IN (SELECT p_id FROM fx_points)")
@@ -403,11 +424,8 @@ def street_widen(spark, d):
 @register("""WITH r AS (SELECT * FROM fx_regions), l AS (SELECT r_id, x0 + ((row + 1) % 2) * 13.0 + col * 26.0 AS x, y0 + row * 13.0 AS y, x1, y1 FROM r, range(154) a(row), range(77) b(col))
   SELECT r_id, x, y FROM l WHERE x < x1 AND y < y1 AND ('0x' || substr(sha256('0:' || r_id || ':' || CAST(floor(x) AS BIGINT) || ':' || CAST(floor(y) AS BIGINT)), 1, 8))::BIGINT / 4294967296.0 < 0.34""")
 def grid_sample(spark, d):
-    # coordinates off the lattice's own edges: the polygons begin a little before the boxes
-    wide = _region_edges(spark, d)
-    grow = lambda c, lo: F.when(F.pmod(F.col(c), F.lit(2000.0)) == 0, F.col(c) - 0.25).otherwise(F.col(c))
-    edges = wide.select("r_id", *[grow(c, True).alias(c) for c in ("ax", "ay", "bx", "by")])
-    return X.grid_sample(fixture(spark, d, "fx_regions"), edges)
+    # a ring holds its left and lower edges, as the lattice does
+    return X.grid_sample(fixture(spark, d, "fx_regions"), _region_edges(spark, d))
 
 
 @register("SELECT d_id, seq, round(15.0, 3)::DOUBLE AS turn FROM fx_drums")
@@ -425,56 +443,102 @@ def round_bulges(spark, d):
     return _rounded(X.round_bulges(fixture(spark, d, "fx_drums")), "cx", "cy", "radius")
 
 
-@register("""WITH m AS (SELECT n_nationkey AS osm, n_nationkey % 7 AS r, CASE WHEN n_nationkey % 2 = 0 THEN 20.0 END AS e FROM nation) SELECT osm, part, round(base_m, 3)::DOUBLE AS base_m, round(top_m, 3)::DOUBLE AS top_m, roof FROM (
+@register("""WITH m AS (SELECT s_suppkey AS osm, s_suppkey % 7 AS r, CASE WHEN s_suppkey % 2 = 0 THEN 20.0 END AS e FROM supplier) SELECT osm, part, round(base_m, 3)::DOUBLE AS base_m, round(top_m, 3)::DOUBLE AS top_m, roof FROM (
   SELECT osm, 'wall' AS part, 0.0 AS base_m, 11.0 AS top_m, 'battlement' AS roof FROM m WHERE r = 0 UNION ALL SELECT osm, 'drum', 0.0, 16.0, 'battlement' FROM m, range(2) WHERE r = 0 UNION ALL SELECT osm, 'nave', 0.0, 14.0, 'gabled' FROM m WHERE r = 1
   UNION ALL SELECT osm, 'roof', 0.0, coalesce(e, 8.5), 'open' FROM m WHERE r = 2 UNION ALL SELECT osm, 'shed', 0.0, coalesce(e, 9.0), 'gabled' FROM m WHERE r = 3 UNION ALL SELECT osm, 'lantern', coalesce(e, 9.0) + 4.32, coalesce(e, 9.0) + 6.88, 'gabled' FROM m WHERE r = 3
   UNION ALL SELECT osm, 'block', 0.0, coalesce(e, 13.0), 'hipped' FROM m WHERE r = 4 UNION ALL SELECT osm, 'block', 0.0, coalesce(e, 55.0), 'flat' FROM m WHERE r = 5
   UNION ALL SELECT osm, p, b, t, 'flat' FROM m, (VALUES ('step', 0.0, 0.45), ('plinth', 0.45, 2.35), ('stone', 2.35, 3.45)) v(p, b, t) WHERE r = 6)""")
 def landmark_masses(spark, d):
+    return _rounded(_masses(spark, d).select("osm", "part", "base_m", "top_m", "roof"), "base_m", "top_m")
+
+
+def _masses(spark, d):
     names = F.array(*map(F.lit, ["castle", "church", "canopy", "trainshed", "palazzo", "tower_block", "monument"]))
-    m = fixture(spark, d, "nation").select(F.col("n_nationkey").alias("osm"), F.get(names, F.col("n_nationkey") % 7).alias("recipe"), F.when(F.col("n_nationkey") % 2 == 0, F.create_map(F.lit("eaves_m"), F.lit("20"))).otherwise(F.create_map().cast("map<string,string>")).alias("params"))
-    return _rounded(X.landmark_masses(m, m.select("osm", F.lit(2).alias("n"))).select("osm", "part", "base_m", "top_m", "roof"), "base_m", "top_m")
+    m = fixture(spark, d, "supplier").select(F.col("s_suppkey").alias("osm"), F.get(names, (F.col("s_suppkey") % 7).cast("int")).alias("recipe"), F.when(F.col("s_suppkey") % 2 == 0, F.create_map(F.lit("eaves_m"), F.lit("20"))).otherwise(F.create_map().cast("map<string,string>")).alias("params"))
+    return X.landmark_masses(m, m.select("osm", F.lit(2).alias("n"))).withColumn("recipe_no", F.col("osm") % 7)
 
 
-@register("SELECT b_id AS osm_id, CASE WHEN b_id % 2 = 0 THEN 'palazzo' ELSE 'monument' END AS recipe, CAST(1 AS INTEGER) AS n FROM fx_buildings WHERE b_id % 100 < 2")
+@register("SELECT b_id AS osm_id, CASE WHEN b_id % 2 = 0 THEN 'palazzo' ELSE 'monument' END AS recipe, CAST(1 AS INTEGER) AS n FROM fx_buildings")
 def landmark_gather(spark, d):
-    m = fixture(spark, d, "fx_buildings").where("b_id % 100 < 2").select(F.col("b_id").alias("osm"), F.when(F.col("b_id") % 2 == 0, "palazzo").otherwise("monument").alias("recipe"), F.create_map().cast("map<string,string>").alias("params"))
+    m = fixture(spark, d, "fx_buildings").select(F.col("b_id").alias("osm"), F.when(F.col("b_id") % 2 == 0, "palazzo").otherwise("monument").alias("recipe"), F.create_map().cast("map<string,string>").alias("params"))
     rings = fixture(spark, d, "fx_ring_vertices").groupBy(F.col("b_id").alias("osm_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("ring"))
     pois = fixture(spark, d, "fx_buildings").select(F.col("b_id").alias("osm_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
     return X.landmark_gather(rings, pois, m).select("osm_id", "recipe", F.size("outlines").alias("n"))
 
 
-@register("SELECT r_id AS relation_id, CAST(0 AS BIGINT) AS hole_id, r_id AS ring_id FROM fx_regions")
+@register("SELECT b_id AS relation_id, CAST(0 AS BIGINT) AS hole_id, b_id * 2 AS ring_id FROM fx_buildings")
 def hole_assign(spark, d):
-    r = fixture(spark, d, "fx_regions")
-    inner = r.select(F.col("r_id").alias("relation_id"), F.lit(0).cast("long").alias("hole_id"), (F.col("x0") + 777.25).alias("x"), (F.col("y0") + 333.5).alias("y"))
-    return X.hole_assign(inner, _region_edges(spark, d).withColumns({"relation_id": F.col("r_id"), "ring_id": F.col("r_id")}))
+    v = fixture(spark, d, "fx_ring_vertices").withColumnRenamed("b_id", "relation_id")
+    # two outer rings a relation, the second one far off
+    rings = v.withColumn("ring_id", F.col("relation_id") * 2).unionByName(v.withColumns({"ring_id": F.col("relation_id") * 2 + 1, "x": F.col("x") + 5000}))
+    edges = R.segments(rings, "ring_id", ("relation_id",))
+    inner = fixture(spark, d, "fx_buildings").select(F.col("b_id").alias("relation_id"), F.lit(0).cast("long").alias("hole_id"), (F.col("cx") + 0.25).alias("x"), F.col("cy").alias("y"))
+    return X.hole_assign(inner, edges)
 
 
-@register()
+#: The national grid that the map is projected to, as (lat0, lon0, k0, false easting, false northing).
+GRID = (53.5, -8.0, 0.99982, 600000.0, 750000.0)
+_BIG, _E1, _N3, _AL, _BE = G._series(G._A, G._F)
+_M0 = G._meridian(GRID[0], _E1, _AL)
+
+
+def _tm_sql(lat: str, lon: str) -> tuple[str, str, str]:
+    """Common tables, and the easting and northing that follow from them, for a table t with these columns."""
+    tables = f"""a AS (SELECT *, radians({lat}) AS phi, radians({lon} - ({GRID[1]})) AS lam FROM t), b AS (SELECT *, sinh(atanh(sin(phi)) - {_E1} * atanh({_E1} * sin(phi))) AS tt FROM a),
+  c AS (SELECT *, atan2(tt, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + tt * tt)) AS eta FROM b)"""
+    east = "eta" + "".join(f" + {c} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(_AL, 1))
+    north = "xi" + "".join(f" + {c} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(_AL, 1))
+    return tables, f"{GRID[3]} + {GRID[2] * _BIG} * ({east})", f"{GRID[4]} + {GRID[2] * _BIG} * ({north} - {_M0})"
+
+
+def _inverse_sql(x: str, y: str) -> tuple[str, str, str]:
+    """The same the other way."""
+    xi1 = "xi" + "".join(f" - ({c}) * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(_BE, 1))
+    eta1 = "eta" + "".join(f" - ({c}) * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(_BE, 1))
+    steps = "".join(f", p{k + 1} AS (SELECT *, asin(tanh(psi + {_E1} * atanh({_E1} * sin(f{k})))) AS f{k + 1} FROM p{k})" for k in range(5))
+    tables = f"""a AS (SELECT *, ({y} - {GRID[4]}) / {GRID[2] * _BIG} + {_M0} AS xi, ({x} - {GRID[3]}) / {GRID[2] * _BIG} AS eta FROM t), b AS (SELECT *, {xi1} AS xi1, {eta1} AS eta1 FROM a),
+  p0 AS (SELECT *, atanh(sin(xi1) / cosh(eta1)) AS psi, asin(sin(xi1) / cosh(eta1)) AS f0 FROM b){steps}"""
+    return tables, "degrees(f5)", f"{GRID[1]} + degrees(atan2(sinh(eta1), cos(xi1)))"
+
+
+_T, _EAST, _NORTH = _tm_sql("lat", "lon")
+
+
+@register(f"WITH t AS (SELECT type, id, lat, lon FROM fx_elements), {_T} SELECT type, id, round({_EAST}, 3) AS x, round({_NORTH}, 3) AS y FROM c")
 def tm_project(spark, d):
     e = fixture(spark, d, "fx_elements")
-    x, y = G.transverse_mercator(F.col("lat"), F.col("lon"), 53.5, -8.0, 0.99982, 600000.0, 750000.0)
+    x, y = G.transverse_mercator(F.col("lat"), F.col("lon"), *GRID)
     return _rounded(e.select("type", "id", x.alias("x"), y.alias("y")), "x", "y")
 
 
-@register()
+_I, _LAT, _LON = _inverse_sql("ex", "ny")
+
+
+@register(f"WITH t AS (SELECT p_id, x + 550000 AS ex, y + 650000 AS ny FROM fx_points), {_I} SELECT p_id, round({_LAT}, 8) AS lat, round({_LON}, 8) AS lon FROM p5")
+def tm_inverse(spark, d):
+    p = fixture(spark, d, "fx_points")
+    lat, lon = G.inverse_transverse_mercator(F.col("x") + 550000, F.col("y") + 650000, *GRID)
+    return _rounded(p.select("p_id", lat.alias("lat"), lon.alias("lon")), "lat", "lon", digits=8)
+
+
+_FAR = G.Camera(origin=(560000.0, 656000.0), rotation_deg=ROTATION, cell_m=1.2, width_px=8000, height_px=4000, storey_px=6.4)
+_SEEN = ", ".join(f"({x}::DOUBLE, {y}::DOUBLE)" for x, y in _FAR.corners())
+
+
+@register(f"""WITH t AS (SELECT * FROM (VALUES {_SEEN}) v(ex, ny)), {_I}, s AS (SELECT min({_LAT}) AS south, min({_LON}) AS west, max({_LAT}) AS north, max({_LON}) AS east FROM p5), h AS (SELECT min(lat) AS a, min(lon) AS b, max(lat) AS c, max(lon) AS d FROM fx_elements)
+  SELECT round(south, 7) AS south, round(west, 7) AS west, round(north, 7) AS north, round(east, 7) AS east, south < a OR west < b OR north > c OR east > d AS exceeds FROM s, h""")
 def coverage_check(spark, d):
-    corners = spark.range(4).select((F.col("id") % 2 * CAMERA.width_px).alias("sx"), (F.floor(F.col("id") / 2) * CAMERA.height_px).alias("sy"))
-    wx, wy = CAMERA.world(F.col("sx"), F.col("sy"))
-    seen = corners.select(wx.alias("x"), wy.alias("y")).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
-    held = fixture(spark, d, "fx_road_vertices").agg(F.min("x").alias("dx0"), F.min("y").alias("dy0"), F.max("x").alias("dx1"), F.max("y").alias("dy1"))
-    return held.crossJoin(F.broadcast(seen)).select(((F.col("x0") < F.col("dx0")) | (F.col("y0") < F.col("dy0")) | (F.col("x1") > F.col("dx1")) | (F.col("y1") > F.col("dy1"))).alias("exceeds"))
+    corners = spark.createDataFrame(_FAR.corners(), "x double, y double")
+    out = B.coverage_check(corners, fixture(spark, d, "fx_elements"), GRID)
+    return _rounded(out, "south", "west", "north", "east", digits=7)
 
 
 @register()
 def schematize_all(spark, d):
-    """Streets relaxed and rebuilt, footprints turned and moved back from them: layer, id, seq, x, y."""
+    """All layers at their own tolerances and sixty rounds: layer, id, seq, x, y."""
     v = fixture(spark, d, "fx_road_vertices")
-    thin = R.line_simplify(v, 6.0)
-    roads = R.relaxed_roads(thin, R.network_relax(thin, ROTATION, iterations=5))
-    rings = B.rigid_snap(fixture(spark, d, "fx_ring_vertices"), ROTATION)
-    homes = B.polygon_measures(B.edges(rings)).select(F.col("b_id").alias("p_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    moved = X.street_widen(homes, R.segments(roads), ROTATION, 3.0)
-    shifted = rings.join(moved, rings.b_id == moved.p_id).select("b_id", "seq", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    return roads.select(F.lit("roads").alias("layer"), F.col("road_id").alias("id"), "seq", "x", "y").unionByName(shifted.select(F.lit("buildings").alias("layer"), F.col("b_id").alias("id"), "seq", "x", "y"))
+    lines = {"roads": v.where("class_no < 8"), "rail": v.where("class_no = 8"), "waterways": v.where("class_no = 9")}
+    rings = fixture(spark, d, "fx_ring_vertices")
+    outlines = rings.select(F.col("b_id").alias("ring"), F.col("seq").alias("idx"), (F.col("x") * 3).alias("x"), (F.col("y") * 3).alias("y"))
+    areas = {name: outlines.where(F.col("ring") % 5 == k) for k, name in enumerate(("water", "green", "urban"))}
+    return X.schematize(lines, rings, areas, ROTATION, 3.0)

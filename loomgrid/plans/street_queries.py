@@ -72,11 +72,11 @@ def rose_entropy(spark, d):
     return _rounded(R.rose_entropy(R.bearing_rose(_bearings(spark, d))), "entropy", "orderliness")
 
 
-@register(f"""WITH {_BEAR}, a AS (SELECT road_id, fmod(bearing, 90.0) AS g FROM bear WHERE seq = 0), o AS (SELECT road_id, g - 90.0 * k AS v, row_number() OVER (PARTITION BY road_id ORDER BY abs(g - 90.0 * k), k) AS n FROM a CROSS JOIN range(4) r(k))
-  SELECT road_id, round(v, 4) AS rotation FROM o WHERE n = 1""")
+@register(f"""WITH {_BEAR}, a AS (SELECT road_id, seq, fmod(bearing, 90.0) AS g FROM bear), o AS (SELECT road_id, seq, g - 90.0 * k AS v, row_number() OVER (PARTITION BY road_id, seq ORDER BY abs(g - 90.0 * k), k) AS n FROM a CROSS JOIN range(4) r(k))
+  SELECT road_id, seq, round(v, 4) AS rotation FROM o WHERE n = 1""")
 def fit_rotation(spark, d):
-    b = _bearings(spark, d).where("seq = 0")
-    return _rounded(b.select("road_id", R.fit_rotation(F.pmod("bearing", F.lit(90.0))).alias("rotation")), "rotation")
+    b = _bearings(spark, d)
+    return _rounded(b.select("road_id", "seq", R.fit_rotation(F.pmod("bearing", F.lit(90.0))).alias("rotation")), "rotation")
 
 
 @register(f"WITH {_BEAR}, w AS (SELECT k * 0.5 AS rotation, {_OFF.format('bearing', 'k * 0.5')} AS o, length FROM bear CROSS JOIN range(90) r(k)) SELECT CAST(rotation AS DOUBLE) AS rotation, round(sum(length * o), 2) AS bend FROM w GROUP BY rotation")
@@ -85,13 +85,11 @@ def rotation_sweep(spark, d):
     return _rounded(s.groupBy("rotation").agg(F.sum(F.col("length") * F.col("offset")).alias("bend")), "bend", digits=2)
 
 
-_PROFILE = _BEAR + f", w AS (SELECT k * 0.5 + 0.13 AS rotation, {_OFF.format('bearing', '(k * 0.5 + 0.13)')} AS o, length FROM bear CROSS JOIN range(90) r(k)), p AS (SELECT rotation, sum(CASE WHEN o <= 5.0 THEN length ELSE 0 END) / sum(length) AS share FROM w GROUP BY rotation)"
+_PROFILE = _BEAR + f", w AS (SELECT k * 0.5 AS rotation, {_OFF.format('bearing', 'k * 0.5')} AS o, length FROM bear CROSS JOIN range(90) r(k)), p AS (SELECT rotation, sum(CASE WHEN o <= 5.0 + 1e-9 THEN length ELSE 0 END) / sum(length) AS share FROM w GROUP BY rotation)"
 
 
 def _profile(spark, d):
-    # bearings of the fixture lie on whole degrees too, so the sweep is taken from 0.13 degrees on
-    turned = _bearings(spark, d).withColumn("bearing", F.col("bearing") - 0.13)
-    return R.alignment_profile(turned).withColumn("rotation", F.col("rotation") + 0.13)
+    return R.alignment_profile(_bearings(spark, d))
 
 
 @register(f"WITH {_PROFILE} SELECT round(rotation, 4)::DOUBLE AS rotation, round(share, 4) AS share FROM p")
@@ -126,10 +124,17 @@ def crisp_share(spark, d):
     return _rounded(R.crisp_share(_bearings(spark, d), ROTATION), "share")
 
 
-@register(f"SELECT road_id, {_CLASS} AS highway, CAST({_WIDTH.format(_CLASS)} AS DOUBLE) AS width_m FROM fx_road_vertices GROUP BY road_id, class_no HAVING count(*) >= 2")
+@register(f"""SELECT road_id AS id, {_CLASS} AS highway, CASE WHEN road_id % 3 = 0 THEN 'Road ' || road_id END AS name, CAST({_WIDTH.format(_CLASS)} AS DOUBLE) AS width_m, road_id % 7 = 0 AS bridge, road_id % 11 = 0 AS tunnel, CAST(CASE road_id % 4 WHEN 0 THEN 1 WHEN 1 THEN -2 ELSE 0 END AS INTEGER) AS layer
+  FROM fx_road_vertices GROUP BY road_id, class_no HAVING count(*) >= 2 UNION ALL SELECT road_id, 'rail', NULL, 5.0, false, road_id % 11 = 0, 0 FROM fx_road_vertices WHERE class_no = 8 GROUP BY road_id HAVING count(*) >= 2""")
 def roads_typed(spark, d):
-    roads = _vertices(spark, d).groupBy("road_id", "class_no").count().where("count >= 2")
-    return roads.withColumn("highway", F.get(F.array(*map(F.lit, CLASSES)), F.col("class_no"))).select("road_id", "highway", R.road_width(F.col("highway")).alias("width_m"))
+    n = _vertices(spark, d).groupBy(F.col("road_id").alias("id"), "class_no").agg(F.count("*").alias("n_pts"))
+    tag = lambda k, when, v: F.when(when, F.struct(F.lit(k).alias("k"), (v if not isinstance(v, str) else F.lit(v)).alias("v")))
+    rid = F.col("id")
+    highway = F.get(F.array(*map(F.lit, CLASSES)), F.col("class_no"))
+    pairs = [tag("highway", F.lit(True), highway), tag("name", rid % 3 == 0, F.concat(F.lit("Road "), rid)), tag("bridge", rid % 7 == 0, "yes"), tag("tunnel", F.lit(True), F.when(rid % 11 == 0, "yes").otherwise("")), tag("layer", F.lit(True), F.when(rid % 4 == 0, "1").when(rid % 4 == 1, "-2.7").otherwise("ground"))]
+    e = n.select("id", F.lit("way").alias("type"), "n_pts", "class_no", F.map_from_entries(F.array_compact(F.array(*pairs))).alias("tags"))
+    rails = e.where("class_no = 8").withColumn("tags", F.map_from_entries(F.array(F.struct(F.lit("railway").alias("k"), F.lit("tram").alias("v")), F.struct(F.lit("tunnel").alias("k"), F.try_element_at("tags", F.lit("tunnel")).alias("v")))))
+    return R.roads_typed(e).unionByName(R.roads_typed(rails, rail=True))
 
 
 @register(f"SELECT road_id, CAST({_RANK.format(_CLASS)} AS INTEGER) AS importance FROM fx_road_vertices GROUP BY road_id, class_no HAVING {_RANK.format(_CLASS)} <= 6")
@@ -150,8 +155,8 @@ def street_names(spark, d):
 
 
 _KEYS = "k AS (SELECT *, CAST(round_even(x / 1.5, 0) AS BIGINT) AS kx, CAST(round_even(y / 1.5, 0) AS BIGINT) AS ky FROM fx_road_vertices)"
-_CHAIN = _KEYS + ", chain AS (SELECT * FROM (SELECT *, lag(kx) OVER w AS px, lag(ky) OVER w AS py FROM k WINDOW w AS (PARTITION BY road_id ORDER BY seq)) WHERE px IS NULL OR px <> kx OR py <> ky)"
-_NODES = _CHAIN + ", n0 AS (SELECT kx, ky, arg_min(x, road_id * 100000 + seq) AS x, arg_min(y, road_id * 100000 + seq) AS y FROM k GROUP BY kx, ky)"
+_CHAIN = _KEYS + ", chain AS MATERIALIZED (SELECT * FROM (SELECT *, lag(kx) OVER w AS px, lag(ky) OVER w AS py FROM k WINDOW w AS (PARTITION BY road_id ORDER BY seq)) WHERE px IS NULL OR px <> kx OR py <> ky)"
+_NODES = _CHAIN + ", n0 AS MATERIALIZED (SELECT kx, ky, arg_min(x, road_id * 100000 + seq) AS x, arg_min(y, road_id * 100000 + seq) AS y FROM k GROUP BY kx, ky)"
 
 
 @register(f"WITH {_CHAIN} SELECT road_id, seq, kx, ky FROM chain")
@@ -171,28 +176,31 @@ def _round_sql(k: int, keys: str, links: str, anchor: float) -> str:
     both = lambda s: ", ".join(f"{s}_{c} AS {c}" for c in cols)
     angle = f"radians({_PM.format(f'(round_even({_PM.format(f'(degrees(atan2(b.x - a.x, b.y - a.y)) - {ROTATION})', '360.0')} / 45.0, 0) * 45.0 + {ROTATION})', '360.0')})"
     ends = ", ".join(f"l.{s}_{c}" for s in "ab" for c in cols)
-    return f""", h{k} AS (SELECT {ends}, sin({angle}) AS ux, cos({angle}) AS uy, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, l.length / 2 AS half FROM {links} l JOIN n{k} a ON {on('a')} JOIN n{k} b ON {on('b')}),
-  w{k} AS (SELECT {keys}, avg(tx) AS tx, avg(ty) AS ty FROM (SELECT {both('a')}, mx - ux * half AS tx, my - uy * half AS ty FROM h{k} UNION ALL SELECT {both('b')}, mx + ux * half, my + uy * half FROM h{k}) GROUP BY {keys}),
-  n{k + 1} AS (SELECT {keys}, coalesce(tx * {1 - anchor} + x * {anchor}, x) AS x, coalesce(ty * {1 - anchor} + y * {anchor}, y) AS y FROM n0 LEFT JOIN w{k} USING ({keys}))"""
+    return f""", h{k} AS MATERIALIZED (SELECT {ends}, sin({angle}) AS ux, cos({angle}) AS uy, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my, l.length / 2 AS half FROM {links} l JOIN n{k} a ON {on('a')} JOIN n{k} b ON {on('b')}),
+  w{k} AS MATERIALIZED (SELECT {keys}, avg(tx) AS tx, avg(ty) AS ty FROM (SELECT {both('a')}, mx - ux * half AS tx, my - uy * half AS ty FROM h{k} UNION ALL SELECT {both('b')}, mx + ux * half, my + uy * half FROM h{k}) GROUP BY {keys}),
+  n{k + 1} AS MATERIALIZED (SELECT {keys}, coalesce(tx * {1 - anchor} + x * {anchor}, x) AS x, coalesce(ty * {1 - anchor} + y * {anchor}, y) AS y FROM n0 LEFT JOIN w{k} USING ({keys}))"""
 
 
 _NET = _NODES + """, c AS (SELECT kx AS a_kx, ky AS a_ky, lead(kx) OVER w AS b_kx, lead(ky) OVER w AS b_ky FROM chain WINDOW w AS (PARTITION BY road_id ORDER BY seq)),
-  links AS (SELECT a_kx, a_ky, b_kx, b_ky, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS length FROM c JOIN n0 a ON a_kx = a.kx AND a_ky = a.ky JOIN n0 b ON b_kx = b.kx AND b_ky = b.ky WHERE sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) >= 4.0)"""
+  links AS MATERIALIZED (SELECT a_kx, a_ky, b_kx, b_ky, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS length FROM c JOIN n0 a ON a_kx = a.kx AND a_ky = a.ky JOIN n0 b ON b_kx = b.kx AND b_ky = b.ky WHERE sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) >= 4.0)"""
 
 
-@register(f"WITH {_NET}{_round_sql(0, 'kx,ky', 'links', 0.04)}{_round_sql(1, 'kx,ky', 'links', 0.04)} SELECT kx, ky, round(x, 3) AS x, round(y, 3) AS y FROM n2")
+ROUNDS = 60
+
+
+@register(f"WITH {_NET}{''.join(_round_sql(k, 'kx,ky', 'links', 0.04) for k in range(ROUNDS))} SELECT kx, ky, round(x, 3) AS x, round(y, 3) AS y FROM n{ROUNDS}")
 def network_relax(spark, d):
-    return _rounded(R.network_relax(_vertices(spark, d), ROTATION, iterations=2), "x", "y", digits=3)
+    return _rounded(R.network_relax(_vertices(spark, d), ROTATION, iterations=ROUNDS), "x", "y", digits=3)
 
 
-_RING = """n0 AS (SELECT b_id AS ring, seq AS idx, x, y FROM fx_ring_vertices WHERE seq < 4), rl AS (SELECT a.ring AS a_ring, a.idx AS a_idx, b.ring AS b_ring, b.idx AS b_idx, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS length
+_RING = """n0 AS MATERIALIZED (SELECT b_id AS ring, seq AS idx, x, y FROM fx_ring_vertices WHERE seq < 4), rl AS MATERIALIZED (SELECT a.ring AS a_ring, a.idx AS a_idx, b.ring AS b_ring, b.idx AS b_idx, sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)) AS length
   FROM n0 a JOIN n0 b ON a.ring = b.ring AND b.idx = (a.idx + 1) % 4)"""
 
 
-@register(f"WITH {_RING}{_round_sql(0, 'ring,idx', 'rl', 0.12)}{_round_sql(1, 'ring,idx', 'rl', 0.12)} SELECT ring, idx, round(x, 3) AS x, round(y, 3) AS y FROM n2")
+@register(f"WITH {_RING}{''.join(_round_sql(k, 'ring,idx', 'rl', 0.12) for k in range(ROUNDS))} SELECT ring, idx, round(x, 3) AS x, round(y, 3) AS y FROM n{ROUNDS}")
 def ring_relax(spark, d):
     rings = fixture(spark, d, "fx_ring_vertices").where("seq < 4").select(F.col("b_id").alias("ring"), F.col("seq").alias("idx"), "x", "y")
-    return _rounded(R.ring_relax(rings, ROTATION, iterations=2), "x", "y", digits=3)
+    return _rounded(R.ring_relax(rings, ROTATION, iterations=ROUNDS), "x", "y", digits=3)
 
 
 @register(f"""WITH {_SEG}, s AS (SELECT *, CASE WHEN length > 20.0 THEN CAST(floor(length / 20.0) AS INTEGER) + 1 ELSE 1 END AS n FROM seg)
@@ -226,7 +234,7 @@ def line_simplify(spark, d):
     return R.line_simplify(_vertices(spark, d), 6.0)
 
 
-@register("SELECT b_id AS relation_id, CAST(0 AS BIGINT) AS ring_id, count(*) AS n FROM fx_ring_vertices GROUP BY b_id")
+@register("SELECT b_id AS relation_id, CAST(0 AS BIGINT) AS ring_id, seq, round(x, 3) AS x, round(y, 3) AS y FROM fx_ring_vertices")
 def ring_assembly(spark, d):
     v = fixture(spark, d, "fx_ring_vertices")
     # each outline as two ways, the second one backwards
@@ -235,4 +243,4 @@ def ring_assembly(spark, d):
     # the outline closes on the very vertex it began with
     first = v.where("seq = 0").select(F.col("b_id").alias("relation_id"), F.col("x").alias("x0"), F.col("y").alias("y0"))
     two = two.join(first, "relation_id").select("relation_id", "way_no", "seq", F.when(F.col("seq") == 6, F.col("x0")).otherwise(F.col("x")).alias("x"), F.when(F.col("seq") == 6, F.col("y0")).otherwise(F.col("y")).alias("y"))
-    return R.ring_assembly(one.unionByName(two)).groupBy("relation_id", "ring_id").agg(F.count("*").alias("n"))
+    return _rounded(R.ring_assembly(one.unionByName(two)), "x", "y", digits=3)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from loomgrid.functions import text as T
 from loomgrid.operators import scripts as S
 from loomgrid.operators import templates as M
 from loomgrid.plans.fixtures import fixture
+from loomgrid.sources.tables import shared_folder
 
 _STRIP = r"regexp_replace(regexp_replace({0}, '^\s+', ''), '\s+$', '')"
 _LINES = f"""lines AS (SELECT script_id, CAST(i - 1 AS BIGINT) AS line_index, {_STRIP.format('l')} AS line
@@ -81,10 +84,9 @@ def _wrapped(spark, d):
     return c.select(F.col("pos").alias("suggestion_id"), T.json_response(text).alias("response"))
 
 
-@register("SELECT pos AS suggestion_id, pos % 5 <> 4 AS parsed, CASE WHEN pos % 5 <> 4 THEN s1 ELSE CAST(-1 AS BIGINT) END AS s1 FROM fx_critiqued")
+@register("""SELECT pos AS suggestion_id, CASE WHEN pos % 5 <> 4 THEN '{"alternative":' || CASE WHEN has_alt THEN '{"template_name":"alt"}' ELSE '{}' END || ',"passes_layer_test":"' || CAST(passes AS VARCHAR) || '","relevance_score":"' || s2 || '","surprise_score":' || s1 || ',"timing_score":' || s3 || '.9}' END AS value FROM fx_critiqued""")
 def json_response(spark, d):
-    r = _wrapped(spark, d)
-    return r.select("suggestion_id", F.col("response").isNotNull().alias("parsed"), F.coalesce(F.try_variant_get("response", "$.surprise_score", "long"), F.lit(-1).cast("long")).alias("s1"))
+    return _wrapped(spark, d).select("suggestion_id", F.to_json("response").alias("value"))
 
 
 @register("""SELECT pos AS suggestion_id, CASE WHEN pos % 5 = 4 THEN 3 ELSE s1 END AS s1, CASE WHEN pos % 5 = 4 THEN 3 ELSE s2 END AS s2, CASE WHEN pos % 5 = 4 THEN 3 ELSE s3 END AS s3, CAST(3 AS BIGINT) AS s4, true AS passes,
@@ -144,11 +146,17 @@ def output_name(spark, d):
     return S.output_name(out).select("script_id", "pos", "file_name")
 
 
-@register(f"WITH {_CAND}, o AS (SELECT * FROM best WHERE n = 1 AND score >= 3.0) SELECT (SELECT count(DISTINCT (script_id, line_index)) FROM crit) AS total_moments_detected, (SELECT count(*) FROM o) AS total_suggestions_generated, (SELECT count(*) FROM o) AS total_memes_composited")
+@register(f"""WITH {_CAND}, o AS (SELECT script_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY first_pos, pos) AS memes FROM best WHERE n = 1 AND score >= 3.0 GROUP BY script_id),
+  m AS (SELECT script_id, count(DISTINCT line_index) AS k, count(*) AS c FROM crit GROUP BY script_id)
+  SELECT script_id, 'strict' AS density, k AS total_moments_detected, c AS total_suggestions_generated, coalesce(o.n, 0) AS total_memes_output, coalesce(memes, '') AS memes FROM m LEFT JOIN o USING (script_id)""")
 def snk_manifest(spark, d):
     c = _critiqued(spark, d)
-    best = S.best_per_moment(c)
-    return S.manifest_totals(c.select("script_id", "line_index").distinct(), best, best)
+    out = S.manifests({"density": "strict", "quality_threshold": "3.0"}, c.select("script_id", "line_index").distinct(), c, S.best_per_moment(c))
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    out.write.json(path)  # a manifest a row
+    kept = spark.read.schema("script_id long, config map<string,string>, total_moments_detected long, total_suggestions_generated long, total_memes_output long, memes array<struct<pos:long>>").json(path)
+    memes = F.array_join(F.transform("memes", lambda m: m["pos"].cast("string")), ",")
+    return kept.select("script_id", F.col("config")["density"].alias("density"), "total_moments_detected", "total_suggestions_generated", "total_memes_output", memes.alias("memes"))
 
 
 @register("SELECT q_id, coalesce((SELECT max(tpl_pos) FROM fx_templates WHERE lower(name) = lower(q)), CAST(-1 AS BIGINT)) AS tpl_pos FROM fx_names")

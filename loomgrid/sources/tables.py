@@ -19,22 +19,45 @@ _ELEMENT = f"struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,
 RECIPES = ["castle", "church", "canopy", "trainshed", "palazzo", "tower_block", "monument"]
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only on one machine may it be unset; there it is a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-loomgrid-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return root
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir; only where that is unset, in a temporary one of this machine."""
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-loomgrid-"))
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def read_scripts(spark: SparkSession, path: str) -> DataFrame:
-    """script_id (the file), raw: a whole text a file; blank files are left out."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("script_id"), F.col("value").alias("raw")).where(F.trim("raw") != "")
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names anything, in whatever store Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def read_scripts(spark: SparkSession, path: str, blank: str = "error") -> DataFrame:
+    """script_id (the file), raw: a whole text a file. A blank file is an error, or with blank="drop" is left out."""
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("script_id"), F.col("value").alias("raw"))
+    empty = F.regexp_replace("raw", r"(?U)\s+", "") == ""
+    if blank == "drop":
+        return texts.where(~empty)
+    return texts.withColumn("raw", F.when(empty, F.raise_error(F.concat(F.lit("the script is empty: "), "script_id"))).otherwise(F.col("raw")))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """The entries of {"templates": [...]} files with defaults; entries that lack a required field, have an unknown one or an
-    unknown format are left out. Text regions likewise take their defaults."""
+    unknown format are left out. Text regions likewise take their defaults. A path that is not there is an empty catalogue."""
+    if not present(spark, path):
+        return spark.createDataFrame([], f"tpl_pos long, t {_TEMPLATE}").select("tpl_pos", "t.*")
     raw = spark.read.option("multiLine", True).schema("templates array<map<string,string>>").json(path)
     known = [f.split(":")[0] for f in _TEMPLATE[7:-1].replace(_REGION, "r").split(",")]
     entries = raw.select(F.posexplode("templates").alias("tpl_pos", "m")).where(F.size(F.array_except(F.map_keys("m"), F.array(*map(F.lit, known)))) == 0)
@@ -57,13 +80,22 @@ def read_templates(spark: SparkSession, path: str) -> DataFrame:
     return out.dropna(subset=needed).where(F.col("format").isin(FORMATS))
 
 
-def write_templates(templates: DataFrame, path: str) -> None:
-    """Templates as JSON, a row each."""
-    templates.write.mode("overwrite").json(path)
+def write_templates(templates: DataFrame, path: str, per_file: int = 10_000) -> None:
+    """Templates as {"templates": [...]} files that read_templates reads, each of a bounded share of the rows."""
+    n = max(1, -(-templates.count() // per_file))
+    packed = templates.withColumn("_file", F.pmod(F.xxhash64("name"), F.lit(n))).groupBy("_file").agg(F.sort_array(F.collect_list(F.struct(*templates.columns))).alias("templates"))
+    packed.repartition(min(n, 200), "_file").write.mode("overwrite").partitionBy("_file").json(path)
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
-    """The `elements` of map files, gzipped or plain, with a fixed narrow schema."""
+    """The `elements` of map files, gzipped or plain, with a fixed narrow schema.
+
+    Of a file that is there both ways the gzipped one is read; a path that is not there has no elements.
+    """
+    if not path.endswith(".gz") and present(spark, f"{path}.gz"):
+        path = f"{path}.gz"
+    elif not present(spark, path):
+        return spark.createDataFrame([], f"e {_ELEMENT}").select("e.*")
     return spark.read.option("multiLine", True).schema(f"elements array<{_ELEMENT}>").json(path).select(F.explode("elements").alias("e")).select("e.*")
 
 
