@@ -6,17 +6,20 @@ what WARC needs and ARC lacks: record identifiers from a digest of the record, I
 types, and payload and block digests. Of records with equal payloads of at least `least` bytes the one with the largest
 page number is the response; the others become revisits that refer to it.
 
-Archives are written by Spark's text writer, a record a row with the format's own separator as line separator, so writing
-commits and survives lost executors as any Spark output does, and they are read as binary files. Files are gzipped whole.
+Archives are written by Spark's text writer, a record a row, so writing commits and survives lost executors as any Spark
+output does, and they are read as binary files. Every record is a gzip member of its own, as readers that seek need it; the
+line separator between two rows is an empty member, which such readers pass over. An archive is as long as one partition of
+the pages, and is read member by member.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import quote
 
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import shared_path, stored
+from loomgrid.llm.common import shared_path, stored, texts_of
 
 V1 = "URL IP-address Archive-date Content-type Archive-length"
 V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
@@ -33,6 +36,34 @@ BROADCAST_ROWS = 50_000
 _RECORD = "page_id long, url string, ip string, stamp string, mime string, head binary, payload binary, payload_digest string"
 
 
+EMPTY = gzip.compress(b"", mtime=0)
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member."""
+    return gzip.compress(record, 5, mtime=0)
+
+
+def members(content: bytes, step: int = 1 << 14) -> Iterator[bytes]:
+    """What the members of a gzip file hold, one after the other; a plain file is one piece."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        unpack, out = zlib.decompressobj(31), []
+        while not unpack.eof and at < len(view):
+            out.append(unpack.decompress(view[at : at + step]))
+            at += min(step, len(view) - at)
+        at -= len(unpack.unused_data)
+        if any(out):
+            yield b"".join(out)
+
+
+def _save(rows: DataFrame, path: str) -> None:
+    rows.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
+
+
 def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
@@ -51,7 +82,8 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
         name, offset = f"part-{part:05d}.arc.gz", 0
         about = f"{kind} 0 loomgrid\n{V1 if kind == 1 else V2}\n".encode()
         tail = b"" if kind == 1 else f" 200 - - 0 {name}".encode()
-        first = [b"filedesc://" + name.encode() + b" 0.0.0.0 20000101000000 text/plain" + tail + b" %d\n" % len(about) + about]
+        first = [member(b"filedesc://" + name.encode() + b" 0.0.0.0 20000101000000 text/plain" + tail + b" %d\n" % len(about) + about + b"\n")]
+        offset = len(first[0]) + len(EMPTY)
         for batch in batches:
             out = first
             first = []
@@ -60,32 +92,29 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
                 stamp = (EPOCH + timedelta(seconds=(page_id or 0) % 10**9)).strftime("%Y%m%d%H%M%S")
                 where = quote(url, safe=":/?#[]@!$&'()*+,;=%~") if url else f"urn:page:{page_id}"
                 extra = "" if kind == 1 else f" 200 {sha1_base32(block)} - {offset} {name}"
-                out.append(f"{where} 127.0.0.1 {stamp} text/html{extra} {len(block)}\n".encode() + block)
-                offset += len(out[-1]) + 1
+                out.append(member(f"{where} 127.0.0.1 {stamp} text/html{extra} {len(block)}\n".encode() + block + b"\n"))
+                offset += len(out[-1]) + len(EMPTY)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
         if first:
             yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary())], ["value"])
 
-    rows = pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")).mapInArrow(records, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows = texts_of(pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary"))).mapInArrow(records, "value binary")
+    _save(rows, path)
 
 
-def _unpacked(content: bytes) -> bytes:
-    out = []
-    while content[:2] == b"\x1f\x8b":  # members of a gzip file, one or many
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(out) if out else content
+def arc_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
+    """Header fields and block of each record; the version block says which header line the others have."""
+    names = V1.split()
+    for data in pieces:
+        names = yield from _arc_piece(data, names)
 
 
-def arc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Header fields and block of each record; the version block says which header line the others have."""
-    at, names = 0, V1.split()
+def _arc_piece(data: bytes, names: list[str]) -> Generator[tuple[dict, bytes], None, list[str]]:
+    at = 0
     while at < len(data):
         end = data.find(b"\n", at)
         if end < 0:
-            return
+            break
         line = data[at:end].decode("utf-8", "replace").strip()
         at = end + 1
         if not line:
@@ -99,6 +128,7 @@ def arc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
             names = block.decode("utf-8", "replace").split("\n")[1].split()
             continue
         yield dict(zip(names, line.rsplit(" ", len(names) - 1), strict=True)), block
+    return names
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -110,7 +140,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows: list[tuple] = []
-                for fields, block in arc_records(_unpacked(content.as_py())):
+                for fields, block in arc_records(members(content.as_py())):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     number = next((h.split(b":", 1)[1].strip() for h in head.split(b"\r\n") if h.lower().startswith(b"x-page-id:")), b"")
                     rows.append((int(number) if number else None, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], head, payload, sha1_base32(payload)))
@@ -134,10 +164,14 @@ def with_roles(records: DataFrame, least: int = 0) -> DataFrame:
     able = F.length("payload") >= least
     if repeated.count() <= BROADCAST_ROWS:
         return records.join(F.broadcast(repeated), "payload_digest", "left").withColumn("original", F.when(able, F.col("original")))
-    salts = 16
-    spread = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = records.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    return salted.join(spread, ["payload_digest", "salt"], "left").drop("salt").withColumn("original", F.when(able, F.col("original")))
+    return _salted(records, repeated, "payload_digest").withColumn("original", F.when(able, F.col("original")))
+
+
+def _salted(rows: DataFrame, table: DataFrame, key: str, salts: int = 16) -> DataFrame:
+    """rows left join table on a key that a third of the rows may share."""
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    return salted.join(spread, [key, "salt"], "left").drop("salt")
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -150,7 +184,7 @@ def write_warc(records: DataFrame, path: str) -> None:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         about = b"software: loomgrid\r\nformat: WARC File Format 1.1\r\n"
-        out = [b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % (str(uuid.UUID(int=0, version=5)).encode(), len(about)) + about]
+        out = [member(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:%s>\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % (str(uuid.UUID(int=0, version=5)).encode(), len(about)) + about + b"\r\n\r\n")]
         for batch in batches:
             for row in batch.to_pylist():
                 s = row["stamp"]
@@ -164,12 +198,12 @@ def write_warc(records: DataFrame, path: str) -> None:
                 if revisit:
                     lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(row['original'], row['payload_digest'])}"]
                 lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-                out.append("\r\n".join(lines).encode() + b"\r\n\r\n" + block)
+                out.append(member("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
             out = []
 
     rows = records.select("page_id", "url", "ip", "stamp", "head", "payload", "payload_digest", "original").mapInArrow(build, "value binary")
-    rows.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    _save(rows, path)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict, bytes]]:
@@ -193,7 +227,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for f, block in warc_records(_unpacked(content.as_py())):
+                for f, block in (r for piece in members(content.as_py()) for r in warc_records(piece)):
                     if f["warc-type"] == "warcinfo":
                         continue
                     head, _, payload = block.partition(b"\r\n\r\n")
@@ -202,6 +236,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     full = f["warc-type"] == "response"
                     intact = f["warc-block-digest"] == f"sha1:{sha1_base32(block)}" and (not full or sha1_base32(payload) == digest)
                     rows.append((int(number) if number else None, f["warc-target-uri"], f["warc-record-id"], f["warc-type"], digest, len(payload) if full else int(f["x-payload-length"]), f.get("warc-refers-to"), f["warc-date"], intact))
+                    if len(rows) == 5000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -211,7 +248,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def convert(pages: DataFrame, least: int = 0) -> DataFrame:
     """pages -> ARC -> WARC -> the records read back, with refers_to as page number.
 
-    Rows that repeat the largest page_id of a payload are all responses. A null page_id has no number in the archive and
+    Rows that repeat the largest page_id of a payload are all responses, and rows of equal page_id and payload have one record
+    identifier. A null page_id has no number in the archive and
     comes back null. Null and empty html are empty payloads. Other columns are ignored.
     """
     spark = pages.sparkSession
@@ -221,7 +259,10 @@ def convert(pages: DataFrame, least: int = 0) -> DataFrame:
     back = stored(read_warc(spark, warc), "records")
     targets = back.where(F.col("record_type") == "response").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to")).distinct()
     revisits = back.where(F.col("refers_id").isNotNull()).select("refers_id").distinct()
-    return back.join(targets.join(revisits, "refers_id", "left_semi"), "refers_id", "left")
+    meant = stored(targets.join(revisits, "refers_id", "left_semi"), "responses")
+    if meant.count() <= BROADCAST_ROWS:
+        return back.join(F.broadcast(meant), "refers_id", "left")
+    return _salted(back, meant, "refers_id")
 
 
 def op4_warc(spark, sf_dir: str) -> DataFrame:
