@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgrid.sources.tables import shared_folder
+
 U64 = np.uint64
 _GOLD, _M1, _M2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 #: Bytes that separate words: space and the controls from tab to carriage return.
@@ -43,13 +44,21 @@ def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    The setting is read from the session. Only where it is unset, as in tests on one machine, a temporary folder is used.
+    Only on one machine, as in tests, may the setting be missing; there a temporary folder is used.
+    """
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def texts_of(df: DataFrame) -> DataFrame:
+    """The frame, for a function over Arrow batches of whole texts.
+
+    Spark's default of ten thousand rows a batch is made for numbers; of texts, a tenth is enough, and bounds what the JVM and a
+    Python worker hold at once. A session that sets its own size keeps it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="spark-loomgrid-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, "1000")
+    return df
 
 
 def cut(df: DataFrame) -> DataFrame:

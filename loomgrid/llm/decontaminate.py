@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import LOWER, SPACES, U64, flat, slices, word_hashes
+from loomgrid.llm.common import LOWER, SPACES, U64, flat, slices, texts_of, word_hashes
 
 #: Bytes that separate terms: blanks and ASCII punctuation.
 APART = SPACES.copy()
@@ -100,7 +100,7 @@ def frequencies(docs: DataFrame, items: Items, width: int) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], ["term", "n"])
 
     out = np.zeros(len(items.terms) + 1, np.int64)
-    for r in docs.select(F.col("text").cast("binary")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in texts_of(docs.select(F.col("text").cast("binary"))).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n  # one row for each term of the block
     return out[:-1], int(out[-1])
 
@@ -143,7 +143,7 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, matrix: np.ndar
         return pa.table({"term": [key[0].as_py()], "y": [total.astype(np.float32).tobytes()]})
 
     z = np.zeros((n_terms, block))
-    for r in docs.select(F.col("text").cast("binary")).mapInArrow(product, "term long, y binary").groupBy("term").applyInArrow(add, "term long, y binary").toLocalIterator():
+    for r in texts_of(docs.select(F.col("text").cast("binary"))).mapInArrow(product, "term long, y binary").groupBy("term").applyInArrow(add, "term long, y binary").toLocalIterator():
         z[r.term] = np.frombuffer(r.y, np.float32)
     _, size, own = np.linalg.svd(matrix, full_matrices=False)
     own = own[size > size.max(initial=0) * 1e-6].T
@@ -248,7 +248,7 @@ def flag_block(docs: DataFrame, corpus: DataFrame, items: Items, width: int, ran
     sizes = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "leaks")
     kept = [f"`{f.name}`" for f in docs.schema.fields if f.name != "leaks"]
     frame = docs.select(*kept, F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
-    return frame.mapInArrow(search, f"{sizes + ', ' if kept else ''}leaks {LEAKS}")
+    return texts_of(frame).mapInArrow(search, f"{sizes + ', ' if kept else ''}leaks {LEAKS}")
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, width: int = 48, rank: int = 48, max_df: float = 0.02, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, block_items: int = 1000) -> DataFrame:

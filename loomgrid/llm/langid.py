@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import LOWER, flat, slices, word_spans
+from loomgrid.llm.common import LOWER, flat, slices, texts_of, word_spans
 
 BITS = 15
 UNKNOWN = "und"
@@ -69,7 +69,7 @@ def train(labelled: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list
         k, g = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(total[k, g])], ["k", "g", "n"])
 
-    counts = picked.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n"))
+    counts = texts_of(picked.select("lang", F.col("text").cast("binary").alias("text"))).mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n"))
     table = np.full((len(langs), 1 << BITS), 0.05)
     for r in counts.toLocalIterator():
         table[r.k, r.g] += r.n
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, penalty: float
     frame = docs.withColumns({"_text": F.coalesce(F.col("text"), F.lit("")).cast("binary"), "_letters": F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))})
     kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "languages")]
     names_sql = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return frame.select(*[f"`{f.name}`" for f in kept], "_text", "_letters").mapInArrow(run, f"{names_sql}, lang_pred string, score double, languages array<string>")
+    return texts_of(frame.select(*[f"`{f.name}`" for f in kept], "_text", "_letters")).mapInArrow(run, f"{names_sql}, lang_pred string, score double, languages array<string>")
 
 
 def identify(docs: DataFrame, folds: int = 5, rows_per_lang: int = ROWS_PER_LANG) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import LOWER, U64, components, flat, mix, picked, slices, stored, word_hashes
+from loomgrid.llm.common import LOWER, U64, components, flat, mix, picked, slices, stored, texts_of, word_hashes
 
 BANDS, ROWS = 48, 6
 _K1, _K2 = U64(0x9FB21C651E98DF25), U64(0xD1B54A32D192ED03)
@@ -103,7 +103,7 @@ def sketched(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
                     pa.ListArray.from_arrays(np.arange(0, bands * (hi - lo) + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1))),
                 ], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return texts_of(docs).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -118,7 +118,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
                     digest = np.asarray([mix(s ^ _K1).sum(dtype=U64) for s in sets], U64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(digest.astype(np.int64)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "digest", "shingles"])
 
-    return docs.mapInArrow(run, "node long, digest long, shingles binary")
+    return texts_of(docs).mapInArrow(run, "node long, digest long, shingles binary")
 
 
 def _shared(sets: list[np.ndarray], rows: np.ndarray, columns: int = 4096) -> np.ndarray:

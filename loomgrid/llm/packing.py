@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import stored
+from loomgrid.llm.common import stored, texts_of
 
 SEQUENCE = 1024
 END_ID = 2
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     frame = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return frame.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts_of(frame).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import stored
+from loomgrid.llm.common import stored, texts_of
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?][^>]*+>", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -190,7 +190,7 @@ def importances(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["host", "node", "content", "shape", "n", "mass", "beside", "prior"])
 
     sizes = pages.groupBy("host").agg(F.count("*").alias("m"))
-    found = pages.select("host", "html").mapInArrow(count, "host string, node long, content long, shape long, n long, mass double, beside double, prior double")
+    found = texts_of(pages.select("host", "html")).mapInArrow(count, "host string, node long, content long, shape long, n long, mass double, beside double, prior double")
     sums = [F.sum(c).alias(c) for c in ("n", "mass", "beside")]
     cells = stored(found.groupBy("host", "node", "content", "shape").agg(*sums, F.max("prior").alias("prior")), "cells")
     contents = cells.groupBy("host", "node", "content").agg(*sums, F.max("prior").alias("prior")).join(sizes, "host")
@@ -231,7 +231,7 @@ def extract(pages: DataFrame, broadcast_rows: int = 50_000) -> DataFrame:
     else:
         spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
         joined = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(32)).cast("int")).join(spread, ["host", "salt"], "left")
-    return joined.select("page_id", "url", "html", "cut").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return texts_of(joined.select("page_id", "url", "html", "cut")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html(spark, sf_dir: str) -> DataFrame:
