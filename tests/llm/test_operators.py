@@ -1,6 +1,7 @@
 """The corpus operators against brute force, round trips and held-out rows, on small tables."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -172,6 +173,21 @@ def test_archives_round_trip(spark, tmp_path):
         assert all(re.fullmatch(r"\d{14}", r.stamp) for r in read)
 
 
+def test_archives_are_members(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "same" if k % 3 else f"own {k}") for k in range(30)], "page_id long, url string, html string")
+    archives.write_arc(pages.coalesce(1), f"{tmp_path}/arc", 2)
+    content = next(Path(f"{tmp_path}/arc").glob("part-*")).read_bytes()
+    held = list(archives.members(content))
+    assert len(held) == 31 and b"".join(held) == gzip.decompress(content)
+    for fields, block in archives.arc_records(held):  # a reader that seeks finds each record at its offset
+        at = int(fields["Offset"])
+        assert next(archives.members(content[at:])).endswith(block + b"\n")
+    assert len(list(archives.arc_records([gzip.decompress(content)]))) == 30  # gzipped whole
+    monkeypatch.setattr(archives, "BROADCAST_ROWS", -1)
+    out = archives.convert(pages).collect()
+    assert {(r.page_id, r.refers_to) for r in out} == {(k, 29 if k % 3 and k != 29 else None) for k in range(30)}
+
+
 def test_archives_of_nothing(spark):
     assert archives.convert(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
