@@ -3,16 +3,19 @@
 1. The terms are the words of the benchmark items. Their document frequencies are counted over all passages of the corpus
    (windows of `width` words); words in more than `max_df` of the passages say little and go.
 2. A randomised SVD of the TF-IDF passages gives the latent space: the product of the passages' Gram matrix with a random
-   block is summed over the corpus term by term, and Nystroem's formula turns it into singular directions. The items are
-   passages of the same matrix; all directions they span are kept before those of the corpus, as they are what is sought.
-3. All overlapping passages with two of the terms are projected and compared with all items by cosine; those above
+   block is summed over the corpus term by term, its orthonormal basis goes through the same product again (a power iteration),
+   and Nystroem's formula turns the result into singular directions. The items are passages of the same matrix; all
+   directions they span are kept before those of the corpus, as they are what is sought.
+3. All overlapping passages with two of the terms, or with a term that makes a whole item, are projected and compared with all items by cosine; those above
    `cosine` are candidates.
 4. A candidate is confirmed on the words themselves: the longest common subsequence of the item and some stretch of the
    document half as long again must have `lcs` of the item, and that of its answer, the last quarter, `answer` of it. So
    insertions, omissions and changed words are found, not only copies.
 
-The corpus is read three times a block and never shuffled. The items are a stated query set, taken in blocks of about
-`block_items`; what is broadcast is one block's terms and as many directions as it has items, bounded by the block.
+Items of one or two words are no passages: such an item is a leak where a document's words are just the item's.
+
+The corpus is read four times a block and never shuffled. The items are a stated query set, taken in blocks of about
+`block_words` words; what is broadcast is one block's terms by as many directions as it has items, bounded by the block's words.
 """
 
 from __future__ import annotations
@@ -121,14 +124,14 @@ def _spread(passage: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, matrix: np.ndarray, width: int, rank: int) -> np.ndarray:
+def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, matrix: np.ndarray, width: int, rank: int, power: int = 1) -> np.ndarray:
     """Orthonormal directions in term space (terms x rank): all those of the items first, then the corpus' leading ones."""
     n_terms = len(items.terms)
     block = min(rank + 8, n_terms)
     omega = np.random.default_rng(5).standard_normal((n_terms, block)).astype(np.float32)
 
-    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_terms, block), np.float32)
+    def product(batches: Iterator[pa.RecordBatch], omega: np.ndarray) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n_terms, omega.shape[1]), np.float32)
         for data, at in _rows(batches, 0):
             _, _, row, _, passage, term, count = _passages(data, at, items, width, width)
             w = _weights(passage, term, count, idf, len(row))
@@ -142,9 +145,18 @@ def latent_space(docs: DataFrame, items: Items, idf: np.ndarray, matrix: np.ndar
         total = np.sum([np.frombuffer(y, np.float32) for y in table.column("y").to_pylist()], axis=0, dtype=np.float64)
         return pa.table({"term": [key[0].as_py()], "y": [total.astype(np.float32).tobytes()]})
 
-    z = np.zeros((n_terms, block))
-    for r in texts_of(docs.select(F.col("text").cast("binary"))).mapInArrow(product, "term long, y binary").groupBy("term").applyInArrow(add, "term long, y binary").toLocalIterator():
-        z[r.term] = np.frombuffer(r.y, np.float32)
+    def gram(omega: np.ndarray) -> np.ndarray:
+        """The passages' Gram matrix times a block, one row for each term."""
+        z = np.zeros((n_terms, omega.shape[1]))
+        rows = texts_of(docs.select(F.col("text").cast("binary"))).mapInArrow(lambda batches: product(batches, omega), "term long, y binary").groupBy("term").applyInArrow(add, "term long, y binary")
+        for r in rows.toLocalIterator():
+            z[r.term] = np.frombuffer(r.y, np.float32)
+        return z
+
+    z = gram(omega)
+    for _ in range(power):
+        omega = np.ascontiguousarray(np.linalg.qr(z)[0].astype(np.float32))
+        z = gram(omega)
     _, size, own = np.linalg.svd(matrix, full_matrices=False)
     own = own[size > size.max(initial=0) * 1e-6].T
     core = omega.T.astype(np.float64) @ z
@@ -200,13 +212,17 @@ def flag_block(docs: DataFrame, corpus: DataFrame, items: Items, width: int, ran
         listed = [w.tolist() for w in items.words]
         tails = [w[-max(1, len(w) // 4) :].tolist() for w in items.words]
         whole = [(_masks(w.tolist()), len(w)) for w in items.words]
+        alone = np.zeros(max(1, len(items.terms)), bool)  # terms that make a whole item
+        for w in items.words:
+            own = np.unique(np.searchsorted(items.terms, w[np.isin(w, items.terms)]))
+            alone[own] |= len(own) == 1
         ends = [(_masks(t), len(t)) for t in tails]
         for batch in batches:
             data, at = flat(batch.column("_text"))
             leaks: list[list] = [[] for _ in range(len(at) - 1)]
             for lo, hi in slices(at):
                 hashes, first, row, place, passage, term, count = _passages(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo], items, width, width // 2)
-                few = np.bincount(passage, minlength=len(row))[passage] >= 2 if len(passage) else np.zeros(0, bool)
+                few = (np.bincount(passage, minlength=len(row))[passage] >= 2) | (np.bincount(passage, alone[term], minlength=len(row))[passage] > 0) if len(passage) else np.zeros(0, bool)
                 passage, term, count = passage[few], term[few], count[few]
                 if not len(passage):
                     continue
@@ -251,31 +267,48 @@ def flag_block(docs: DataFrame, corpus: DataFrame, items: Items, width: int, ran
     return texts_of(frame).mapInArrow(search, f"{sizes + ', ' if kept else ''}leaks {LEAKS}")
 
 
-def flag(docs: DataFrame, benchmark: DataFrame, width: int = 48, rank: int = 48, max_df: float = 0.02, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, block_items: int = 1000) -> DataFrame:
+def flag(docs: DataFrame, benchmark: DataFrame, width: int = 48, rank: int = 48, max_df: float = 0.02, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, block_words: int = 16_000) -> DataFrame:
     """docs with `leaks`: an array of (item_id, cosine, lcs), empty where the text holds no item.
 
-    Null and empty texts hold none. Items with null text or fewer than `3` words are no passages and are left out; equal
-    items are each reported. Repeated rows are each searched, at any length. Other columns pass through, except one
-    named `leaks`, which is replaced. An empty corpus or benchmark gives empty arrays.
+    Null and empty texts hold none, and items with null or empty text are in none; an item of one or two words is a leak only of
+    a text of just these words. Equal items are each reported. Repeated rows are each searched, at any length. Other columns
+    pass through, except one named `leaks`, which is replaced. An empty corpus or benchmark gives empty arrays.
     """
-    count = benchmark.count()
-    blocks = max(1, -(-count // block_items))
-    out = None
+    held = benchmark.agg(F.sum(F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))).alias("words"), F.count("*").alias("n")).first()
+    blocks = max(1, -(-(held.words or 0) // block_words))
+    out = docs.withColumn("leaks", F.array().cast(LEAKS))
+    short: dict[tuple, list[int]] = {}
     for b in range(blocks):  # a stated query set against all rows, in blocks
         rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").orderBy("item_id", "text").collect()
         words = _read([r.text for r in rows])
+        for r, w in zip(rows, words, strict=True):
+            if 0 < len(w) < 3:
+                short.setdefault(tuple(w.tolist()), []).append(r.item_id)
         use = [i for i, w in enumerate(words) if len(w) >= 3]
-        items = Items([rows[i].item_id for i in use], [words[i] for i in use], np.unique(np.concatenate([words[i] for i in use])) if use else np.zeros(0, U64))
-        if not use:
-            part = (docs if out is None else out).withColumn("leaks", F.array().cast(LEAKS)) if out is None else out
-        elif out is None:
-            part = flag_block(docs, docs, items, width, rank, max_df, cosine, lcs, answer)
-        else:
-            before = out.withColumnRenamed("leaks", "_before")
-            part = flag_block(before, docs, items, width, rank, max_df, cosine, lcs, answer)
-            part = part.withColumn("leaks", F.concat("_before", "leaks")).drop("_before")
-        out = part
-    return out
+        if use:
+            items = Items([rows[i].item_id for i in use], [words[i] for i in use], np.unique(np.concatenate([words[i] for i in use])))
+            out = flag_block(out.withColumnRenamed("leaks", "_before"), docs, items, width, rank, max_df, cosine, lcs, answer)
+            out = out.withColumn("leaks", F.concat("_before", "leaks")).drop("_before")
+    return _flag_short(out, short) if short else out
+
+
+def _flag_short(docs: DataFrame, short: dict[tuple, list[int]]) -> DataFrame:
+    """Add the items of one or two words to the leaks of texts that have no other words."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = flat(batch.column("_text"))
+            hashes, first = word_hashes(small_letters(data[at[0] : at[-1]]), at - at[0], APART)
+            leaks = [[{"item_id": i, "cosine": 1.0, "lcs": 1.0} for i in short.get(tuple(hashes[a:b].tolist()), [])] if 0 < b - a < 3 else [] for a, b in zip(first[:-1], first[1:], strict=True)]
+            names = [x for x in batch.schema.names if x != "_text"]
+            yield pa.RecordBatch.from_arrays([batch.column(x) for x in names] + [pa.array(leaks, pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())])))], [*names, "_more"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    # few texts are so short, and only they go through Python
+    brief = F.length(F.coalesce("text", F.lit(""))) <= 512
+    found = texts_of(docs.where(brief).withColumn("_text", F.coalesce("text", F.lit("")).cast("binary"))).mapInArrow(search, f"{kinds}, _more {LEAKS}")
+    found = found.withColumn("leaks", F.concat("leaks", "_more")).drop("_more")
+    return found.unionByName(docs.where(~brief))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
