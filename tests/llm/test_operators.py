@@ -79,8 +79,8 @@ def test_leaks_and_clean_documents(spark):
     changed[4], changed[15] = "other", "word"
     texts += [(100, prose(rnd, words, 90) + " " + items[2][1] + " " + prose(rnd, words, 90)), (101, items[3][1].upper()), (102, prose(rnd, words, 33) + " " + " ".join(changed)), (103, None), (104, ""), (105, items[2][1])]
     bench = spark.createDataFrame([*items, (50, None), (51, "")], "item_id long, text string")
-    for block in (5000, 3):
-        out = decontaminate.flag(docs(spark, texts), bench, block_items=block)
+    for block in (16_000, 90):
+        out = decontaminate.flag(docs(spark, texts), bench, block_words=block)
         assert {(r.doc_id, x.item_id) for r in out.collect() for x in r.leaks} == {(100, 2), (101, 3), (102, 5), (105, 2)}
         assert out.count() == len(texts) and "source" in out.columns
 
@@ -104,6 +104,60 @@ def test_leaks_of_thousands_of_items(spark):
     assert {(r.doc_id, x.item_id) for r in out.collect() for x in r.leaks} == want
 
 
+def test_short_and_repeating_items(spark):
+    items = [(1, "Yes"), (2, "no no no no no"), (3, "alpha beta"), (4, "alpha beta"), (5, ""), (6, None)]
+    texts = [(1, "yes."), (2, "well no no no no no indeed it is"), (3, "Alpha, beta!"), (4, "alpha beta gamma"), (5, "say yes to it"), (6, ""), (7, None), (8, "no")]
+    out = decontaminate.flag(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, x.item_id) for r in out for x in r.leaks} == {(1, 1), (2, 2), (3, 3), (3, 4)} and len(out) == len(texts)
+    none = decontaminate.flag(docs(spark, texts), spark.createDataFrame([], "item_id long, text string")).collect()
+    assert len(none) == len(texts) and not any(r.leaks for r in none)
+
+
+def brute_leaks(texts, items, lcs=0.7, answer=0.5):
+    """Every stretch of every text against every item."""
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for k, item in items:
+        w = words(item)
+        masks, tail = decontaminate._masks(w), w[-max(1, len(w) // 4) :]
+        ends = decontaminate._masks(tail)
+        for i, t in texts:
+            said = words(t)
+            if sum(x in set(said) for x in w) < lcs * len(w):
+                continue
+            for b in range(max(1, len(said) - len(w) + 1)):
+                part = said[b : b + len(w) + len(w) // 2]
+                if decontaminate.lcs_length(masks, len(w), part) >= lcs * len(w) and decontaminate.lcs_length(ends, len(tail), part) >= answer * len(tail):
+                    out.add((i, k))
+                    break
+    return out
+
+
+def test_leaks_against_all_pairs(spark):
+    rnd, words = random.Random(40), vocabulary(40, 2500)
+    items = [(k, prose(rnd, words, rnd.randint(12, 45))) for k in range(60)]
+    texts = [(i, prose(rnd, words, rnd.randint(1, 250))) for i in range(40)]
+    for k, item in items:  # copies, changed words, omissions, additions, a moved answer
+        said = item.split()
+        kind = k % 5
+        for _ in range(len(said) // 6):
+            at = rnd.randrange(len(said))
+            if kind == 1:
+                said[at] = rnd.choice(words)
+            elif kind == 2:
+                del said[at]
+            elif kind == 3:
+                said.insert(at, rnd.choice(words))
+        if kind == 4:
+            said = said[-len(said) // 6 :] + said[: -len(said) // 6]
+        texts.append((1000 + k, f"{prose(rnd, words, rnd.randint(0, 150))} {' '.join(said)} {prose(rnd, words, rnd.randint(0, 150))}"))
+    want = brute_leaks(texts, items)
+    got = {(r.doc_id, x.item_id) for r in decontaminate.flag(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect() for x in r.leaks}
+    assert got <= want and len(got) >= 0.95 * len(want) > 40
+    for kind in range(4):
+        assert sum(i >= 1000 and i % 5 == kind for i, _ in got) >= 11
+
+
 def test_common_subsequences():
     rnd = random.Random(1)
     for _ in range(50):
