@@ -1,5 +1,6 @@
 """Scripts, responses, names and captions on small rows."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.functions import text as T
@@ -69,3 +70,54 @@ def test_inference_errors_stay_in_their_row(spark):
 
     out = {r.k: (r.response, r.error) for r in S.batch_infer(spark.createDataFrame([(1, "ok"), (2, "bad")], "k long, prompt string"), "k", score).collect()}
     assert out == {1: ("OK", None), 2: (None, "no")}
+
+
+def test_sources_that_are_not_there(spark, tmp_path):
+    from loomgrid.sources import tables as S
+
+    assert S.read_templates(spark, f"{tmp_path}/none.json").count() == 0
+    assert S.read_elements(spark, f"{tmp_path}/none.json").count() == 0
+    (tmp_path / "roads.json").write_text('{"elements": [{"type": "way", "id": 1}]}')
+    assert S.read_elements(spark, f"{tmp_path}/roads.json").first().id == 1
+    import gzip
+
+    (tmp_path / "roads.json.gz").write_bytes(gzip.compress(b'{"elements": [{"type": "way", "id": 2}]}'))
+    assert [r.id for r in S.read_elements(spark, f"{tmp_path}/roads.json").collect()] == [2]
+
+
+def test_blank_scripts(spark, tmp_path):
+    from loomgrid.sources import tables as S
+
+    (tmp_path / "a.txt").write_text("0:01 - hello")
+    (tmp_path / "b.txt").write_text(" \n\t")
+    assert [r.raw for r in S.read_scripts(spark, f"{tmp_path}/*.txt", blank="drop").collect()] == ["0:01 - hello"]
+    with pytest.raises(Exception, match="empty"):
+        S.read_scripts(spark, f"{tmp_path}/*.txt").collect()
+
+
+def test_manifests(spark):
+    from loomgrid.operators import scripts as P
+
+    moments = spark.createDataFrame([(1, 0), (1, 4), (2, 1)], "script_id long, line_index long")
+    said = spark.createDataFrame([(1, 10), (1, 11)], "script_id long, pos long")
+    outputs = spark.createDataFrame([(1, 11, "b"), (1, 10, "a")], "script_id long, first_pos long, file_name string")
+    out = {r.script_id: r for r in P.manifests({"density": "light"}, moments, said, outputs).collect()}
+    assert (out[1].total_moments_detected, out[1].total_suggestions_generated, out[1].total_memes_output) == (2, 2, 2)
+    assert [m.file_name for m in out[1].memes] == ["a", "b"] and out[1].config == {"density": "light"}
+    assert (out[2].total_moments_detected, out[2].total_memes_output, out[2].memes) == (1, 0, [])
+
+
+def test_names_that_hold_each_other(spark):
+    from loomgrid.operators import templates as M
+
+    names = ["", "a", "ab", "big cat", "the big cat sat", "dog", "do", "zz zz", "CAT"]
+    t = spark.createDataFrame([(k, n) for k, n in enumerate(["cat", "a big cat sat down", "Dog", "do", "xyz", "x"])], "tpl_pos long, name string")
+    out = {r.q: (r.tpl_pos, r.tier) for r in M.tpl_fuzzy(spark.createDataFrame([(k, n) for k, n in enumerate(names)], "q_id long, q string"), t).join(spark.createDataFrame([(k, n) for k, n in enumerate(names)], "q_id long, q string"), "q_id").collect()}
+    listed = [(k, n.lower()) for k, n in enumerate(["cat", "a big cat sat down", "Dog", "do", "xyz", "x"])]
+    for q in names:
+        low = q.lower()
+        exact = [k for k, n in listed if n == low]
+        held = [k for k, n in listed if n in low or low in n]
+        shared = [(-len(set(low.split()) & set(n.split())), k) for k, n in listed if set(low.split()) & set(n.split())]
+        want = (max(exact), 1) if exact else (min(held), 2) if held else (min(shared)[1], 3) if shared else (None, None)
+        assert out[q] == want, q
