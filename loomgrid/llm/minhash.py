@@ -121,7 +121,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     return texts_of(docs).mapInArrow(run, "node long, digest long, shingles binary")
 
 
-def _shared(sets: list[np.ndarray], rows: np.ndarray, columns: int = 4096) -> np.ndarray:
+def _shared(sets: list[np.ndarray], rows: np.ndarray, columns: int = 1024) -> np.ndarray:
     """Sizes of the intersections of the sets `rows` with all sets, by products of their rows over the shingles that two have."""
     every = np.concatenate(sets)
     which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
