@@ -19,9 +19,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null lang becomes the language that was found.
     """
     langs, table = langid.train(docs.where(~langid.held_out()))
-    found = langid.predict(docs, langs, table)
-    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 1 / 3))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score", "languages") if c in docs.columns}
+    found = langid.predict(docs.withColumnsRenamed(own), langs, table)
+    found = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") > 1 / 3)).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return found.drop("lang_pred", "score", "languages").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    found = decontaminate.flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("leaks") == 0).select(*docs.columns)
+    own = {"leaks": "_own_leaks"} if "leaks" in docs.columns else {}
+    found = decontaminate.flag(docs.withColumnsRenamed(own), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("leaks") == 0).drop("leaks").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,15 +218,15 @@ def find(docs: DataFrame, precision: float = 0.95) -> DataFrame:
 def find_spans(docs: DataFrame, precision: float = 0.95) -> DataFrame:
     """find() without the texts: they are searched once, and what was found is stored for the trees and for the result."""
     proposed = candidates(base_spans(docs.drop("base", "candidates", "added").withColumn("text", F.coalesce("text", F.lit("")))))
-    return _decided(stored(proposed.withColumn("held", _fold()).drop("text"), "candidates"), precision).drop("held")
+    return _decided(stored(proposed.withColumn("_fold", _fold()).drop("text"), "candidates"), precision, F.col("_fold")).drop("_fold")
 
 
 def _fold() -> Column:
     return F.pmod(F.xxhash64("text"), F.lit(4)) == 0
 
 
-def _decided(proposed: DataFrame, precision: float) -> DataFrame:
-    fold = F.col("held") if "held" in proposed.columns else _fold()
+def _decided(proposed: DataFrame, precision: float, fold: Column | None = None) -> DataFrame:
+    fold = _fold() if fold is None else fold
     each = proposed.select(fold.alias("held"), F.explode("candidates").alias("c"))
     told = _bit(F.col("c.pattern"), _NAMED) | _bit(F.col("c.pattern"), _ASSIGNED)
     label = F.when(~F.col("c.sound"), 0.0).when(told, 1.0)
@@ -255,8 +255,12 @@ def _decided(proposed: DataFrame, precision: float) -> DataFrame:
 
 
 def redact(docs: DataFrame, precision: float = 0.95) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets, overlapping spans by the first of them; n_chars follows."""
-    found = find(docs, precision)
+    """docs with every span of text replaced by its kind in brackets, overlapping spans by the first of them; n_chars follows.
+
+    All other columns stay, those with names that find() uses too.
+    """
+    own = {c: f"_own_{c}" for c in ("base", "candidates", "added") if c in docs.columns}
+    found = find(docs.withColumnsRenamed(own), precision)
     names = F.array(*[F.lit(k) for k in KINDS])
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.get(names, s["kind"]).alias("kind")))
     more = F.transform("added", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
@@ -267,7 +271,7 @@ def redact(docs: DataFrame, precision: float = 0.95) -> DataFrame:
 
     spans_ = F.sort_array(F.concat(base, more))
     text = F.aggregate(spans_, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = found.withColumn("text", F.when(F.size("base") + F.size("added") > 0, text).otherwise(F.col("text"))).drop("base", "added")
+    out = found.withColumn("text", F.when(F.size("base") + F.size("added") > 0, text).otherwise(F.col("text"))).drop("base", "added").withColumnsRenamed({v: k for k, v in own.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(*[f"`{c}`" for c in docs.columns])
