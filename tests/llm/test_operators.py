@@ -351,6 +351,81 @@ def test_languages(spark):
     assert nothing.count() == 0
 
 
+def plain_mixture(logs, weights, rounds=8, penalty=12.0):
+    """The same EM and elimination, word by word."""
+    k = len(logs[0])
+
+    def em(use):
+        p = [u / sum(use) for u in use]
+        like = [[2.718281828459045 ** (x - max(row)) for x in row] for row in logs]
+        for _ in range(rounds if sum(use) > 1 else 0):
+            new = [0.0] * k
+            for row, w in zip(like, weights):
+                total = sum(a * b for a, b in zip(row, p))
+                for j in range(k):
+                    new[j] += w * p[j] * row[j] / total
+            p = [x / sum(new) for x in new]
+        return p, sum(w * np.log(sum(a * b for a, b in zip(row, p))) for row, w in zip(like, weights))
+
+    use = [1.0] * k
+    p, best = em(use)
+    fewer = [float(x >= 0.02) for x in p]
+    if 0 < sum(fewer) < k:
+        q, fit = em(fewer)
+        if best - fit <= penalty:
+            use, p, best = fewer, q, fit
+    while sum(use) > 1:
+        low = min((j for j in range(k) if use[j]), key=lambda j: p[j])
+        fewer = [0.0 if j == low else u for j, u in enumerate(use)]
+        q, fit = em(fewer)
+        if best - fit > penalty:
+            break
+        use, p, best = fewer, q, fit
+    return p
+
+
+def test_mixtures_by_hand():
+    rnd = np.random.default_rng(6)
+    for n in (1, 3, 20, 60):
+        logs = -rnd.random((n, 4)) * 20
+        logs[: n // 2, 1] += 8
+        weights = rnd.random(n) + 0.5
+        assert np.allclose(langid.mixture(logs, weights), plain_mixture(logs.tolist(), weights.tolist()), atol=1e-6)
+    tied = np.tile(np.asarray([[-1.0, -1.0, -5.0]]), (9, 1))  # the first of equals goes first
+    assert np.allclose(langid.mixture(tied, np.ones(9)), [0, 1, 0])
+
+
+def test_very_long_texts(spark):
+    rnd, words = random.Random(50), vocabulary(50, 900)
+    long = prose(rnd, words, 150_000)
+    rows = [(1, long), (2, long + " end"), (3, prose(rnd, words, 20)), (4, "x" * 400_000)]
+    removed = {r.doc_id: r.n_removed for r in suffixes.remove_repeats(docs(spark, rows)).collect()}
+    assert removed == {1: len(long), 2: len(long), 3: 0, 4: 400_000}
+    groups = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert groups == {1: 1, 2: 1, 3: 3, 4: 4}
+    item = " ".join(long.split()[100_000:100_030])
+    found = decontaminate.flag(docs(spark, rows), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r.doc_id for r in found if r.leaks} == {1, 2}
+    table = spark.createDataFrame([(i, t, "aa" if i < 4 else "bb") for i, t in rows * 3], "doc_id long, text string, lang string")
+    assert langid.identify(table).where("lang_pred <> 'und'").count() == 12
+    pages = spark.createDataFrame([(i, "http://a/", f"<nav>n</nav><article><p>{t}</p></article>") for i, t in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in sitetree.extract(pages).collect()} == dict(rows)
+    chats = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert chat.digests(chat.windows(chats)).first().loss_chars == len(long)
+
+
+def test_columns_of_clashing_names(spark):
+    extra = ["lang_pred", "score", "languages", "_text", "key", "bin", "host", "cut", "window", "at", "part", "payload", "original", "salt", "node", "centre", "w"]
+    widen = lambda df: df.withColumns({c: F.lit("clash") for c in extra if c not in df.columns})
+    rows = [(i, f"some words of text {i} here", "aa") for i in range(8)]
+    table = widen(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid.identify(table).count() == minhash.near_duplicates(table).count() == quality.score(table).count() == suffixes.remove_repeats(table).count() == 8
+    pages = widen(spark.createDataFrame([(1, "http://a/", "<p>x</p>"), (2, "http://a/2", None)], "page_id long, url string, html string"))
+    assert sitetree.extract(pages).columns == ["page_id", "url", "text", "n_chars"] and archives.convert(pages).count() == 2
+    chats = widen(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id long, turn long, role string, text string"))
+    assert chat.digests(chat.windows(chats)).first().n_turns == 2
+
+
 # 7: near-duplicates
 
 

@@ -99,3 +99,26 @@ def test_run_equals_plain_stages(spark, tmp_path):
     for held in bins.values():
         ends = [0, *(offset + n for offset, n in sorted(held))]
         assert [offset for offset, _ in sorted(held)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, leaks string, base string, key string, kept string"
+    plain = "words that say nothing much at all but are words of a text"
+    rows = [(1, plain, "aa"), (1, plain, "aa"), (1, "another text of the same number, with words of its own", None), (None, plain, "aa"), (None, None, None), (2, None, None), (3, "", "aa"), (4, "4 5 6", "aa"), (5, plain + " a@b.co", None)]
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, table in (("rows", rows), ("none", [])):
+        docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "x", "x", "x", "x") for i, t, lang in table], schema)
+        for stage, run in corpus_pipeline.STAGES:
+            run(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}-{stage}")
+            out = spark.read.parquet(f"{tmp_path}/{name}-{stage}")
+            if stage == "packing":
+                assert out.where("piece = 0").count() == docs.count()
+            else:
+                assert out.columns == docs.columns and out.where("leaks <> 'x' OR base <> 'x' OR key <> 'x' OR kept <> 'x'").count() == 0
+                docs = out
+            if name == "none":
+                assert out.count() == 0
+            elif stage == "language_id":  # those with letters, and each has a language
+                assert sorted((r.doc_id or 0, r.lang) for r in out.collect()) == [(0, "aa"), (1, "aa"), (1, "aa"), (1, "aa"), (5, "aa")]
+            elif stage == "near_duplicates":  # a row without a number stays, a repeated row goes
+                assert sorted((r.doc_id or 0, len(r.text)) for r in out.collect()) == [(0, len(plain)), (1, len(rows[2][1])), (1, len(plain))]
