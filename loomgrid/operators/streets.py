@@ -232,24 +232,23 @@ def relaxed_roads(vertices: DataFrame, nodes: DataFrame) -> DataFrame:
     return moved.select("road_id", "seq", "x", "y").withColumn("n", F.count("*").over(Window.partitionBy("road_id"))).where("n >= 2").drop("n")
 
 
-def _settled(points: list, rotation: float, iterations: int, anchor: float) -> list:
-    """A ring's vertices after relaxation; fewer than four stay."""
-    if len(points) < 4:
-        return points
-    home = np.asarray([(q["x"], q["y"]) for q in points])
-    at, after = home.copy(), np.roll(np.arange(len(home)), -1)
-    length = np.hypot(*(home[after] - home).T)
+def _settled(home: np.ndarray, rotation: float, iterations: int, anchor: float) -> np.ndarray:
+    """Rings of equally many vertices (rings x vertices x 2) after relaxation; fewer than four vertices stay."""
+    if home.shape[1] < 4:
+        return home
+    at = home.copy()
+    length = np.hypot(*np.moveaxis(np.roll(home, -1, axis=1) - home, 2, 0))
     pulls = length >= 1e-9
-    n = pulls.astype(float) + np.roll(pulls, 1)
+    n = (pulls.astype(float) + np.roll(pulls, 1, axis=1))[..., None]
     for _ in range(iterations):
-        d = at[after] - at
-        bearing = np.degrees(np.arctan2(d[:, 0], d[:, 1])) % 360.0
+        after = np.roll(at, -1, axis=1)
+        bearing = np.degrees(np.arctan2(after[..., 0] - at[..., 0], after[..., 1] - at[..., 1])) % 360.0
         clean = np.radians((np.rint(((bearing - rotation) % 360.0) / 45.0) * 45.0 + rotation) % 360.0)
-        step = np.stack([np.sin(clean), np.cos(clean)], 1) * (length / 2)[:, None]
-        mid = (at + at[after]) / 2
-        total = np.where(pulls[:, None], mid - step, 0) + np.roll(np.where(pulls[:, None], mid + step, 0), 1, axis=0)
-        at = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None] * (1 - anchor) + home * anchor, at)
-    return [{**q, "x": float(x), "y": float(y)} for q, (x, y) in zip(points, at, strict=True)]
+        step = np.stack([np.sin(clean), np.cos(clean)], 2) * (length / 2)[..., None]
+        mid = (at + after) / 2
+        total = np.where(pulls[..., None], mid - step, 0) + np.roll(np.where(pulls[..., None], mid + step, 0), 1, axis=1)
+        at = np.where(n > 0, total / np.maximum(n, 1) * (1 - anchor) + home * anchor, at)
+    return at
 
 
 def ring_relax(rings: DataFrame, rotation: float, iterations: int = 60, anchor: float = 0.12) -> DataFrame:
@@ -260,7 +259,14 @@ def ring_relax(rings: DataFrame, rotation: float, iterations: int = 60, anchor:
 
     def run(batches):
         for pdf in batches:
-            pdf["p"] = [_settled([q if isinstance(q, dict) else q.asDict() for q in points], rotation, iterations, anchor) for points in pdf["p"]]
+            rings = [list(points) for points in pdf["p"]]
+            sizes = np.asarray([len(r) for r in rings])
+            for size in np.unique(sizes):  # rings of one size move together
+                which = np.flatnonzero(sizes == size)
+                home = np.asarray([[(q["x"], q["y"]) for q in rings[k]] for k in which])
+                for k, places in zip(which, _settled(home, rotation, iterations, anchor), strict=True):
+                    rings[k] = [{"idx": q["idx"], "x": float(x), "y": float(y)} for q, (x, y) in zip(rings[k], places, strict=True)]
+            pdf["p"] = rings
             yield pdf
 
     packed = _packed(rings.select("ring", "idx", "x", "y"), "ring", "idx")
