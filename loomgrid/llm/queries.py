@@ -6,6 +6,7 @@ from loomgrid.llm.decontaminate import op2_decontaminate
 from loomgrid.llm.langid import op6_langid
 from loomgrid.llm.minhash import op7_minhash
 from loomgrid.llm.packing import op5_packing
+from loomgrid.llm.periods import op13_periods
 from loomgrid.llm.pii import op8_pii
 from loomgrid.llm.quality import op3_quality
 from loomgrid.llm.sitetree import op10_html
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_html": op10_html,
+    "op13_periods": op13_periods,
 }
 ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL}
