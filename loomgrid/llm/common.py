@@ -127,6 +127,20 @@ def word_hashes(data: np.ndarray, at: np.ndarray, apart: np.ndarray = SPACES) ->
         return mix(total + length.astype(U64) * _GOLD), first
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside, and as it was afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextmanager
 def interpreted(spark: SparkSession) -> Iterator[None]:
     """Many small plans in a row: compiling each of them costs more time and driver memory than it saves."""

@@ -4,6 +4,7 @@ from loomgrid.llm.archives import OP4_SQL, op4_warc
 from loomgrid.llm.chat import op9_chat
 from loomgrid.llm.decontaminate import op2_decontaminate
 from loomgrid.llm.langid import op6_langid
+from loomgrid.llm.merkle import OP12_SQL, op12_merkle
 from loomgrid.llm.minhash import op7_minhash
 from loomgrid.llm.packing import op5_packing
 from loomgrid.llm.periods import op13_periods
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_html": op10_html,
+    "op12_merkle": op12_merkle,
     "op13_periods": op13_periods,
 }
-ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": OP4_SQL, "op12_merkle": OP12_SQL}
