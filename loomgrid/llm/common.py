@@ -8,7 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgrid.sources.tables import shared_folder
@@ -74,6 +74,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """Add `at`, the number of a row in its group in this order, and `n`, the rows of the group; equal rows take any order.
+
+    Rows are range-partitioned, so a large group lies in many parts; only the sizes of a group's parts are summed.
+    """
+    parted = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
+    parted = stored(parted.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "numbered")
+    sizes = parted.groupBy(group, "part").agg(F.count("*").alias("k"), F.min("row").alias("row0"))
+    w = Window.partitionBy(group)
+    first = F.coalesce(F.sum("k").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(group, "part", "row0", first.alias("first"), F.sum("k").over(w).alias("n"))
+    return parted.join(sizes.hint("merge"), [group, "part"]).withColumn("at", F.col("first") + F.col("row") - F.col("row0")).drop("part", "row", "row0", "first")
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> DataFrame:
     """Total UTF-8 bytes and rows, in one row."""
     return df.agg(F.sum(F.octet_length(F.coalesce(F.col(column), F.lit("")))).alias("bytes"), F.count("*").alias("rows"))

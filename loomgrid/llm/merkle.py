@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrid.llm.common import setting, stored
+from loomgrid.llm.common import numbered, setting, stored
 
 FAN = 16
 #: Rows of the climb that one copy of a node serves.
@@ -55,20 +55,6 @@ def leaves(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     return rows.select("doc_id", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("tree"), sealed({}).alias("leaf"), sealed({"text": tampered}).alias("changed"))
 
 
-def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    """Add `at`, the number of a row in its group in this order, and `n`, the rows of the group; equal rows take any order.
-
-    Rows are range-partitioned, so a large group lies in many parts; only the sizes of a group's parts are summed.
-    """
-    parted = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
-    parted = stored(parted.withColumns({"part": F.spark_partition_id(), "row": F.monotonically_increasing_id()}), "numbered")
-    sizes = parted.groupBy(group, "part").agg(F.count("*").alias("k"), F.min("row").alias("row0"))
-    w = Window.partitionBy(group)
-    first = F.coalesce(F.sum("k").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(group, "part", "row0", first.alias("first"), F.sum("k").over(w).alias("n"))
-    return parted.join(sizes, [group, "part"]).withColumn("at", F.col("first") + F.col("row") - F.col("row0")).drop("part", "row", "row0", "first")
-
-
 def _name(kind: str, level: int, at: Column, tree: Column) -> Column:
     return F.concat(F.lit(f"{kind}{level}:"), at.cast("string"), F.lit(":"), tree)
 
@@ -124,7 +110,7 @@ CLIMB = """
 WITH RECURSIVE climb AS (
   SELECT run, members, proof, subroot, digest, up, up_slots FROM {runs}
   UNION ALL
-  SELECT c.run, transform(c.members, m -> named_struct('doc_id', m.doc_id, 'leaf', m.leaf, 'folded',
+  SELECT /*+ MERGE(n) */ c.run, transform(c.members, m -> named_struct('doc_id', m.doc_id, 'leaf', m.leaf, 'folded',
            unhex(sha2(concat(lower(hex(n.before)), lower(hex(m.folded)), lower(hex(n.behind))), 256)))),
          concat(c.proof, n.before, n.behind), CASE WHEN n.sub THEN n.digest ELSE c.subroot END, n.digest, n.up, n.up_slots
   FROM climb c JOIN {links} n ON n.id = c.up AND n.slot = pmod(c.run, c.up_slots)
