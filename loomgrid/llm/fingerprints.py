@@ -19,8 +19,10 @@ from loomgrid.llm.native import SPACE, let
 
 SEALS, SIGNS = 16, 128
 _BLANKS = " \t\n\x0b\f\r"
-#: Two counts of 32 bits in one number.
-_TWO = (1 << 32) | 1
+#: Pairs that a count of eight bits can hold, the highest of which has the sign.
+BLOCK = 127
+#: The lowest bit of each byte of a number, and the lowest byte of each of its halves.
+_EIGHT, _BYTES = 0x0101010101010101, 0x000000FF000000FF
 
 
 def pairs(paragraph: Column) -> Column:
@@ -38,21 +40,22 @@ def _wrapped(x: Column) -> Column:
 def vectors(rows: DataFrame, *keys: str) -> DataFrame:
     """rows (keys, paragraphs array) -> keys, vector (array of 144 numbers): the sum over all paragraphs of all rows of a key.
 
-    Keys may be null; a key without paragraphs has no row.
+    Number 16 + b is for bit b of a pair's hash (b < 64), number 80 + b for bit b of that hash hashed again. Keys may be null; a
+    key without paragraphs has no row. A pair's bits are counted eight to a number, in blocks of 127 pairs that no count can
+    outgrow, and the blocks' counts in 32 bits.
     """
-    each = rows.select(*keys, F.explode("paragraphs").alias("p"))
-    digest = F.sha2("p", 512)
-    seal = F.transform(F.sequence(F.lit(0), F.lit(SEALS - 1)), lambda k: F.conv(F.substring(digest, k * 8 + 1, F.lit(8)), 16, 10).cast("long"))
-    each = each.withColumn("seal", seal)  # once a paragraph: below the rows of its pairs
-    each = each.select(*keys, "seal", F.posexplode(pairs(F.col("p"))).alias("at", "h0")).withColumn("h1", F.xxhash64("h0"))
-    bits = lambda h, s: F.shiftrightunsigned(F.col(h), s).bitwiseAND(F.lit(_TWO))
-    sums = {f"h{k}_{s}": F.sum(bits(f"h{k}", s)) for k in (0, 1) for s in range(32)}
-    sums |= {f"s{k}": F.sum(F.when(F.col("at") == 0, F.get("seal", F.lit(k))).otherwise(F.lit(0))) for k in range(SEALS)}
-    told = each.groupBy(*keys).agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
-    one = lambda counted: (counted * 2 - F.col("n")).cast("long")
-    low = [one(F.col(c).bitwiseAND(F.lit((1 << 32) - 1))) for c in sums if c[0] == "h"]
-    high = [one(F.shiftrightunsigned(F.col(c), 32)) for c in sums if c[0] == "h"]
-    return told.select(*keys, F.transform(F.array(*[F.col(f"s{k}") for k in range(SEALS)], *low, *high), _wrapped).alias("vector"))
+    each = rows.select(*keys, F.posexplode("paragraphs").alias("at", "p")).withColumn("seal", F.unhex(F.sha2("p", 512)))
+    blocks = let(pairs(F.col("p")), lambda hs: F.transform(F.sequence(F.lit(1), F.size(hs), F.lit(BLOCK)), lambda s: F.slice(hs, s, BLOCK)))
+    each = each.select(*keys, "at", "seal", F.posexplode(blocks).alias("block", "hs")).select(*keys, "at", "seal", "block", F.explode("hs").alias("h0")).withColumn("h1", F.xxhash64("h0"))
+    bits = lambda h, s: F.shiftrightunsigned(F.col(h), s).bitwiseAND(F.lit(_EIGHT))
+    counts = each.groupBy(*keys, "at", "block", "seal").agg(F.count("*").alias("n"), *[F.sum(bits(f"h{k}", s)).alias(f"c{k}_{s}") for k in (0, 1) for s in range(8)])
+    number = lambda k: F.conv(F.hex(F.substring("seal", 4 * k + 1, 4)), 16, 10).cast("long")
+    seals = [F.sum(F.when(F.col("block") == 0, number(k)).otherwise(F.lit(0))).alias(f"s{k}") for k in range(SEALS)]
+    wide = [F.sum(F.shiftrightunsigned(F.col(f"c{k}_{s}"), 8 * j).bitwiseAND(F.lit(_BYTES))).alias(f"w{k}_{s + 8 * j}") for k in (0, 1) for s in range(8) for j in range(4)]
+    told = counts.groupBy(*keys).agg(F.sum("n").alias("n"), *seals, *wide)
+    half = lambda k, b: F.shiftrightunsigned(F.col(f"w{k}_{b % 32}"), 32 if b >= 32 else 0).bitwiseAND(F.lit((1 << 32) - 1))
+    signs = [half(k, b) * 2 - F.col("n") for k in (0, 1) for b in range(64)]
+    return told.select(*keys, F.transform(F.array(*[F.col(f"s{k}") for k in range(SEALS)], *signs), _wrapped).alias("vector"))
 
 
 def added(a: Column, b: Column) -> Column:
@@ -67,7 +70,8 @@ def removed(a: Column, b: Column) -> Column:
 
 def encoded(vector: Column) -> Column:
     """A fingerprint as text: base64 of its numbers in 32 bits, the highest byte first."""
-    return F.base64(F.unhex(F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(F.pmod(x, F.lit(1 << 32))), 8, "0")), "")))
+    numbers = F.array_join(F.transform(vector, lambda x: F.lpad(F.hex(F.pmod(x.cast("long"), F.lit(1 << 32))), 8, "0")), "")
+    return F.replace(F.base64(F.unhex(numbers)), F.lit("\r\n"), F.lit(""))
 
 
 def likeness(a: Column, b: Column) -> Column:

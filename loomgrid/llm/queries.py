@@ -3,6 +3,7 @@
 from loomgrid.llm.archives import OP4_SQL, op4_warc
 from loomgrid.llm.chat import op9_chat
 from loomgrid.llm.decontaminate import op2_decontaminate
+from loomgrid.llm.fingerprints import op11_fingerprints
 from loomgrid.llm.langid import op6_langid
 from loomgrid.llm.merkle import OP12_SQL, op12_merkle
 from loomgrid.llm.minhash import op7_minhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_html": op10_html,
+    "op11_fingerprints": op11_fingerprints,
     "op12_merkle": op12_merkle,
     "op13_periods": op13_periods,
 }
