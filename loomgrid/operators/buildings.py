@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import geometry as G
+from loomgrid.operators.ordering import prefix_sums
 from loomgrid.operators.streets import segments
 
 #: Kinds of building with pitched roofs, and limits of walls.
@@ -237,27 +238,10 @@ def frontage_rank(walls: DataFrame, min_px: float = 200.0) -> DataFrame:
     return walls.where(F.col("visible_px") >= min_px).orderBy(F.desc("visible_px"), "pos")
 
 
-def prefix_sums(rows: DataFrame, value: str, order: str, parts: int = 64) -> DataFrame:
-    """Add place and running: number and sum of value down to each row, by value from large to small, then order.
-
-    Rows are dealt into ranges of the value by quantiles; each range is summed alone, and the sums of the ranges before it, one row a
-    range, are added. No task sees all rows.
-    """
-    cuts = sorted(set(rows.approxQuantile(value, [k / parts for k in range(1, parts)], 0.001)), reverse=True)
-    part = sum((F.when(F.col(value) < c, 1).otherwise(0) for c in cuts), F.lit(0))
-    dealt = rows.withColumn("_part", part)
-    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    before = totals.select("_part", F.coalesce(F.sum("_s").over(w), F.lit(0.0)).alias("_before"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_rows"))
-    inner = Window.partitionBy("_part").orderBy(F.desc(value), order)
-    out = dealt.join(F.broadcast(before), "_part").withColumn("place", F.row_number().over(inner) + F.col("_rows"))
-    return out.withColumn("running", F.sum(value).over(inner.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")).drop("_part", "_before", "_rows")
-
-
 def wall_concentration(walls: DataFrame, shares: tuple[float, ...] = (0.5, 0.8, 0.9)) -> DataFrame:
     """share, n: how many frontages from the top hold each share of all wall; all of them where none do."""
     total = walls.agg(F.coalesce(F.nullif(F.sum("visible_px"), F.lit(0.0)), F.lit(1.0)).alias("total"), F.count("*").alias("rows"))
-    summed = prefix_sums(walls, "visible_px", "pos").crossJoin(F.broadcast(total))
+    summed = prefix_sums(walls, [F.desc("visible_px"), F.col("pos")], "visible_px").crossJoin(F.broadcast(total))
     hits = [F.min(F.when(F.col("running") / F.col("total") >= s, F.col("place"))).alias(f"s{k}") for k, s in enumerate(sorted(shares))]
     row = summed.agg(*hits, F.max("rows").alias("rows"))
     each = F.array(*[F.struct(F.lit(s).alias("share"), F.coalesce(f"s{k}", "rows", F.lit(0)).cast("long").alias("n")) for k, s in enumerate(sorted(shares))])

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from loomgrid.functions import geometry as G
 from loomgrid.operators import buildings as B
 from loomgrid.operators import streets as R
+from loomgrid.operators.cells import Cells, fit
 from loomgrid.sources.tables import checkpointed
 
 
-def _cells(x0: Column, y0: Column, x1: Column, y1: Column, cell: float) -> Column:
-    """All cells that a box touches: array of (cx, cy)."""
-    span = lambda a, b: F.sequence(F.floor(a / cell).cast("long"), F.floor(b / cell).cast("long"))
-    return F.flatten(F.transform(span(x0, x1), lambda i: F.transform(span(y0, y1), lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+def _right_of(x: str, y: str) -> Column:
+    """Whether an edge meets the ray that runs from (x, y) to the right: at its lower end, not at its upper one, and not in the point.
+
+    Written without a division, so it is exact for whole numbers.
+    """
+    dx, dy, px, py = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col(x), F.col(y)
+    side = dx * (py - F.col("ay")) - dy * (px - F.col("ax"))
+    return ((F.col("ay") > py) != (F.col("by") > py)) & F.when(dy > 0, side > 0).otherwise(side < 0)
 
 
 def crossings(pairs: DataFrame, edges: DataFrame, cell: float = 500.0) -> DataFrame:
@@ -25,32 +30,64 @@ def crossings(pairs: DataFrame, edges: DataFrame, cell: float = 500.0) -> DataFr
     """
     rows = edges.where("ay <> by").withColumn("row", F.explode(F.sequence(F.floor(F.least("ay", "by") / cell).cast("long"), F.floor(F.greatest("ay", "by") / cell).cast("long"))))
     held = pairs.select("p_id", "x", "y", "r_id", F.floor(F.col("y") / cell).cast("long").alias("row")).join(rows, ["r_id", "row"])
-    crosses = ((F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))) & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
-    return held.where(crosses).groupBy("p_id", "r_id").count().where("count % 2 = 1").select("p_id", "r_id")
+    return held.where(_right_of("x", "y")).groupBy("p_id", "r_id").count().where("count % 2 = 1").select("p_id", "r_id")
+
+
+def boxes_of(edges: DataFrame, *key: str) -> DataFrame:
+    """The box x0, y0, x1, y1 of each key's edges."""
+    low, high = (lambda c, f=f, g=g: g(f(F.col(f"a{c}")), f(F.col(f"b{c}"))) for f, g in ((F.min, F.least), (F.max, F.greatest)))
+    return edges.groupBy(*key).agg(low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+
 
+def _local_crossings(x1: Column, y0: Column) -> Column:
+    """How often an edge meets the way from a cell's right lower corner (x1, y0) up its right side and left to the point (x, y).
 
-def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float = 500.0) -> DataFrame:
+    What lies exactly on the way counts as if the side stood a little to the right and the way left a little higher, the latter
+    less; both tests share one product, so no edge through the bend is counted by neither.
+    """
+    ax, ay, bx, by, y = (F.col(c) for c in ("ax", "ay", "bx", "by", "y"))
+    dx, dy = bx - ax, by - ay
+    bend, corner = dx * (y - ay) - dy * (x1 - ax), dx * (y0 - ay) - dy * (x1 - ax)
+    left = _right_of("x", "y") & F.when(dy > 0, bend <= 0).otherwise(bend >= 0)
+    up, low, rise = F.when(dx > 0, bend).otherwise(-bend), F.when(dx > 0, corner).otherwise(-corner), dx * dy
+    side = ((ax > x1) != (bx > x1)) & ((up > 0) | ((up == 0) & (rise <= 0))) & ((low < 0) | ((low == 0) & (rise > 0)))
+    return F.coalesce(left, F.lit(False)).cast("int") + F.coalesce(side, F.lit(False)).cast("int")
+
+
+def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float = 500.0, most: int | None = None) -> DataFrame:
     """points (p_id, x, y), edges (r_id, ax, ay, bx, by) of closed rings -> p_id, r_id: even-odd, so holes count as outside.
 
-    Points and the boxes of regions meet on cells; only then does a point meet the edges of the regions around it.
+    Points and regions meet on cells that are split where the points are many. Whether a cell's right lower corner is inside is
+    worked out once for each region and cell; a point then meets only the edges within its own cell, and none in cells that a
+    region fills.
     """
-    boxes = edges.groupBy("r_id").agg(F.least(F.min("ax"), F.min("bx")).alias("x0"), F.least(F.min("ay"), F.min("by")).alias("y0"), F.greatest(F.max("ax"), F.max("bx")).alias("x1"), F.greatest(F.max("ay"), F.max("by")).alias("y1"))
-    placed = boxes.select("*", F.explode(_cells(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), cell)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
-    at = points.select("p_id", "x", "y", F.floor(F.col("x") / cell).cast("long").alias("cx"), F.floor(F.col("y") / cell).cast("long").alias("cy"))
-    near = at.join(placed, ["cx", "cy"]).where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1").select("p_id", "x", "y", "r_id")
-    return crossings(near, edges, cell)
+    cells = fit(points, cell, cell / 256, most)
+    at = ["lv", "ci", "cj"]
+    placed = cells.of_points(points.select("p_id", "x", "y"))
+    local = cells.of_segments(edges.select("r_id", "ax", "ay", "bx", "by"))
+    cover = cells.of_boxes(boxes_of(edges, "r_id")).select("r_id", *at)
+    _, y0, x1, _ = cells.box()
+    corners = cover.select(F.struct("r_id", *at).alias("p_id"), "r_id", x1.alias("x"), y0.alias("y"))
+    odd = crossings(corners, edges, cell).select("p_id.*").withColumn("odd", F.lit(1))
+    edged = local.select("r_id", *at).distinct().withColumn("edged", F.lit(True))
+    cover = cover.join(odd, ["r_id", *at], "left").join(edged, ["r_id", *at], "left").where("edged OR odd = 1")
+    full = placed.join(cover.where("edged IS NULL").select("r_id", *at), at).select("p_id", "r_id")
+    part = placed.join(cover.where("edged").select("r_id", *at, F.coalesce("odd", F.lit(0)).alias("odd")), at).join(local, ["r_id", *at])
+    met = part.groupBy("p_id", "r_id").agg((F.sum(_local_crossings(x1, y0)) + F.max("odd")).alias("n")).where("n % 2 = 1")
+    return full.unionByName(met.select("p_id", "r_id"))
 
 
 def nearest_street(points: DataFrame, segments: DataFrame, reach: float = 30.0) -> DataFrame:
     """points (p_id, x, y) -> p_id, fx, fy, distance: the foot on the nearest segment within `reach`; those closer than a micrometre go.
 
-    Segments lie in the cells of their box, points look into the nine cells around them; a pair that meets in several cells is
-    one after the minimum.
+    A point is in one cell as wide as the reach, a segment in all cells that come within reach of it, so a long one has a row for
+    each cell along it. Cells are not split: smaller ones would meet as many segments.
     """
-    placed = segments.select("ax", "ay", "bx", "by", F.explode(_cells(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), reach)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
-    looking = points.select("p_id", "x", "y", F.explode(_cells(F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach, reach)).alias("c")).select("*", "c.cx", "c.cy").drop("c")
+    cells = Cells(reach)
+    at = ["lv", "ci", "cj"]
+    placed = cells.of_segments(segments.select("ax", "ay", "bx", "by"), reach)
     fx, fy = G.segment_foot(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    pairs = looking.join(placed, ["cx", "cy"]).select("p_id", fx.alias("fx"), fy.alias("fy"), F.hypot(F.col("x") - fx, F.col("y") - fy).alias("distance")).where(F.col("distance") <= reach)
+    pairs = cells.of_points(points.select("p_id", "x", "y")).join(placed, at).select("p_id", fx.alias("fx"), fy.alias("fy"), F.hypot(F.col("x") - fx, F.col("y") - fy).alias("distance")).where(F.col("distance") <= reach)
     best = pairs.groupBy("p_id").agg(F.min(F.struct("distance", "fx", "fy")).alias("b"))
     return best.select("p_id", "b.fx", "b.fy", "b.distance").where("distance >= 1e-6")
 
@@ -99,11 +136,14 @@ def region_reject(wet: DataFrame, region_edges: DataFrame, homes: DataFrame, mos
 
 
 def hole_assign(inner: DataFrame, outer_edges: DataFrame) -> DataFrame:
-    """inner (relation_id, hole_id, x, y of the first point), outer_edges (relation_id, ring_id, ...) -> the ring of its relation that holds each hole."""
+    """inner (relation_id, hole_id, x, y of the first point), outer_edges (relation_id, ring_id, ...) -> the ring of its relation that holds each hole.
+
+    A hole meets only the rings in whose box it is.
+    """
     e = outer_edges.select(F.struct("relation_id", "ring_id").alias("r_id"), "ax", "ay", "bx", "by")
-    rings = outer_edges.select("relation_id", "ring_id").distinct()
-    pairs = inner.join(rings, "relation_id").select(F.struct("relation_id", "hole_id").alias("p_id"), "x", "y", F.struct("relation_id", "ring_id").alias("r_id"))
-    hits = crossings(pairs, e)
+    rings = boxes_of(outer_edges, "relation_id", "ring_id")
+    pairs = inner.join(rings, "relation_id").where("x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")
+    hits = crossings(pairs.select(F.struct("relation_id", "hole_id").alias("p_id"), "x", "y", F.struct("relation_id", "ring_id").alias("r_id")), e)
     return hits.groupBy("p_id").agg(F.min("r_id.ring_id").alias("ring_id")).select("p_id.relation_id", "p_id.hole_id", "ring_id")
 
 

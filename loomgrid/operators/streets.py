@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import geometry as G
-from loomgrid.sources.tables import checkpointed
+from loomgrid.operators.ordering import prefix_sums
+from loomgrid.operators.relaxing import relax, snapped
 
 #: Carriageway widths in metres and ranks of road classes.
 ROAD_WIDTH_M = {"motorway": 15.0, "trunk": 13.0, "primary": 12.0, "secondary": 10.0, "tertiary": 8.5, "unclassified": 7.0, "residential": 7.0, "living_street": 5.5, "pedestrian": 6.0, "service": 4.0}
@@ -162,66 +163,16 @@ def dedupe_consecutive(vertices: DataFrame) -> DataFrame:
     return marked.where("px IS NULL OR px <> kx OR py <> ky").drop("px", "py")
 
 
-def relax(nodes: DataFrame, links: DataFrame, key: list[str], rotation: float, iterations: int, anchor: float, every: int = 12) -> DataFrame:
-    """Move nodes (key, x, y) so that links (key of a as a_*, of b as b_*, length) run along clean directions.
-
-    Each link proposes its ends on the nearest clean direction through its midpoint; a node moves to the mean proposal, pulled
-    back by `anchor` to where it was at first. Nodes without links stay.
-
-    A link is two rows, one at each end. A row holds its own node's place and its other node's place before and after a round,
-    so a round is one exchange: the row's end works out its own place after that round and the next from what it holds, and
-    sends them to the other end. The lineage is cut every few rounds.
-    """
-    home = nodes.select(*key, F.col("x").alias("hx"), F.col("y").alias("hy"))
-    if iterations < 1:
-        return nodes.select(*key, "x", "y")
-    end = lambda side: home.select(*[F.col(c).alias(f"{side}_{c}") for c in key], F.col("hx").alias(f"{side}x"), F.col("hy").alias(f"{side}y"))
-    both = links.join(end("a"), [f"a_{c}" for c in key]).join(end("b"), [f"b_{c}" for c in key])
-
-    def seen(own: str, other: str, sign: float) -> Column:
-        return F.struct(
-            *[F.col(f"{own}_{c}").alias(c) for c in key], *[F.col(f"{other}_{c}").alias(f"o_{c}") for c in key], F.lit(sign).alias("sign"), (F.col("length") / 2).alias("half"),
-            *[F.col(f"{e}{c}").alias(n + c) for e, n in ((own, "h"), (other, "g"), (own, "p"), (other, "q")) for c in "xy"],
-        )
-
-    rows = both.select(F.explode(F.array(seen("a", "b", -1.0), seen("b", "a", 1.0))).alias("r")).select("r.*")
-    at_node = Window.partitionBy(*key)
-
-    def moved(frame: DataFrame, own: str, other: str, out: str) -> DataFrame:
-        """Add the own node's place after a round in which it was at `own` and the other at `other`."""
-        px, py, qx, qy = (F.col(n + c) for n in (own, other) for c in "xy")
-        ux, uy = G.snap_direction(-F.col("sign") * (qx - px), -F.col("sign") * (qy - py), F.lit(rotation))
-        wanted = {"x": (px + qx) / 2 + F.col("sign") * ux * F.col("half"), "y": (py + qy) / 2 + F.col("sign") * uy * F.col("half")}
-        frame = frame.withColumns({f"_t{c}": w for c, w in wanted.items()})
-        return frame.withColumns({out + c: F.avg(f"_t{c}").over(at_node) * (1 - anchor) + F.col(f"h{c}") * anchor for c in "xy"}).drop("_tx", "_ty")
-
-    rows = moved(rows, "p", "q", "r")  # r: the own place after the first round
-    turn = [*[F.col(f"o_{c}").alias(c) for c in key], *[F.col(c).alias(f"o_{c}") for c in key], (-F.col("sign")).alias("sign"), "half", *[F.col(a + c).alias(b + c) for a, b in (("g", "h"), ("h", "g"), ("q", "p"), ("p", "q"), ("r", "s")) for c in "xy"]]
-    for k in range(1, iterations):
-        # at the other end: its own place p and mine q before the round, and mine after it, s
-        sent = rows.select(*turn)
-        there = moved(moved(sent, "p", "q", "n"), "n", "s", "r")
-        rows = there.select(*key, *[f"o_{c}" for c in key], "sign", "half", *[n + c for n in "hg" for c in "xy"], *[F.col(a + c).alias(b + c) for a, b in (("n", "p"), ("s", "q"), ("r", "r")) for c in "xy"])
-        if k % every == 0 and k + 1 < iterations:
-            rows = checkpointed(rows)
-    ended = rows.groupBy(*key).agg(F.first("rx").alias("rx"), F.first("ry").alias("ry"))
-    return home.join(ended, key, "left").select(*key, F.coalesce("rx", "hx").alias("x"), F.coalesce("ry", "hy").alias("y"))
-
-
-def network_links(vertices: DataFrame, min_length: float = 4.0) -> DataFrame:
-    """Links between the nodes of consecutive vertices, with the length they keep; short ones do not pull."""
+def network_links(vertices: DataFrame) -> DataFrame:
+    """Links between the nodes of consecutive vertices."""
     w = Window.partitionBy("road_id").orderBy("seq")
-    chain = dedupe_consecutive(vertices).select(F.col("kx").alias("a_kx"), F.col("ky").alias("a_ky"), F.lead("kx").over(w).alias("b_kx"), F.lead("ky").over(w).alias("b_ky")).where("b_kx IS NOT NULL")
-    first = node_first_seen(vertices)
-    a = first.select(F.col("kx").alias("a_kx"), F.col("ky").alias("a_ky"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = first.select(F.col("kx").alias("b_kx"), F.col("ky").alias("b_ky"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    joined = chain.join(a, ["a_kx", "a_ky"]).join(b, ["b_kx", "b_ky"])
-    return joined.select("a_kx", "a_ky", "b_kx", "b_ky", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("length")).where(F.col("length") >= min_length)
+    chain = dedupe_consecutive(vertices).select(F.col("kx").alias("a_kx"), F.col("ky").alias("a_ky"), F.lead("kx").over(w).alias("b_kx"), F.lead("ky").over(w).alias("b_ky"))
+    return chain.where("b_kx IS NOT NULL")
 
 
 def network_relax(vertices: DataFrame, rotation: float, iterations: int = 60, anchor: float = 0.04, min_length: float = 4.0) -> DataFrame:
     """Nodes of a street network after relaxation: kx, ky, x, y. Roads share nodes, so junctions stay joined."""
-    return relax(node_first_seen(vertices), network_links(vertices, min_length), ["kx", "ky"], rotation, iterations, anchor)
+    return relax(node_first_seen(vertices), network_links(vertices), rotation, iterations, anchor, min_length)
 
 
 def relaxed_roads(vertices: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -242,9 +193,7 @@ def _settled(home: np.ndarray, rotation: float, iterations: int, anchor: float)
     n = (pulls.astype(float) + np.roll(pulls, 1, axis=1))[..., None]
     for _ in range(iterations):
         after = np.roll(at, -1, axis=1)
-        bearing = np.degrees(np.arctan2(after[..., 0] - at[..., 0], after[..., 1] - at[..., 1])) % 360.0
-        clean = np.radians((np.rint(((bearing - rotation) % 360.0) / 45.0) * 45.0 + rotation) % 360.0)
-        step = np.stack([np.sin(clean), np.cos(clean)], 2) * (length / 2)[..., None]
+        step = np.stack(snapped(after[..., 0] - at[..., 0], after[..., 1] - at[..., 1], rotation), 2) * (length / 2)[..., None]
         mid = (at + after) / 2
         total = np.where(pulls[..., None], mid - step, 0) + np.roll(np.where(pulls[..., None], mid + step, 0), 1, axis=1)
         at = np.where(n > 0, total / np.maximum(n, 1) * (1 - anchor) + home * anchor, at)
@@ -381,7 +330,15 @@ def draw_classes(roads: DataFrame) -> DataFrame:
     return roads.select("road_id", (open_air & (F.col("imp") <= 6)).alias("pavement"), F.when(open_air, F.when(F.col("imp") <= 4, "major").otherwise("minor")).alias("carriageway"), (F.col("bridge") & ~F.col("tunnel")).alias("on_bridge"))
 
 
-def widest_first(roads: DataFrame, limit: int) -> DataFrame:
-    """The widest roads in drawing order: road_id, place. The order is cut to the limit before it is numbered."""
-    top = roads.orderBy(F.desc("width_m"), "road_id").limit(limit)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("width_m"), "road_id")).cast("long")).select("road_id", "place")
+def widest_first(roads: DataFrame) -> DataFrame:
+    """All roads in drawing order, the widest first: road_id, place."""
+    return prefix_sums(roads.select("road_id", "width_m"), [F.desc("width_m"), F.col("road_id")]).select("road_id", F.col("place").cast("long"))
+
+
+def bridge_order(segments: DataFrame, camera: G.Camera) -> DataFrame:
+    """Bridges (road_id, ax, ay, bx, by) from back to front, by the height on the canvas of their lines' centroids: road_id, place."""
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    mean = lambda c: F.sum(length * (F.col(f"a{c}") + F.col(f"b{c}")) / 2) / F.sum(length)
+    mid = segments.where(length > 0).groupBy("road_id").agg(mean("x").alias("x"), mean("y").alias("y"))
+    placed = mid.select("road_id", F.round(camera.ground(F.col("x"), F.col("y"))[1], 6).alias("sy"))
+    return prefix_sums(placed, [F.col("sy"), F.col("road_id")]).select("road_id", F.col("place").cast("long"))

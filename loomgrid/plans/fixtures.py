@@ -11,10 +11,10 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 VIEWS: dict[str, str] = {
     "fx_scripts": "SELECT doc_id AS script_id, text AS raw FROM documents",
     "fx_timed_lines": """SELECT conv_id AS script_id, turn AS line_index, CASE turn % 4
-        WHEN 0 THEN '00:' || lpad(CAST(turn * 7 % 60 AS VARCHAR(2)), 2, '0') || ' - ' || split_part(text, chr(10), 1)
-        WHEN 1 THEN '[1:' || lpad(CAST(turn * 7 % 60 AS VARCHAR(2)), 2, '0') || '] ' || split_part(text, chr(10), 1)
-        WHEN 2 THEN split_part(text, chr(10), 1)
-        ELSE '1:02:' || lpad(CAST(turn * 7 % 60 AS VARCHAR(2)), 2, '0') || ' ' || split_part(text, chr(10), 1) END AS raw_line
+        WHEN 0 THEN '00:' || lpad(CAST(turn * 7 % 60 AS VARCHAR(2)), 2, '0') || ' - ' || replace(text, chr(10), ' ')
+        WHEN 1 THEN '[1:' || lpad(CAST(turn * 7 % 60 AS VARCHAR(2)), 2, '0') || '] ' || replace(text, chr(10), ' ')
+        WHEN 2 THEN replace(text, chr(10), ' ')
+        ELSE '1:02:' || lpad(CAST(turn * 7 % 60 AS VARCHAR(2)), 2, '0') || ' ' || replace(text, chr(10), ' ') END AS raw_line
       FROM conversations""",
     "fx_templates": """SELECT CAST(min(p_partkey) AS BIGINT) AS tpl_pos, p_name AS name,
         lower(min(p_type)) AS emotion_a, lower(max(p_type)) AS emotion_b, lower(min(p_brand)) AS tag_a, lower(max(p_brand)) AS tag_b
@@ -46,13 +46,20 @@ VIEWS: dict[str, str] = {
     "fx_drums": """SELECT c_custkey AS d_id, CAST(k AS BIGINT) AS seq, CAST(c_custkey * 20.0 + 0.3 + (3 + c_custkey % 5) * cos(radians(k * 15)) AS DOUBLE) AS x,
         CAST(0.7 + (3 + c_custkey % 5) * sin(radians(k * 15)) AS DOUBLE) AS y
       FROM customer CROSS JOIN (SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS k FROM nation) n WHERE k < 24""",
-    "fx_regions": """SELECT CAST(n_nationkey AS BIGINT) AS r_id, CAST((n_nationkey % 5) * 2000 AS DOUBLE) AS x0, CAST(floor(n_nationkey / 5) * 2000 AS DOUBLE) AS y0,
-        CAST((n_nationkey % 5) * 2000 + 2000 AS DOUBLE) AS x1, CAST(floor(n_nationkey / 5) * 2000 + 2000 AS DOUBLE) AS y1
-      FROM nation""",
-    "fx_shore": """SELECT CAST(n_nationkey AS BIGINT) AS s_id, CAST(k AS BIGINT) AS seq,
-        CAST((n_nationkey % 5) * 2000 + CASE WHEN k = 2 THEN 1990 ELSE 10 END AS DOUBLE) AS x,
-        CAST(floor(n_nationkey / 5) * 2000 + CASE WHEN k = 0 THEN 10 ELSE 1990 END AS DOUBLE) AS y
-      FROM nation CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) c WHERE n_nationkey % 3 = 0""",
+    "fx_regions": """SELECT CAST(s_suppkey AS BIGINT) AS r_id, CAST((s_suppkey * 37 % 100) * 100 AS DOUBLE) AS x0, CAST((s_suppkey * 59 % 100) * 100 AS DOUBLE) AS y0,
+        CAST((s_suppkey * 37 % 100) * 100 + 300 + s_suppkey % 3 * 100 AS DOUBLE) AS x1, CAST((s_suppkey * 59 % 100) * 100 + 400 AS DOUBLE) AS y1
+      FROM supplier""",
+    "fx_bays": """SELECT c_custkey AS k, CAST(c_custkey % 151 * 60 + 10 AS DOUBLE) AS x0, CAST(floor(c_custkey / 151) * 60 + 10 AS DOUBLE) AS y0,
+        CAST(c_custkey % 151 * 60 + 40 + c_custkey % 3 * 5 AS DOUBLE) AS x1, CAST(floor(c_custkey / 151) * 60 + 40 + c_custkey % 3 * 5 AS DOUBLE) AS y1
+      FROM customer""",
+    "fx_coast": """SELECT k * 4 + side AS s_id, CAST(CASE WHEN k % 2 = 0 THEN pt ELSE 1 - pt END AS BIGINT) AS seq,
+        CASE side WHEN 0 THEN CASE pt WHEN 0 THEN x1 + 5 ELSE x0 - 5 END WHEN 1 THEN x0 WHEN 2 THEN CASE pt WHEN 0 THEN x0 - 5 ELSE x1 + 5 END ELSE x1 END AS x,
+        CASE side WHEN 0 THEN y0 WHEN 1 THEN CASE pt WHEN 0 THEN y0 - 5 ELSE y1 + 5 END WHEN 2 THEN y1 ELSE CASE pt WHEN 0 THEN y1 + 5 ELSE y0 - 5 END END AS y
+      FROM fx_bays CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) s CROSS JOIN (SELECT 0 AS pt UNION ALL SELECT 1) p
+      WHERE k % 5 <> 0 OR side <> 2""",
+    "fx_homes": """SELECT o_orderkey AS p_id, CAST(o_custkey % 151 * 60 + 30 + o_orderkey % 7 AS DOUBLE) AS x, CAST(floor(o_custkey / 151) * 60 + 20 + o_orderkey % 11 AS DOUBLE) AS y,
+        o_custkey AS k
+      FROM orders""",
     "fx_elements": """SELECT CASE o_orderkey % 3 WHEN 0 THEN 'node' WHEN 1 THEN 'way' ELSE 'relation' END AS type, o_orderkey AS id,
         CASE o_orderkey % 8 WHEN 0 THEN 'residential' WHEN 1 THEN 'primary_link' END AS highway,
         CASE o_orderkey % 8 WHEN 2 THEN 'water' WHEN 3 THEN 'wood' END AS natural_tag, CASE o_orderkey % 8 WHEN 4 THEN 'river' END AS waterway,

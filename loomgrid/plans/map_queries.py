@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from loomgrid.functions import geometry as G
 from loomgrid.functions import text as T
 from loomgrid.operators import buildings as B
+from loomgrid.operators import planar as P
 from loomgrid.operators import spatial as X
 from loomgrid.operators import streets as R
 from loomgrid.plans.fixtures import fixture
 from loomgrid.plans.street_queries import ROTATION, _PM
+from loomgrid.sources.tables import stored
 
 CAMERA = G.Camera(origin=(5000.0, 5000.0), rotation_deg=ROTATION, cell_m=2.0, width_px=8000, height_px=4000, storey_px=6.4, shift=(0.0, 30.0))
 _C, _S = CAMERA.cos, CAMERA.sin
@@ -255,13 +257,13 @@ def facade_layout(spark, d):
 
 
 @register(f"""SELECT (SELECT count(*) FROM fx_buildings) AS buildings, (SELECT count(*) FROM fx_buildings WHERE kind = 'house') AS roofs_tagged, (SELECT count(*) FILTER (visible AND detailed) FROM ({_FACADE})) AS facades_detailed, (SELECT count(*) FILTER (visible AND shop_band) FROM ({_FACADE})) AS shopfronts,
-  (SELECT count(*) FROM (SELECT DISTINCT s_id FROM fx_shore)) AS quay_walls, (SELECT count(*) FROM (SELECT DISTINCT road_id FROM fx_road_vertices) WHERE road_id % 7 = 0 AND road_id % 11 <> 0) AS bridges, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 <> 1) AS landmarks,
+  (SELECT count(*) FROM (SELECT DISTINCT s_id FROM fx_coast)) AS quay_walls, (SELECT count(*) FROM (SELECT DISTINCT road_id FROM fx_road_vertices) WHERE road_id % 7 = 0 AND road_id % 11 <> 0) AS bridges, (SELECT count(*) FROM supplier WHERE s_suppkey % 7 <> 1) AS landmarks,
   (SELECT sum(CASE s_suppkey % 7 WHEN 0 THEN 3 WHEN 3 THEN 2 WHEN 6 THEN 3 WHEN 1 THEN 0 ELSE 1 END)::BIGINT FROM supplier) AS landmark_masses, (SELECT string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) FROM supplier WHERE s_suppkey % 7 <> 1) AS landmarks_drawn""")
 def paint_stats(spark, d):
     buildings = fixture(spark, d, "fx_buildings").select("b_id", (F.col("kind") == "house").alias("roof_tagged"))
     roads = fixture(spark, d, "fx_road_vertices").select("road_id").distinct().select((F.col("road_id") % 7 == 0).alias("bridge"), (F.col("road_id") % 11 == 0).alias("tunnel"))
     masses = _masses(spark, d).where("recipe_no <> 1").select("osm", "part")
-    stats = B.paint_stats(_facades(spark, d), buildings, roads, fixture(spark, d, "fx_shore").select("s_id").distinct(), masses)
+    stats = B.paint_stats(_facades(spark, d), buildings, roads, fixture(spark, d, "fx_coast").select("s_id").distinct(), masses)
     return stats.withColumn("landmarks_drawn", F.array_join(F.transform("landmarks_drawn", lambda x: x.cast("string")), ","))
 
 
@@ -344,6 +346,14 @@ def painter_order(spark, d):
     return B.painter_order(b).select("b_id", "place")
 
 
+@register(f"""WITH s AS (SELECT road_id, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fx_road_vertices WHERE road_id % 7 = 0 AND road_id % 11 <> 0 WINDOW w AS (PARTITION BY road_id ORDER BY seq)),
+  l AS (SELECT *, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS len FROM s WHERE x2 IS NOT NULL), m AS (SELECT road_id, sum(len * (x1 + x2) / 2) / sum(len) AS x, sum(len * (y1 + y2) / 2) / sum(len) AS y FROM l WHERE len > 0 GROUP BY road_id)
+  SELECT road_id, row_number() OVER (ORDER BY round({_sy('x', 'y')}, 6), road_id) AS place FROM m""")
+def bridge_order(spark, d):
+    v = fixture(spark, d, "fx_road_vertices").where("road_id % 7 = 0 AND road_id % 11 <> 0")
+    return R.bridge_order(R.segments(v), CAMERA)
+
+
 @register("SELECT min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y FROM (SELECT x, y FROM fx_road_vertices UNION ALL SELECT x, y FROM fx_points)")
 def layer_bounds(spark, d):
     both = fixture(spark, d, "fx_road_vertices").select("x", "y").unionByName(fixture(spark, d, "fx_points").select("x", "y"))
@@ -384,18 +394,38 @@ def _homes(spark, d):
     return fixture(spark, d, "fx_buildings").select(F.col("b_id").alias("p_id"), F.col("cx").alias("x"), F.col("cy").alias("y"))
 
 
+#: The extent of the shores' data; it cuts the bays of the first column.
+FRAME = (25.0, -20.0, 9060.0, 6100.0)
+_CLOSED = "SELECT k, greatest(x0, 25.0) AS x0, y0, x1, y1 FROM fx_bays WHERE k % 5 <> 0"
+_SEA = "SELECT 25.0 AS x0, -20.0 AS y0, 9060.0 AS x1, 6100.0 AS y1, 9035.0 * 6120.0 - (SELECT sum((x1 - x0) * (y1 - y0)) FROM c) AS area"
+
+
 def _wet(spark, d):
-    return X.wet_regions(R.segments(fixture(spark, d, "fx_shore"), "s_id"), _region_edges(spark, d))
+    return stored(P.water_regions(R.segments(fixture(spark, d, "fx_coast"), "s_id"), FRAME), "wet")
 
 
-@register("SELECT DISTINCT s_id AS r_id FROM fx_shore")
+def _measured(edges):
+    return _rounded(P.region_measures(edges).select("x0", "y0", "x1", "y1", "area"), "x0", "y0", "x1", "y1", "area", digits=2)
+
+
+@register(f"WITH c AS ({_CLOSED}) SELECT x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS area FROM c WHERE k % 2 = 0 UNION ALL {_SEA}")
 def wet_regions(spark, d):
-    return _wet(spark, d)
+    return _measured(_wet(spark, d))
 
 
-@register("SELECT DISTINCT s_id AS r_id FROM fx_shore WHERE s_id NOT IN (SELECT r_id FROM fx_buildings JOIN fx_regions ON cx > x0 AND cx < x1 AND cy > y0 AND cy < y1 GROUP BY r_id HAVING count(*) > 620)")
+@register(f"""WITH c AS ({_CLOSED}), h AS (SELECT k FROM fx_homes GROUP BY k HAVING count(*) > 12)
+  SELECT x0, y0, x1, y1, (x1 - x0) * (y1 - y0) AS area FROM c WHERE k % 2 = 0 AND k NOT IN (SELECT k FROM h) UNION ALL SELECT * FROM ({_SEA}) WHERE (SELECT count(*) FROM fx_homes WHERE k % 5 = 0) <= 12""")
 def region_reject(spark, d):
-    return X.region_reject(_wet(spark, d), _region_edges(spark, d), _homes(spark, d), 620)
+    edges = _wet(spark, d)
+    kept = X.region_reject(edges.select("r_id").distinct(), edges, fixture(spark, d, "fx_homes").select("p_id", "x", "y"))
+    return _measured(edges.join(kept, "r_id", "left_semi"))
+
+
+@register(f"""WITH c AS (SELECT k * 4 AS s_id, least(greatest(x1 + 5, 25.0), 9060.0) AS xa, least(greatest(x0 - 5, 25.0), 9060.0) AS xb, y0 AS y, k % 2 = 0 AS even FROM fx_bays)
+  SELECT s_id, CASE WHEN even THEN xa ELSE xb END AS ax, y AS ay, CASE WHEN even THEN xb ELSE xa END AS bx, y AS by FROM c WHERE xa <> xb""")
+def frame_clip(spark, d):
+    lines = R.segments(fixture(spark, d, "fx_coast").where("s_id % 4 = 0"), "s_id")
+    return P.clipped(lines, FRAME, "s_id").select("s_id", "ax", "ay", "bx", "by")
 
 
 _STREETS = """s AS (SELECT * FROM (SELECT road_id, class_no, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fx_road_vertices WINDOW w AS (PARTITION BY road_id ORDER BY seq)) WHERE x2 IS NOT NULL AND class_no < 8),

@@ -114,9 +114,8 @@ _TURNS = [31.61, 29.5, 0.25, 32.75]
   SELECT rotation, round(sum(length) FILTER (core AND o <= 5.0) / sum(length) FILTER (core), 4) AS core_share, round(sum(length * o) FILTER (core) / sum(length) FILTER (core), 4) AS core_bend,
   round(sum(length) FILTER (o <= 5.0) / sum(length), 4) AS city_share, round(sum(length * o) / sum(length), 4) AS city_bend FROM w GROUP BY rotation""")
 def rotation_compare(spark, d):
-    s = R.segments(_vertices(spark, d))
-    b = R.segment_bearings(_vertices(spark, d)).join(s.select("road_id", "seq", "ax"), ["road_id", "seq"])
-    return _rounded(R.rotation_compare(b, F.col("ax") < 3000, _TURNS), "core_share", "core_bend", "city_share", "city_bend")
+    b = R.segment_bearings(_vertices(spark, d), extra=("x",))  # a segment's row has the columns of its first vertex
+    return _rounded(R.rotation_compare(b, F.col("x") < 3000, _TURNS), "core_share", "core_bend", "city_share", "city_bend")
 
 
 @register(f"WITH {_BEAR} SELECT round(coalesce(sum(CASE WHEN {_OFF.format('bearing', ROTATION)} <= 2.0 THEN length ELSE 0 END) / sum(length), 0), 4) AS share FROM bear")
@@ -223,10 +222,10 @@ def road_draw_classes(spark, d):
     return R.draw_classes(r)
 
 
-@register(f"SELECT road_id, row_number() OVER (ORDER BY {_WIDTH.format(_CLASS)} DESC, road_id) AS place FROM (SELECT DISTINCT road_id, class_no FROM fx_road_vertices) ORDER BY place LIMIT 100")
+@register(f"SELECT road_id, row_number() OVER (ORDER BY {_WIDTH.format(_CLASS)} DESC, road_id) AS place FROM (SELECT DISTINCT road_id, class_no FROM fx_road_vertices)")
 def road_order(spark, d):
     r = _vertices(spark, d).select("road_id", "class_no").distinct().select("road_id", R.road_width(F.get(F.array(*map(F.lit, CLASSES)), F.col("class_no"))).alias("width_m"))
-    return R.widest_first(r, 100)
+    return R.widest_first(r)
 
 
 @register()

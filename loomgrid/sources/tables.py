@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,35 @@ def shared_folder(spark: SparkSession) -> str:
     return root
 
 
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; what is stored in it goes when the driver ends, or with release()."""
+    path = f"{shared_folder(spark)}/loomgrid-{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        if not _FOLDERS:
+            atexit.register(release)
+        _FOLDERS[path] = spark
+    return path
+
+
+def release() -> None:
+    """Delete the folders of stored tables; frames that read them can't be used afterwards."""
+    while _FOLDERS:
+        path, spark = _FOLDERS.popitem()
+        if spark.sparkContext._jsc is not None:  # else the session has ended, and its folder stays for the cluster's cleaning
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the run's folder as Parquet and read again: compressed, and safe from lost executors."""
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)
