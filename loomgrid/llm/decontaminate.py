@@ -33,6 +33,9 @@ from loomgrid.llm.common import LOWER, SPACES, U64, flat, slices, texts_of, word
 #: Bytes that separate terms: blanks and ASCII punctuation.
 APART = SPACES.copy()
 APART[[b for b in range(33, 128) if not chr(b).isalnum()]] = True
+_APART = r"\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: A text of two words at most.
+BRIEF = rf"\A[{_APART}]*+(?:[^{_APART}]++[{_APART}]*+){{0,2}}+\z"
 LEAKS = "array<struct<item_id:long,cosine:double,lcs:double>>"
 
 
@@ -304,8 +307,8 @@ def _flag_short(docs: DataFrame, short: dict[tuple, list[int]]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(x) for x in names] + [pa.array(leaks, pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())])))], [*names, "_more"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    # few texts are so short, and only they go through Python
-    brief = F.length(F.coalesce("text", F.lit(""))) <= 512
+    # few texts have so few words, at whatever length, and only they go through Python
+    brief = F.coalesce("text", F.lit("")).rlike(BRIEF)
     found = texts_of(docs.where(brief).withColumn("_text", F.coalesce("text", F.lit("")).cast("binary"))).mapInArrow(search, f"{kinds}, _more {LEAKS}")
     found = found.withColumn("leaks", F.concat("leaks", "_more")).drop("_more")
     return found.unionByName(docs.where(~brief))

@@ -34,17 +34,21 @@ def encoder(path: str):
 
         ranks = path.removesuffix(".json") + ".tiktoken"
         if path.endswith(".json") and os.path.exists(ranks):
+            import json
+
             import public_tokenizers
             import tiktoken
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            _encoders[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            with open(path, encoding="utf-8") as f:
+                added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+            enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=added)
+            _encoders[path] = lambda text: enc.encode(text, allowed_special="all") if any(t in text for t in added) else enc.encode_ordinary(text)
         else:
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
             _encoders[path] = lambda text: tok.encode(text, add_special_tokens=False).ids
     return _encoders[path]
 
@@ -219,30 +223,43 @@ def _pack_groups(frame: DataFrame, size: int, level: int) -> DataFrame:
     return frame.groupBy("grp").applyInArrow(pack, "row long, length long, bin long, offset long, fill long, level int")
 
 
+#: More than there can be rounds: each hands on half of the sequences.
+ROUNDS = 1 << 7
+
+
 def pack(cut: DataFrame, size: int = SEQUENCE, group_rows: int = 40_000, full_at: float = 0.995) -> DataFrame:
     """Add sequence_id and offset to stored pieces.
 
     `cut` must be a stored frame with a number `row` of each row, which goes: every use of the frame is a read of its own,
     that may part the files in another way, so numbers made here would not be the same in all. `group_rows` bounds what one
-    task packs. Bins filled below `full_at` of a group are opened again for the next round, until one group holds all that
-    is left.
+    task packs. Of the sequences filled below `full_at` the worse half is opened again and dealt into new groups, until one group
+    holds all that is left; what a round makes of them stays only if it is no more than there was.
     """
     whole = cut.where(F.col("length") >= size)
     rest = cut.where(F.col("length") < size).select("row", "length")
-    n, done, level = rest.count(), None, 0
+    done, level, held, opened = [], 0, None, None  # held: the rows opened last, as they were packed, in so many sequences
+    n = rest.count()
     while n:
         groups = max(1, -(-n // group_rows))
         packed = stored(_pack_groups(rest.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups))), size, level), f"pack{level}")
-        final = groups == 1 or level >= 3
-        kept = packed if final else packed.where(F.col("fill") >= size * full_at)
-        done = kept if done is None else done.unionByName(kept)
-        if final:
+        if held is not None and packed.agg(F.count_distinct("bin")).first()[0] > opened:
+            packed = held
+        if groups == 1:
+            done.append(packed)
+            break
+        low = F.col("fill") < size * full_at
+        middle = packed.where(low).groupBy("bin").agg(F.first("fill").alias("fill")).agg(F.percentile_approx("fill", 0.5)).first()[0]
+        if middle is None:
+            done.append(packed)
             break
-        rest = packed.where(F.col("fill") < size * full_at).select("row", "length")
-        n, level = rest.count(), level + 1
-    out = whole.select("row", (F.col("row") * 8 + 7).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    if done is not None:
-        out = out.unionByName(done.select("row", (F.col("bin") * 8 + F.col("level")).alias("sequence_id"), "offset"))
+        again = low & ((F.col("fill") < middle) | ((F.col("fill") == middle) & (F.pmod(F.xxhash64("bin"), F.lit(2)) == 0)))
+        done.append(packed.where(~again))
+        held, level = packed.where(again), level + 1
+        rest = held.select("row", "length")
+        n, opened = held.agg(F.count("*"), F.count_distinct("bin")).first()
+    out = whole.select("row", (F.col("row") * ROUNDS + ROUNDS - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    for df in done:
+        out = out.unionByName(df.select("row", (F.col("bin") * ROUNDS + F.col("level")).alias("sequence_id"), "offset"))
     return cut.join(out, "row").drop("row")
 
 

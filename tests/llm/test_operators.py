@@ -104,6 +104,12 @@ def test_leaks_of_thousands_of_items(spark):
     assert {(r.doc_id, x.item_id) for r in out.collect() for x in r.leaks} == want
 
 
+def test_short_items_in_texts_of_any_length(spark):
+    texts = [(1, "yes" + " " * 600), (2, ("-" * 900) + "Yes!"), (3, "yes " * 300), (4, "ye" + "s" * 900), (5, "\n\t yes \n" + "." * 2000), (6, "say" + " " * 700 + "yes"), (7, " " * 900)]
+    out = decontaminate.flag(docs(spark, texts), spark.createDataFrame([(1, "Yes"), (2, "say yes")], "item_id long, text string")).collect()
+    assert {(r.doc_id, x.item_id) for r in out for x in r.leaks} == {(1, 1), (2, 1), (5, 1), (6, 2)} and len(out) == len(texts)
+
+
 def test_short_and_repeating_items(spark):
     items = [(1, "Yes"), (2, "no no no no no"), (3, "alpha beta"), (4, "alpha beta"), (5, ""), (6, None)]
     texts = [(1, "yes."), (2, "well no no no no no indeed it is"), (3, "Alpha, beta!"), (4, "alpha beta gamma"), (5, "say yes to it"), (6, ""), (7, None), (8, "no")]
@@ -255,8 +261,7 @@ def test_packing(spark):
     rnd, words = random.Random(5), vocabulary(5)
     texts = [(i, prose(rnd, words, rnd.randint(0, 900))) for i in range(60)] + [(70, None), (71, ""), (3, "again"), (None, "no id"), (72, "<|endoftext|> é ß " * 700)]
     out = packing.pack_documents(docs(spark, texts)).collect()
-    tok = Tokenizer.from_file(packing.default_tokenizer())
-    tok.encode_special_tokens = True
+    tok = Tokenizer.from_file(packing.default_tokenizer())  # called as the contract calls it
     want = collections.Counter()
     for i, t in texts:
         ids = np.asarray([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
@@ -279,6 +284,25 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []).limit(0)).count() == 0
 
 
+def test_packing_in_many_groups(spark):
+    """Rounds go on until one group is left, whatever the size of a group: forty here."""
+    rnd = random.Random(25)
+    rows = [(k, 0, 0, rnd.randint(200, 700), 0, k) for k in range(1200)]
+    cut = common.stored(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, row long"), "pieces")
+    made = [packing.pack(cut, 1024, group_rows=n).select("sequence_id").distinct().count() for n in (40_000, 30)]
+    bound = packing.fewest(np.asarray([r[3] for r in rows]), 1024)
+    assert bound <= made[0] <= bound * 1.01 and made[1] <= bound * 1.04
+
+
+def test_special_tokens_of_the_two_encoders(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    for text in ("x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>é", "<|endoftext", "plain"):
+        assert list(packing.encoder(packing.default_tokenizer())(text)) == tok.encode(text, add_special_tokens=False).ids
+    assert 50256 in packing.encoder(packing.default_tokenizer())("x <|endoftext|> y")
+
+
 def test_packing_when_the_last_read_is_parted_anew(spark):
     rnd, words = random.Random(15), vocabulary(15)
     texts = [(i, prose(rnd, words, rnd.randint(0, 400))) for i in range(300)]
