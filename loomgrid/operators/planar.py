@@ -167,11 +167,14 @@ def coast_regions(coast: DataFrame, frame: tuple[float, float, float, float], ba
     return stored(regions(edges, grain, cell), "regions"), lines
 
 
+def wet(edges: DataFrame, lines: DataFrame, cell: float = 500.0) -> DataFrame:
+    """The regions of coast_regions() that hold a place just right of a shore line: r_id, ax, ay, bx, by."""
+    return edges.join(point_in_polygon(shore_probes(lines), edges, cell).select("r_id").distinct(), "r_id", "left_semi")
+
+
 def water_regions(coast: DataFrame, frame: tuple[float, float, float, float], banks: DataFrame | None = None, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
-    """r_id, ax, ay, bx, by: the regions with water, those that hold a place just right of a shore line. See coast_regions()."""
-    edges, lines = coast_regions(coast, frame, banks, grain, cell)
-    probes = shore_probes(lines)
-    return edges.join(point_in_polygon(probes, edges, cell).select("r_id").distinct(), "r_id", "left_semi")
+    """The edges of the regions with water that shore lines and known banks enclose within the frame. See coast_regions()."""
+    return wet(*coast_regions(coast, frame, banks, grain, cell), cell)
 
 
 def region_measures(edges: DataFrame) -> DataFrame:

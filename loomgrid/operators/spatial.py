@@ -61,7 +61,7 @@ def point_in_polygon(points: DataFrame, edges: DataFrame, cell: float = 500.0, m
     worked out once for each region and cell; a point then meets only the edges within its own cell, and none in cells that a
     region fills.
     """
-    cells = fit(points, cell, cell / 256, most)
+    cells = fit(points, cell, cell / 4096, most)
     at = ["lv", "ci", "cj"]
     placed = cells.of_points(points.select("p_id", "x", "y"))
     local = cells.of_segments(edges.select("r_id", "ax", "ay", "bx", "by"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomgrid.functions import geometry as G
 from loomgrid.operators.ordering import prefix_sums
 from loomgrid.operators.relaxing import relax, snapped
+from loomgrid.sources.tables import stored
 
 #: Carriageway widths in metres and ranks of road classes.
 ROAD_WIDTH_M = {"motorway": 15.0, "trunk": 13.0, "primary": 12.0, "secondary": 10.0, "tertiary": 8.5, "unclassified": 7.0, "residential": 7.0, "living_street": 5.5, "pedestrian": 6.0, "service": 4.0}
@@ -279,16 +280,48 @@ def _thinned(points: list, tolerance: float) -> list:
     return [points[k] for k in sorted(keep)]
 
 
-def line_simplify(vertices: DataFrame, tolerance: float, key: str = "road_id") -> DataFrame:
-    """Each line with the vertices that keep it within the tolerance (Douglas-Peucker); a line is one row of its points."""
+#: Vertices of a stretch that one task simplifies.
+STRETCH = 20_000
+
+
+def line_simplify(vertices: DataFrame, tolerance: float, key: str = "road_id", stretch: int = STRETCH) -> DataFrame:
+    """Each line with the vertices that keep it within the tolerance (Douglas-Peucker); of equally far ones the first: key, seq, x, y.
+
+    seq must tell a line's vertices apart. A line may have any number of vertices: as long as a stretch has more than `stretch`, its
+    farthest vertex is found by an aggregate and parts it, or ends it if it is near enough; the rest is one row a stretch.
+    """
+    v = vertices.select(key, "seq", "x", "y")
+    end = lambda f: f(F.struct("seq", "x", "y"))
+    whole = v.groupBy(key).agg(end(F.min).alias("a"), end(F.max).alias("b"), F.count("*").alias("n"))
+    span = v.join(whole, key)
+    large, small, kept = span.where(F.col("n") > stretch), span.where(F.col("n") <= stretch), []
+    if not large.isEmpty():
+        large = stored(large, "spans")
+        while not large.isEmpty():
+            fx, fy = G.segment_foot(F.col("x"), F.col("y"), F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"))
+            off = F.hypot(F.col("x") - fx, F.col("y") - fy)
+            inner = large.where((F.col("seq") > F.col("a.seq")) & (F.col("seq") < F.col("b.seq")))
+            far = inner.groupBy(key, F.col("a.seq").alias("from")).agg(F.max(F.struct(off.alias("off"), (-F.col("seq")).alias("s"), "x", "y")).alias("f"))
+            far = far.select(key, "from", F.when(F.col("f.off") > tolerance, F.struct((-F.col("f.s")).alias("seq"), "f.x", "f.y")).alias("k"))
+            told = large.withColumn("from", F.col("a.seq")).join(far, [key, "from"])
+            kept.append(told.where("k IS NULL AND (seq = a.seq OR seq = b.seq)").select(key, "seq", "x", "y"))  # near enough: only its ends
+            sides = F.array_compact(F.array(F.when(F.col("seq") <= F.col("k.seq"), F.struct("a", F.col("k").alias("b"))), F.when(F.col("seq") >= F.col("k.seq"), F.struct(F.col("k").alias("a"), "b"))))
+            parts = told.where("k IS NOT NULL").select(key, "seq", "x", "y", F.explode(sides).alias("s")).select(key, "seq", "x", "y", "s.a", "s.b")
+            sizes = parts.groupBy(key, F.col("a.seq").alias("from")).agg(F.count("*").alias("n"))
+            parts = stored(parts.withColumn("from", F.col("a.seq")).join(sizes, [key, "from"]).select(large.columns), "spans")
+            small = small.unionByName(parts.where(F.col("n") <= stretch))
+            large = parts.where(F.col("n") > stretch)
 
     def run(batches):
         for pdf in batches:
             pdf["p"] = [_thinned(list(points), tolerance) for points in pdf["p"]]
             yield pdf
 
-    packed = _packed(vertices, key, "seq")
-    return packed.mapInPandas(run, packed.schema).select(key, F.explode("p").alias("p")).select(key, "p.*")
+    packed = small.groupBy(key, F.col("a.seq").alias("from")).agg(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    thin = packed.mapInPandas(run, packed.schema).select(key, F.explode("p").alias("p")).select(key, "p.*")
+    for df in kept:
+        thin = thin.unionByName(df)
+    return thin.dropDuplicates([key, "seq"]) if kept else thin  # stretches share their ends
 
 
 def _joined(points: list) -> list:

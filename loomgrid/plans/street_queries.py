@@ -228,7 +228,18 @@ def road_order(spark, d):
     return R.widest_first(r)
 
 
-@register()
+_FOOT = "greatest(0.0, least(1.0, CASE WHEN pa.x = pb.x AND pa.y = pb.y THEN 0 ELSE ((v.x - pa.x) * (pb.x - pa.x) + (v.y - pa.y) * (pb.y - pa.y)) / (pow(pb.x - pa.x, 2) + pow(pb.y - pa.y, 2)) END))"
+_OFFSET = f"sqrt(pow(v.x - pa.x - {_FOOT} * (pb.x - pa.x), 2) + pow(v.y - pa.y - {_FOOT} * (pb.y - pa.y), 2))"
+
+
+def _farthest(spans: str) -> str:
+    """Of each span (road_id, a, b) its farthest vertex k, the first of equals, and how far that is."""
+    return f"""SELECT c.road_id, c.a, c.b, max(o) AS off, arg_min(s, {{'o': -o, 's': s}}) AS k FROM (SELECT c.road_id, c.a, c.b, v.seq AS s, round({_OFFSET}, 9) AS o FROM ({spans}) c
+    JOIN fx_road_vertices pa ON pa.road_id = c.road_id AND pa.seq = c.a JOIN fx_road_vertices pb ON pb.road_id = c.road_id AND pb.seq = c.b LEFT JOIN fx_road_vertices v ON v.road_id = c.road_id AND v.seq > c.a AND v.seq < c.b) c GROUP BY c.road_id, c.a, c.b"""
+
+
+@register(f"""WITH RECURSIVE sp AS ({_farthest('SELECT road_id, min(seq) AS a, max(seq) AS b FROM fx_road_vertices GROUP BY road_id')} UNION ALL {_farthest('SELECT road_id, CASE WHEN t = 0 THEN a ELSE k END AS a, CASE WHEN t = 0 THEN k ELSE b END AS b FROM sp CROSS JOIN range(2) r(t) WHERE off > 6.0')})
+  SELECT v.road_id, v.seq, v.x, v.y FROM fx_road_vertices v JOIN (SELECT road_id, a AS seq FROM sp UNION SELECT road_id, b FROM sp) e ON e.road_id = v.road_id AND e.seq = v.seq""")
 def line_simplify(spark, d):
     return R.line_simplify(_vertices(spark, d), 6.0)
 
