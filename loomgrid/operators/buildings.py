@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,24 +158,94 @@ def roof_shape(tagged: Column, kind: Column, area: Column) -> Column:
     return F.coalesce(F.nullif(F.lower(tagged), F.lit("")), guess)
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull of points (n x 2) against the clock from the leftmost, by a monotone chain; points on its sides go."""
+    p = np.unique(points, axis=0)  # by x, then y
+    if len(p) < 3:
+        return p
+    if len(p) > 64:  # what is inside the hull of the extremes of eight directions can't be a corner
+        turns = np.arange(8) * np.pi / 4
+        q = p[np.unique(np.argmax(p @ np.stack([np.cos(turns), np.sin(turns)]), axis=0))]
+        q = hull(q) if len(q) <= 64 else q
+        e = np.roll(q, -1, axis=0) - q
+        p = p[~np.all([ex * (p[:, 1] - y) - ey * (p[:, 0] - x) > 0 for (x, y), (ex, ey) in zip(q, e, strict=True)], axis=0)] if len(q) > 2 else p
+    rows = p.tolist()
+
+    def chain(way: list) -> list:
+        out: list = []
+        for x, y in way:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0]) <= 0:
+                out.pop()
+            out.append((x, y))
+        return out[:-1]
+
+    return np.asarray(chain(rows) + chain(rows[::-1]))
+
+
+def smallest_box(corners: np.ndarray) -> tuple[float, ...] | None:
+    """The smallest rectangle around a convex outline against the clock, along one of its sides, the first of equals to a square
+    millimetre: ux, uy (the side's unit vector), and least and greatest places along and across it. None for a single point.
+
+    The farthest corners along and across only move on as the sides turn, so they are followed around, not searched.
+    """
+    n = len(corners)
+    if n < 2:
+        return None
+    p, best = corners.tolist(), None
+    sides = range(n if n > 2 else 1)
+    far = [0, 0, 0]  # the corners farthest along, across, and back
+    for k in sides:
+        (ax, ay), (bx, by) = p[k], p[(k + 1) % n]
+        size = math.hypot(bx - ax, by - ay)
+        if size <= 1e-9:
+            continue
+        ux, uy = (bx - ax) / size, (by - ay) / size
+        along, across = lambda q, ux=ux, uy=uy: q[0] * ux + q[1] * uy, lambda q, ux=ux, uy=uy: q[1] * ux - q[0] * uy
+        for m, (sign, axis) in enumerate(((1, along), (1, across), (-1, along))):
+            j = max(far[m], k + 1, far[m - 1] if m else 0)
+            while sign * axis(p[(j + 1) % n]) >= sign * axis(p[j % n]) and j < k + 2 * n:
+                j += 1
+            far[m] = j
+        box = ux, uy, along(p[far[2] % n]), along(p[far[0] % n]), across(p[k]), across(p[far[1] % n])
+        area = round((box[3] - box[2]) * (box[5] - box[4]), 6)
+        if best is None or area < best[0]:
+            best = area, box
+    return best and best[1]
+
+
+#: Points of which one task makes a hull at once.
+HULL_POINTS = 50_000
+
+
 def oriented_box(rings: DataFrame, key: str = "b_id") -> DataFrame:
-    """The smallest rectangle around each ring: centre, unit vector of the long axis, lengths; equal areas (to a square millimetre) go to the first edge.
+    """The smallest rectangle around each ring: centre, unit vector of the long axis, lengths, area. A ring of a single point has none.
 
-    The best rectangle lies along an edge, so every edge direction is tried on all vertices of its own ring.
+    The smallest one lies along a side of the convex hull. Rings of any size: vertices are dealt into parts, each part's hull is
+    made, and the hulls' corners are put together for the last one.
     """
-    e = edges(rings, key)
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    n = F.hypot(dx, dy)
-    axes = e.where(n > 1e-9).select(key, F.col("seq").alias("edge"), (dx / n).alias("ux"), (dy / n).alias("uy"))
-    points = rings.select(key, "x", "y").distinct()
-    along, across = F.col("x") * F.col("ux") + F.col("y") * F.col("uy"), F.col("y") * F.col("ux") - F.col("x") * F.col("uy")
-    boxes = axes.join(points, key).groupBy(key, "edge", "ux", "uy").agg(F.min(along).alias("a0"), F.max(along).alias("a1"), F.min(across).alias("c0"), F.max(across).alias("c1"))
-    best = boxes.withColumn("box_area", (F.col("a1") - F.col("a0")) * (F.col("c1") - F.col("c0"))).groupBy(key).agg(F.min_by(F.struct("*"), F.struct(F.round("box_area", 6), "edge")).alias("b")).select(key, *[f"b.{c}" for c in ("ux", "uy", "a0", "a1", "c0", "c1", "box_area")])
+    point = F.struct("x", "y")
+    sizes = rings.groupBy(key).agg(F.ceil(F.count("*") / HULL_POINTS).cast("int").alias("parts"))
+    parts = rings.select(key, "x", "y").join(sizes, key).groupBy(key, "parts", F.pmod(F.xxhash64("x", "y"), "parts").alias("part")).agg(F.collect_list(point).alias("p"))
+
+    def of_parts(batches):
+        for pdf in batches:
+            pdf["p"] = [[{"x": x, "y": y} for x, y in hull(np.asarray([(q["x"], q["y"]) for q in points])).tolist()] for points in pdf["p"]]
+            yield pdf
+
+    def of_rings(batches):
+        for pdf in batches:
+            pdf["box"] = [smallest_box(hull(np.asarray([(q["x"], q["y"]) for q in points]))) for points in pdf["p"]]
+            yield pdf[[key, "box"]].dropna()
+
+    large = parts.where("parts > 1").mapInPandas(of_parts, parts.schema).groupBy(key).agg(F.flatten(F.collect_list("p")).alias("p"))
+    whole = parts.where("parts = 1").select(key, "p").unionByName(large)
+    kind = rings.schema[key].dataType.simpleString()
+    best = whole.mapInPandas(of_rings, f"{key} {kind}, box array<double>").select(key, *[F.col("box")[i].alias(c) for i, c in enumerate(("ux", "uy", "a0", "a1", "c0", "c1"))])
     la, lc, ma, mc = F.col("a1") - F.col("a0"), F.col("c1") - F.col("c0"), (F.col("a0") + F.col("a1")) / 2, (F.col("c0") + F.col("c1")) / 2
     long = la >= lc
     return best.select(
         key, (ma * F.col("ux") - mc * F.col("uy")).alias("cx"), (ma * F.col("uy") + mc * F.col("ux")).alias("cy"), F.when(long, F.col("ux")).otherwise(-F.col("uy")).alias("vx"),
-        F.when(long, F.col("uy")).otherwise(F.col("ux")).alias("vy"), F.greatest(la, lc).alias("long_m"), F.least(la, lc).alias("short_m"), "box_area",
+        F.when(long, F.col("uy")).otherwise(F.col("ux")).alias("vy"), F.greatest(la, lc).alias("long_m"), F.least(la, lc).alias("short_m"), (la * lc).alias("box_area"),
     )
 
 

@@ -158,8 +158,11 @@ def longest_edge(spark, d):
     return _rounded(B.longest_edge(_edges(spark, d)), "bearing", "length")
 
 
-@register(f"""WITH {_LONG}, t AS (SELECT b_id, {_PM.format(f'(bearing - {ROTATION})', '360.0')} AS b FROM le), u AS (SELECT b_id, radians(round_even(b / 45.0, 0) * 45.0 - b) AS delta FROM t)
-  SELECT v.b_id, seq, round(cx + (x - cx) * cos(delta) + (y - cy) * sin(delta), 3) AS x, round(cy - (x - cx) * sin(delta) + (y - cy) * cos(delta), 3) AS y FROM fx_ring_vertices v JOIN u USING (b_id) JOIN fx_buildings USING (b_id)""")
+@register(f"""WITH a AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, avg(CASE WHEN seq < 4 THEN x END) OVER p AS cx, avg(CASE WHEN seq < 4 THEN y END) OVER p AS cy
+    FROM fx_ring_vertices WINDOW w AS (PARTITION BY b_id ORDER BY seq), p AS (PARTITION BY b_id)),
+  l AS (SELECT *, first_value(degrees(atan2(dx, dy)) - {ROTATION}) OVER (PARTITION BY b_id ORDER BY round(sqrt(dx * dx + dy * dy), 6) DESC NULLS LAST, seq) AS raw FROM a),
+  t AS (SELECT *, {_PM.format('raw', '360.0')} AS b FROM l), u AS (SELECT *, radians(round_even(b / 45.0, 0) * 45.0 - b) AS delta FROM t)
+  SELECT b_id, seq, round(cx + (x - cx) * cos(delta) + (y - cy) * sin(delta), 3) AS x, round(cy - (x - cx) * sin(delta) + (y - cy) * cos(delta), 3) AS y FROM u""")
 def rigid_snap(spark, d):
     return _rounded(B.rigid_snap(fixture(spark, d, "fx_ring_vertices"), ROTATION), "x", "y")
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgrid.operators import cells as C
-from loomgrid.operators import ordering, planar, relaxing, spatial, streets
+from loomgrid.operators import buildings, ordering, planar, relaxing, spatial, streets
 
 SEGMENT = "ax double, ay double, bx double, by double"
 
@@ -220,3 +220,31 @@ def test_long_lines_are_simplified_in_stretches(spark):
     told = [sorted(tuple(r) for r in streets.line_simplify(v, 4.0, stretch=n).collect()) for n in (20_000, 25)]
     assert told[0] == told[1] and 20 < len(told[0]) < 500
     assert [r[1] for r in told[0] if r[0] == 5] == [0, 299]
+
+
+def test_smallest_boxes_against_all_pairs_of_points(spark, monkeypatch):
+    """Along every line through two points that has all others on one side; rings in one part and in many."""
+    rng = np.random.default_rng(5)
+    rings = {k: (rng.integers(0, 8, (rng.integers(2, 40), 2)).astype(float) if k % 2 else rng.normal(size=(30, 2)) * [5, 1]) for k in range(30)}
+    rings[99] = np.asarray([[3.0, 3.0], [3.0, 3.0]])
+    want = {}
+    for k, p in rings.items():
+        for i in range(len(p)):
+            for j in range(len(p)):
+                size = np.hypot(*(p[j] - p[i]))
+                if size > 1e-9:
+                    u = (p[j] - p[i]) / size
+                    along, across = p @ u, p @ np.asarray([-u[1], u[0]])
+                    if (across - across[i] >= -1e-9).all():
+                        want[k] = min(want.get(k, 1e18), (along.max() - along.min()) * (across.max() - across.min()))
+    v = spark.createDataFrame([(k, s, float(x), float(y)) for k, p in rings.items() for s, (x, y) in enumerate(p)], "b_id long, seq long, x double, y double")
+    for part in (50_000, 7):
+        monkeypatch.setattr(buildings, "HULL_POINTS", part)
+        got = {r.b_id: r.box_area for r in buildings.oriented_box(v).collect()}
+        assert got == {k: pytest.approx(a, abs=1e-5) for k, a in want.items()}
+
+
+def test_the_hull_of_a_round_ring_of_many_vertices():
+    turn = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
+    box = buildings.smallest_box(buildings.hull(np.stack([5 * np.cos(turn), 2 * np.sin(turn)], 1)))
+    assert (box[3] - box[2]) * (box[5] - box[4]) == pytest.approx(40, abs=1e-5)
