@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -324,37 +326,79 @@ def line_simplify(vertices: DataFrame, tolerance: float, key: str = "road_id", s
     return thin.dropDuplicates([key, "seq"]) if kept else thin  # stretches share their ends
 
 
-def _joined(points: list) -> list:
-    """Closed rings from ways, in the order of the ways; an open chain is taken as far as it goes and dropped."""
-    ways: dict[int, list] = {}
-    for q in points:
-        ways.setdefault(q["way_no"], []).append((q["x"], q["y"]))
-    left, rings = list(ways.values()), []
-    while left:
-        ring = left.pop(0)
-        while ring[0] != ring[-1]:
-            # the first way, either way round, that continues the chain at its end or at its beginning
-            match = next(((k, line) for k, way in enumerate(left) for line in (way, way[::-1]) if line[0] == ring[-1] or line[-1] == ring[0]), None)
-            if match is None:
+def _joined(ways: list) -> list:
+    """Closed rings from ways (way_no, and their ends a, b), in the order of the ways: ring_id, way_no, back, at, first.
+
+    The first way that is left begins a ring; the first of those left that continues it, at its end or else its beginning, either way
+    round, goes on, until it closes; a chain that nothing continues is dropped. `at` is the place of the way's beginning on the ring, `back`
+    says that it runs the other way. Ways are found by their ends, so this is linear but for ways that meet in one place.
+    """
+    ends = [((w["a"]["x"], w["a"]["y"]), (w["b"]["x"], w["b"]["y"])) for w in ways]
+    by_end: dict[tuple, list[int]] = {}
+    for k in range(len(ways) - 1, -1, -1):  # the first ones last, so they are taken from the end
+        for e in set(ends[k]):
+            by_end.setdefault(e, []).append(k)
+    left = [True] * len(ways)
+
+    def first_at(place: tuple) -> int | None:
+        waiting = by_end.get(place, [])
+        while waiting and not left[waiting[-1]]:
+            waiting.pop()
+        return waiting[-1] if waiting else None
+
+    out, rings = [], 0
+    for begin in range(len(ways)):
+        if not left[begin]:
+            continue
+        left[begin] = False
+        head, tail = ends[begin]
+        ring = deque([(begin, False)])
+        while head != tail:
+            found = [k for k in (first_at(tail), first_at(head)) if k is not None]
+            if not found:
                 break
-            k, line = match
-            ring = ring + line[1:] if line[0] == ring[-1] else line[:-1] + ring
-            left.pop(k)
-        if len(ring) >= 4 and ring[0] == ring[-1]:
-            rings.append(ring)
-    return [{"ring_id": i, "seq": s, "x": x, "y": y} for i, r in enumerate(rings) for s, (x, y) in enumerate(r)]
+            k = min(found)
+            left[k] = False
+            (a, b) = ends[k]
+            if a == tail or b == tail:
+                ring.append((k, a != tail))
+                tail = b if a == tail else a
+            else:
+                ring.appendleft((k, b != head))
+                head = a if b == head else b
+        if head == tail and sum(ways[k]["n"] - 1 for k, _ in ring) >= 3:
+            at = 0
+            for i, (k, back) in enumerate(ring):
+                out.append({"ring_id": rings, "way_no": ways[k]["way_no"], "back": back, "at": at, "first": i == 0})
+                at += ways[k]["n"] - 1
+            rings += 1
+    return out
 
 
 def ring_assembly(ways: DataFrame) -> DataFrame:
-    """Join the member ways (relation_id, way_no, seq, x, y) of each relation end to end into closed rings of four vertices or more."""
+    """Join the member ways (relation_id, way_no, seq, x, y) of each relation end to end into closed rings of four vertices or more:
+    relation_id, ring_id, seq, x, y.
+
+    Only the ends of a relation's ways are put in order in one row; the vertices, of whatever number, find their place by a join.
+    Ways of a single vertex go. Rings are numbered in the order in which they close.
+    """
+    w = Window.partitionBy("relation_id", "way_no").orderBy("seq")
+    v = ways.select("relation_id", "way_no", "x", "y", (F.row_number().over(w) - 1).alias("idx"))
+    place = F.struct("x", "y")
+    ends = ways.groupBy("relation_id", "way_no").agg(F.min_by(place, "seq").alias("a"), F.max_by(place, "seq").alias("b"), F.count("*").alias("n")).where("n > 1")
 
     def run(batches):
         for pdf in batches:
-            pdf["p"] = [_joined(list(points)) for points in pdf["p"]]
+            pdf["p"] = [_joined(list(rows)) for rows in pdf["p"]]
             yield pdf
 
-    rings = _packed(ways, "relation_id", "way_no", "seq").mapInPandas(run, "relation_id long, p array<struct<ring_id:long,seq:long,x:double,y:double>>")
-    return rings.select("relation_id", F.explode("p").alias("p")).select("relation_id", "p.*")
+    packed = ends.groupBy("relation_id").agg(F.sort_array(F.collect_list(F.struct("way_no", "a", "b", "n"))).alias("p"))
+    kind = ways.schema["way_no"].dataType.simpleString()
+    told = packed.mapInPandas(run, f"relation_id {ways.schema['relation_id'].dataType.simpleString()}, p array<struct<ring_id:bigint,way_no:{kind},back:boolean,at:bigint,first:boolean>>")
+    told = told.select("relation_id", F.explode("p").alias("p")).select("relation_id", "p.*").join(ends.select("relation_id", "way_no", "n"), ["relation_id", "way_no"])
+    along = F.when(F.col("back"), F.col("n") - 1 - F.col("idx")).otherwise(F.col("idx"))
+    laid = v.join(told, ["relation_id", "way_no"]).withColumn("along", along).where("first OR along > 0")
+    return laid.select("relation_id", "ring_id", (F.col("at") + F.col("along")).cast("long").alias("seq"), "x", "y")
 
 
 def draw_classes(roads: DataFrame) -> DataFrame:

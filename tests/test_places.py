@@ -248,3 +248,53 @@ def test_the_hull_of_a_round_ring_of_many_vertices():
     turn = np.linspace(0, 2 * np.pi, 100_000, endpoint=False)
     box = buildings.smallest_box(buildings.hull(np.stack([5 * np.cos(turn), 2 * np.sin(turn)], 1)))
     assert (box[3] - box[2]) * (box[5] - box[4]) == pytest.approx(40, abs=1e-5)
+
+
+def plain_rings(ways):
+    """Rings by a search through all ways that are left at every step."""
+    left, out = [w for w in ways if len(w) > 1], []
+    while left:
+        ring = left.pop(0)
+        while ring[0] != ring[-1]:
+            for k, way in enumerate(left):
+                if ring[-1] in (way[0], way[-1]):
+                    ring = ring + (way if way[0] == ring[-1] else way[::-1])[1:]
+                elif ring[0] in (way[0], way[-1]):
+                    ring = (way if way[-1] == ring[0] else way[::-1])[:-1] + ring
+                else:
+                    continue
+                left.pop(k)
+                break
+            else:
+                break
+        if len(ring) >= 4 and ring[0] == ring[-1]:
+            out.append(ring)
+    return out
+
+
+def test_rings_with_junctions_and_open_chains(spark):
+    rnd = random.Random(14)
+    relations, rows = {}, []
+    for r in range(80):
+        spot = lambda: (float(rnd.randrange(3)), float(rnd.randrange(2)))
+        relations[r] = [[spot() for _ in range(rnd.randint(1, 4))] for _ in range(rnd.randint(1, 14))]
+        rows += [(r, k, s * 5, x, y) for k, way in enumerate(relations[r]) for s, (x, y) in enumerate(way)]
+    got = collections.defaultdict(list)
+    for q in streets.ring_assembly(spark.createDataFrame(rows, "relation_id long, way_no long, seq long, x double, y double").repartition(3)).orderBy("relation_id", "ring_id", "seq").collect():
+        at = got[q.relation_id]
+        if q.ring_id == len(at):
+            at.append([])
+        assert q.ring_id == len(at) - 1 and q.seq == len(at[-1])
+        at[-1].append((q.x, q.y))
+    want = {r: plain_rings(ways) for r, ways in relations.items()}
+    assert sum(map(len, want.values())) > 30 and dict(got) == {r: v for r, v in want.items() if v}
+
+
+def test_a_ring_of_very_many_ways():
+    n = 100_000
+    order = list(range(n))
+    random.Random(15).shuffle(order)
+    spot = lambda k: {"x": float(k % n), "y": 0.0}
+    ways = [{"way_no": i, "a": spot(k + i % 2), "b": spot(k + 1 - i % 2), "n": 2} for i, k in enumerate(order)]
+    told = streets._joined(ways)
+    assert len(told) == n and {t["ring_id"] for t in told} == {0} and [t["at"] for t in told] == list(range(n))
