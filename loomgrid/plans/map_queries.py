@@ -461,7 +461,8 @@ def grid_sample(spark, d):
     return X.grid_sample(fixture(spark, d, "fx_regions"), _region_edges(spark, d))
 
 
-@register("SELECT d_id, seq, round(15.0, 3)::DOUBLE AS turn FROM fx_drums")
+@register(f"""WITH r AS (SELECT a.d_id, a.seq, atan2(a.y - b.y, a.x - b.x) AS before, atan2(c.y - a.y, c.x - a.x) AS after FROM fx_drums a JOIN fx_drums b ON b.d_id = a.d_id AND b.seq = (a.seq + 23) % 24 JOIN fx_drums c ON c.d_id = a.d_id AND c.seq = (a.seq + 1) % 24)
+  SELECT d_id, seq, round({_PM.format('(degrees(after - before) + 180.0)', '360.0')} - 180.0, 3) AS turn FROM r""")
 def turn_angles(spark, d):
     return _rounded(X.turn_angles(fixture(spark, d, "fx_drums")).select("d_id", "seq", "turn"), "turn")
 
