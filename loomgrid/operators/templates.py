@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrid.sources.tables import stored
+
 #: A catalogue above this many rows is joined by shuffling instead of being sent to every executor.
 SMALL_CATALOGUE = 20_000
+#: Up to so many distinct pieces of three characters are sent to every executor; a piece in more texts than FREQUENT is salted.
+MANY_PIECES, FREQUENT, SALTS = 500_000, 1000, 16
 
 
-def small(templates: DataFrame) -> DataFrame:
+def small(templates: DataFrame, most: int | None = None) -> DataFrame:
     """The catalogue with a broadcast hint if it is counted to be small."""
-    return F.broadcast(templates) if templates.limit(SMALL_CATALOGUE + 1).count() <= SMALL_CATALOGUE else templates
+    most = SMALL_CATALOGUE if most is None else most
+    return F.broadcast(templates) if templates.limit(most + 1).count() <= most else templates
 
 
 def tpl_by_name(names: DataFrame, templates: DataFrame) -> DataFrame:
@@ -26,13 +31,41 @@ def _grams(text: Column, size: int = 3) -> Column:
     return F.array_distinct(F.flatten(F.array(*[cut(n) for n in range(1, size + 1)])))
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """The distinct pieces of n characters of a text; a shorter text is one piece."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n))))
+
+
+def rarest_pieces(short: DataFrame, long: DataFrame, a: str, b: str, size: int = 3) -> DataFrame:
+    """Rows of `short` with the piece of theirs that the fewest texts of `long` have, and their number: _g, _df.
+
+    A text with a piece that no text of `long` has is in none of them, and goes. A frequent piece has as many copies of its
+    count as there are salts, so texts that share one are not counted by one task.
+    """
+    held = long.select(F.explode(_grams(F.col(b), size)).alias("_g")).groupBy("_g").agg(F.count("*").alias("_df"))
+    asked = short.where(F.length(a) > 0).select(F.col(a).alias("_t")).distinct().select("_t", F.explode(_pieces(F.col("_t"), size)).alias("_g"))
+    salt = F.pmod(F.xxhash64("_t"), F.lit(SALTS)).cast("int")
+    copies = F.when(F.col("_df") > FREQUENT, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
+    # a rare piece has one copy, under the salt -1; a frequent one is met under the text's own
+    counted = held.withColumn("_s", F.explode(copies))
+    met = asked.withColumn("_s", F.explode(F.array(F.lit(-1), salt))).join(counted, ["_g", "_s"])
+    best = met.groupBy("_t").agg(F.min(F.struct("_df", "_g")).alias("m"), F.count("*").alias("_n"))
+    pieces = F.size(_pieces(F.col("_t"), size))
+    chosen = best.where(F.col("_n") == pieces).select("_t", F.col("m._g").alias("_g"), F.col("m._df").alias("_df"))
+    return short.join(chosen, short[a] == chosen["_t"]).drop("_t")
+
+
 def held_in(short: DataFrame, long: DataFrame, a: str, b: str, size: int = 3) -> DataFrame:
-    """All rows of `short` (column a) with all rows of `long` (column b) that contain them, found by a's first characters.
+    """All rows of `short` (column a) with all rows of `long` (column b) that contain them: an inverted index of pieces.
 
-    A text of fewer than `size` characters is its own key; the empty text is in every text and is left to the caller.
+    Each text of `short` probes the postings of its rarest piece only, then containment is verified. Postings of pieces that no
+    text probes are not shuffled if the probed ones are counted to be few. A text of fewer than `size` characters is its own
+    piece; the empty text is in every text and is left to the caller. Nulls are in nothing, and hold nothing.
     """
-    keys = short.where(F.length(a) > 0).withColumn("_g", F.substring(a, 1, size))
-    return keys.join(long.withColumn("_g", F.explode(_grams(F.col(b), size))), "_g").where(F.contains(b, a)).drop("_g")
+    keys = stored(rarest_pieces(short, long, a, b, size).drop("_df"), "keys")
+    probed = small(keys.select("_g").distinct(), MANY_PIECES)
+    postings = long.withColumn("_g", F.explode(_grams(F.col(b), size))).join(probed, "_g", "left_semi")
+    return keys.join(postings, "_g").where(F.contains(b, a)).drop("_g")
 
 
 def tpl_fuzzy(names: DataFrame, templates: DataFrame) -> DataFrame:

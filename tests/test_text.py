@@ -121,3 +121,33 @@ def test_names_that_hold_each_other(spark):
         shared = [(-len(set(low.split()) & set(n.split())), k) for k, n in listed if set(low.split()) & set(n.split())]
         want = (max(exact), 1) if exact else (min(held), 2) if held else (min(shared)[1], 3) if shared else (None, None)
         assert out[q] == want, q
+
+
+def test_names_probe_their_rarest_piece(spark):
+    """Half of all names begin alike, and some hold characters of one, two and four bytes; against all pairs."""
+    import random
+
+    rnd = random.Random(31)
+    word = lambda: "".join(rnd.choice("abcdeé𝒳 ") for _ in range(rnd.randint(0, 6)))
+    long = [("the great " if k % 2 else "") + word() + rnd.choice(["", " meme"]) for k in range(400)] + [None, "", "ab"]
+    short = [word() for _ in range(300)] + ["the " + word() for _ in range(150)] + ["the great", "the great", "the", "th", "t", "", None, "zzz", "the zzz"]
+    s = spark.createDataFrame(list(enumerate(short)), "s_id int, a string")
+    t = spark.createDataFrame(list(enumerate(long)), "l_id int, b string")
+    want = sorted((i, j) for i, x in enumerate(short) for j, y in enumerate(long) if x and y is not None and x in y)
+    for frequent in (1000, 3):
+        M.FREQUENT, kept = frequent, M.FREQUENT
+        try:
+            assert sorted((r.s_id, r.l_id) for r in M.held_in(s, t, "a", "b").collect()) == want
+            keys = M.rarest_pieces(s, t, "a", "b").collect()
+        finally:
+            M.FREQUENT = kept
+        for r in keys:  # the piece is the rarest of the text's own
+            pieces = {r.a[k : k + 3] for k in range(max(1, len(r.a) - 2))}
+            assert r._g in pieces and r._df == min(sum(p in (y or "") for y in long) for p in pieces)
+    assert any(r.a.startswith("the ") and r._df < 5 for r in keys) and len(want) > 500
+
+
+def test_names_against_an_empty_catalogue(spark):
+    none = spark.createDataFrame([], "l_id int, b string")
+    some = spark.createDataFrame([(1, "abc")], "s_id int, a string")
+    assert M.held_in(some, none, "a", "b").count() == 0 and M.held_in(none, some, "b", "a").count() == 0
