@@ -39,10 +39,10 @@ def clipped(segments: DataFrame, frame: tuple[float, float, float, float], *keys
 
 
 def _sorted_ends(segments: DataFrame) -> DataFrame:
-    """Distinct segments whose first end is the lesser; single points go."""
+    """Distinct segments whose first end is the lesser, and net: how many run that way less how many run back. Single points go."""
     a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
-    pair = segments.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q")).where("p <> q")
-    return pair.select(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")).distinct()
+    pair = segments.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), F.when(a < b, F.col("net")).otherwise(-F.col("net")).alias("net")).where("p <> q")
+    return pair.groupBy(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")).agg(F.sum("net").alias("net"))
 
 
 def _cuts(segments: DataFrame, cell: float, smallest: float) -> DataFrame:
@@ -74,12 +74,12 @@ def _cuts(segments: DataFrame, cell: float, smallest: float) -> DataFrame:
 
 
 def noded(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
-    """segments (ax, ay, bx, by) -> pieces in whole grains that meet at their ends only; what lies on one another is one piece.
+    """segments (ax, ay, bx, by) -> pieces in whole grains that meet at their ends only, and net; what lies on one another is one piece.
 
-    Segments may be some two million grains long. A crossing is rounded to the grain, which can make a new one, so pieces are cut
-    until none is.
+    net is the number of segments that run along the piece less that of those that run against it. Segments may be some two million
+    grains long. A crossing is rounded to the grain, which can make a new one, so pieces are cut until none is.
     """
-    whole = segments.select(*[F.rint(F.col(c) / grain).cast("long").alias(c) for c in _ENDS])
+    whole = segments.select(*[F.rint(F.col(c) / grain).cast("long").alias(c) for c in _ENDS], F.lit(1).cast("long").alias("net"))
     pieces = stored(_sorted_ends(whole), "pieces")
     while True:
         numbered = stored(pieces.withColumn("sid", F.monotonically_increasing_id()), "numbered")
@@ -87,11 +87,11 @@ def noded(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> Data
         if cuts.isEmpty():
             return pieces
         ends = numbered.select("sid", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e")).select("sid", "e.*")
-        touched = ends.join(cuts.select("sid").distinct(), "sid", "left_semi").unionByName(cuts).join(numbered.select("sid", F.col("ax").alias("x0"), F.col("ay").alias("y0")), "sid")
+        touched = ends.join(cuts.select("sid").distinct(), "sid", "left_semi").unionByName(cuts).join(numbered.select("sid", F.col("ax").alias("x0"), F.col("ay").alias("y0"), "net"), "sid")
         away = (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0"))
         w = Window.partitionBy("sid").orderBy("away", "x", "y")
-        parts = touched.withColumn("away", away).select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by")).where("bx IS NOT NULL")
-        rest = numbered.join(cuts.select("sid").distinct(), "sid", "left_anti").select(*_ENDS)
+        parts = touched.withColumn("away", away).select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by"), "net").where("bx IS NOT NULL")
+        rest = numbered.join(cuts.select("sid").distinct(), "sid", "left_anti").select(*_ENDS, "net")
         pieces = stored(_sorted_ends(rest.unionByName(parts)), "pieces")
 
 
@@ -126,10 +126,15 @@ def regions(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> Da
     Edges with one region on both sides (loose ends, bridges) bound nothing. A cycle with nothing on its left but the outside is a
     hole of the smallest region around it, which holds the place just left of its leftmost node.
     """
-    halves = stored(cycles(noded(segments, grain, cell)), "cycles")
+    return _enclosed(noded(segments, grain, cell).select(*_ENDS), grain, cell)
+
+
+def _enclosed(pieces: DataFrame, grain: float, cell: float) -> DataFrame:
+    """regions() of pieces in whole grains that meet at their ends only."""
+    halves = stored(cycles(pieces), "cycles")
     x0, y0 = halves.agg(F.min("ax"), F.min("ay")).first()
     if x0 is None:
-        return segments.limit(0).select(F.lit(0).cast("long").alias("r_id"), *_ENDS)
+        return pieces.limit(0).select(F.lit(0).cast("long").alias("r_id"), *[F.col(c).cast("double").alias(c) for c in _ENDS])
     local = {c: (F.col(c) - F.lit(x0 if c[1] == "x" else y0)).cast("double") * grain for c in _ENDS}
     other = halves.select(F.col("h").alias("twin"), F.col("cycle").alias("beyond"))
     bounding = stored(halves.join(other, "twin").where("cycle <> beyond").select("cycle", *[c.alias(n) for n, c in local.items()]), "bounding")
@@ -145,6 +150,94 @@ def regions(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> Da
     return whole.select("r_id", *[(F.col(c) + F.lit((x0 if c[1] == "x" else y0) * grain)).alias(c) for c in _ENDS])
 
 
+def left_sided(edges: DataFrame) -> DataFrame:
+    """edges (r_id, ax, ay, bx, by) of simple rings, one a region -> the same edges run so that the area is on their left."""
+    low = edges.groupBy("r_id").agg(F.min("ax").alias("x0"), F.min("ay").alias("y0"))
+    turn = (F.col("ax") - F.col("x0")) * (F.col("by") - F.col("y0")) - (F.col("bx") - F.col("x0")) * (F.col("ay") - F.col("y0"))
+    back = edges.join(low, "r_id").groupBy("r_id").agg((F.sum(turn) < 0).alias("back"))
+    ends = [F.when(F.col("back"), F.col(o)).otherwise(F.col(c)).alias(c) for c, o in zip(_ENDS, ["bx", "by", "ax", "ay"], strict=True)]
+    return edges.join(back, "r_id").select("r_id", *ends)
+
+
+def outer_edges(areas: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
+    """areas (r_id, ax, ay, bx, by), area on the left -> ax, ay, bx, by in whole grains: the edges of their union, area on the left.
+
+    Edges of touching areas run both ways and cancel. Along any other piece one side has more areas than the other; the piece is on
+    the outside if the side with fewer has none, which a point just beside its middle tells. So areas may also overlap or repeat.
+    """
+    pieces = noded(areas, grain, cell).where("net <> 0")
+    swap = F.col("net") < 0
+    run = pieces.select(*[F.when(swap, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in zip(_ENDS, ["bx", "by", "ax", "ay"], strict=True)])
+    run = stored(run.withColumn("p_id", F.monotonically_increasing_id()), "outer")
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    size = F.sqrt((dx * dx + dy * dy).cast("double"))
+    probes = run.select("p_id", ((F.col("ax") + F.col("bx")) / 2 + dy / size / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2 - dx / size / 2).alias("y"))
+    whole = areas.select("r_id", *[F.rint(F.col(c) / grain).alias(c) for c in _ENDS])
+    covered = point_in_polygon(probes, whole, cell / grain).select("p_id").distinct()
+    return run.join(covered, "p_id", "left_anti").select(*_ENDS)
+
+
+def dissolved(areas: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
+    """areas (r_id, ax, ay, bx, by), area on the left -> r_id, ax, ay, bx, by: the edges of the areas that they make together.
+
+    Touching, overlapping and repeated areas become one; areas that share a corner only stay apart. Holes that areas leave between
+    them are holes of what is around them. Names are new. Each area is taken even-odd, so it may have holes of its own, with the
+    area on the left there too (see left_sided() for rings of one direction). No areas make no edges.
+    """
+    outer = stored(outer_edges(areas, grain, cell), "union")
+    lesser = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")) < F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
+    pieces = outer.select(*[F.when(lesser, F.col(c)).otherwise(F.col(o)).alias(c) for c, o in zip(_ENDS, ["bx", "by", "ax", "ay"], strict=True)])
+    faces = stored(_enclosed(pieces, grain, cell), "faces")
+    # a face is part of the union if it is on the left of its edges there, and a gap if it is on their right
+    whole = [F.rint(F.col(c) / grain).cast("long").alias(c) for c in _ENDS]
+    ours = faces.select("r_id", *whole).join(outer, _ENDS, "left_semi").select("r_id").distinct()
+    return faces.join(ours, "r_id", "left_semi")
+
+
+def _beyond(axis: str, at: float, above: bool):
+    """A half-plane of rings: the part of a ring of points (x, y) on one side of a line parallel to an axis."""
+    other = "y" if axis == "x" else "x"
+
+    def cut(ring: Column) -> Column:
+        room = lambda p: p[axis] - F.lit(at) if above else F.lit(at) - p[axis]
+
+        def step(p: Column, i: Column) -> Column:
+            before = F.element_at(ring, F.when(i == 0, F.size(ring)).otherwise(i))
+            # taken from the lesser end, so that a side shared by two rings is cut at one place
+            a, b = F.least(before, p), F.greatest(before, p)
+            met = a[other] + (b[other] - a[other]) * (F.lit(at) - a[axis]) / (b[axis] - a[axis])
+            spot = F.struct(F.lit(at).alias("x"), met.alias("y")) if axis == "x" else F.struct(met.alias("x"), F.lit(at).alias("y"))
+            crossed = F.when(room(before) * room(p) < 0, spot)
+            return F.array_compact(F.array(crossed, F.when(room(p) >= 0, p)))
+
+        return F.flatten(F.transform(ring, step))
+
+    return cut
+
+
+def clipped_rings(rings: DataFrame, frame: tuple[float, float, float, float]) -> DataFrame:
+    """rings with ring, an array of points (x, y), open or closed -> the same with what of each is inside the frame (x0, y0, x1, y1), open.
+
+    The ring is cut by four half-planes in turn, within its own row. A ring that leaves the frame several times stays one ring that runs
+    along the frame between its parts, as its area and its even-odd inside need. Rings of which no area is left go, and so do null ones.
+    """
+    x0, y0, x1, y1 = map(float, frame)
+    # a ring is bound before a lambda reads it again, and chosen in the array that is exploded: as a column of its own, each reading would
+    # compute it anew in every step
+    bound = lambda ring, f: F.transform(F.array(ring), f)[0]
+    ring = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    for axis, at, above in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
+        ring = bound(ring, _beyond(axis, at, above))
+
+    def steps(r: Column) -> Column:  # points that repeat the one before them say nothing
+        return F.filter(r, lambda p, i: (F.size(r) == 1) | (p != F.element_at(r, F.when(i == 0, F.size(r)).otherwise(i))))
+
+    def broad(r: Column) -> Column:
+        return (F.size(r) >= 3) & F.exists(r, lambda p: p["x"] != r[0]["x"]) & F.exists(r, lambda p: p["y"] != r[0]["y"])
+
+    return rings.withColumn("ring", F.explode(F.filter(F.array(bound(ring, steps)), broad)))
+
+
 def frame_sides(spark, frame: tuple[float, float, float, float]) -> DataFrame:
     x0, y0, x1, y1 = map(float, frame)
     return spark.createDataFrame([(x0, y0, x1, y0), (x1, y0, x1, y1), (x1, y1, x0, y1), (x0, y1, x0, y0)], "ax double, ay double, bx double, by double")

@@ -57,6 +57,9 @@ VIEWS: dict[str, str] = {
         CASE side WHEN 0 THEN y0 WHEN 1 THEN CASE pt WHEN 0 THEN y0 - 5 ELSE y1 + 5 END WHEN 2 THEN y1 ELSE CASE pt WHEN 0 THEN y1 + 5 ELSE y0 - 5 END END AS y
       FROM fx_bays CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) s CROSS JOIN (SELECT 0 AS pt UNION ALL SELECT 1) p
       WHERE k % 5 <> 0 OR side <> 2""",
+    "fx_tiles": """SELECT o_orderkey AS t_id, CAST(floor(o_orderkey / 120) AS BIGINT) AS strip, o_orderkey % 120 AS place, CAST(o_orderkey % 120 * 60 + 5 AS DOUBLE) AS x0, CAST(floor(o_orderkey / 120) * 100 + 10 AS DOUBLE) AS y0,
+        CAST(o_orderkey % 120 * 60 + 65 AS DOUBLE) AS x1, CAST(floor(o_orderkey / 120) * 100 + 50 + o_custkey % 4 * 10 AS DOUBLE) AS y1
+      FROM orders WHERE o_custkey % 7 <> 0""",
     "fx_homes": """SELECT o_orderkey AS p_id, CAST(o_custkey % 151 * 60 + 30 + o_orderkey % 7 AS DOUBLE) AS x, CAST(floor(o_custkey / 151) * 60 + 20 + o_orderkey % 11 AS DOUBLE) AS y,
         o_custkey AS k
       FROM orders""",

@@ -431,6 +431,50 @@ def frame_clip(spark, d):
     return P.clipped(lines, FRAME, "s_id").select("s_id", "ax", "ay", "bx", "by")
 
 
+#: The sides of a smaller frame, which cut footprints.
+_INNER = (1530.5, 1241.25, 7421.5, 7777.75)
+
+
+def _ring_side(n: int, axis: str, at: float, above: bool) -> str:
+    """A common table c<n+1>: the rings of c<n> on one side of a line parallel to an axis."""
+    other = "y" if axis == "x" else "x"
+    room, before = (f"({c} - {at})" if above else f"({at} - {c})" for c in (axis, f"p{axis}"))
+    met = f"p{other} + ({other} - p{other}) * ({at} - p{axis}) / ({axis} - p{axis})"
+    spot = f"{at}::DOUBLE AS x, {met} AS y" if axis == "x" else f"{met} AS x, {at}::DOUBLE AS y"
+    return f"""w{n} AS (SELECT b_id, row_number() OVER o AS pos, x, y, coalesce(lag(x) OVER o, last_value(x) OVER e) AS px, coalesce(lag(y) OVER o, last_value(y) OVER e) AS py FROM c{n}
+    WINDOW o AS (PARTITION BY b_id ORDER BY pos), e AS (PARTITION BY b_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+  c{n + 1} AS (SELECT b_id, pos * 2 AS pos, {spot} FROM w{n} WHERE {room} * {before} < 0 UNION ALL SELECT b_id, pos * 2 + 1, x, y FROM w{n} WHERE {room} >= 0)"""
+
+
+_RING_SIDES = ",\n  ".join(_ring_side(n, *side) for n, side in enumerate([("x", _INNER[0], True), ("x", _INNER[2], False), ("y", _INNER[1], True), ("y", _INNER[3], False)]))
+
+
+@register(f"""WITH c0 AS (SELECT b_id, seq AS pos, x, y FROM fx_ring_vertices WHERE seq < 4),
+  {_RING_SIDES},
+  e AS (SELECT *, min(x) OVER r AS x0, min(y) OVER r AS y0, coalesce(lead(x) OVER o, first_value(x) OVER o) AS nx, coalesce(lead(y) OVER o, first_value(y) OVER o) AS ny FROM c4 WINDOW r AS (PARTITION BY b_id), o AS (PARTITION BY b_id ORDER BY pos)),
+  a AS (SELECT b_id, abs(sum((x - x0) * (ny - y0) - (nx - x0) * (y - y0))) / 2 AS area, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM e GROUP BY b_id)
+  SELECT b_id, round(area, 3) AS area, round(x0, 3) AS x0, round(y0, 3) AS y0, round(x1, 3) AS x1, round(y1, 3) AS y1 FROM a WHERE area > 0.0005""")
+def frame_clip_rings(spark, d):
+    v = fixture(spark, d, "fx_ring_vertices")
+    rings = v.groupBy("b_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "x", "y"))), lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("ring"))
+    corners = P.clipped_rings(rings, _INNER).select("b_id", F.posexplode("ring").alias("seq", "p")).select("b_id", "seq", "p.x", "p.y")
+    around = corners.unionByName(corners.where("seq = 0").withColumn("seq", F.lit(2**31 - 1)))  # closed again
+    edges = R.segments(around, "b_id").withColumnRenamed("b_id", "r_id")
+    m = P.region_measures(edges).withColumnRenamed("r_id", "b_id").withColumn("area", F.abs("area")).where("area > 0.0005")
+    return _rounded(m, "area", "x0", "y0", "x1", "y1")
+
+
+@register("""WITH t AS (SELECT *, strip * 1000 + place - row_number() OVER (PARTITION BY strip ORDER BY place) AS island FROM fx_tiles)
+  SELECT min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, sum((x1 - x0) * (y1 - y0)) AS area FROM t GROUP BY strip, island""")
+def areas_dissolved(spark, d):
+    """Tiles of different heights that share parts of their sides; every fifth is there twice."""
+    t = fixture(spark, d, "fx_tiles")
+    t = t.select(F.col("t_id").alias("r_id"), "x0", "y0", "x1", "y1").unionByName(t.where("t_id % 5 = 0").select((-F.col("t_id") - 1).alias("r_id"), "x0", "y0", "x1", "y1"))
+    corners = ["x0", "y0"], ["x1", "y0"], ["x1", "y1"], ["x0", "y1"]
+    sides = F.array(*[F.struct(*[F.col(c).alias(n) for n, c in zip(("ax", "ay", "bx", "by"), (*corners[k], *corners[(k + 1) % 4]), strict=True)]) for k in range(4)])
+    return _measured(P.dissolved(t.select("r_id", F.explode(sides).alias("e")).select("r_id", "e.*")))
+
+
 _STREETS = """s AS (SELECT * FROM (SELECT road_id, class_no, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fx_road_vertices WINDOW w AS (PARTITION BY road_id ORDER BY seq)) WHERE x2 IS NOT NULL AND class_no < 8),
   p AS (SELECT b_id, cx, cy, CAST(floor(cx / 100) AS BIGINT) AS i, CAST(floor(cy / 100) AS BIGINT) AS j FROM fx_buildings), pc AS (SELECT p.*, i + di AS ci, j + dj AS cj FROM p CROSS JOIN (SELECT a.k - 1 AS di, b.k - 1 AS dj FROM range(3) a(k), range(3) b(k)) o),
   q AS (SELECT b_id, cx, cy, x1, y1, x2, y2, greatest(0.0, least(1.0, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE ((cx - x1) * (x2 - x1) + (cy - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)) END)) AS t FROM pc JOIN s ON CAST(floor(x1 / 100) AS BIGINT) = ci AND CAST(floor(y1 / 100) AS BIGINT) = cj),

@@ -298,3 +298,82 @@ def test_a_ring_of_very_many_ways():
     ways = [{"way_no": i, "a": spot(k + i % 2), "b": spot(k + 1 - i % 2), "n": 2} for i, k in enumerate(order)]
     told = streets._joined(ways)
     assert len(told) == n and {t["ring_id"] for t in told} == {0} and [t["at"] for t in told] == list(range(n))
+
+
+def ring_edges(rings):
+    """(r_id, ax, ay, bx, by) of open rings by name."""
+    return [(k, *map(float, p), *map(float, q)) for k, ring in rings.items() for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
+
+
+EDGES = "r_id long, ax double, ay double, bx double, by double"
+
+
+def test_dissolved_areas_against_unit_cells(spark):
+    """Boxes of whole numbers that touch, overlap, hold one another, repeat and meet in corners; areas, outlines and parts by unit cells."""
+    rnd = random.Random(8)
+    for n in (4, 14, 40):
+        boxes = []
+        for _ in range(n):
+            x, y = rnd.randrange(18), rnd.randrange(18)
+            boxes.append((x, y, x + rnd.randint(1, 6), y + rnd.randint(1, 6)))
+        boxes += boxes[:3]
+        covered = {(i, j) for x0, y0, x1, y1 in boxes for i in range(x0, x1) for j in range(y0, y1)}
+        outline = sum((i + di, j + dj) not in covered for i, j in covered for di, dj in ((1, 0), (-1, 0), (0, 1), (0, -1)))
+        parts, left = [], set(covered)
+        while left:
+            todo, size = [left.pop()], 0
+            while todo:
+                i, j = todo.pop()
+                size += 1
+                for spot in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                    if spot in left:
+                        left.remove(spot)
+                        todo.append(spot)
+            parts.append(size)
+        rings = {k: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)] for k, (x0, y0, x1, y1) in enumerate(boxes)}
+        got = planar.dissolved(spark.createDataFrame(ring_edges(rings), EDGES), cell=5.0).collect()
+        area = collections.defaultdict(float)
+        for r in got:
+            area[r.r_id] += (r.ax * r.by - r.bx * r.ay) / 2
+        assert sorted(round(a, 6) for a in area.values()) == sorted(parts)
+        assert sum(abs(r.bx - r.ax) + abs(r.by - r.ay) for r in got) == pytest.approx(outline)
+
+
+def test_dissolved_slanting_areas_and_a_gap(spark):
+    """A square of four triangles less one, a frame of four boxes around a gap, and rings that run either way."""
+    rings = {1: [(0, 0), (4, 0), (2, 2)], 2: [(4, 0), (2, 2), (4, 4)], 3: [(4, 4), (0, 4), (2, 2)]}
+    rings |= {10: [(10, 0), (16, 0), (16, 1), (10, 1)], 11: [(10, 5), (16, 5), (16, 6), (10, 6)], 12: [(10, 1), (10, 5), (11, 5), (11, 1)], 13: [(15, 1), (16, 1), (16, 5), (15, 5)]}
+    edges = planar.left_sided(spark.createDataFrame(ring_edges(rings), EDGES))
+    got = planar.region_measures(planar.dissolved(edges)).orderBy("x0").collect()
+    assert [(r.x0, r.y0, r.x1, r.y1, round(r.area, 6)) for r in got] == [(0, 0, 4, 4, 12), (10, 0, 16, 6, 6 + 6 + 4 + 4)]
+    none = spark.createDataFrame([], EDGES)
+    assert planar.dissolved(none).count() == 0
+
+
+def test_clipped_rings_against_small_squares(spark):
+    """The area inside a frame by counting the middles of small squares, for rings that are not convex, run either way and leave the frame often."""
+    rng = np.random.default_rng(12)
+    rings = {}
+    for k in range(40):
+        n = rng.integers(4, 12)
+        turn = 2 * np.pi * (np.arange(n) + rng.uniform(0, 0.9, n)) / n  # less than half a turn apart, so no ring crosses itself
+        size = rng.uniform(1, 9, len(turn))
+        rings[k] = np.stack([5 + size * np.cos(turn), 5 + size * np.sin(turn)], 1)[:: 1 if k % 2 else -1]
+    rings[50] = np.asarray([(0, 0), (12, 0), (12, 2), (4, 2), (4, 4), (12, 4), (12, 6), (0, 6.0)])  # leaves twice
+    rings[51] = np.asarray([(20, 20), (30, 20), (30, 30.0)])
+    rings[52] = np.asarray([(2, 0), (2, 2), (6, 2), (6, 0.0)])  # touches the frame only
+    frame = (3.0, 2.0, 8.0, 9.0)
+    rows = [(k, [(float(x), float(y)) for x, y in r] + ([tuple(map(float, r[0]))] if k % 3 == 0 else [])) for k, r in rings.items()] + [(60, None), (61, [])]
+    got = {r.k: [(p.x, p.y) for p in r.ring] for r in planar.clipped_rings(spark.createDataFrame(rows, "k long, ring array<struct<x:double,y:double>>"), frame).collect()}
+    assert not {51, 52, 60, 61} & set(got)
+    step = 0.02
+    gx, gy = np.meshgrid(np.arange(frame[0] + step / 2, frame[2], step), np.arange(frame[1] + step / 2, frame[3], step))
+    for k, ring in rings.items():
+        inside = np.zeros(gx.shape, bool)
+        for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, 0), strict=True):
+            if ay != by:
+                inside ^= ((ay > gy) != (by > gy)) & (gx < ax + (bx - ax) * (gy - ay) / (by - ay))
+        p = np.asarray(got.get(k, [(0, 0)]))
+        assert k not in got or ((p >= frame[:2]).all() and (p <= frame[2:]).all())
+        x, y = p.T
+        assert abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2 == pytest.approx(inside.sum() * step * step, abs=0.15)
