@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Generator, Iterable, Iterator
@@ -102,37 +103,73 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
     _save(rows, path)
 
 
-def arc_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict, bytes]]:
-    """Header fields and block of each record; the version block says which header line the others have."""
+def arc_records(pieces: Iterable[bytes], lost: list[int] | None = None) -> Iterator[tuple[dict, bytes]]:
+    """Header fields and block of each record; the version block says which header line the others have.
+
+    A header line with another number of fields, no 14-digit date or no length, and a block that is cut short, are damage: reading goes
+    on at the next sound header line. A piece that begins with damage is one record (a gzip member), and its lines are not searched, for
+    its payload may hold what looks like a header; only the first piece is, as a plain file is one. lost[0] counts the places of damage.
+    """
     names = V1.split()
-    for data in pieces:
-        names = yield from _arc_piece(data, names)
+    lost = [0] if lost is None else lost
+    for n, data in enumerate(pieces):
+        names = yield from _arc_piece(data, names, n == 0, lost)
 
 
-def _arc_piece(data: bytes, names: list[str]) -> Generator[tuple[dict, bytes], None, list[str]]:
-    at = 0
+def _arc_fields(line: str, names: list[str]) -> dict | None:
+    """The fields of a sound header line of the file's version, else of either version."""
+    for layout in (names, V1.split(), V2.split()):
+        # a URL may hold blanks, so fields count from the right
+        fields = dict(zip(layout, line.rsplit(" ", len(layout) - 1), strict=False))
+        if len(fields) == len(layout) and re.fullmatch(r"[0-9]{14}", fields.get("Archive-date", "")) and re.fullmatch(r"[0-9]{1,18}", fields.get("Archive-length", "")):
+            return fields
+    return None
+
+
+def _arc_piece(data: bytes, names: list[str], search: bool, lost: list[int]) -> Generator[tuple[dict, bytes], None, list[str]]:
+    at, astray = 0, False
     while at < len(data):
         end = data.find(b"\n", at)
-        if end < 0:
-            break
-        line = data[at:end].decode("utf-8", "replace").strip()
-        at = end + 1
+        line = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").strip()
+        at = end + 1 if end >= 0 else len(data)
         if not line:
             continue
-        first = line.startswith("filedesc:")
-        # the version block's own line has the fields of its version; a URL may hold blanks, so fields count from the right
-        length = int(line.rsplit(" ", 1)[1])
+        fields = _arc_fields(line, names)
+        if fields is None or at + int(fields["Archive-length"]) > len(data):
+            lost[0] += not astray
+            if not search:
+                break
+            astray = True
+            continue
+        length = int(fields["Archive-length"])
         block = data[at : at + length]
         at += length
-        if first:
-            names = block.decode("utf-8", "replace").split("\n")[1].split()
+        search, astray = True, False  # a piece with a sound record at its head is read on by lines
+        if line.startswith("filedesc:"):
+            about = block.decode("utf-8", "replace").split("\n")
+            if len(about) > 1 and "Archive-length" in about[1]:
+                names = about[1].split()
             continue
-        yield dict(zip(names, line.rsplit(" ", len(names) - 1), strict=True)), block
+        yield fields, block
     return names
 
 
+def arc_damage(spark: SparkSession, path: str) -> DataFrame:
+    """path and n_lost of every ARC file: at how many places read_arc() skips damage."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                lost = [0]
+                for _ in arc_records(members(content.as_py()), lost):
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array(lost, pa.int64())], ["path", "n_lost"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(count, "path string, n_lost long")
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of ARC files, with the payload parted from the HTTP head, and its digest."""
+    """Records of ARC files, with the payload parted from the HTTP head, and its digest. Damaged records are skipped; see arc_damage()."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _RECORD.split(", ")]
@@ -143,7 +180,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
                 for fields, block in arc_records(members(content.as_py())):
                     head, _, payload = block.partition(b"\r\n\r\n")
                     number = next((h.split(b":", 1)[1].strip() for h in head.split(b"\r\n") if h.lower().startswith(b"x-page-id:")), b"")
-                    rows.append((int(number) if number else None, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], head, payload, sha1_base32(payload)))
+                    rows.append((int(number) if re.fullmatch(rb"-?[0-9]{1,18}", number) else None, fields["URL"], fields["IP-address"], fields["Archive-date"], fields["Content-type"], head, payload, sha1_base32(payload)))
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows = []
