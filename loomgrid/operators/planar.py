@@ -74,7 +74,12 @@ def _cuts(segments: DataFrame, cell: float, smallest: float) -> DataFrame:
 
 
 def noded(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
-    """segments (ax, ay, bx, by) -> pieces in whole grains that meet at their ends only, and net; what lies on one another is one piece.
+    """segments (ax, ay, bx, by) -> the same of pieces in whole grains that meet at their ends only; what lies on one another is one piece."""
+    return counted_pieces(segments, grain, cell).select(*_ENDS)
+
+
+def counted_pieces(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
+    """The pieces of noded(), and net.
 
     net is the number of segments that run along the piece less that of those that run against it. Segments may be some two million
     grains long. A crossing is rounded to the grain, which can make a new one, so pieces are cut until none is.
@@ -126,7 +131,7 @@ def regions(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> Da
     Edges with one region on both sides (loose ends, bridges) bound nothing. A cycle with nothing on its left but the outside is a
     hole of the smallest region around it, which holds the place just left of its leftmost node.
     """
-    return _enclosed(noded(segments, grain, cell).select(*_ENDS), grain, cell)
+    return _enclosed(noded(segments, grain, cell), grain, cell)
 
 
 def _enclosed(pieces: DataFrame, grain: float, cell: float) -> DataFrame:
@@ -165,7 +170,7 @@ def outer_edges(areas: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> D
     Edges of touching areas run both ways and cancel. Along any other piece one side has more areas than the other; the piece is on
     the outside if the side with fewer has none, which a point just beside its middle tells. So areas may also overlap or repeat.
     """
-    pieces = noded(areas, grain, cell).where("net <> 0")
+    pieces = counted_pieces(areas, grain, cell).where("net <> 0")
     swap = F.col("net") < 0
     run = pieces.select(*[F.when(swap, F.col(o)).otherwise(F.col(c)).alias(c) for c, o in zip(_ENDS, ["bx", "by", "ax", "ay"], strict=True)])
     run = stored(run.withColumn("p_id", F.monotonically_increasing_id()), "outer")
