@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgrid.operators.cells import fit
 from loomgrid.operators.spatial import point_in_polygon, shore_probes
-from loomgrid.sources.tables import stored
+from loomgrid.sources.tables import dropped, stored
 
 _ENDS = ["ax", "ay", "bx", "by"]
 
@@ -90,7 +90,9 @@ def counted_pieces(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0
         numbered = stored(pieces.withColumn("sid", F.monotonically_increasing_id()), "numbered")
         cuts = stored(_cuts(numbered, cell / grain, cell / grain / 256), "cuts")
         if cuts.isEmpty():
+            dropped(numbered, cuts)
             return pieces
+        dropped(pieces)
         ends = numbered.select("sid", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e")).select("sid", "e.*")
         touched = ends.join(cuts.select("sid").distinct(), "sid", "left_semi").unionByName(cuts).join(numbered.select("sid", F.col("ax").alias("x0"), F.col("ay").alias("y0"), "net"), "sid")
         away = (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0"))
@@ -98,6 +100,7 @@ def counted_pieces(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0
         parts = touched.withColumn("away", away).select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by"), "net").where("bx IS NOT NULL")
         rest = numbered.join(cuts.select("sid").distinct(), "sid", "left_anti").select(*_ENDS, "net")
         pieces = stored(_sorted_ends(rest.unionByName(parts)), "pieces")
+        dropped(numbered, cuts)
 
 
 def cycles(pieces: DataFrame) -> DataFrame:
@@ -114,13 +117,15 @@ def cycles(pieces: DataFrame) -> DataFrame:
     # coming in along a half-edge, the region on its left goes on with the way out that is next clockwise from the way back
     before = F.coalesce(F.lag("h").over(turned), F.last("h").over(turned.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     halves = stored(halves.withColumn("then", before), "turns")
+    dropped(one)
     step = halves.select(F.col("twin").alias("h"), F.col("then").alias("ptr")).withColumn("cycle", F.col("h"))
     step = stored(step, "steps")
     while True:
         ahead = step.select(F.col("h").alias("ptr"), F.col("ptr").alias("far"), F.col("cycle").alias("there"))
         new = step.join(ahead, "ptr").select("h", F.col("far").alias("ptr"), F.least("cycle", "there").alias("cycle"), (F.col("there") < F.col("cycle")).alias("moved"))
         new = stored(new, "steps")
-        step = new.drop("moved")
+        dropped(step)
+        step = new
         if new.where("moved").isEmpty():  # then each stretch's least name is that of its whole cycle
             return halves.join(step.select("h", "cycle"), "h").select("h", "twin", "cycle", *_ENDS)
 
@@ -136,7 +141,9 @@ def regions(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> Da
 
 def _enclosed(pieces: DataFrame, grain: float, cell: float) -> DataFrame:
     """regions() of pieces in whole grains that meet at their ends only."""
-    halves = stored(cycles(pieces), "cycles")
+    named = cycles(pieces)
+    halves = stored(named, "cycles")
+    dropped(named)
     x0, y0 = halves.agg(F.min("ax"), F.min("ay")).first()
     if x0 is None:
         return pieces.limit(0).select(F.lit(0).cast("long").alias("r_id"), *[F.col(c).cast("double").alias(c) for c in _ENDS])
