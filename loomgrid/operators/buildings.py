@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrid.functions import geometry as G
 from loomgrid.operators.ordering import prefix_sums
-from loomgrid.operators.streets import segments
+from loomgrid.operators.streets import listed, segments
 
 #: Kinds of building with pitched roofs, and limits of walls.
 PITCHED = ["house", "residential", "terrace", "semidetached_house", "detached", "bungalow", "cottage", "apartments", "church", "chapel", "school", "yes"]
@@ -213,6 +214,49 @@ def smallest_box(corners: np.ndarray) -> tuple[float, ...] | None:
     return best and best[1]
 
 
+def small_boxes(p: np.ndarray) -> np.ndarray:
+    """For rings of equally many points (rings x points x 2) what smallest_box finds of their hulls, a row each; nan for single points.
+
+    The same chains and sides, for all rings together.
+    """
+    rings, size = p.shape[:2]
+    rows = np.arange(rings)
+    p = p[rows[:, None], np.lexsort((p[..., 1], p[..., 0]), axis=1)]
+    single = np.concatenate([np.ones((rings, 1), bool), np.any(p[:, 1:] != p[:, :-1], axis=2)], axis=1)
+    corners, held = np.zeros((rings, 2 * size, 2)), np.zeros(rings, np.int64)
+    for way in (range(size), range(size - 1, -1, -1)):
+        floor = held.copy()
+        for k in way:
+            q = p[:, k]
+            while True:
+                (ox, oy), (tx, ty) = corners[rows, held - 2].T, corners[rows, held - 1].T
+                pops = single[:, k] & (held - floor > 1) & ((tx - ox) * (q[:, 1] - oy) - (ty - oy) * (q[:, 0] - ox) <= 0)
+                if not pops.any():
+                    break
+                held[pops] -= 1
+            on = rows[single[:, k]]
+            corners[on, held[on]] = q[on]
+            held[on] += 1
+        held -= 1  # the chain's end begins the other
+    best, found = np.full(rings, np.inf), np.full((rings, 6), np.nan)
+    there = np.arange(2 * size) < held[:, None]
+    for k in range(int(held.max(initial=0))):
+        a, b = corners[:, k], corners[rows, (k + 1) % np.maximum(held, 1)]
+        length = np.hypot(b[:, 0] - a[:, 0], b[:, 1] - a[:, 1])
+        sides = (k < held) & (length > 1e-9) & ((held > 2) | (k == 0))
+        u = (b - a) / np.where(sides, length, 1)[:, None]
+        along = corners[..., 0] * u[:, :1] + corners[..., 1] * u[:, 1:]
+        across = corners[..., 1] * u[:, :1] - corners[..., 0] * u[:, 1:]
+        a0, a1 = np.where(there, along, np.inf).min(axis=1), np.where(there, along, -np.inf).max(axis=1)
+        c0, c1 = across[:, k], np.where(there, across, -np.inf).max(axis=1)
+        area = np.round((a1 - a0) * (c1 - c0), 6)
+        less = sides & (area < best)
+        best[less], found[less] = area[less], np.stack([u[:, 0], u[:, 1], a0, a1, c0, c1], 1)[less]
+    return found
+
+
+#: Points up to which rings of one size are boxed together.
+SMALL_RING = 64
 #: Points of which one task makes a hull at once.
 HULL_POINTS = 50_000
 
@@ -232,15 +276,27 @@ def oriented_box(rings: DataFrame, key: str = "b_id") -> DataFrame:
             pdf["p"] = [[{"x": x, "y": y} for x, y in hull(np.asarray([(q["x"], q["y"]) for q in points])).tolist()] for points in pdf["p"]]
             yield pdf
 
-    def of_rings(batches):
-        for pdf in batches:
-            pdf["box"] = [smallest_box(hull(np.asarray([(q["x"], q["y"]) for q in points]))) for points in pdf["p"]]
-            yield pdf[[key, "box"]].dropna()
+    names = ["ux", "uy", "a0", "a1", "c0", "c1"]
 
-    large = parts.where("parts > 1").mapInPandas(of_parts, parts.schema).groupBy(key).agg(F.flatten(F.collect_list("p")).alias("p"))
-    whole = parts.where("parts = 1").select(key, "p").unionByName(large)
+    def of_rings(batches):
+        for batch in batches:
+            starts, sizes, points = listed(batch.column("p"))
+            xy = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in "xy"], 1)
+            box = np.full((len(sizes), 6), np.nan)
+            for size in np.unique(sizes[sizes <= SMALL_RING]):
+                box[sizes == size] = small_boxes(xy[starts[sizes == size, None] + np.arange(size)])
+            for k in np.flatnonzero(sizes > SMALL_RING):
+                box[k] = smallest_box(hull(xy[starts[k] : starts[k] + sizes[k]])) or np.nan
+            has = ~np.isnan(box[:, 0])
+            yield pa.RecordBatch.from_arrays([batch.column(key).filter(pa.array(has)), *box[has].T.copy()], names=[key, *names])
+
+    if sizes.where("parts > 1").isEmpty():  # then no ring is dealt, and none needs its size
+        whole = rings.groupBy(key).agg(F.collect_list(point).alias("p"))
+    else:
+        large = parts.where("parts > 1").mapInPandas(of_parts, parts.schema).groupBy(key).agg(F.flatten(F.collect_list("p")).alias("p"))
+        whole = parts.where("parts = 1").select(key, "p").unionByName(large)
     kind = rings.schema[key].dataType.simpleString()
-    best = whole.mapInPandas(of_rings, f"{key} {kind}, box array<double>").select(key, *[F.col("box")[i].alias(c) for i, c in enumerate(("ux", "uy", "a0", "a1", "c0", "c1"))])
+    best = whole.mapInArrow(of_rings, ", ".join([f"{key} {kind}", *[f"{c} double" for c in names]]))
     la, lc, ma, mc = F.col("a1") - F.col("a0"), F.col("c1") - F.col("c0"), (F.col("a0") + F.col("a1")) / 2, (F.col("c0") + F.col("c1")) / 2
     long = la >= lc
     return best.select(
