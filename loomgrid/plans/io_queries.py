@@ -35,10 +35,9 @@ def _path(spark: SparkSession, name: str) -> str:
 def src_scripts(spark, d):
     path = _path(spark, "scripts")
     mark = F.concat(F.lit("0:"), F.lpad((F.col("s_suppkey") % 60).cast("string"), 2, "0"), F.lit(" - "), "s_name", F.lit("\n"), F.lit("nation "), "s_nationkey")
-    written = fixture(spark, d, "supplier").select(F.col("s_suppkey").alias("script_id"), mark.alias("value"))
-    written.repartition(16, "script_id").write.partitionBy("script_id").text(path)  # a file a script
-    read = S.read_scripts(spark, f"{path}/script_id=*")
-    return read.select(F.regexp_extract("script_id", r"script_id=(\d+)", 1).cast("long").alias("script_id"), F.regexp_replace("raw", r"\n$", "").alias("raw"))
+    S.write_scripts(fixture(spark, d, "supplier").select(F.col("s_suppkey").alias("script_id"), mark.alias("value")), path)
+    read = S.read_scripts(spark, f"{path}/*")
+    return read.select(F.regexp_extract("script_id", r"script_id=(-?\d+)", 1).cast("long").alias("script_id"), F.regexp_replace("raw", r"\n\z", "").alias("raw"))
 
 
 def _catalogue(spark, d):

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,40 @@ def present(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def write_scripts(scripts: DataFrame, path: str, per_folder: int = 1000) -> None:
+    """scripts (script_id, value) as a file a script with a line feed at its end, in folders that read_scripts takes as `path/*`.
+
+    The file, or its folder, is named script_id=<id>; scripts of one id have a file each. On a disk or mount the tasks write the
+    files themselves, some `per_folder` to a folder: Hadoop starts a process for each file's permissions there, and a folder a
+    script takes longer to list than to read. Elsewhere Spark's writer gives each id a folder. A path that is there is an error.
+    """
+    spark = scripts.sparkSession
+    if present(spark, path):
+        raise FileExistsError(path)
+    n = max(1, -(-scripts.count() // per_folder))
+    dealt = scripts.select("script_id", "value").repartition(n, "script_id")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getScheme() != "file":
+        dealt.write.option("maxRecordsPerFile", 1).partitionBy("script_id").text(path)
+        return
+    root = store.makeQualified(at).toUri().getPath()
+    os.makedirs(f"{root}/{0:06d}")  # is there without scripts too
+
+    def write(rows):
+        folder, last, same = f"{root}/{TaskContext.get().partitionId():06d}", None, 0
+        os.makedirs(folder, exist_ok=True)
+        for row in rows:  # in an order that a second attempt finds again, so that it writes the same names
+            same = same + 1 if row.script_id == last else 0
+            last = row.script_id
+            part = f"{folder}/.{uuid.uuid4().hex}"  # hidden from readers until it is whole
+            with open(part, "wb") as f:
+                f.write(f"{row.value or ''}\n".encode())
+            os.replace(part, f"{folder}/script_id={last}{f'.{same}' if same else ''}.txt")
+
+    dealt.sortWithinPartitions("script_id", "value").foreachPartition(write)
+
+
 def read_scripts(spark: SparkSession, path: str, blank: str = "error") -> DataFrame:
     """script_id (the file), raw: a whole text a file. A blank file is an error, or with blank="drop" is left out."""
     texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("script_id"), F.col("value").alias("raw"))

@@ -95,6 +95,35 @@ def test_blank_scripts(spark, tmp_path):
         S.read_scripts(spark, f"{tmp_path}/*.txt").collect()
 
 
+def test_many_scripts_lie_in_few_folders(spark, tmp_path):
+    """A file a script, but neither a folder nor, for two scripts of one id, a shared file; the same rows in a store that Spark alone knows."""
+    from loomgrid.sources import tables as S
+
+    scripts = spark.range(2500).select(F.expr("id % 2400").alias("script_id"), F.expr("'é ' || id || '\\n'").alias("value"))
+    want = sorted(str(i % 2400) + f"é {i}\n\n" for i in range(2500))
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.scripts.link./at", f"file:{tmp_path}")
+    for path in (f"{tmp_path}/plain", f"file://{tmp_path}/scheme", "viewfs://scripts/at/other"):
+        few = scripts if "viewfs" not in path else scripts.where("script_id % 60 = 0")
+        S.write_scripts(few, path, per_folder=500)
+        read = S.read_scripts(spark, f"{path}/*").select(F.regexp_extract("script_id", r"script_id=(\d+)", 1).alias("i"), "raw").collect()
+        assert sorted(r.i + r.raw for r in read) == (want if few is scripts else sorted(x for x in want if int(x.split("é")[0]) % 60 == 0))
+    assert len(list((tmp_path / "plain").iterdir())) == 5 and sum(len(list(d.iterdir())) for d in (tmp_path / "plain").iterdir()) == 2500
+    with pytest.raises(FileExistsError):
+        S.write_scripts(scripts, f"{tmp_path}/plain")
+
+
+def test_scripts_of_one_supplier_key_stay_apart(spark, tmp_path):
+    """Equal keys are two scripts, as in the SQL; a table without rows has none."""
+    import __spark_entry__ as entry
+
+    rows = spark.createDataFrame([(7, "A", 1), (7, "B", 2), (7, "B", 2), (8, "C", 3)], "s_suppkey long, s_name string, s_nationkey int")
+    rows.write.parquet(f"{tmp_path}/supplier.parquet")
+    got = entry.queries()["src_scripts"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(7, "0:07 - A\nnation 1"), (7, "0:07 - B\nnation 2"), (7, "0:07 - B\nnation 2"), (8, "0:08 - C\nnation 3")]
+    rows.limit(0).write.parquet(f"{tmp_path}/none/supplier.parquet")
+    assert entry.queries()["src_scripts"](spark, f"{tmp_path}/none").collect() == []
+
+
 def test_manifests(spark):
     from loomgrid.operators import scripts as P
 
