@@ -1,17 +1,20 @@
 """Planar arrangements: lines cut at their crossings, and the regions that they enclose.
 
 Places are whole numbers of a grain, so a node is its two numbers and all tests are exact. Segments meet on adaptive cells; each is
-cut where it crosses or touches another, and cutting goes on until nothing is cut, for a crossing is rounded to the grain. Each
+cut where it crosses or touches another, and what was bent by rounding a crossing to the grain is tried again until nothing is. Each
 piece then is two half-edges. At every node the half-edges are ordered by angle, which says how to go on to the next edge of the
-region on the left; regions are the cycles, which pointer doubling names in as many turns as the logarithm of their longest.
+region on the left; regions are the cycles. Blocks of the plane follow them on their own; only the ways of cycles through several
+blocks are named together, by pointer doubling in as many turns as the logarithm of the most blocks that a cycle enters.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgrid.operators.cells import fit
+from loomgrid.operators.cells import fit, narrowed
 from loomgrid.operators.spatial import point_in_polygon, shore_probes
 from loomgrid.sources.tables import dropped, stored
 
@@ -39,22 +42,26 @@ def clipped(segments: DataFrame, frame: tuple[float, float, float, float], *keys
 
 
 def _sorted_ends(segments: DataFrame) -> DataFrame:
-    """Distinct segments whose first end is the lesser, and net: how many run that way less how many run back. Single points go."""
+    """Distinct segments whose first end is the lesser, net: how many run that way less how many run back, and whether any is bent. Single points go."""
     a, b = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
-    pair = segments.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), F.when(a < b, F.col("net")).otherwise(-F.col("net")).alias("net")).where("p <> q")
-    return pair.groupBy(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")).agg(F.sum("net").alias("net"))
+    pair = segments.select(F.least(a, b).alias("p"), F.greatest(a, b).alias("q"), F.when(a < b, F.col("net")).otherwise(-F.col("net")).alias("net"), "bent").where("p <> q")
+    return pair.groupBy(F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by")).agg(F.sum("net").alias("net"), F.max("bent").alias("bent"))
+
+
+def _cross(p: str, q: str, r: str) -> Column:
+    """Twice the area of the triangle of three places, over 0 if it turns left."""
+    return (F.col(q + "x") - F.col(p + "x")) * (F.col(r + "y") - F.col(p + "y")) - (F.col(q + "y") - F.col(p + "y")) * (F.col(r + "x") - F.col(p + "x"))
 
 
 def _cuts(segments: DataFrame, cell: float, smallest: float) -> DataFrame:
-    """sid, x, y: where segments (sid, and ends in grains) are crossed or touched by others between their ends."""
+    """sid, x, y: where segments (sid, bent, and ends in grains) are crossed or touched by others between their ends, if one of the two is bent."""
     middles = segments.select(((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
-    cells = fit(middles, cell, smallest)
+    cells = fit(middles, max(smallest, narrowed(segments, cell, 16)), smallest)
     at = ["lv", "ci", "cj"]
     placed = cells.of_segments(segments)
-    other = placed.select(*at, *[F.col(c).alias(f"o_{c}") for c in ["sid", *_ENDS]])
-    pairs = placed.join(other, at).where("sid < o_sid AND ax <= o_bx AND o_ax <= bx AND least(ay, by) <= greatest(o_ay, o_by) AND least(o_ay, o_by) <= greatest(ay, by)")
-    cross = lambda p, q, r: (F.col(q + "x") - F.col(p + "x")) * (F.col(r + "y") - F.col(p + "y")) - (F.col(q + "y") - F.col(p + "y")) * (F.col(r + "x") - F.col(p + "x"))
-    sides = {"d1": cross("a", "b", "o_a"), "d2": cross("a", "b", "o_b"), "d3": cross("o_a", "o_b", "a"), "d4": cross("o_a", "o_b", "b")}
+    other = placed.where("bent").select(*at, *[F.col(c).alias(f"o_{c}") for c in ["sid", *_ENDS]])
+    pairs = placed.join(other, at).where("sid <> o_sid AND (sid < o_sid OR NOT bent) AND ax <= o_bx AND o_ax <= bx AND least(ay, by) <= greatest(o_ay, o_by) AND least(o_ay, o_by) <= greatest(ay, by)")
+    sides = {"d1": _cross("a", "b", "o_a"), "d2": _cross("a", "b", "o_b"), "d3": _cross("o_a", "o_b", "a"), "d4": _cross("o_a", "o_b", "b")}
     pairs = pairs.withColumns(sides)
     t = F.col("d3") / (F.col("d3") - F.col("d4"))
     spot = [F.col(f"a{c}") + F.rint((F.col(f"b{c}") - F.col(f"a{c}")) * t).cast("long") for c in "xy"]
@@ -82,52 +89,100 @@ def counted_pieces(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0
     """The pieces of noded(), and net.
 
     net is the number of segments that run along the piece less that of those that run against it. Segments may be some two million
-    grains long. A crossing is rounded to the grain, which can make a new one, so pieces are cut until none is.
+    grains long. A crossing is rounded to the grain, which can make a new one, so pieces are cut until none is. All parts of a segment
+    that a rounded crossing bends are tried again, and what they meet; parts that lie on their segment meet only where it was cut.
     """
-    whole = segments.select(*[F.rint(F.col(c) / grain).cast("long").alias(c) for c in _ENDS], F.lit(1).cast("long").alias("net"))
+    whole = segments.select(*[F.rint(F.col(c) / grain).cast("long").alias(c) for c in _ENDS], F.lit(1).cast("long").alias("net"), F.lit(True).alias("bent"))
     pieces = stored(_sorted_ends(whole), "pieces")
-    while True:
+    while not pieces.where("bent").isEmpty():
         numbered = stored(pieces.withColumn("sid", F.monotonically_increasing_id()), "numbered")
         cuts = stored(_cuts(numbered, cell / grain, cell / grain / 256), "cuts")
         if cuts.isEmpty():
             dropped(numbered, cuts)
-            return pieces
+            return pieces.drop("bent")
         dropped(pieces)
         ends = numbered.select("sid", F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("e")).select("sid", "e.*")
-        touched = ends.join(cuts.select("sid").distinct(), "sid", "left_semi").unionByName(cuts).join(numbered.select("sid", F.col("ax").alias("x0"), F.col("ay").alias("y0"), "net"), "sid")
-        away = (F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0"))
-        w = Window.partitionBy("sid").orderBy("away", "x", "y")
-        parts = touched.withColumn("away", away).select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(w).alias("bx"), F.lead("y").over(w).alias("by"), "net").where("bx IS NOT NULL")
-        rest = numbered.join(cuts.select("sid").distinct(), "sid", "left_anti").select(*_ENDS, "net")
+        touched = ends.join(cuts.select("sid").distinct(), "sid", "left_semi").unionByName(cuts).join(numbered.select("sid", *_ENDS, "net"), "sid")
+        away = (F.col("x") - F.col("ax")) * (F.col("x") - F.col("ax")) + (F.col("y") - F.col("ay")) * (F.col("y") - F.col("ay"))
+        w = Window.partitionBy("sid")
+        along = w.orderBy("away", "x", "y")
+        off = touched.withColumns({"away": away, "bent": F.max(_cross("a", "b", "") != 0).over(w)})
+        parts = off.select(F.col("x").alias("ax"), F.col("y").alias("ay"), F.lead("x").over(along).alias("bx"), F.lead("y").over(along).alias("by"), "net", "bent").where("bx IS NOT NULL")
+        rest = numbered.join(cuts.select("sid").distinct(), "sid", "left_anti").select(*_ENDS, "net", F.lit(False).alias("bent"))
         pieces = stored(_sorted_ends(rest.unionByName(parts)), "pieces")
         dropped(numbered, cuts)
+    return pieces.drop("bent")
 
 
-def cycles(pieces: DataFrame) -> DataFrame:
+def _traced(rows: pa.Table) -> pa.Table:
+    """The half-edges that come into the nodes of a block, and the cycles or ways that they make there.
+
+    rows: the half-edges h that leave these nodes (ax, ay) for (bx, by), and whether the latter is in the block too (stays). Their twins
+    come in, and go on along the half-edge that is next clockwise. A way that leaves the block is named by its first half-edge, way,
+    whose row also has the half-edge that the way goes on to, ptr, and in cycle the least of its half-edges; for a cycle that does not leave
+    the block way is null, and cycle its least half-edge in all rows.
+    """
+    ax, ay, bx, by, h = (rows[c].to_numpy() for c in ("ax", "ay", "bx", "by", "h"))
+    stays, n = rows["stays"].to_numpy(zero_copy_only=False), len(rows)
+    turned = np.lexsort((h, np.arctan2((by - ay).astype(float), (bx - ax).astype(float)), ay, ax))
+    first = np.ones(n, bool)
+    first[1:] = (ax[turned][1:] != ax[turned][:-1]) | (ay[turned][1:] != ay[turned][:-1])
+    starts = np.flatnonzero(first)
+    place = np.arange(n) - 1
+    place[starts] = np.append(starts[1:], n) - 1
+    goes = np.empty(n, np.int64)
+    goes[turned] = turned[place]  # for the twin of each row's half-edge the row of that which it goes on to
+    member = h ^ 1
+    by_number = np.argsort(member)
+    inner = stays[goes]
+    begins = np.ones(n, bool)
+    came = np.arange(n)  # the row that each comes from
+    after = by_number[np.searchsorted(member, h[goes[inner]], sorter=by_number)]
+    came[after], begins[after] = np.flatnonzero(inner), False
+    least = member.copy()
+    for _ in range(n.bit_length()):
+        least, came = np.minimum(least, least[came]), came[came]
+    open_ = begins[came]
+    cycle, ptr = np.where(open_, -1, least), np.full(n, -1)
+    ends = np.flatnonzero(~inner)
+    ptr[came[ends]], cycle[came[ends]] = h[goes[ends]], least[ends]
+    null = lambda v, at: pa.array(v, pa.int64(), mask=at)
+    made = {"h": member, "twin": h, "cycle": null(cycle, cycle < 0), "way": null(member[came], ~open_), "ptr": null(ptr, ptr < 0)}
+    return pa.table({k: pa.array(v, pa.int64()) for k, v in (made | {"ax": bx, "ay": by, "bx": ax, "by": ay}).items()})
+
+
+#: Half-edges of a block, at most where they can be parted, but for tables of many more.
+BLOCK = 50_000
+
+
+def cycles(pieces: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
     """pieces (ax, ay, bx, by) -> h, twin, cycle, ax, ay, bx, by: both half-edges of each, with the name of the cycle that has its region on the left.
 
-    A node's half-edges are one task's; a node must not have a large share of all pieces.
+    The half-edges of a block's nodes are one task's; a node must not have a large share of all pieces.
     """
-    one = stored(pieces.select("*", (F.monotonically_increasing_id() * 2).alias("h")), "halves")
-    back = one.select(F.col("bx").alias("ax"), F.col("by").alias("ay"), F.col("ax").alias("bx"), F.col("ay").alias("by"), (F.col("h") + 1).alias("h"))
-    halves = one.unionByName(back).withColumn("twin", F.col("h").bitwiseXOR(F.lit(1)))
-    angle = F.atan2((F.col("by") - F.col("ay")).cast("double"), (F.col("bx") - F.col("ax")).cast("double"))
-    w = Window.partitionBy("ax", "ay")
-    turned = w.orderBy(angle, "h")
-    # coming in along a half-edge, the region on its left goes on with the way out that is next clockwise from the way back
-    before = F.coalesce(F.lag("h").over(turned), F.last("h").over(turned.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    halves = stored(halves.withColumn("then", before), "turns")
+    one = stored(pieces.select(*_ENDS, (F.monotonically_increasing_id() * 2).alias("h")), "halves")
+    size = cell / grain * 8
+    blocks = fit(one.select(F.col("ax").alias("x"), F.col("ay").alias("y")), size, size / 4096, BLOCK // 2)
+    name = F.struct("lv", "ci", "cj")
+    placed = one
+    for end in "ab":
+        placed = blocks.of_points(placed, f"{end}x", f"{end}y").withColumn(f"{end}_block", name).drop("lv", "ci", "cj")
+    way = lambda a, b, h: F.struct(*[F.col(f"{e}{c}").alias(f"{n}{c}") for n, e in (("a", a), ("b", b)) for c in "xy"], h.alias("h"), F.col(f"{a}_block").alias("block"))
+    both = placed.select((F.col("a_block") == F.col("b_block")).alias("stays"), F.explode(F.array(way("a", "b", F.col("h")), way("b", "a", F.col("h") + 1))).alias("w")).select("w.*", "stays")
+    kinds = "h long, twin long, cycle long, way long, ptr long, ax long, ay long, bx long, by long"
+    halves = stored(both.groupBy("block").applyInArrow(_traced, kinds), "turns")
     dropped(one)
-    step = halves.select(F.col("twin").alias("h"), F.col("then").alias("ptr")).withColumn("cycle", F.col("h"))
-    step = stored(step, "steps")
-    while True:
+    step = stored(halves.where("ptr IS NOT NULL").select("h", "ptr", "cycle"), "steps")
+    while not step.isEmpty():
         ahead = step.select(F.col("h").alias("ptr"), F.col("ptr").alias("far"), F.col("cycle").alias("there"))
         new = step.join(ahead, "ptr").select("h", F.col("far").alias("ptr"), F.least("cycle", "there").alias("cycle"), (F.col("there") < F.col("cycle")).alias("moved"))
         new = stored(new, "steps")
         dropped(step)
         step = new
         if new.where("moved").isEmpty():  # then each stretch's least name is that of its whole cycle
-            return halves.join(step.select("h", "cycle"), "h").select("h", "twin", "cycle", *_ENDS)
+            break
+    closed = halves.where("way IS NULL").select("h", "twin", "cycle", *_ENDS)
+    return closed.unionByName(halves.where("way IS NOT NULL").drop("cycle").join(step.select(F.col("h").alias("way"), "cycle"), "way").select("h", "twin", "cycle", *_ENDS))
 
 
 def regions(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
@@ -141,15 +196,17 @@ def regions(segments: DataFrame, grain: float = 1e-3, cell: float = 500.0) -> Da
 
 def _enclosed(pieces: DataFrame, grain: float, cell: float) -> DataFrame:
     """regions() of pieces in whole grains that meet at their ends only."""
-    named = cycles(pieces)
+    named = cycles(pieces, grain, cell)
     halves = stored(named, "cycles")
     dropped(named)
     x0, y0 = halves.agg(F.min("ax"), F.min("ay")).first()
     if x0 is None:
         return pieces.limit(0).select(F.lit(0).cast("long").alias("r_id"), *[F.col(c).cast("double").alias(c) for c in _ENDS])
     local = {c: (F.col(c) - F.lit(x0 if c[1] == "x" else y0)).cast("double") * grain for c in _ENDS}
-    other = halves.select(F.col("h").alias("twin"), F.col("cycle").alias("beyond"))
-    bounding = stored(halves.join(other, "twin").where("cycle <> beyond").select("cycle", *[c.alias(n) for n, c in local.items()]), "bounding")
+    # the two half-edges of a piece have numbers that differ in their last bit
+    side = F.struct("cycle", *_ENDS)
+    pair = halves.groupBy(F.shiftright("h", 1).alias("piece")).agg(F.min_by(side, "h").alias("one"), F.max_by(side, "h").alias("other")).where("one.cycle <> other.cycle")
+    bounding = stored(pair.select(F.explode(F.array("one", "other")).alias("s")).select("s.*").select("cycle", *[c.alias(n) for n, c in local.items()]), "bounding")
     area = F.sum(F.col("ax") * F.col("by") - F.col("bx") * F.col("ay")) / 2
     sized = stored(bounding.groupBy("cycle").agg(area.alias("area"), F.min(F.struct("ax", "ay")).alias("left")), "areas")
     inner = sized.where("area > 0")
@@ -274,7 +331,8 @@ def coast_regions(coast: DataFrame, frame: tuple[float, float, float, float], ba
 
 def wet(edges: DataFrame, lines: DataFrame, cell: float = 500.0) -> DataFrame:
     """The regions of coast_regions() that hold a place just right of a shore line: r_id, ax, ay, bx, by."""
-    return edges.join(point_in_polygon(shore_probes(lines), edges, cell).select("r_id").distinct(), "r_id", "left_semi")
+    probes = stored(shore_probes(lines), "probes")
+    return edges.join(point_in_polygon(probes, edges, cell).select("r_id").distinct(), "r_id", "left_semi")
 
 
 def water_regions(coast: DataFrame, frame: tuple[float, float, float, float], banks: DataFrame | None = None, grain: float = 1e-3, cell: float = 500.0) -> DataFrame:
